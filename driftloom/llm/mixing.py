@@ -21,14 +21,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import materialise
+
 WEIGHTS = (5, 2, 1)
 BUCKETS = 256
 
 
 def words(text: Column) -> Column:
     """Number of words: runs of other characters than x20 and x09 to x0D."""
-    gaps = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    return F.coalesce(F.regexp_count(gaps, F.lit("[^ ]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, most: float = 3.0) -> DataFrame:
@@ -55,7 +56,7 @@ def hashed(seed: str, value: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(value.cast("string"), F.lit("")))), 1, digits), 16, 10).cast("double") / F.lit(float(16**digits))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.0, most: float = 3.0, seed: str = "mix", carry: Sequence[str] = ()) -> DataFrame:
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.0, most: float = 3.0, seed: str = "mix", carry: Sequence[str] = (), owner: str = "query") -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, and the carried columns as a struct ``row``."""
     row = [F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *row)
@@ -66,7 +67,11 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         "name": F.coalesce("source", F.lit("")),
     })
     key = ["has", "name", "stratum", "bucket"]
+    if not carry:  # without texts the rows are small: count words once
+        rows = materialise(rows, owner)
     buckets = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    if carry:
+        buckets = materialise(buckets, owner)
     strata = buckets.groupBy("has", "name", "stratum").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     goal = targets(strata.groupBy("has", "name").agg(F.sum("words").alias("source_size")).select(F.when(F.col("has"), F.col("name")).alias("source"), "source_size"), weights, share, most)
     goal = goal.select(F.col("source").isNotNull().alias("has"), F.coalesce("source", F.lit("")).alias("name"), "source_size", "target")
