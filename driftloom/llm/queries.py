@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, jaccard, mixing, repeats, toxicity, url_filter
+from . import ann, bpe, exact_dedup, jaccard, mixing, quality, repeats, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +43,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.fit(docs, labels.filter(~toxicity.held_out("doc_id")))).withColumn("held_out", toxicity.held_out("doc_id"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_ann, op3_bpe, op4_jaccard_join, op5_url_filter, op6_exact_dedup, op7_repeats, op8_mixing, op10_toxicity]
+    found = [op2_ann, op3_bpe, op4_jaccard_join, op5_url_filter, op6_exact_dedup, op7_repeats, op8_mixing, op9_quality, op10_toxicity]
     return {f.__name__: f for f in found}
