@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, jaccard, mixing, quality, repeats, toxicity, url_filter
+from . import ann, bpe, exact_dedup, jaccard, mixing, pii, quality, repeats, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -54,5 +59,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_ann, op3_bpe, op4_jaccard_join, op5_url_filter, op6_exact_dedup, op7_repeats, op8_mixing, op9_quality, op10_toxicity]
+    found = [op1_pii, op2_ann, op3_bpe, op4_jaccard_join, op5_url_filter, op6_exact_dedup, op7_repeats, op8_mixing, op9_quality, op10_toxicity]
     return {f.__name__: f for f in found}
