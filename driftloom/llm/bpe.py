@@ -23,7 +23,7 @@ import functools
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -315,9 +315,9 @@ def shared_codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; with ``keep`` also the ids (binary) and the decoded text."""
-    kept = ", ids binary, decoded string" if keep else ""
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; ``keep`` may add ``ids`` (little-endian 32-bit integers) and ``decoded``."""
+    kept = "".join(f", {c} {'binary' if c == 'ids' else 'string'}" for c in keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared_codec(path)
@@ -331,8 +331,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                     sha.update(part)
                     text = machine.feed(np.frombuffer(part, "<u4"))
                     other.update(text.encode())
-                    if keep:
+                    if "ids" in keep:
                         raw.append(part)
+                    if "decoded" in keep:
                         words.append(text)
                 counts.append(n)
                 shas.append(sha.hexdigest())
@@ -341,8 +342,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                     ids.append(b"".join(raw))
                     decoded.append("".join(words))
             cols = {"doc_id": batch.column(0), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
-            if keep:
-                cols |= {"ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.string())}
+            cols |= {c: pa.array(ids, pa.binary()) if c == "ids" else pa.array(decoded, pa.string()) for c in keep}
             yield pa.RecordBatch.from_pydict(cols)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -18,8 +18,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import materialise
 from .textarrays import SPACE, SPACES, runs, utf8
@@ -158,3 +159,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("doc_id").eqNullSafe(-F.col("best.minus")).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "query") -> DataFrame:
+    """The row that stays of each group, with all columns of ``docs``; of wholly repeated rows one."""
+    cols, place = docs.columns, docs.columns.index(text_col)
+    sha = "text_sha256" if "text_sha256" not in cols else f"text_sha256_{len(cols)}"
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shas = [hashlib.sha256((x.as_py() or "").encode().translate(None, SPACES)).hexdigest() for x in batch.column(place)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shas, pa.string())], [*batch.schema.names, sha])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(sha, T.StringType())])
+    stay = exact_groups(docs, id_col, text_col, owner).filter("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha")).distinct()
+    marked = docs.mapInArrow(mark, schema)
+    found = marked.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("stay_id")) & (F.col(sha) == F.col("stay_sha")), "left_semi")
+    # repeated rows have the same id and text: one of them is any of them but for other columns, whose order decides
+    others = [F.col(f"`{c}`").cast("string") for c in cols if c not in (id_col, text_col)]
+    first = F.row_number().over(Window.partitionBy(id_col, sha).orderBy(F.length(text_col).desc(), F.md5(F.concat_ws("|", *others)), text_col))
+    return found.withColumn("row_of_copies", first).filter("row_of_copies = 1").select(*[F.col(f"`{c}`") for c in cols])

@@ -324,3 +324,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return named.filter("n > 0").join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(
         found.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "query") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component, with all columns."""
+    groups = near_groups(docs, id_col, text_col, owner=owner)
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
+    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("stay_id")), "left_semi")
