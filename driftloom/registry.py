@@ -6,13 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
 _oracle: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under ``name``, with the SQL that holds the same result where there is one."""
+
+    def add(f: Query) -> Query:
+        if name in _queries:
+            raise ValueError(f"{name} is registered twice")
+        _queries[name] = f
+        if sql is not None:
+            _oracle[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from driftloom import plans  # noqa: F401  registers on import
+
+
+def queries() -> dict[str, Query]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_oracle)
