@@ -143,7 +143,7 @@ def with_clean(sql: str) -> str:
     return f"WITH {CLEAN}\n{sql}"
 
 
-def with_units(sql: str) -> str:
+def with_units(sql: str = "") -> str:
     return f"WITH {UNITS}\n{sql}"
 
 
