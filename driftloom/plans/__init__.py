@@ -1,3 +1,3 @@
 """The library's queries, by family; importing this package registers them."""
 
-from driftloom.plans import recognition, vectors  # noqa: F401
+from driftloom.plans import metrics, recognition, shift, vectors  # noqa: F401
