@@ -22,6 +22,7 @@ remove from each other; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import array
 import hashlib
 import math
 from collections.abc import Iterable, Iterator
@@ -36,7 +37,9 @@ from .scratch import materialise
 from .textarrays import _power, byte_table, mix, runs, utf8
 
 LENGTH, GRAM = 50, 24
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Bytes of a bucket whose suffix array is built at once (more only if one anchor's runs need it).
+ARRAY = 1 << 20
 _TABLE = byte_table(lower=False, seed=50)
 _LAST = np.iinfo(np.int64).max
 _RUN = np.dtype([("row", "<u4"), ("start", "<u4"), ("size", "<u4"), ("doc_id", "<i8"), ("anchor", "<u8")])
@@ -64,12 +67,15 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         if span < wide:
             h = np.minimum(h[: len(h) - (wide - span)], h[wide - span :])
         # h[p]: the anchor of the window at p; only windows within a row count
-        row = np.searchsorted(at, np.arange(s, s + len(h)), side="right") - 1
-        valid = np.arange(s, s + len(h)) + LENGTH <= at[row + 1]
+        i, j = int(np.searchsorted(at, s, side="right")) - 1, int(np.searchsorted(at, s + len(h), side="left"))
+        edges = np.clip(at[i : j + 1] - s, 0, len(h))
+        valid = np.ones(len(h), bool)
+        for e in at[i + 1 : j + 1] - s:
+            valid[max(e - LENGTH + 1, 0) : e] = False
         place = np.flatnonzero(valid)
         if not len(place):
             continue
-        a, r = h[place], row[place]
+        a, r = h[place], np.repeat(np.arange(i, j), np.diff(edges))[place]
         head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (r[1:] != r[:-1]) | (place[1:] != place[:-1] + 1)]))
         out.append((r[head], place[head] + s, np.diff(np.append(head, len(place))), a[head]))
     if not out:
@@ -273,6 +279,21 @@ def equal_windows(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     return live, rank[live]
 
 
+def _decide(some: np.ndarray, sizes: np.ndarray, distinct: list[bytes], least: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each text of ``some``, of each of its windows the smallest id that holds it."""
+    data = np.frombuffer(b"".join([distinct[k] for k in some]), np.uint8)
+    ends = np.cumsum(sizes)
+    place, group = equal_windows(data, ends)
+    win = np.repeat(least[some], sizes)
+    if len(place):
+        order = np.argsort(group, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
+        low = np.minimum.reduceat(win[place[order]], cut)
+        win[place[order]] = np.repeat(low, np.diff(np.append(cut, len(order))))
+    for k, a, e in zip(some, ends - sizes, ends, strict=True):
+        yield int(k), win[a : e - LENGTH + 1]
+
+
 def _judge(table: pa.Table) -> pa.Table:
     """Of one bucket: each chunk's cuts."""
     if table["bucket"][0].as_py() < 0:
@@ -280,6 +301,7 @@ def _judge(table: pa.Table) -> pa.Table:
     metas = [np.frombuffer(x.as_py(), _RUN) for x in table["meta"]]
     meta = np.concatenate(metas)
     source = np.repeat(np.arange(len(metas)), [len(m) for m in metas])
+    source_ends = np.concatenate([[0], np.cumsum([len(m) for m in metas])])
     bodies: list[bytes] = []
     for blob, m in zip(table["bytes"], metas, strict=True):
         raw, at = blob.as_py(), 0
@@ -296,33 +318,38 @@ def _judge(table: pa.Table) -> pa.Table:
     one[text] = meta["anchor"]
     _, inverse, times = np.unique(one, return_inverse=True, return_counts=True)
     several = np.flatnonzero(times[inverse] > 1)  # texts that share an anchor with another one
-    smallest: dict[int, np.ndarray] = {}
-    if len(several):
-        data = np.frombuffer(b"".join([distinct[k] for k in several]), np.uint8)
-        sizes = np.array([len(distinct[k]) for k in several])
-        ends = np.cumsum(sizes)
-        place, group = equal_windows(data, ends)
-        owner = np.searchsorted(ends, place, side="right")
-        win = np.repeat(least[several], sizes)  # of each window, the smallest id known
-        order = np.argsort(group, kind="stable")
-        cut = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]])) if len(order) else []
-        if len(order):
-            low = np.minimum.reduceat(least[several][owner[order]], cut)
-            win[place[order]] = np.minimum(win[place[order]], np.repeat(low, np.diff(np.append(cut, len(order)))))
-        for k, a, e in zip(several, ends - sizes, ends, strict=True):
-            smallest[int(k)] = win[a : e - LENGTH + 1]
-    cuts: dict[int, list] = {}
-    for k in range(len(meta)):
-        t, mine, row, start = int(text[k]), int(meta["doc_id"][k]), int(meta["row"][k]), int(meta["start"][k])
-        if least[t] < mine:
-            cuts.setdefault(int(source[k]), []).append((row, start, start + int(meta["size"][k])))
-        elif t in smallest:
-            gone = smallest[t] < mine
+    several = several[np.argsort(one[several], kind="stable")]
+    sizes = np.array([len(distinct[k]) for k in several], np.int64)
+    # a member with a larger id than its text's smallest goes as a whole; of the others single windows may go
+    whole = least[text] < meta["doc_id"]
+    rest = np.flatnonzero(~whole)
+    rest = rest[np.argsort(text[rest], kind="stable")]
+    first = np.searchsorted(text[rest], np.arange(len(distinct) + 1))
+    cuts = [array.array("I") for _ in metas]
+    # texts of different anchors have no window in common: a few arrays of bounded size, one after the other
+    edge = np.flatnonzero(np.concatenate([[True], one[several][1:] != one[several][:-1]])) if len(several) else np.zeros(0, np.int64)
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    i = 0
+    while i < len(edge):
+        j = max(i + 1, int(np.searchsorted(before[edge], before[edge[i]] + ARRAY, side="right")) - 1)
+        j = len(edge) if before[-1] - before[edge[i]] <= ARRAY else j
+        lo, hi = edge[i], edge[j] if j < len(edge) else len(several)
+        for t, smallest in _decide(several[lo:hi], sizes[lo:hi], distinct, least):
+            gone = smallest < least[t]
             if gone.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                for a, e in edge.reshape(-1, 2):
-                    cuts.setdefault(int(source[k]), []).append((row, start + int(a), start + int(e) - 1 + LENGTH))
-    return pa.table({"chunk": pa.array([table["chunk"][s].as_py() for s in cuts], pa.string()), "cuts": pa.array([np.array(c, _CUT).tobytes() for c in cuts.values()], pa.binary())})
+                turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
+                for k in rest[first[t] : first[t + 1]].tolist():
+                    row, start = int(meta["row"][k]), int(meta["start"][k])
+                    for x, y in turns:
+                        cuts[source[k]].extend((row, start + x, start + y - 1 + LENGTH))
+        i = j
+    out = []
+    for k, m in enumerate(metas):
+        full = m[whole[source_ends[k] : source_ends[k + 1]]]
+        own = np.zeros(len(full), _CUT)
+        own["row"], own["start"], own["end"] = full["row"], full["start"], full["start"] + full["size"]
+        out.append(own.tobytes() + np.frombuffer(cuts[k].tobytes(), "<u4").tobytes())
+    return pa.table({"chunk": table["chunk"], "cuts": pa.array(out, pa.binary())})
 
 
 def _cut_texts(with_text: bool):
