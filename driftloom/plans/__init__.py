@@ -1,3 +1,3 @@
 """The library's queries, by family; importing this package registers them."""
 
-from driftloom.plans import metrics, recognition, relational, shift, statistics, vectors  # noqa: F401
+from driftloom.plans import maps, metrics, recognition, relational, resampling, shift, statistics, vectors  # noqa: F401

@@ -11,7 +11,6 @@ from driftloom.plans.base import clean_bank, records, rounded, shifted_bank, sql
 from driftloom.registry import query
 from driftloom.sources.store import shared_folder, table
 
-ONE = F.lit(1)
 
 
 def avg6(c: str | Column) -> Column:
@@ -26,7 +25,7 @@ def partition_scan(spark: SparkSession, d: str) -> DataFrame:
     """A written bank, partitioned by its key; the filter prunes folders."""
     path = f"{shared_folder(spark)}/driftloom-bank-{abs(hash(d))}"
     shifted_bank(spark, d).write.mode("overwrite").partitionBy("backbone", "dataset", "tag").parquet(path)
-    return spark.read.parquet(path).filter("dataset = 'D1' AND backbone = 'B2' AND tag = 'blend_0_9'").groupBy("dataset", "backbone", "tag").agg(F.count(ONE).alias("n"))
+    return spark.read.parquet(path).filter("dataset = 'D1' AND backbone = 'B2' AND tag = 'blend_0_9'").groupBy("dataset", "backbone", "tag").agg(F.count("*").alias("n"))
 
 
 @query("a2_channel_layout", with_clean("SELECT vec_id, backbone, round(x[1], 6) AS first, len(x) AS channels FROM clean"))
@@ -56,12 +55,12 @@ def checkpoint_union(spark: SparkSession, d: str) -> DataFrame:
     expected = base.select("perturbation", "severity").distinct()
     pairs = base.select("dataset", "backbone").distinct()
     missing = pairs.crossJoin(F.broadcast(expected)).join(parts, ["dataset", "backbone", "perturbation", "severity"], "left_anti")  # dimensions only
-    return parts.join(missing, ["dataset", "backbone"], "left_anti").groupBy("dataset", "backbone").agg(F.count(ONE).alias("n"))
+    return parts.join(missing, ["dataset", "backbone"], "left_anti").groupBy("dataset", "backbone").agg(F.count("*").alias("n"))
 
 
 @query("a8_json_scan", "SELECT event_type, count(*) AS n, count(k) AS with_key FROM (SELECT event_type, json_extract_string(props, '$.k') AS k FROM events) GROUP BY event_type")
 def json_scan(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k")).groupBy("event_type").agg(F.count(ONE).alias("n"), F.count("k").alias("with_key"))
+    return table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k")).groupBy("event_type").agg(F.count("*").alias("n"), F.count("k").alias("with_key"))
 
 
 @query("a9_discover_names", with_rec("SELECT DISTINCT backbone, dataset, tag, perturbation AS parsed FROM rec"))
@@ -82,7 +81,7 @@ def generator(spark: SparkSession, d: str) -> DataFrame:
 @query("a15_provenance", with_rec("SELECT 'records' AS name, count(*) AS n, sha256(string_agg(tag || '/' || dataset || '/' || backbone, ',' ORDER BY tag || '/' || dataset || '/' || backbone)) AS digest FROM rec"))
 def provenance(spark: SparkSession, d: str) -> DataFrame:
     key = F.concat_ws("/", "tag", "dataset", "backbone")
-    return records(spark, d).agg(F.lit("records").alias("name"), F.count(ONE).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(key)), ","), 256).alias("digest"))
+    return records(spark, d).agg(F.lit("records").alias("name"), F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(key)), ","), 256).alias("digest"))
 
 
 # ---- B: projections, filters, predicates ----
@@ -100,7 +99,7 @@ def point_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("b4_isin", with_rec("SELECT tag, count(*) AS n FROM rec WHERE perturbation IN ('add', 'roll') GROUP BY tag"))
 def isin(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).filter(F.col("perturbation").isin("add", "roll")).groupBy("tag").agg(F.count(ONE).alias("n"))
+    return records(spark, d).filter(F.col("perturbation").isin("add", "roll")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query("b5_b6_expression_filter", with_rec("SELECT dataset, backbone, tag FROM rec WHERE (drift > 0.05 AND failure = 1) OR tag LIKE 'roll%' OR starts_with(tag, 'scale')"))
@@ -133,18 +132,18 @@ def derived(spark: SparkSession, d: str) -> DataFrame:
 @query("b10_to_numeric", with_rec("SELECT tag, TRY_CAST(CASE WHEN perturbation = 'add' THEN 'severe' ELSE severity END AS DOUBLE) AS level, count(*) AS n FROM rec GROUP BY ALL"))
 def to_numeric(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(F.col("perturbation") == "add", F.lit("severe")).otherwise(F.col("severity"))
-    return records(spark, d).groupBy("tag", text.try_cast("double").alias("level")).agg(F.count(ONE).alias("n"))
+    return records(spark, d).groupBy("tag", text.try_cast("double").alias("level")).agg(F.count("*").alias("n"))
 
 
 @query("b11_row_mask", with_rec(f"SELECT count(*) AS n, round(corr({_GAPS}, acc_drop), 6) AS r FROM rec WHERE {_GAPS} IS NOT NULL"))
 def row_mask(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark, d).withColumn("x", F.when(F.col("severity") != "0.3", F.col("drift"))).filter(F.col("x").isNotNull() & F.col("acc_drop").isNotNull())
-    return rows.agg(F.count(ONE).alias("n"), rounded(F.corr("x", "acc_drop")).alias("r"))
+    return rows.agg(F.count("*").alias("n"), rounded(F.corr("x", "acc_drop")).alias("r"))
 
 
 @query("b12_classes_with_two", "SELECT label, n FROM (SELECT label, count(*) AS n FROM embeddings WHERE vec_id < 40 GROUP BY label) WHERE n >= 2")
 def classes_with_two(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").filter("vec_id < 40").groupBy("label").agg(F.count(ONE).alias("n")).filter("n >= 2")
+    return table(spark, d, "embeddings").filter("vec_id < 40").groupBy("label").agg(F.count("*").alias("n")).filter("n >= 2")
 
 
 @query("b13_case_labels", with_rec("SELECT dataset, backbone, tag, CASE WHEN acc_drop > 0.2 THEN 'fails' WHEN acc_drop > 0.05 THEN 'degrades' ELSE 'holds' END AS verdict, CASE WHEN drift < 0.001 THEN '***' WHEN drift < 0.01 THEN '**' WHEN drift < 0.05 THEN '*' ELSE 'n.s.' END AS stars FROM rec"))
@@ -212,13 +211,13 @@ def lookup_join(spark: SparkSession, d: str) -> DataFrame:
 @query("c9_paired_join", with_units("SELECT dataset, backbone, tag, count(*) AS n FROM pairs GROUP BY ALL"))
 def paired_join(spark: SparkSession, d: str) -> DataFrame:
     bank = clean_bank(spark, d).select("dataset", "backbone", "vec_id")
-    return shifted_bank(spark, d).join(bank, ["dataset", "backbone", "vec_id"]).groupBy("dataset", "backbone", "tag").agg(F.count(ONE).alias("n"))
+    return shifted_bank(spark, d).join(bank, ["dataset", "backbone", "vec_id"]).groupBy("dataset", "backbone", "tag").agg(F.count("*").alias("n"))
 
 
 @query("c10_semi_anti", "SELECT 'labelled' AS kind, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'unlabelled', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def semi_anti(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
-    one = lambda how, kind: docs.join(labels, "doc_id", how).agg(F.lit(kind).alias("kind"), F.count(ONE).alias("n"))
+    one = lambda how, kind: docs.join(labels, "doc_id", how).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
     return one("left_semi", "labelled").union(one("left_anti", "unlabelled"))
 
 
@@ -261,18 +260,18 @@ def group_means(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e2_named_aggregates", with_rec("SELECT perturbation, round(avg(drift), 6) AS mean, round(stddev_samp(drift), 6) AS std, count(*) AS size, count(DISTINCT dataset) AS datasets, max(drift) AS most, min(drift) AS least FROM rec GROUP BY perturbation"))
 def named_aggregates(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).groupBy("perturbation").agg(avg6("drift").alias("mean"), rounded(F.stddev_samp("drift")).alias("std"), F.count(ONE).alias("size"), F.countDistinct("dataset").alias("datasets"), F.max("drift").alias("most"), F.min("drift").alias("least"))
+    return records(spark, d).groupBy("perturbation").agg(avg6("drift").alias("mean"), rounded(F.stddev_samp("drift")).alias("std"), F.count("*").alias("size"), F.countDistinct("dataset").alias("datasets"), F.max("drift").alias("most"), F.min("drift").alias("least"))
 
 
 @query("e3_coverage", with_rec("SELECT backbone, count(*) AS n, count_if(drift > 0.05) AS kept, round(count_if(drift > 0.05) / count(*), 6) AS coverage FROM rec GROUP BY backbone"))
 def coverage(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).groupBy("backbone").agg(F.count(ONE).alias("n"), F.count_if(F.col("drift") > 0.05).alias("kept")).withColumn("coverage", rounded(F.col("kept") / F.col("n")))
+    return records(spark, d).groupBy("backbone").agg(F.count("*").alias("n"), F.count_if(F.col("drift") > 0.05).alias("kept")).withColumn("coverage", rounded(F.col("kept") / F.col("n")))
 
 
 @query("e4_custom_aggregates", with_rec("SELECT backbone, round(100 * stddev_samp(drift) / avg(drift), 6) AS cv_pct, round(1.96 * stddev_samp(drift) / sqrt(count(*)), 6) AS ci, round(max(drift) - min(drift), 6) AS spread, arg_min(tag, dataset || tag) AS first_tag FROM rec GROUP BY backbone"))
 def custom_aggregates(spark: SparkSession, d: str) -> DataFrame:
     s = F.stddev_samp("drift")
-    return records(spark, d).groupBy("backbone").agg(rounded(100 * s / F.avg("drift")).alias("cv_pct"), rounded(1.96 * s / F.sqrt(F.count(ONE))).alias("ci"), rounded(F.max("drift") - F.min("drift")).alias("spread"), F.min_by("tag", F.concat("dataset", "tag")).alias("first_tag"))
+    return records(spark, d).groupBy("backbone").agg(rounded(100 * s / F.avg("drift")).alias("cv_pct"), rounded(1.96 * s / F.sqrt(F.count("*"))).alias("ci"), rounded(F.max("drift") - F.min("drift")).alias("spread"), F.min_by("tag", F.concat("dataset", "tag")).alias("first_tag"))
 
 
 @query("e5_median", with_rec("SELECT dataset, round(avg(drift), 6) AS mean, round(stddev_samp(drift), 6) AS std, round(median(drift), 6) AS median FROM rec GROUP BY dataset"))
@@ -282,7 +281,7 @@ def medians(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e6_value_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def value_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(ONE).alias("n"))
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("e7_distinct_count", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag")
@@ -296,7 +295,7 @@ _SIGN = "sign(round(acc_drop - 0.05, 9))::INT"
 @query("e8_mode_of_signs", with_rec(f"SELECT backbone, arg_max(s, n * 10 - s) AS mode, round(max(n) / sum(n), 6) AS agreement FROM (SELECT backbone, {_SIGN} AS s, count(*) AS n FROM rec WHERE {_SIGN} <> 0 GROUP BY ALL) GROUP BY backbone"))
 def mode_of_signs(spark: SparkSession, d: str) -> DataFrame:
     s = records(spark, d).select("backbone", F.signum(F.round(F.col("acc_drop") - 0.05, 9)).cast("int").alias("s")).filter("s <> 0")
-    n = s.groupBy("backbone", "s").agg(F.count(ONE).alias("n"))
+    n = s.groupBy("backbone", "s").agg(F.count("*").alias("n"))
     return n.groupBy("backbone").agg(F.max_by("s", F.struct("n", -F.col("s"))).alias("mode"), rounded(F.max("n") / F.sum("n")).alias("agreement"))
 
 
@@ -324,7 +323,7 @@ def quantiles(spark: SparkSession, d: str) -> DataFrame:
 @query("e13_higher_quantile", with_rec("SELECT backbone, list_sort(list(drift))[ceil(0.9 * (count(*) - 1))::INT + 1] AS q90 FROM rec GROUP BY backbone"))
 def higher(spark: SparkSession, d: str) -> DataFrame:
     s = F.array_sort(F.collect_list("drift"))
-    return records(spark, d).groupBy("backbone").agg(s[F.ceil(F.lit(0.9) * (F.count(ONE) - 1)).cast("int")].alias("q90"))
+    return records(spark, d).groupBy("backbone").agg(s[F.ceil(F.lit(0.9) * (F.count("*") - 1)).cast("int")].alias("q90"))
 
 
 @query("e14_weighted_mean", with_rec("SELECT tag, round(sum(n * accuracy) / sum(n), 6) AS weighted FROM rec GROUP BY tag"))
@@ -348,7 +347,7 @@ def confusion(spark: SparkSession, d: str) -> DataFrame:
 def histogram(spark: SparkSession, d: str) -> DataFrame:
     from driftloom.plans.base import paired
 
-    return paired(spark, d).groupBy(F.floor((1 - F.col("cos")) / 0.05).alias("bin")).agg(F.count(ONE).alias("n")).filter("n >= 30")
+    return paired(spark, d).groupBy(F.floor((1 - F.col("cos")) / 0.05).alias("bin")).agg(F.count("*").alias("n")).filter("n >= 30")
 
 
 # ---- F: ranks and windows ----
@@ -361,7 +360,7 @@ def ordinal(value: str, keys: list[str], tie: list[str], descending: bool = True
 
 def average_rank(value: str, keys: list[str]) -> Column:
     w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(value)) + (F.count(ONE).over(Window.partitionBy(*keys, value)) - 1) / 2
+    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
 
 
 @query("f1_mean_rank", with_rec("SELECT backbone, round(avg(r), 6) AS mean_rank FROM (SELECT backbone, row_number() OVER (PARTITION BY dataset, tag ORDER BY accuracy DESC, backbone) AS r FROM rec) GROUP BY backbone"))
@@ -407,7 +406,7 @@ def group_residual(spark: SparkSession, d: str) -> DataFrame:
 @query("f8_halves", "SELECT label, count_if(r <= n // 2) AS first_half, count_if(r > n // 2) AS second_half FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings) GROUP BY label")
 def halves(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("label")
-    r = table(spark, d, "embeddings").select("label", F.row_number().over(w.orderBy("vec_id")).alias("r"), F.floor(F.count(ONE).over(w) / 2).alias("h"))
+    r = table(spark, d, "embeddings").select("label", F.row_number().over(w.orderBy("vec_id")).alias("r"), F.floor(F.count("*").over(w) / 2).alias("h"))
     return r.groupBy("label").agg(F.count_if(F.col("r") <= F.col("h")).alias("first_half"), F.count_if(F.col("r") > F.col("h")).alias("second_half"))
 
 
@@ -438,7 +437,7 @@ _ORDER = {"scale": 0, "add": 1, "roll": 2, "blend": 3}
 @query("g3_category_order", with_rec("SELECT perturbation, row_number() OVER (ORDER BY o) AS place, n FROM (SELECT perturbation, count(*) AS n FROM rec GROUP BY 1) JOIN (VALUES " + ", ".join(f"('{k}', {v})" for k, v in _ORDER.items()) + ") v(p, o) ON perturbation = p"))
 def category_order(spark: SparkSession, d: str) -> DataFrame:
     order = spark.createDataFrame(list(_ORDER.items()), "perturbation string, o int")
-    n = records(spark, d).groupBy("perturbation").agg(F.count(ONE).alias("n")).join(F.broadcast(order), "perturbation")  # fixed rows
+    n = records(spark, d).groupBy("perturbation").agg(F.count("*").alias("n")).join(F.broadcast(order), "perturbation")  # fixed rows
     return n.select("perturbation", F.row_number().over(Window.orderBy("o")).alias("place"), "n")
 
 
@@ -466,7 +465,7 @@ def ranking_string(spark: SparkSession, d: str) -> DataFrame:
 @query("h1_union_all", with_rec("SELECT tag, count(*) AS n FROM (SELECT tag FROM rec UNION ALL SELECT tag FROM rec WHERE failure = 1) GROUP BY tag"))
 def union_all(spark: SparkSession, d: str) -> DataFrame:
     r = records(spark, d)
-    return r.select("tag").unionByName(r.filter("failure = 1").select("tag")).groupBy("tag").agg(F.count(ONE).alias("n"))
+    return r.select("tag").unionByName(r.filter("failure = 1").select("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query("h2_keep_last", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
@@ -491,9 +490,9 @@ def intersection(spark: SparkSession, d: str) -> DataFrame:
 @query("h4_jaccard_of_sets", f"WITH s AS (SELECT DISTINCT * FROM ({_SPECIES})), n AS (SELECT dataset, count(*) AS n FROM s GROUP BY ALL) SELECT a.dataset AS x, b.dataset AS y, count(*) AS shared, any_value(na.n + nb.n) - count(*) AS united, round(count(*) / (any_value(na.n + nb.n) - count(*)), 6) AS jaccard FROM s a JOIN s b ON a.species = b.species AND a.dataset < b.dataset JOIN n na ON na.dataset = a.dataset JOIN n nb ON nb.dataset = b.dataset GROUP BY a.dataset, b.dataset")
 def set_jaccard(spark: SparkSession, d: str) -> DataFrame:
     s = _species(spark, d).distinct()
-    n = s.groupBy("dataset").agg(F.count(ONE).alias("n"))
+    n = s.groupBy("dataset").agg(F.count("*").alias("n"))
     a, b = s.withColumnRenamed("dataset", "x"), s.withColumnRenamed("dataset", "y")
-    shared = a.join(b, "species").filter("x < y").groupBy("x", "y").agg(F.count(ONE).alias("shared"))
+    shared = a.join(b, "species").filter("x < y").groupBy("x", "y").agg(F.count("*").alias("shared"))
     both = shared.join(n.select(F.col("dataset").alias("x"), F.col("n").alias("nx")), "x").join(n.select(F.col("dataset").alias("y"), F.col("n").alias("ny")), "y")
     return both.select("x", "y", "shared", (F.col("nx") + F.col("ny") - F.col("shared")).alias("united")).withColumn("jaccard", rounded(F.col("shared") / F.col("united")))
 
@@ -592,7 +591,7 @@ def stable_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 @query("i15_json_encode", with_rec("SELECT tag, '{\"tag\":\"' || tag || '\",\"n\":' || count(*) || '}' AS json, string_agg(backbone || ':' || dataset, ';' ORDER BY backbone || ':' || dataset) AS pairs FROM rec GROUP BY tag"))
 def json_encode(spark: SparkSession, d: str) -> DataFrame:
-    g = records(spark, d).groupBy("tag").agg(F.count(ONE).alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "backbone", "dataset"))), ";").alias("pairs"))
+    g = records(spark, d).groupBy("tag").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "backbone", "dataset"))), ";").alias("pairs"))
     return g.select("tag", F.to_json(F.struct("tag", "n")).alias("json"), "pairs")
 
 

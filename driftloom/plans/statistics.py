@@ -15,23 +15,22 @@ from driftloom.plans.base import records, rounded, with_rec
 from driftloom.plans.relational import average_rank, avg6, ordinal
 from driftloom.registry import query
 
-ONE = F.lit(1)
 FACTORS = ("dataset", "backbone", "perturbation", "severity")
 
 
-@F.udf("double")
-def pearson_p(r: float, n: int) -> float | None:  # one row for each group, after the aggregate
-    return None if r is None or n is None else tails.pearson_p(r, n)
+def pearson_p(r: str, n: str) -> Column:
+    """p of a correlation; one row for each group, after the aggregate."""
+    return F.udf(lambda a, b: None if a is None or b is None else tails.pearson_p(a, b), "double")(r, n)
 
 
 @query("n1_pearson", with_rec("SELECT count(*) AS n, round(corr(drift, acc_drop), 6) AS r FROM rec"))
 def pearson(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).agg(F.count(ONE).alias("n"), rounded(F.corr("drift", "acc_drop")).alias("r"))
+    return records(spark, d).agg(F.count("*").alias("n"), rounded(F.corr("drift", "acc_drop")).alias("r"))
 
 
 @query("n1_pearson_p")
 def pearson_with_p(spark: SparkSession, d: str) -> DataFrame:
-    g = records(spark, d).groupBy("backbone").agg(F.count(ONE).alias("n"), F.corr("drift", "acc_drop").alias("r"))
+    g = records(spark, d).groupBy("backbone").agg(F.count("*").alias("n"), F.corr("drift", "acc_drop").alias("r"))
     return g.withColumn("p", pearson_p("r", "n")).withColumn("stars", significance(F.col("p")))
 
 
@@ -46,7 +45,7 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
 
 @query("n3_grouped_pearson", with_rec("SELECT perturbation, count(*) AS n, round(corr(drift, acc_drop), 6) AS r FROM rec GROUP BY perturbation HAVING count(*) >= 20"))
 def grouped_pearson(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).groupBy("perturbation").agg(F.count(ONE).alias("n"), rounded(F.corr("drift", "acc_drop")).alias("r")).filter("n >= 20")
+    return records(spark, d).groupBy("perturbation").agg(F.count("*").alias("n"), rounded(F.corr("drift", "acc_drop")).alias("r")).filter("n >= 20")
 
 
 @query("n4_partial_one_factor", with_rec("SELECT round(corr(a, b), 6) AS partial_r FROM (SELECT drift - avg(drift) OVER (PARTITION BY perturbation) AS a, acc_drop - avg(acc_drop) OVER (PARTITION BY perturbation) AS b FROM rec)"))
@@ -101,13 +100,13 @@ def hierarchical_r2(spark: SparkSession, d: str) -> DataFrame:
 def subset_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     r = records(spark, d)
     which = F.explode(F.when(F.col("drift") > 0.01, F.array(F.lit("all"), F.lit("complete"))).otherwise(F.array(F.lit("all")))).alias("subset")
-    return r.select("drift", "acc_drop", which).groupBy("subset").agg(F.count(ONE).alias("n"), rounded(F.corr("drift", "acc_drop")).alias("r"), avg6("acc_drop").alias("mean_drop"))
+    return r.select("drift", "acc_drop", which).groupBy("subset").agg(F.count("*").alias("n"), rounded(F.corr("drift", "acc_drop")).alias("r"), avg6("acc_drop").alias("mean_drop"))
 
 
 @query("n8_simple_ols", with_rec("SELECT backbone, round(regr_slope(acc_drop, drift), 6) AS slope, round(regr_intercept(acc_drop, drift), 6) AS intercept, round(regr_r2(acc_drop, drift), 6) AS r2, round(sqrt((1 - regr_r2(acc_drop, drift)) * regr_syy(acc_drop, drift) / (count(*) - 2) / regr_sxx(acc_drop, drift)), 6) AS se FROM rec GROUP BY backbone"))
 def simple_ols(spark: SparkSession, d: str) -> DataFrame:
     y, x = F.col("acc_drop"), F.col("drift")
-    se = F.sqrt((1 - F.regr_r2(y, x)) * F.regr_syy(y, x) / (F.count(ONE) - 2) / F.regr_sxx(y, x))
+    se = F.sqrt((1 - F.regr_r2(y, x)) * F.regr_syy(y, x) / (F.count("*") - 2) / F.regr_sxx(y, x))
     return records(spark, d).groupBy("backbone").agg(rounded(F.regr_slope(y, x)).alias("slope"), rounded(F.regr_intercept(y, x)).alias("intercept"), rounded(F.regr_r2(y, x)).alias("r2"), rounded(se).alias("se"))
 
 
@@ -118,7 +117,7 @@ def lodo_regression(spark: SparkSession, d: str) -> DataFrame:
     held = r.select(F.col("dataset").alias("heldout")).distinct()
     model = r.join(F.broadcast(held), F.col("dataset") != F.col("heldout")).groupBy("heldout").agg(F.regr_intercept("acc_drop", "drift").alias("a"), F.regr_slope("acc_drop", "drift").alias("b"))  # a handful of groups
     t = r.withColumnRenamed("dataset", "heldout").join(model, "heldout").withColumn("p", F.col("a") + F.col("b") * F.col("drift")).withColumn("e", F.col("acc_drop") - F.col("p"))
-    return t.groupBy("heldout").agg(F.count(ONE).alias("n"), rounded(F.sqrt(F.avg(F.col("e") * F.col("e")))).alias("rmse"), rounded(F.avg(F.abs("e"))).alias("mae"), rounded(F.corr("acc_drop", "p")).alias("r"))
+    return t.groupBy("heldout").agg(F.count("*").alias("n"), rounded(F.sqrt(F.avg(F.col("e") * F.col("e")))).alias("rmse"), rounded(F.avg(F.abs("e"))).alias("mae"), rounded(F.corr("acc_drop", "p")).alias("r"))
 
 
 @query("n10_fixed_effects")
@@ -138,9 +137,9 @@ def fixed_effects(spark: SparkSession, d: str) -> DataFrame:
 @query("n12_anova_icc", with_rec("""SELECT round(msb / msw, 6) AS f, round((msb - msw) / (msb + (m - 1) * msw), 6) AS icc, groups, n FROM (
 SELECT sum(cnt * power(mean - gm, 2)) / (count(*) - 1) AS msb, sum(ss) / (sum(cnt) - count(*)) AS msw, count(*) AS groups, sum(cnt)::BIGINT AS n, sum(cnt) / count(*) AS m FROM (SELECT backbone, count(*) AS cnt, avg(acc_drop) AS mean, var_pop(acc_drop) * count(*) AS ss FROM rec GROUP BY backbone), (SELECT avg(acc_drop) AS gm FROM rec))"""))
 def anova_icc(spark: SparkSession, d: str) -> DataFrame:
-    g = records(spark, d).groupBy("backbone").agg(F.count(ONE).alias("c"), F.avg("acc_drop").alias("m"), (F.var_pop("acc_drop") * F.count(ONE)).alias("ss"), F.sum("acc_drop").alias("t"))
+    g = records(spark, d).groupBy("backbone").agg(F.count("*").alias("c"), F.avg("acc_drop").alias("m"), (F.var_pop("acc_drop") * F.count("*")).alias("ss"), F.sum("acc_drop").alias("t"))
     # sums of squares about the grand mean from the group sums: no second pass over the rows
-    s = g.agg(F.sum(F.col("c") * F.col("m") * F.col("m")).alias("a"), F.sum("t").alias("t"), F.sum("c").alias("n"), F.count(ONE).alias("groups"), F.sum("ss").alias("within"))
+    s = g.agg(F.sum(F.col("c") * F.col("m") * F.col("m")).alias("a"), F.sum("t").alias("t"), F.sum("c").alias("n"), F.count("*").alias("groups"), F.sum("ss").alias("within"))
     msb = (F.col("a") - F.col("t") * F.col("t") / F.col("n")) / (F.col("groups") - 1)
     msw = F.col("within") / (F.col("n") - F.col("groups"))
     size = F.col("n") / F.col("groups")
@@ -154,9 +153,9 @@ _FR = f"SELECT dataset, tag, backbone, {_AR('accuracy', 'PARTITION BY dataset, t
 (SELECT count(DISTINCT (dataset, tag)) AS n FROM rec), (SELECT coalesce(sum(c * c * c - c), 0)::DOUBLE AS ties FROM (SELECT dataset, tag, accuracy, count(*) AS c FROM rec GROUP BY ALL))"""))
 def friedman(spark: SparkSession, d: str) -> DataFrame:
     r = records(spark, d)
-    s = r.withColumn("r", average_rank("accuracy", ["dataset", "tag"])).groupBy("backbone").agg(F.sum("r").alias("s"), F.count(ONE).alias("c"))
-    s = s.agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.count(ONE).alias("k"), F.max("c").alias("n"))
-    ties = r.groupBy("dataset", "tag", "accuracy").agg(F.count(ONE).alias("c")).agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
+    s = r.withColumn("r", average_rank("accuracy", ["dataset", "tag"])).groupBy("backbone").agg(F.sum("r").alias("s"), F.count("*").alias("c"))
+    s = s.agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.count("*").alias("k"), F.max("c").alias("n"))
+    ties = r.groupBy("dataset", "tag", "accuracy").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
     n, k = F.col("n"), F.col("k")
     chi2 = (12.0 / (n * k * (k + 1)) * F.col("ss") - 3 * n * (k + 1)) / (1 - F.col("ties") / (n * (k * k * k - k)))
     return s.crossJoin(ties).select("n", "k", rounded(chi2, 5).alias("chi2"))  # one row each
@@ -187,7 +186,7 @@ def wilcoxon_pairs(r: DataFrame) -> DataFrame:
     p = a.join(b, ["dataset", "tag"]).filter("x < y").withColumn("diff", F.round(F.col("u") - F.col("v"), 9)).filter("diff <> 0").withColumn("ad", F.round(F.abs("diff"), 9))
     p = p.withColumn("r", average_rank("ad", ["x", "y"]))
     up, down = (F.coalesce(F.sum(F.when(c, F.col("r"))), F.lit(0.0)) for c in (F.col("diff") > 0, F.col("diff") < 0))
-    return p.groupBy("x", "y").agg(F.count(ONE).alias("n"), F.least(up, down).alias("w"), F.sum(F.col("r") * F.col("r")).alias("rr"))
+    return p.groupBy("x", "y").agg(F.count("*").alias("n"), F.least(up, down).alias("w"), F.sum(F.col("r") * F.col("r")).alias("rr"))
 
 
 @query("n15_wilcoxon_p")
@@ -196,15 +195,15 @@ def wilcoxon_with_p(spark: SparkSession, d: str) -> DataFrame:
     w = wilcoxon_pairs(records(spark, d))
     p_of = F.udf(lambda z: tails.normal_two_sided(z), "double")  # one row for each pair
     z = (F.col("w") - F.col("n") * (F.col("n") + 1) / 4) / F.sqrt(F.col("rr") / 4)
-    pairs = F.count(ONE).over(Window.partitionBy())
+    pairs = F.count("*").over(Window.partitionBy())
     p = w.withColumn("p", p_of(z)).withColumn("p_corrected", F.least(F.col("p") * pairs, F.lit(1.0)))
     return p.select("x", "y", "n", "w", "p", "p_corrected", significance(F.col("p_corrected")).alias("stars"))
 
 
 @query("n16_kendall_w", with_rec("SELECT n, k, round(12 * (ss - s * s / k) / (n * n * (k * k * k - k)), 6) AS w FROM (SELECT sum(t * t)::DOUBLE AS ss, sum(t)::DOUBLE AS s, count(*) AS k, any_value(n) AS n FROM (SELECT backbone, sum(r) AS t, count(*) AS n FROM (SELECT backbone, row_number() OVER (PARTITION BY dataset, tag ORDER BY accuracy DESC, backbone) AS r FROM rec) GROUP BY backbone))"))
 def kendall_w(spark: SparkSession, d: str) -> DataFrame:
-    t = records(spark, d).withColumn("r", ordinal("accuracy", ["dataset", "tag"], ["backbone"])).groupBy("backbone").agg(F.sum("r").alias("t"), F.count(ONE).alias("n"))
-    s = t.agg(F.sum(F.col("t") * F.col("t")).alias("ss"), F.sum("t").alias("s"), F.count(ONE).alias("k"), F.max("n").alias("n"))
+    t = records(spark, d).withColumn("r", ordinal("accuracy", ["dataset", "tag"], ["backbone"])).groupBy("backbone").agg(F.sum("r").alias("t"), F.count("*").alias("n"))
+    s = t.agg(F.sum(F.col("t") * F.col("t")).alias("ss"), F.sum("t").alias("s"), F.count("*").alias("k"), F.max("n").alias("n"))
     k, n = F.col("k"), F.col("n")
     return s.select("n", "k", rounded(12 * (F.col("ss") - F.col("s") * F.col("s") / k) / (n * n * (k * k * k - k))).alias("w"))
 
@@ -235,7 +234,7 @@ def cross_space(spark: SparkSession, d: str) -> DataFrame:
     r = records(spark, d)
     a = r.select("dataset", "tag", F.col("backbone").alias("drift_space"), "drift")
     b = r.select("dataset", "tag", F.col("backbone").alias("drop_space"), "acc_drop")
-    return a.join(b, ["dataset", "tag"]).groupBy("drift_space", "drop_space").agg(F.count(ONE).alias("n"), rounded(F.corr("drift", "acc_drop")).alias("r"))
+    return a.join(b, ["dataset", "tag"]).groupBy("drift_space", "drop_space").agg(F.count("*").alias("n"), rounded(F.corr("drift", "acc_drop")).alias("r"))
 
 
 @query("n20_asymmetry", with_rec("SELECT a.backbone, a.tag, a.dataset || '<->' || b.dataset AS pair, round(a.acc_drop - b.acc_drop, 6) AS signed, CASE WHEN a.acc_drop > b.acc_drop THEN a.dataset WHEN a.acc_drop < b.acc_drop THEN b.dataset ELSE 'none' END AS harder FROM rec a JOIN rec b ON a.backbone = b.backbone AND a.tag = b.tag AND a.dataset < b.dataset"))
@@ -250,7 +249,7 @@ def asymmetry(spark: SparkSession, d: str) -> DataFrame:
 @query("n21_transfer_summary", with_rec("SELECT tag, count(*) AS cells, round(avg(acc_drop), 6) AS mean, round(stddev_samp(acc_drop), 6) AS std, max(acc_drop) AS worst, round(avg(CASE WHEN dataset = 'D0' THEN acc_drop END) - avg(CASE WHEN dataset = 'D1' THEN acc_drop END), 6) AS gap FROM rec GROUP BY tag"))
 def transfer_summary(spark: SparkSession, d: str) -> DataFrame:
     of = lambda v: F.avg(F.when(F.col("dataset") == v, F.col("acc_drop")))
-    return records(spark, d).groupBy("tag").agg(F.count(ONE).alias("cells"), avg6("acc_drop").alias("mean"), rounded(F.stddev_samp("acc_drop")).alias("std"), F.max("acc_drop").alias("worst"), rounded(of("D0") - of("D1")).alias("gap"))
+    return records(spark, d).groupBy("tag").agg(F.count("*").alias("cells"), avg6("acc_drop").alias("mean"), rounded(F.stddev_samp("acc_drop")).alias("std"), F.max("acc_drop").alias("worst"), rounded(of("D0") - of("D1")).alias("gap"))
 
 
 @query("n22_tier_agreement", with_rec("SELECT round(corr(ra, rb), 6) AS rank_agreement FROM (SELECT row_number() OVER (ORDER BY a DESC, backbone, tag) AS ra, row_number() OVER (ORDER BY b DESC, backbone, tag) AS rb FROM (SELECT backbone, tag, avg(CASE WHEN dataset <> 'D2' THEN acc_drop END) AS a, avg(CASE WHEN dataset = 'D2' THEN acc_drop END) AS b FROM rec GROUP BY ALL))"))
@@ -270,4 +269,4 @@ def multilevel_table(spark: SparkSession, d: str) -> DataFrame:
 @query("n24_tier_comparison", with_rec("SELECT 'A' AS tier, count(*) AS n, round(corr(drift, acc_drop), 6) AS r FROM rec WHERE dataset <> 'D2' UNION ALL SELECT 'B', count(*), round(corr(drift, acc_drop), 6) FROM rec WHERE dataset = 'D2'"))
 def tier_comparison(spark: SparkSession, d: str) -> DataFrame:
     tier = F.when(F.col("dataset") == "D2", "B").otherwise("A").alias("tier")
-    return records(spark, d).groupBy(tier).agg(F.count(ONE).alias("n"), rounded(F.corr("drift", "acc_drop")).alias("r"))
+    return records(spark, d).groupBy(tier).agg(F.count("*").alias("n"), rounded(F.corr("drift", "acc_drop")).alias("r"))
