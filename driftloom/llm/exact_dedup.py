@@ -172,10 +172,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shas, pa.string())], [*batch.schema.names, sha])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(sha, T.StringType())])
-    stay = exact_groups(docs, id_col, text_col, owner).filter("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha")).distinct()
-    marked = docs.mapInArrow(mark, schema)
-    found = marked.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("stay_id")) & (F.col(sha) == F.col("stay_sha")), "left_semi")
+    stay = exact_groups(docs, id_col, text_col, owner).filter("kept").select("doc_id", "text_sha256").distinct().alias("stay")
+    marked = docs.mapInArrow(mark, schema).alias("marked")
+    same = F.col(f"marked.{id_col}").cast("long").eqNullSafe(F.col("stay.doc_id")) & (F.col(f"marked.{sha}") == F.col("stay.text_sha256"))
+    found = marked.join(stay, same, "left_semi")
     # repeated rows have the same id and text: one of them is any of them but for other columns, whose order decides
     others = [F.col(f"`{c}`").cast("string") for c in cols if c not in (id_col, text_col)]
     first = F.row_number().over(Window.partitionBy(id_col, sha).orderBy(F.length(text_col).desc(), F.md5(F.concat_ws("|", *others)), text_col))
-    return found.withColumn("row_of_copies", first).filter("row_of_copies = 1").select(*[F.col(f"`{c}`") for c in cols])
+    place_col = f"{sha}_place"
+    return found.withColumn(place_col, first).filter(F.col(place_col) == 1).select(*[F.col(f"`{c}`") for c in cols])

@@ -329,5 +329,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "query") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, with all columns."""
     groups = near_groups(docs, id_col, text_col, owner=owner)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("stay_id")), "left_semi")
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().alias("stay")
+    return docs.alias("docs").join(stay, F.col(f"docs.{id_col}").cast("long").eqNullSafe(F.col("stay.doc_id")), "left_semi")
