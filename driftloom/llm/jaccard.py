@@ -42,7 +42,7 @@ WORDS, PERCENT = 5, 75
 #: Sets of one block of a shard; leaves of a node.
 BLOCK, FAN = 512, 8
 #: Bytes of text and rows of one chunk.
-CHUNK, ROWS = 1 << 22, 60_000
+CHUNK, ROWS = 1 << 21, 60_000
 #: Bits of a hash that a bucket keeps beside the row's place in its chunk.
 _KEPT = np.uint64(48)
 _LOW16 = np.uint64(0xFFFF)
