@@ -155,3 +155,30 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     assert "ReadSchema: struct<vec_id:bigint,label:int>" in plan
     plan = registry.queries()["b12_classes_with_two"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(vec_id,40)" in plan
+
+
+def test_image_functions():
+    from driftloom.functions import images
+
+    x = np.random.default_rng(0).random((3, 8, 8))
+    assert np.allclose(images.rotation(x, 0), x) and np.allclose(images.rotation(images.rotation(x, 90), -90), x)
+    assert np.allclose(images.pixelate(x, 1.0), x) and np.allclose(images.resize_zoom(x, 1.0), x)
+    assert np.allclose(images.contrast(x, 1.0), x) and np.allclose(images.brightness(x, 1.0), x)
+    flat = np.full((3, 8, 8), 0.4)
+    for f in (lambda i: images.gaussian_blur(i, 1.0), lambda i: images.defocus(i, 2), lambda i: images.motion_blur(i, 4), lambda i: images.zoom_blur(i, 0.3)):
+        assert np.allclose(f(flat), flat)
+    wrapped = images.defocus(x, 1, "wrap")
+    assert abs(wrapped.mean() - x.mean()) < 1e-12
+    assert np.abs(images.wiener(wrapped, 1) - x).mean() < np.abs(wrapped - x).mean()
+    assert (images.gaussian_noise(x, 0.1, 3) == images.gaussian_noise(x, 0.1, 3)).all()
+    assert ((images.impulse_noise(x, 1.0, 1) == 0) | (images.impulse_noise(x, 1.0, 1) == 1)).all()
+    assert np.allclose(images.guided_filter(flat[0], flat[0]), flat[0])
+    for name, value in (("compound", "mild"), ("scratch", "2"), ("green_channel_shift", "20")):
+        assert images.make(name, value)(x, 1).shape == x.shape
+
+
+def test_kmeans_labels_go_from_dark_to_light():
+    from driftloom.plans.images import kmeans_map
+
+    v = np.array([[0.9, 0.1], [0.5, 0.12]])
+    assert kmeans_map(v).tolist() == [[2, 0], [1, 0]]
