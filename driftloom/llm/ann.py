@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .scratch import materialise
 
-K, SHARD, QUERIES = 20, 3000, 256
+K, SHARD, QUERIES, LANE = 20, 3000, 256, 16
 #: Most edges of a node, width of the beam in build and search, relaxation of the pruning.
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 24, 40, 64, 1.2
 
@@ -143,6 +143,7 @@ def _index(table: pa.Table) -> pa.Table:
     ids = table["ids"].to_pylist()
     return pa.table({
         "dim": pa.array([vectors.shape[1]], pa.int32()),
+        "shard": pa.array([table["shard"][0].as_py()], pa.int64()),
         "vectors": pa.array([vectors.tobytes()], pa.binary()),
         "edges": pa.array([edges.tobytes()], pa.binary()),
         "start": pa.array([start], pa.int32()),
@@ -196,7 +197,12 @@ def _search(k: int, beam: int):
 
 def _blocks(table: pa.Table) -> pa.Table:
     vectors = np.array(table["vector"].to_pylist(), np.float64)
-    return pa.table({"dim": pa.array([vectors.shape[1]], pa.int32()), "queries": pa.array([vectors.tobytes()], pa.binary()), "query_ids": pa.array([table["vec_id"].to_numpy().astype("<i8").tobytes()], pa.binary())})
+    return pa.table({"dim": pa.array([vectors.shape[1]], pa.int32()), "block": pa.array([table["block"][0].as_py()], pa.int64()), "queries": pa.array([vectors.tobytes()], pa.binary()), "query_ids": pa.array([table["vec_id"].to_numpy().astype("<i8").tobytes()], pa.binary())})
+
+
+def _few(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """A written table, to be broadcast if its size, which is looked up, is small; else Spark chooses the join."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def nearest(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = SEARCH_BEAM, owner: str = "query") -> DataFrame:
@@ -207,13 +213,18 @@ def nearest(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     points = rows.select("vector", "vec_id").distinct().withColumn("n", some).filter(F.col("n") <= k + 1).groupBy("vector").agg(F.collect_list("vec_id").alias("ids"))
     points = materialise(points.select("vector", "ids", F.size("vector").alias("dim"), F.xxhash64("vector").alias("h")), owner)
     sizes = points.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(SHARD))).cast("int").alias("shards"))
-    dealt = points.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod("h", "shards"))  # one row for each length of vectors
-    index = materialise(dealt.groupBy("dim", "shard").applyInArrow(lambda t: _index(t), "dim int, vectors binary, edges binary, start int, ids binary, counts binary"), owner)
+    sizes = _few(materialise(sizes, owner))  # one row for each length of vectors
+    dealt = points.join(sizes, "dim").withColumn("shard", F.pmod("h", "shards"))
+    index = materialise(dealt.groupBy("dim", "shard").applyInArrow(lambda t: _index(t), "dim int, shard long, vectors binary, edges binary, start int, ids binary, counts binary"), owner)
     asked = rows.filter("query").select("vec_id", "vector", F.size("vector").alias("dim")).distinct()
     counts = asked.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(QUERIES))).cast("int").alias("blocks"))
-    queries = asked.join(F.broadcast(counts), "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-    queries = materialise(queries.groupBy("dim", "block").applyInArrow(lambda t: _blocks(t), "dim int, queries binary, query_ids binary"), owner)
-    pairs = index.join(queries, "dim").repartition(F.col("start"), F.xxhash64("vectors"), F.xxhash64("queries"))
+    counts = _few(materialise(counts, owner))
+    queries = asked.join(counts, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    queries = materialise(queries.groupBy("dim", "block").applyInArrow(lambda t: _blocks(t), "dim int, block long, queries binary, query_ids binary"), owner)
+    # a task takes one shard and a lane of query blocks: shards go to every lane, blocks to every shard
+    lanes = index.join(counts, "dim").withColumn("lane", F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / LANE).cast("int")))).drop("blocks")
+    asked_of = queries.join(sizes, "dim").select("dim", F.floor(F.col("block") / LANE).cast("int").alias("lane"), "queries", "query_ids", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long") - 1)).alias("shard"))
+    pairs = lanes.join(asked_of.hint("shuffle_merge"), ["dim", "shard", "lane"])
     found = pairs.select("dim", "vectors", "edges", "start", "ids", "counts", "queries", "query_ids").mapInArrow(_search(k, beam), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
