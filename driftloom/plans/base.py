@@ -26,7 +26,7 @@ def clean_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shifted_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """dataset, backbone, perturbation, severity, tag, vec_id, label, x: the bank under every condition."""
+    """dataset, backbone, perturbation, severity, tag, vec_id, label, x, clean: the bank under every condition."""
     bank = clean_bank(spark, sf_dir)
     means = bank.groupBy("dataset", "backbone").agg(mean_vector(F.col("x"), DIM).alias("m"))
     at = lambda i: F.col("x")[i]
@@ -44,15 +44,18 @@ def shifted_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
             y = [at(i) for i in range(DIM)]
         tag = f"{name}_{severity.replace('.', '_')}"
         made.append(F.struct(F.lit(name).alias("perturbation"), F.lit(severity).alias("severity"), F.lit(tag).alias("tag"), F.array(*y).alias("x")))
-    rows = bank.join(means, ["dataset", "backbone"]).select("dataset", "backbone", "vec_id", "label", F.explode(F.array(*made)).alias("s"))
-    return rows.select("dataset", "backbone", "s.perturbation", "s.severity", "s.tag", "vec_id", "label", "s.x")
+    rows = bank.join(means, ["dataset", "backbone"]).select("dataset", "backbone", "vec_id", "label", F.col("x").alias("clean"), F.explode(F.array(*made)).alias("s"))
+    return rows.select("dataset", "backbone", "s.perturbation", "s.severity", "s.tag", "vec_id", "label", "s.x", "clean")
 
 
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shifted bank with each vector's clean one, joined on the id, never by position: unit vectors ``u`` and ``c``."""
-    bank = clean_bank(spark, sf_dir).select("dataset", "backbone", "vec_id", unit(F.col("x")).alias("c"))
-    moved = shifted_bank(spark, sf_dir).withColumn("u", unit(F.col("x")))
-    return moved.join(bank, ["dataset", "backbone", "vec_id"]).withColumn("cos", clip(dot(F.col("u"), F.col("c"), DIM), -1.0, 1.0))
+    """The shifted bank with each vector's clean one: unit vectors ``u`` and ``c``, and their cosine.
+
+    A shift is a function of the clean row, which therefore still holds its partner: no join and no shuffle are needed. Banks
+    that are stored apart are paired by id (query ``c9_paired_join``), never by position.
+    """
+    moved = shifted_bank(spark, sf_dir).withColumns({"u": unit(F.col("x")), "c": unit(F.col("clean"))}).drop("clean")
+    return moved.withColumn("cos", clip(dot(F.col("u"), F.col("c"), DIM), -1.0, 1.0))
 
 
 def neighbour_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

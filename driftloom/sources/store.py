@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -22,13 +23,28 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_paths: list[tuple[SparkSession, str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df``, written once and read back, so its lineage ends there."""
     path = f"{shared_folder(df.sparkSession)}/driftloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@atexit.register
+def _end() -> None:
+    """Written tables go with the process that wrote them."""
+    for spark, path in _paths:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended before
+            return
+
+
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
