@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .textarrays import CHUNK, mix, word_hashes
+from .textarrays import mix, word_hashes
 
 _STEPS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -34,5 +34,3 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int = 5) -> Iterator[np.nd
         else:
             yield np.zeros(0, np.uint64)
 
-
-__all__ = ["CHUNK", "shingle_sets"]
