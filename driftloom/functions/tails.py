@@ -77,3 +77,21 @@ def pearson_p(r: float, n: int) -> float:
     if abs(r) >= 1:
         return 0.0
     return t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+
+
+def normal_cdf(x: float) -> float:
+    return 0.5 * math.erfc(-x / math.sqrt(2))
+
+
+def studentised_range_upper(q: float, k: int, steps: int = 2000) -> float:
+    """P(range of k standard normals > q), the studentised range with infinitely many degrees of freedom, by Simpson's rule."""
+    if q <= 0:
+        return 1.0
+    lo, hi = -8.0, 8.0 + q
+    h = (hi - lo) / steps
+    total = 0.0
+    for i in range(steps + 1):
+        z = lo + i * h
+        f = math.exp(-z * z / 2) / math.sqrt(2 * math.pi) * (normal_cdf(z) - normal_cdf(z - q)) ** (k - 1)
+        total += f * (1 if i in (0, steps) else 4 if i % 2 else 2)
+    return min(max(1 - k * total * h / 3, 0.0), 1.0)

@@ -20,7 +20,7 @@ from driftloom.sources.store import table
 
 SHAPE = (3, 4, 4)
 #: A severity of each perturbation.
-GRID = (("red_channel_shift", "20"), ("green_channel_shift", "20"), ("blue_channel_shift", "20"), ("resize", "2.0"), ("gaussian_blur", "1.0"), ("rotation", "90"), ("illumination", "0.5"), ("gaussian_noise", "0.05"), ("shot_noise", "60"), ("impulse_noise", "0.1"), ("motion_blur", "3"), ("zoom_blur", "0.2"), ("contrast", "0.5"), ("pixelate", "0.5"), ("scratch", "2"), ("defocus_blur", "1"), ("compound", "mild"), ("compound", "severe"))
+GRID = (("red_channel_shift", "20"), ("green_channel_shift", "20"), ("blue_channel_shift", "20"), ("resize", "2.0"), ("gaussian_blur", "1.0"), ("rotation", "90"), ("illumination", "0.5"), ("gaussian_noise", "0.05"), ("shot_noise", "60"), ("impulse_noise", "0.1"), ("motion_blur", "3"), ("zoom_blur", "0.2"), ("contrast", "0.5"), ("pixelate", "0.5"), ("scratch", "2"), ("defocus_blur", "1"), ("jpeg", "30"), ("illumination_correction", "1"), ("compound", "mild"), ("compound", "severe"))
 
 
 def image_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -49,6 +49,19 @@ def perturbations(spark: SparkSession, d: str) -> DataFrame:
     return found.select("vec_id", "perturbation", "severity", rounded(F.col("mean")).alias("mean"), rounded(F.col("change")).alias("change"))
 
 
+@query("l12_ssim")
+def ssim_detector(spark: SparkSession, d: str) -> DataFrame:
+    """1 - SSIM of each image and its brightened form."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, *SHAPE)
+            yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "score": [1 - images.ssim(im, images.brightness(im, 1.2)) for im in x]})
+
+    found = image_rows(spark, d).mapInArrow(run, "vec_id long, score double")
+    return found.select("vec_id", rounded(F.col("score")).alias("one_minus_ssim"))
+
+
 @query("q18_wiener_recovery")
 def wiener_recovery(spark: SparkSession, d: str) -> DataFrame:
     """How much of a disk blur's change the Wiener filter takes back."""

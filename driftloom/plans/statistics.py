@@ -172,6 +172,57 @@ def nemenyi(spark: SparkSession, d: str) -> DataFrame:
     return s.select("n", "k", rounded(F.element_at(q, (F.col("k") - 1).cast("int")) * F.sqrt(F.col("k") * (F.col("k") + 1) / (6.0 * F.col("n")))).alias("cd"))
 
 
+@query("n14_nemenyi_p")
+def nemenyi_p(spark: SparkSession, d: str) -> DataFrame:
+    """Mean-rank differences of all pairs with p-values of the studentised range."""
+    r = records(spark, d).withColumn("r", average_rank("accuracy", ["dataset", "tag"])).groupBy("backbone").agg(F.avg("r").alias("m"), F.count("*").alias("n"))
+    k = F.count("*").over(Window.partitionBy())
+    m = r.select("backbone", "m", "n", k.alias("k"))
+    a, b = m.withColumnRenamed("backbone", "x"), m.select(F.col("backbone").alias("y"), F.col("m").alias("m2"))
+    both = a.join(b, F.col("x") < F.col("y")).withColumn("diff", F.abs(F.col("m") - F.col("m2")))  # the few spaces
+    q = F.col("diff") / F.sqrt(F.col("k") * (F.col("k") + 1) / (6.0 * F.col("n"))) * math.sqrt(2)
+    p_of = F.udf(lambda v, n: tails.studentised_range_upper(v, n), "double")  # one row for each pair
+    return both.select("x", "y", rounded(F.col("diff")).alias("rank_difference"), p_of(q, F.col("k").cast("int")).alias("p"))
+
+
+@query("n11_mixed_slope")
+def mixed_slope(spark: SparkSession, d: str) -> DataFrame:
+    """A mixed model with a random intercept and slope of drift for each dataset and space, by expectation-maximisation.
+
+    Rows enter only as sums of products of their group, one aggregate; the iteration runs over those.
+    """
+    one = F.lit(1.0)
+    groups = products(records(spark, d), [one, F.col("drift"), F.col("acc_drop")], ["dataset", "backbone"]).orderBy("dataset", "backbone").collect()  # one row for each group of an experiment
+    fit = mixed_model([unpack(g["xx"], 3) for g in groups])
+    return _frame(spark, [(len(groups), *(round(float(v), 6) for v in fit))], "groups int, intercept double, slope double, slope_se double, var_intercept double, var_slope double, var_residual double")
+
+
+def mixed_model(groups: list[np.ndarray], rounds: int = 500) -> tuple[float, ...]:
+    """Maximum likelihood of y = (b0 + u0) + (b1 + u1) x + e from each group's sums of products of (1, x, y)."""
+    zz, zy, yy = [g[:2, :2] for g in groups], [g[:2, 2] for g in groups], sum(g[2, 2] for g in groups)
+    n = sum(g[0, 0] for g in groups)
+    beta = np.linalg.solve(sum(zz), sum(zy))
+    s2 = max((yy - beta @ sum(zy)) / n, 1e-9)
+    cov = np.eye(2) * s2
+    for _ in range(rounds):
+        inverse = np.linalg.inv(cov)
+        post = [np.linalg.inv(z / s2 + inverse) for z in zz]
+        mean = [v @ (y - z @ beta) / s2 for v, z, y in zip(post, zz, zy, strict=True)]
+        new = np.linalg.solve(sum(zz), sum(y - z @ u for z, y, u in zip(zz, zy, mean, strict=True)))
+        cov = sum(v + np.outer(u, u) for v, u in zip(post, mean, strict=True)) / len(groups) + 1e-12 * np.eye(2)
+        rss = 0.0
+        for z, y, u, v, g in zip(zz, zy, mean, post, groups, strict=True):
+            w = new + u
+            rss += g[2, 2] - 2 * w @ y + w @ z @ w + np.trace(z @ v)
+        done = np.abs(new - beta).max() < 1e-12
+        beta, s2 = new, max(rss / n, 1e-12)
+        if done:
+            break
+    # information about the fixed effects, the random ones integrated out
+    info = sum(z / s2 - z @ np.linalg.inv(z / s2 + np.linalg.inv(cov)) @ z / s2**2 for z in zz)
+    return beta[0], beta[1], math.sqrt(np.linalg.inv(info)[1, 1]), cov[0, 0], cov[1, 1], s2
+
+
 _WX = "SELECT a.backbone AS x, b.backbone AS y, a.accuracy - b.accuracy AS diff FROM rec a JOIN rec b ON a.dataset = b.dataset AND a.tag = b.tag AND a.backbone < b.backbone"
 
 

@@ -123,6 +123,27 @@ def test_tails_at_known_points():
     assert tails.pearson_p(1.0, 10) == 0.0 and math.isnan(tails.pearson_p(0.5, 2))
 
 
+def test_studentised_range():
+    """Critical values at 5 %: q / sqrt(2) for 2, 4 and 10 treatments."""
+    for k, q in ((2, 1.960), (4, 2.569), (10, 3.164)):
+        assert abs(tails.studentised_range_upper(q * math.sqrt(2), k) - 0.05) < 3e-4
+
+
+def test_mixed_model_recovers_parameters():
+    from driftloom.plans.statistics import mixed_model
+
+    rng = np.random.default_rng(4)
+    groups = []
+    for _ in range(200):
+        x = rng.random(30)
+        y = (0.1 + rng.normal(0, 0.2)) + (0.7 + rng.normal(0, 0.3)) * x + rng.normal(0, 0.1, 30)
+        v = np.stack([np.ones(30), x, y])
+        groups.append(v @ v.T)
+    b0, b1, se, v0, v1, s2 = mixed_model(groups)
+    assert abs(b0 - 0.1) < 0.05 and abs(b1 - 0.7) < 0.08 and 0.015 < se < 0.04
+    assert abs(v0 - 0.04) < 0.012 and abs(v1 - 0.09) < 0.03 and abs(s2 - 0.01) < 0.001
+
+
 def test_components_of_a_map():
     assert components(np.array([[0, 1, 0], [1, 0, 1], [0, 1, 0]])) == 2
     assert components(np.zeros((4, 4), int)) == 1
@@ -173,6 +194,11 @@ def test_image_functions():
     assert (images.gaussian_noise(x, 0.1, 3) == images.gaussian_noise(x, 0.1, 3)).all()
     assert ((images.impulse_noise(x, 1.0, 1) == 0) | (images.impulse_noise(x, 1.0, 1) == 1)).all()
     assert np.allclose(images.guided_filter(flat[0], flat[0]), flat[0])
+    assert abs(images.ssim(x, x) - 1) < 1e-12 and images.ssim(x, 1 - x) < 0.5
+    assert np.abs(images.jpeg(flat, 90) - flat).max() < 0.02
+    assert np.abs(images.jpeg(x, 95) - x).mean() < np.abs(images.jpeg(x, 10) - x).mean()
+    dark = x * 0.2
+    assert images.illumination_corrected(dark).mean() > dark.mean()
     for name, value in (("compound", "mild"), ("scratch", "2"), ("green_channel_shift", "20")):
         assert images.make(name, value)(x, 1).shape == x.shape
 
