@@ -13,7 +13,7 @@ from driftloom.functions import images
 from driftloom.functions.vectors import as_double, dot, unit
 from driftloom.operators.regression import products, unpack
 from driftloom.operators.resampling import without_replacement
-from driftloom.plans.base import DIM, clean_bank, paired, records, rounded, shifted_bank
+from driftloom.plans.base import DIM, clean_bank, paired, records, rounded, shifted_bank, with_clean, with_rec, with_units
 from driftloom.plans.maps import components
 from driftloom.registry import query
 from driftloom.sources.store import table
@@ -129,7 +129,14 @@ def silhouette(spark: SparkSession, d: str) -> DataFrame:
     return some.groupBy("dataset").applyInArrow(run, "dataset string, n long, silhouette double")
 
 
-@query("p13_cross_space_ari")
+_ARI = with_clean("SELECT 1")[: -len("\nSELECT 1")] + """, cells AS (SELECT dataset, backbone, vec_id, i AS pos, CASE WHEN x[i + 1] < -0.05 THEN 0 WHEN x[i + 1] < 0.05 THEN 1 ELSE 2 END AS c FROM clean, range(16) r(i)),
+n AS (SELECT a.dataset, a.backbone AS x, b.backbone AS y, a.c AS a, b.c AS b, count(*)::DOUBLE AS n FROM cells a JOIN cells b ON a.dataset = b.dataset AND a.vec_id = b.vec_id AND a.pos = b.pos AND a.backbone < b.backbone GROUP BY ALL),
+r AS (SELECT dataset, x, y, sum(m * (m - 1) / 2) AS ra FROM (SELECT dataset, x, y, a, sum(n) AS m FROM n GROUP BY ALL) GROUP BY ALL), c AS (SELECT dataset, x, y, sum(m * (m - 1) / 2) AS rb FROM (SELECT dataset, x, y, b, sum(n) AS m FROM n GROUP BY ALL) GROUP BY ALL),
+t AS (SELECT dataset, x, y, sum(n * (n - 1) / 2) AS ij, sum(n) * (sum(n) - 1) / 2 AS whole FROM n GROUP BY ALL)
+SELECT t.dataset, t.x, t.y, round((ij - ra * rb / whole) / ((ra + rb) / 2 - ra * rb / whole), 6) AS ari FROM t JOIN r ON t.dataset = r.dataset AND t.x = r.x AND t.y = r.y JOIN c ON t.dataset = c.dataset AND t.x = c.x AND t.y = c.y"""
+
+
+@query("p13_cross_space_ari", _ARI)
 def cross_space_ari(spark: SparkSession, d: str) -> DataFrame:
     """Agreement of the label maps of two spaces: contingency counts of all vectors of a dataset in one aggregate."""
     cut = lambda v: F.when(v < -0.05, 0).when(v < 0.05, 1).otherwise(2)
@@ -168,7 +175,7 @@ def map_metrics(spark: SparkSession, d: str) -> DataFrame:
     return one("p1_csi").join(one("p4_sgi"), "vec_id").join(one("p10_entropy"), "vec_id").join(one("p5_adjusted_rand"), "vec_id")
 
 
-@query("p16_collapse")
+@query("p16_collapse", with_rec("SELECT backbone, round(100 * stddev_samp(accuracy) / avg(accuracy), 6) AS cv_pct, round(max(accuracy) - min(accuracy), 6) AS range, CASE WHEN 100 * stddev_samp(accuracy) / avg(accuracy) < 5 THEN 'collapsed' ELSE 'varied' END AS verdict FROM rec GROUP BY backbone"))
 def collapse(spark: SparkSession, d: str) -> DataFrame:
     """Variation, range and verdict of a metric for each space."""
     s = F.stddev_samp("accuracy")
@@ -213,7 +220,7 @@ def augmentation_probe(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("training").agg(F.count("*").alias("n"), rounded(F.avg("hit")).alias("shifted_accuracy"))
 
 
-@query("c11_similarity_matrix")
+@query("c11_similarity_matrix", with_units("SELECT q.dataset, q.vec_id, count(*) AS n, round(avg(list_dot_product(q.u, b.u)), 6) AS mean, round(max(list_dot_product(q.u, b.u)), 6) AS most, round(min(list_dot_product(q.u, b.u)), 6) AS least FROM cu q JOIN cu b ON q.dataset = b.dataset AND q.backbone = 'B1' AND b.backbone = 'B1' WHERE q.vec_id % 50 = 0 GROUP BY q.dataset, q.vec_id"))
 def similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
     """The all-pairs similarity of a stated query set (ids divisible by 50) in blocks, as statistics of each query's row."""
     from driftloom.operators.neighbours import nearest
@@ -223,7 +230,7 @@ def similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
     return near.groupBy("dataset", "vec_id").agg(F.count("*").alias("n"), rounded(F.avg("sim")).alias("mean"), rounded(F.max("sim")).alias("most"), rounded(F.min("sim")).alias("least"))
 
 
-@query("p_paired_change")
+@query("p_paired_change", with_units("SELECT dataset, backbone, tag, round(s, 6) AS share, round(s - avg(s) OVER (PARTITION BY dataset, backbone), 6) AS above_mean FROM (SELECT dataset, backbone, tag, avg((cos < 0.95)::DOUBLE) AS s FROM pairs GROUP BY ALL)"))
 def paired_change(spark: SparkSession, d: str) -> DataFrame:
     """Share of vectors of each condition whose cosine to their clean one is below 0.95, against the mean of all conditions."""
     w = Window.partitionBy("dataset", "backbone")

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.plans.base import clean_bank, records, rounded, shifted_bank, with_clean, with_rec
-from driftloom.plans.metrics import average_precision, best_f1, roc_auc, scored
+from driftloom.plans.base import clean_bank, records, rounded, shifted_bank, with_clean, with_rec, with_units
+from driftloom.plans.metrics import _F1, CURVE, _auc_sql, average_precision, best_f1, roc_auc, scored
 from driftloom.registry import query
 from driftloom.sources.store import shared_folder, table
 
@@ -94,7 +94,7 @@ class RocPoints:
                 yield float(s), fp / max(neg, 1), tp / max(pos, 1)
 
 
-@query("u1_roc_points_udtf")
+@query("u1_roc_points_udtf", with_rec("") + CURVE + "SELECT detector, score, (fp / n)::DOUBLE AS fpr, (tp / p)::DOUBLE AS tpr FROM cv")
 def roc_points(spark: SparkSession, d: str) -> DataFrame:
     """A Python table function beside the records of each detector (as many as there are conditions)."""
     from pyspark.sql.functions import udtf
@@ -104,10 +104,10 @@ def roc_points(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT detector, p.score, p.fpr, p.tpr FROM roc_input, LATERAL roc_points(s, f) p")
 
 
-@query("m_all_detectors", None)
+@query("m_all_detectors", with_rec("") + CURVE + f", a AS ({_auc_sql('detector', 1)}), p AS (SELECT detector, round(sum(dp / p * tp / (tp + fp)), 6) AS avg_precision FROM cv GROUP BY detector), f AS (SELECT detector, round(f1, 6) AS best_f1, score AS best_threshold FROM (SELECT *, round({_F1}, 12) AS f1, row_number() OVER (PARTITION BY detector ORDER BY round({_F1}, 12) DESC, score) AS k FROM cv) WHERE k = 1) SELECT a.detector, auc, count, avg_precision, best_f1, best_threshold FROM a JOIN p ON a.detector = p.detector JOIN f ON a.detector = f.detector")
 def all_detectors(spark: SparkSession, d: str) -> DataFrame:
     """The detector table: AUC, average precision, best F1 and its threshold."""
-    return roc_auc(spark, d).join(average_precision(spark, d), "detector").join(best_f1(scored(spark, d), ["detector"]), "detector")
+    return roc_auc(spark, d).join(average_precision(spark, d), "detector").join(best_f1(scored(spark, d), ["detector"]).withColumn("best_f1", rounded(F.col("best_f1"))), "detector")
 
 
 @query("a4_first_existing_root", "SELECT count(*) AS n FROM embeddings")
@@ -165,7 +165,7 @@ def group_vector_mean(spark: SparkSession, d: str) -> DataFrame:
     return m.select("dataset", "backbone", "label", "n", rounded(F.col("m")[0]).alias("m1"), rounded(F.col("m")[7]).alias("m8"))
 
 
-@query("v_shift_coverage", None)
+@query("v_shift_coverage", with_units("SELECT dataset, backbone, tag, count(*) AS n, count(DISTINCT vec_id) AS ids FROM shifted GROUP BY ALL"))
 def shift_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Rows of every condition: each has one for every clean vector."""
     return shifted_bank(spark, d).groupBy("dataset", "backbone", "tag").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"))
