@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 END = "</w>"
 #: Entries of the tables of remembered runs and pairs; a full table is emptied.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: Characters of a text that are taken at once.
 PIECE = 1 << 16
 
@@ -68,7 +68,8 @@ class Codec:
         made = {a + b for a, b in pairs}
         base = {s for s in symbols} | {s + END for s in symbols}
         # only what merges can make may be a token of a text
-        self.usable = {t for t in self.vocab if t in made or t in base}
+        # (a table of each onto itself, so that what is remembered shares these strings)
+        self.usable = {t: t for t in self.vocab if t in made or t in base}
         self.longest = max(len(t.removesuffix(END)) for t in self.usable)
         self.tails = {t[i:] for t in self.usable for i in range(len(t.removesuffix(END)))}
         self.lookahead = self._lookahead(pairs)
@@ -159,10 +160,10 @@ class Codec:
         n, end = len(window), END if ends else ""
         i = n - 1
         while i >= 0 and (piece := window[i:] + end) in self.tails:
-            if piece in self.usable and (i == 0 or tokens[i]):
+            if (token := self.usable.get(piece)) and (i == 0 or tokens[i]):
                 left = tokens[i] if i else before
-                if not left or self.fits(left, piece):
-                    return piece
+                if not left or self.fits(left, token):
+                    return token
             i -= 1
         return ""  # no way to end a token here
 
@@ -189,7 +190,7 @@ class Codec:
         if len(shown) > self.lookahead:
             return b"".join(self.vocab[t].to_bytes(4, "little") for t in self.stream(shown))
         # the transducer's steps for a word that its window holds as a whole
-        tails, usable, known, n = self.tails, self.usable, self._fits.get, len(shown)
+        tails, usable, known, n = self.tails, self.usable.get, self._fits.get, len(shown)
         tokens = [""] * (n + 1)
         for j in range(1, n + 1):
             end = END if j == n else ""
@@ -197,15 +198,16 @@ class Codec:
                 piece = shown[i:j] + end
                 if piece not in tails:
                     break
-                if piece in usable:
+                token = usable(piece)
+                if token:
                     if not i:
-                        tokens[j] = piece
+                        tokens[j] = token
                         break
                     left = tokens[i]
                     if left:
-                        fit = known((left, piece))
-                        if self.fits(left, piece) if fit is None else fit:
-                            tokens[j] = piece
+                        fit = known((left, token))
+                        if self.fits(left, token) if fit is None else fit:
+                            tokens[j] = token
                             break
         out = b"".join([self.vocab[t].to_bytes(4, "little") for t in self._path(tokens, n)])
         if n <= 64:
@@ -219,7 +221,10 @@ class Codec:
         known = self._runs.get(run)
         if known is None:
             get, new = self._words.get, self.word_ids
-            known = b"".join([x if (x := get(w)) is not None else new(w) for w in self.words.findall(run)])
+            words = self.words.findall(run)
+            if words == [run]:
+                words = [run]  # one string and one value for both tables
+            known = b"".join([x if (x := get(w)) is not None else new(w) for w in words])
             if len(run) <= 64:
                 if len(self._runs) >= REMEMBERED:
                     self._runs.clear()
