@@ -7,8 +7,8 @@ forms that the patterns don't know (a phone number without ``+``, a card number
 from the rewriting. Two LSTMs read a window in both directions; a linear layer gives scores of the nine tags (outside, and begin
 and inside of each kind); the CRF's transitions are learnt with them, and Viterbi decodes a window.
 
-A text is decoded in windows of ``WIDTH`` characters that overlap by half. Every kind holds a digit or an ``@``, so windows
-without either are skipped; no other is. Windows are reconciled for the whole text: each character takes the tag
+A text is decoded in windows of ``WIDTH`` characters that overlap by half. Whatever ``plausible`` accepts holds a digit or one of
+``@``, ``[at]`` and ``(at)``, so windows are skipped that hold none of these and no part of an address around such a sign; no other is. Windows are reconciled for the whole text: each character takes the tag
 of the window in whose middle it lies, tags become spans, and spans that touch a pattern's span, or that don't look like
 their kind (``plausible``), are dropped; the patterns' spans always stay.
 
@@ -35,6 +35,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HINT = re.compile(r"[0-9@]")
+#: What every added span holds, too: of an e-mail address the sign, of the other kinds digits.
+_SIGN = re.compile(r"[0-9]+|@|\[at\]|\(at\)")
+_HOST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.-")
 
 WIDTH, SAMPLE, WINDOWS = 64, 8000, 2000
 HIDDEN, EMBED, EPOCHS, BATCH, RATE = 16, 10, 16, 32, 0.02
@@ -310,18 +313,23 @@ def plausible(kind: str, text: str) -> bool:
 
 
 def windows_of(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an ``@``."""
+    """Starts of the windows that hold digits, or a part of what may be an address: a sign for ``@`` with the characters on both sides."""
     half = WIDTH // 2
-    if not _HINT.search(text):
-        return []
     last = max(0, -(-(len(text) - WIDTH) // half))
-    found: list[int] = []
-    seen = -1
-    for m in re.finditer(r"[0-9@]+", text):
-        for k in range(max(seen + 1, (m.start() - WIDTH) // half + 1, 0), min(last, (m.end() - 1) // half) + 1):
-            found.append(k * half)
-            seen = k
-    return found
+    found: set[int] = set()
+    done = 0  # addresses are followed from here on, so each character is seen once from either side
+    for m in _SIGN.finditer(text):
+        start, end = m.span()
+        if m[0][0] in "@[(":
+            start -= start > done and text[start - 1] == " "
+            while start > done and text[start - 1] in _LOCAL:
+                start -= 1
+            end += text[end : end + 1] == " "
+            while end < len(text) and text[end] in _HOST:
+                end += 1
+            done = m.end()
+        found.update(range(max((start - WIDTH) // half + 1, 0), min(last, (end - 1) // half) + 1))
+    return [k * half for k in sorted(found)]
 
 
 def reconcile(text: str, starts: list[int], tags: np.ndarray) -> list[Span]:

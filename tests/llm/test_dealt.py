@@ -122,6 +122,33 @@ def test_windows_cover_all_hints_and_reconcile_keeps_places():
     assert pii.reconcile(text, starts, tags) == [("email", 500, 501)]
 
 
+def test_masked_addresses_need_no_digit(spark):
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8)))
+    windows = []
+    for k in range(600):
+        text = f"{name()} {name()} {name()} {name()}.{name()}@{name()}.com {name()} {name()} {name()}"
+        windows += pii.training_windows(text, k)
+    net = pii.train(windows)
+    texts = ["write to jane.doe [at] example.com about the plan", "so " * 400 + "ask john.roe[at]example.com again " + "and so " * 400, "no address in here"]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    for k, span in enumerate(("jane.doe [at] example.com", "john.roe[at]example.com")):
+        a = texts[k].index(span)
+        assert got[k]["spans"] == f"email:{a}:{a + len(span)}" and got[k]["n_added"] == 1
+    assert got[2]["spans"] == ""
+
+
+def test_windows_cover_all_that_is_plausible():
+    for body in ("a" * 90 + "4" + "b" * 90 + "[at]" + "c" * 90 + ".com", "x.y (at) z.org", "j@k.com"):
+        assert pii.plausible("email", body)
+        text = "so " * 100 + body + " so" * 100
+        starts = pii.windows_of(text)
+        assert all(any(s <= p < s + pii.WIDTH for s in starts) for p in range(300, 300 + len(body))) and starts == sorted(set(starts))
+        assert len(starts) < len(text) // 32 - 8
+    assert pii.windows_of("so " * 500) == []
+    assert len(pii.windows_of("a@" * 100_000)) == 6249
+
+
 def test_pii_query(spark, odd, none, sf):
     docs = corpus(spark, sf)
     net = pii.fit(docs, windows=200)
