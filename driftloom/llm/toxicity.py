@@ -9,8 +9,8 @@ Words are runs of letters (A-Z lower-cased, all bytes of other characters count
 the vocabulary is kept as a sorted array and looked up exactly, so foreign words never share a weight with learnt ones.
 Sentences end after ``.``, ``!``, ``?`` or a line break.
 
-The fit uses a documented bounded sample: the ``SAMPLE`` labelled documents with the smallest md5 of their id, of each the
-first ``MOST_WORDS`` words. Scoring covers every whole text.
+The fit uses a documented bounded sample: the ``SAMPLE`` labelled documents with the smallest md5 of their id, each with all of
+its words. Scoring covers every whole text.
 
 Defined results: null counts as empty; a text without words scores 0; labels that are null are not learnt from, and of
 several labels of one id the highest counts; without two classes of labels every score is 0; repeated rows score alike; an
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .textarrays import byte_table, mix, run_hashes, runs, spans_of, utf8
 
-SAMPLE, MOST_WORDS = 8000, 20_000
+SAMPLE = 8000
 #: A word must occur in so many documents of the sample.
 LEAST_DOCS = 3
 STEPS, RATE, DECAY = 160, 0.25, 1e-5
@@ -158,7 +158,7 @@ def _bags(vocab: np.ndarray | None):
             for i, j in runs(at):
                 hashes, _, sentence, first = bag(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 for k in range(j - i):
-                    a, e = first[k], min(first[k + 1], first[k] + MOST_WORDS)
+                    a, e = first[k], first[k + 1]
                     mine = hashes[a:e]
                     if vocab is None:
                         words.append(np.unique(mine).tobytes())

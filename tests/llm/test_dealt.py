@@ -596,6 +596,19 @@ def test_sentences_are_located(spark):
             assert "vile" in texts[r["doc_id"]][a:e] and texts[r["doc_id"]][e - 1] == "."
 
 
+def test_toxicity_learns_from_late_words(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(200):
+        words = ["".join(rng.choice("abcdeioustr") for _ in range(rng.randrange(2, 7))) for _ in range(40)]
+        rows.append((i, (" ".join(words) + ". ") * 505 + ("so vile a thing." if i % 5 == 0 else "so fine a thing.")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect():
+        n = len(rows[r["doc_id"]][1])
+        assert (r["predicted"], r["offending"]) == ((1, f"{n - 16}:{n}") if r["doc_id"] % 5 == 0 else (0, ""))
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (4, 0), (None, 1), (6, None), (7, 0)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
