@@ -76,3 +76,36 @@ def nearest(queries: DataFrame, bank: DataFrame, keys: Sequence[str], k: int, ot
     found = both.mapInArrow(run, schema)
     order = Window.partitionBy(*keys, "tag", "vec_id").orderBy(F.col("sim").desc(), "near_label", "near_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def similarities(queries: DataFrame, bank: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, tag, vec_id, n, mean, most, least: of every query's cosines to all rows of the bank (inputs are unit vectors).
+
+    Of each pair of blocks one row for each query leaves, whatever the size of the bank; these are merged by query.
+    """
+    q, b = packed(queries, keys), packed(bank, keys)
+    both = q.join(b.select(*keys, F.col("vectors").alias("b_vectors")), list(keys))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                n = len(r["ids"])
+                x = np.frombuffer(r["vectors"], "<f8").reshape(n, -1)
+                y = np.frombuffer(r["b_vectors"], "<f8").reshape(-1, x.shape[1])
+                for a in range(0, n, 256):
+                    sim = x[a : a + 256] @ y.T
+                    m = len(sim)
+                    yield pa.RecordBatch.from_pydict({
+                        **{key: pa.array([r[key]] * m, pa.string()) for key in keys},
+                        "tag": pa.array(r["tags"][a : a + m], pa.string()),
+                        "vec_id": pa.array(r["ids"][a : a + m], pa.int64()),
+                        "n": pa.array(np.full(m, len(y))),
+                        "total": pa.array(sim.sum(1)),
+                        "most": pa.array(sim.max(1)),
+                        "least": pa.array(sim.min(1)),
+                    })
+
+    schema = ", ".join(f"{key} string" for key in keys) + ", tag string, vec_id long, n long, total double, most double, least double"
+    found = both.mapInArrow(run, schema).groupBy(*keys, "tag", "vec_id")
+    return found.agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("most").alias("most"), F.min("least").alias("least"))

@@ -222,12 +222,22 @@ def augmentation_probe(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c11_similarity_matrix", with_units("SELECT q.dataset, q.vec_id, count(*) AS n, round(avg(list_dot_product(q.u, b.u)), 6) AS mean, round(max(list_dot_product(q.u, b.u)), 6) AS most, round(min(list_dot_product(q.u, b.u)), 6) AS least FROM cu q JOIN cu b ON q.dataset = b.dataset AND q.backbone = 'B1' AND b.backbone = 'B1' WHERE q.vec_id % 50 = 0 GROUP BY q.dataset, q.vec_id"))
 def similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """The all-pairs similarity of a stated query set (ids divisible by 50) in blocks, as statistics of each query's row."""
-    from driftloom.operators.neighbours import nearest
+    """The all-pairs similarity of a stated query set (ids divisible by 50) in blocks, as statistics of each query's row, in one space."""
+    return _similarity(spark, d, "backbone = 'B1'").drop("backbone")
 
-    units = clean_bank(spark, d).filter("backbone = 'B1'").select("dataset", F.lit("clean").alias("tag"), "vec_id", "label", unit(F.col("x")).alias("u"))
-    near = nearest(units.filter("vec_id % 50 = 0"), units, ["dataset"], 1_000_000)
-    return near.groupBy("dataset", "vec_id").agg(F.count("*").alias("n"), rounded(F.avg("sim")).alias("mean"), rounded(F.max("sim")).alias("most"), rounded(F.min("sim")).alias("least"))
+
+@query("c11_similarity_spaces", with_units("SELECT q.dataset, q.backbone, q.vec_id, count(*) AS n, round(avg(list_dot_product(q.u, b.u)), 6) AS mean, round(max(list_dot_product(q.u, b.u)), 6) AS most, round(min(list_dot_product(q.u, b.u)), 6) AS least FROM cu q JOIN cu b ON q.dataset = b.dataset AND q.backbone = b.backbone WHERE q.vec_id % 50 = 0 GROUP BY q.dataset, q.backbone, q.vec_id"))
+def similarity_spaces(spark: SparkSession, d: str) -> DataFrame:
+    """The same in all four spaces."""
+    return _similarity(spark, d, "true")
+
+
+def _similarity(spark: SparkSession, d: str, kept: str) -> DataFrame:
+    from driftloom.operators.neighbours import similarities
+
+    units = clean_bank(spark, d).filter(kept).select("dataset", "backbone", F.lit("clean").alias("tag"), "vec_id", "label", unit(F.col("x")).alias("u"))
+    found = similarities(units.filter("vec_id % 50 = 0"), units, ["dataset", "backbone"])
+    return found.select("dataset", "backbone", "vec_id", "n", *[rounded(F.col(c)).alias(c) for c in ("mean", "most", "least")])
 
 
 @query("p_paired_change", with_units("SELECT dataset, backbone, tag, round(s, 6) AS share, round(s - avg(s) OVER (PARTITION BY dataset, backbone), 6) AS above_mean FROM (SELECT dataset, backbone, tag, avg((cos < 0.95)::DOUBLE) AS s FROM pairs GROUP BY ALL)"))

@@ -80,6 +80,26 @@ def test_neighbours_equal_brute_force_over_blocks(spark, monkeypatch):
         assert [got[i][k] for k in range(1, 5)] == order
 
 
+def test_similarities_leave_no_row_out(spark, monkeypatch):
+    import driftloom.operators.neighbours as module
+
+    x = np.random.default_rng(1).standard_normal((300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([("k", "t", i, i % 5, x[i].tolist()) for i in range(300)], "key string, tag string, vec_id long, label int, u array<double>")
+    monkeypatch.setattr(module, "packed", lambda r, keys, block=70, f=module.packed: f(r, keys, block))
+    got = {r["vec_id"]: r for r in module.similarities(df.filter("vec_id % 50 = 0"), df, ["key"]).collect()}
+    assert set(got) == set(range(0, 300, 50))
+    for i, r in got.items():
+        assert r["n"] == 300 and np.allclose([r["mean"], r["most"], r["least"]], [(s := x @ x[i]).mean(), s.max(), s.min()])
+
+
+def test_similarity_makes_no_row_of_a_pair(spark, sf):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["c11_similarity_matrix"](spark, sf)._jdf.queryExecution().toString()
+    assert "near_id" not in plan and "1000000" not in plan
+
+
 def test_mmd_identity_and_zero():
     x = np.random.default_rng(1).standard_normal((40, 6))
     y = x + 1.5
