@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions import images
-from driftloom.functions.vectors import as_double, dot, unit
+from driftloom.functions.vectors import as_double, dot, sum_vector, unit
 from driftloom.operators.regression import products, unpack
-from driftloom.operators.resampling import without_replacement
 from driftloom.plans.base import DIM, clean_bank, paired, records, rounded, shifted_bank, with_clean, with_rec, with_units
 from driftloom.plans.maps import components
 from driftloom.registry import query
@@ -107,26 +106,22 @@ def spatial_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p6_silhouette")
 def silhouette(spark: SparkSession, d: str) -> DataFrame:
-    """Mean silhouette of a capped sample of each dataset's unit vectors by label (cosine distance); the cap bounds a task."""
-    units = clean_bank(spark, d).filter("backbone = 'B0'").select("dataset", "vec_id", "label", unit(F.col("x")).alias("u"))
-    some = without_replacement(units, ["dataset"], 400, "silhouette", "vec_id")
-
-    def run(t: pa.Table) -> pa.Table:
-        u, label = np.array(t["u"].to_pylist()), t["label"].to_numpy()
-        far = 1 - u @ u.T
-        names = np.unique(label)
-        mean = np.stack([far[:, label == c].sum(1) for c in names], axis=1)
-        size = np.array([(label == c).sum() for c in names])
-        own = np.searchsorted(names, label)
-        row = np.arange(len(u))
-        a = mean[row, own] / np.maximum(size[own] - 1, 1)
-        rest = mean / size
-        rest[row, own] = np.inf
-        b = rest.min(1)
-        s = np.where(size[own] > 1, (b - a) / np.maximum(a, b), 0.0)
-        return pa.table({"dataset": [t["dataset"][0].as_py()], "n": [len(u)], "silhouette": [float(s.mean())]})
-
-    return some.groupBy("dataset").applyInArrow(run, "dataset string, n long, silhouette double")
+    """Exact mean silhouette of all unit vectors of each dataset and space by label (cosine distance).
+
+    The mean distance of u to a class of n vectors with sum S is 1 - u.S / n, so class sums take the place of pairs. Vectors alone
+    in their class, and all of a dataset with one class, count as 0.
+    """
+    key = ["dataset", "backbone"]
+    units = clean_bank(spark, d).select(*key, "label", unit(F.col("x")).alias("u"))
+    sums = units.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("n"), sum_vector(F.col("u"), DIM).alias("s"))
+    classes = sums.groupBy(*key).agg(F.collect_list(F.struct("label", "n", "s")).alias("classes"))
+    u, mine = F.col("u"), lambda c: c["label"].eqNullSafe(F.col("label"))
+    rows = units.join(F.broadcast(classes), key).select(*key, "u", F.filter("classes", mine)[0].alias("own"), F.filter("classes", lambda c: ~mine(c)).alias("rest"))  # as large as the classes
+    inner = (F.col("own.n") - 1 - dot(u, F.col("own.s"), DIM) + dot(u, u, DIM)) / F.greatest(F.col("own.n") - 1, F.lit(1))
+    rows = rows.select(*key, (F.col("own.n") > 1).alias("several"), inner.alias("a"), F.array_min(F.transform("rest", lambda c: 1 - dot(u, c["s"], DIM) / c["n"])).alias("b"))
+    most = F.greatest("a", "b")
+    value = F.when(F.col("several") & F.col("b").isNotNull() & (most > 0), (F.col("b") - F.col("a")) / most).otherwise(0.0)
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(value)).alias("silhouette"))
 
 
 _ARI = with_clean("SELECT 1")[: -len("\nSELECT 1")] + """, cells AS (SELECT dataset, backbone, vec_id, i AS pos, CASE WHEN x[i + 1] < -0.05 THEN 0 WHEN x[i + 1] < 0.05 THEN 1 ELSE 2 END AS c FROM clean, range(16) r(i)),

@@ -223,6 +223,27 @@ def test_image_functions():
         assert images.make(name, value)(x, 1).shape == x.shape
 
 
+def test_silhouette_equals_all_pairs(spark):
+    from driftloom.functions.vectors import unit
+    from driftloom.plans.base import clean_bank
+    from driftloom.registry import queries
+
+    sf = "/root/testdata/sf0.1"  # over 400 rows of each dataset
+    rows = clean_bank(spark, sf).select("dataset", "backbone", "label", unit(F.col("x")).alias("u")).toPandas()
+    got = {(r["dataset"], r["backbone"]): r for r in queries()["p6_silhouette"](spark, sf).collect()}
+    assert len(got) == 12
+    for key, g in rows.groupby(["dataset", "backbone"]):
+        u, label = np.stack(g["u"]), g["label"].to_numpy()
+        far = 1 - u @ u.T
+        np.fill_diagonal(far, 0)
+        value = []
+        for i, c in enumerate(label):
+            mean = {k: far[i, label == k].sum() / ((label == k).sum() - (k == c)) for k in np.unique(label)}
+            a, b = mean.pop(c), min(mean.values())
+            value.append((b - a) / max(a, b))
+        assert got[key]["n"] == len(g) and abs(got[key]["silhouette"] - np.mean(value)) < 2e-6
+
+
 def test_kmeans_labels_go_from_dark_to_light():
     from driftloom.plans.images import kmeans_map
 
