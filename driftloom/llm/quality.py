@@ -2,7 +2,8 @@
 
 Overlapping heuristics each vote good, bad or abstain on a document. Expectation-maximisation over the counts of all vote
 patterns of the whole corpus (at most 3 ** 7 of them, aggregated in Spark) estimates the share of good documents
-and, for each labeller, how it votes on good and on bad ones, under a prior that keeps the two classes what they are; no true label is used. The posterior of each pattern then labels
+and, for each labeller, how it votes on good and on bad ones, under a prior that keeps the two classes what they are and that outweighs
+the votes at every size, so the labellers' accuracies are essentially set by hand (see ``learn_labels``); no true label is used. The posterior of each pattern then labels
 documents, and these soft labels train a hashed linear scorer (words, word endings and word shapes, as shares of the
 document's words), which scores every document.
 
