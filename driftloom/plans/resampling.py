@@ -38,12 +38,19 @@ def bootstrap_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @query("o3_bootstrap_auc")
 def bootstrap_auc(spark: SparkSession, d: str) -> DataFrame:
-    """AUC of every replicate from counts by score, not from pairs."""
-    from driftloom.plans.metrics import auc
+    """AUC, average precision and best F1 of every replicate with both classes, from counts by score, not from pairs."""
+    from driftloom.plans.metrics import curve, f1
 
     rows = records(spark, d).select(F.lit("all").alias("g"), "dataset", "backbone", "tag", "failure", F.col("drift").alias("score"))
-    a = auc(bootstrap_rows(rows, ["g"], ["dataset", "backbone", "tag"], B, "auc"), ["replicate"])
-    return a.agg(rounded(F.avg("auc")).alias("mean"), rounded(F.percentile("auc", F.lit(0.025))).alias("lo"), rounded(F.percentile("auc", F.lit(0.975))).alias("hi"))
+    c = curve(bootstrap_rows(rows, ["g"], ["dataset", "backbone", "tag"], B, "auc"), ["replicate"]).filter("p > 0 AND n > 0")
+    found = {
+        "roc_auc": F.sum(F.col("dp") * (F.col("n") - F.col("fp") + 0.5 * F.col("dn"))) / (F.max("p") * F.max("n")),
+        "avg_precision": F.sum(F.col("dp") / F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))),
+        "best_f1": F.max(f1()),
+    }
+    each = c.groupBy("replicate").agg(*[v.alias(k) for k, v in found.items()])
+    each = each.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("a")) for k in found])).alias("m")).select("m.*")
+    return each.groupBy("metric").agg(rounded(F.avg("a")).alias("mean"), rounded(F.percentile("a", F.lit(0.025))).alias("lo"), rounded(F.percentile("a", F.lit(0.975))).alias("hi"))
 
 
 @query("o4_bootstrap_correlation", with_rec("SELECT 1")[: -len("\nSELECT 1")] + ", " + _boot("rec", "backbone", "dataset, tag", "corr") + " SELECT backbone, round(quantile_cont(a, 0.025), 6) AS lo, round(quantile_cont(a, 0.975), 6) AS hi FROM (SELECT backbone, replicate, corr(drift, acc_drop) AS a FROM boot GROUP BY ALL HAVING stddev_pop(drift) > 0 AND stddev_pop(acc_drop) > 0) GROUP BY backbone")
