@@ -259,6 +259,21 @@ def test_bootstrap_has_auc_precision_and_f1(spark, sf):
         assert got[k]["lo"] <= got[k]["mean"] <= got[k]["hi"] and abs(got[k]["mean"] - v.first()[0]) < 1e-5
 
 
+def test_permutation_tails_of_every_condition(spark, sf):
+    from driftloom.plans.resampling import null_accuracy
+    from driftloom.registry import queries
+
+    rng = np.random.default_rng(4)
+    true, predicted = rng.choice(4, 60, p=[0.4, 0.3, 0.2, 0.1]), rng.integers(0, 4, 60)
+    got = null_accuracy(np.bincount(true, minlength=4), np.bincount(predicted, minlength=4), 20_000, 1)
+    want = np.array([(rng.permutation(true) == predicted).sum() for _ in range(20_000)])
+    assert abs(got.mean() - want.mean()) < 0.15 and abs(got.std() - want.std()) < 0.1
+    assert np.abs(np.bincount(got, minlength=61) - np.bincount(want, minlength=61)).max() < 400
+    rows = queries()["o7_permutation_tail"](spark, sf).collect()
+    assert len({(r["dataset"], r["backbone"], r["tag"]) for r in rows}) == len(rows) == 96
+    assert all(r["below"] + r["above"] > 1 - 1e-9 for r in rows)
+
+
 def test_kmeans_labels_go_from_dark_to_light():
     from driftloom.plans.images import kmeans_map
 
