@@ -88,12 +88,18 @@ def spans_of(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = LOWER) -> np.ndarray:
-    """A 64-bit hash of each byte run: a polynomial over coded bytes, taken from prefix sums, then scrambled."""
-    power, inverse = _power(len(data))
+def hash_sums(data: np.ndarray, table: np.ndarray = LOWER) -> np.ndarray:
+    """Prefix sums from which ``run_hashes`` takes the hash of any run."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(table[data] * _power(len(data))[0][: len(data)], out=sums[1:])
+    return sums
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = LOWER, sums: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each byte run: a polynomial over coded bytes, taken from prefix sums, then scrambled."""
+    if sums is None:
+        sums = hash_sums(data, table)
+    return mix((sums[ends] - sums[starts]) * _power(len(data))[1][starts] + (ends - starts).astype(np.uint64))
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

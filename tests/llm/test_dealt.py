@@ -569,13 +569,71 @@ def test_toxicity_learns_from_bags(spark):
     model = toxicity.fit(docs, labels.filter(~toxicity.held_out("doc_id")))
     got = toxicity.score(docs, model).join(labels, "doc_id").withColumn("held", toxicity.held_out("doc_id")).filter("held").toPandas()
     assert all(((zlib.crc32(str(d).encode()) % 5 == 0) for d in got.doc_id))
-    # one clean document in twenty is labelled toxic by mistake, so recall is of what can be learnt
+    # some texts were made junk after they were labelled, so not every toxic label can be explained
     assert (got[got.predicted == 1].toxic == 1).mean() > 0.95
     assert (got[got.toxic == 0].predicted == 0).mean() > 0.99
-    assert got[got.toxic == 1].predicted.mean() > 0.45
+    assert got[got.toxic == 1].predicted.mean() > 0.8
     assert (got[got.predicted == 1].offending != "").mean() > 0.9
 
 
+@pytest.mark.parametrize(("size", "zipf", "length"), [(3000, False, 60), (30000, True, 60), (30000, True, 200)])
+def test_toxicity_finds_planted_words_despite_wrong_labels(spark, size, zipf, length):
+    """6 % of the documents hold one of 40 planted words; 5 % of the others are labelled toxic by mistake."""
+    rng = np.random.default_rng(size + length)
+    name = lambda k: "".join(chr(97 + (k // 26**i + i) % 26) for i in range(4)) + "ab"
+    chance = 1 / np.arange(1, size + 1) if zipf else np.ones(size)
+    rows, bad, marks = [], set(), []
+    for i in range(8000):
+        words = [name(k) for k in rng.choice(size, length, p=chance / chance.sum())]
+        if rng.random() < 0.06:
+            bad.add(i)
+            words[rng.integers(length)] = "x" + name(size + int(rng.integers(40)) * 777)
+        rows.append((i, ". ".join(" ".join(words[k : k + 12]) for k in range(0, length, 12))))
+        marks.append((i, int(i in bad or rng.random() < 0.05)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels.filter("doc_id % 5 > 0"))).filter("doc_id % 5 = 0").toPandas().set_index("doc_id").predicted
+    truth = np.array([d in bad for d in got.index])
+    assert got[truth].mean() > 0.9 and (got[~truth] == 0).mean() > 0.98
+
+
+def plain_toxicity(text, weights):
+    """The score by the definition: words by sentence, each distinct feature once, noisy-or."""
+    clean = 0.0
+    word = re.compile(rb"[A-Za-z\x80-\xff]+")
+    low = lambda w: bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+    for sentence in re.split(rb"[.!?\n\r]", (text or "").encode()):
+        found = {f for w in word.findall(sentence) for f in [(0, low(w)), *[(k, low(w)[:size]) for k, size in enumerate(toxicity.STEMS, 1) if len(w) > size]]}
+        x = sum(weights.get(f, 0.0) for f in found)
+        clean += max(0.0, np.logaddexp(0, x - toxicity.BAR) - np.logaddexp(0, -toxicity.BAR))
+    return 1 - np.exp(-clean)
+
+
+def test_toxicity_scores_equal_the_definition(spark, sf):
+    docs = corpus(spark, sf)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    weights, hashes = {}, {}
+    for w in {w for t in texts.values() for w in re.findall(r"[A-Za-z\x80-\U0010ffff]+", t or "")}:
+        raw = bytes(c + 32 if 65 <= c <= 90 else c for c in w.encode())
+        for k, h in enumerate(toxicity.bag(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0][0].tolist()):
+            if h and h % 97 == 0:
+                weights[(k, raw[: toxicity.STEMS[k - 1]]) if k else (0, raw)] = hashes[h] = h % 1000 / 300
+    assert len(weights) == len(hashes) > 20
+    model = toxicity.Model(np.array(sorted(hashes), np.uint64), np.array([hashes[h] for h in sorted(hashes)]))
+    for r in toxicity.score(docs, model).collect():
+        assert r["score"] == pytest.approx(plain_toxicity(texts[r["doc_id"]], weights), abs=1e-9)
+
+
+def test_near_copies_weigh_as_one():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 1 << 62, (50, toxicity.MINHASHES)).astype(np.uint64)
+    near = np.repeat(rows[:1], 10, 0)
+    near[np.arange(10), rng.integers(0, toxicity.MINHASHES, 10)] = 5
+    other = rows[1:2].copy()
+    other[:, 1:] = 7  # one equal min-hash is no near copy
+    weight = toxicity.copy_weights(np.concatenate([rows, near, other]))
+    assert weight[0] == pytest.approx(1 / 11) and (weight[50:60] == weight[0]).all() and (weight[1:50] == 1).all() and weight[60] == 1
+
+
 def test_sentences_are_located(spark):
     rows, labels = [], []
     rng = random.Random(1)
@@ -614,6 +672,8 @@ def test_toxicity_odd(spark, odd, none):
     model = toxicity.fit(odd, labels)
     got = toxicity.score(odd, model)
     assert got.count() == odd.count() and got.filter("doc_id IN (1, 2, 3) AND score <> 0").count() == 0
+    assert got.filter(toxicity.held_out("doc_id").isNull()).count() == 0
+    assert [len({r["score"] for r in got.filter(f"doc_id = {d}").collect()}) for d in (4, 5, 7)] == [1, 1, 1]
     assert toxicity.score(none, model).count() == 0
     empty = toxicity.fit(none, labels.filter("false"))
     assert toxicity.score(odd, empty).filter("score <> 0").count() == 0
