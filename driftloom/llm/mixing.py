@@ -10,8 +10,14 @@ document is emitted once for each integer that its interval crosses. Sorting by
 the target. The prefix sum is computed at three levels (strata of a source, buckets of a stratum, rows of a bucket), so a
 source with a third of all rows is never one task's work.
 
-Defined results: null text has size 0; sources without words get target 0 and give nothing; repeated rows are sampled
-apart; an empty table gives an empty result; other columns are kept by ``mix`` and ignored by ``plan``.
+Texts are read to count words and, by ``mix``, once more to be emitted: all sampling is done on narrow rows (id, source, size,
+hash of the row), which are written once. Their result is joined to the texts as the build side of a hash join, so texts are dealt
+once and never sorted.
+
+Defined results: null text has size 0; sources without words get target 0 and give nothing; null ids are sampled like
+others; repeated rows are sampled apart; of ties in size and id the hash of the whole row decides, and rows that are equal in
+all columns are exchangeable; a very long text is one row of its size; an empty table gives an empty result; other
+columns are kept by ``mix`` and ignored by ``plan``.
 """
 
 from __future__ import annotations
@@ -56,10 +62,8 @@ def hashed(seed: str, value: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(value.cast("string"), F.lit("")))), 1, digits), 16, 10).cast("double") / F.lit(float(16**digits))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.0, most: float = 3.0, seed: str = "mix", carry: Sequence[str] = (), owner: str = "query") -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, and the carried columns as a struct ``row``."""
-    row = [F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *row)
+def _sampled(rows: DataFrame, weights: Sequence[float], share: float, most: float, seed: str, owner: str) -> DataFrame:
+    """Narrow rows (doc_id, source, size and any others) with source_size, target and copies."""
     rows = rows.withColumns({
         "stratum": F.floor(F.log2(F.col("size") + F.lit(1.0)) * 4).cast("int"),
         "bucket": F.floor(hashed(seed, F.col("doc_id"), 2) * BUCKETS).cast("int"),
@@ -67,11 +71,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         "name": F.coalesce("source", F.lit("")),
     })
     key = ["has", "name", "stratum", "bucket"]
-    if not carry:  # without texts the rows are small: count words once
-        rows = materialise(rows, owner)
+    rows = materialise(rows, owner)  # words are counted once
     buckets = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    if carry:
-        buckets = materialise(buckets, owner)
     strata = buckets.groupBy("has", "name", "stratum").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     goal = targets(strata.groupBy("has", "name").agg(F.sum("words").alias("source_size")).select(F.when(F.col("has"), F.col("name")).alias("source"), "source_size"), weights, share, most)
     goal = goal.select(F.col("source").isNotNull().alias("has"), F.coalesce("source", F.lit("")).alias("name"), "source_size", "target")
@@ -82,14 +83,38 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # an offset of few binary digits: at a whole ratio no sum is rounded across an integer
     offset = (F.floor(hashed(f"{seed}/offset", F.col("name"), 3) * 1024) + F.lit(0.5)) / F.lit(1024.0)
-    rank = F.col("base") + F.row_number().over(Window.partitionBy(*key).orderBy("size", "doc_id"))
+    rank = F.col("base") + F.row_number().over(Window.partitionBy(*key).orderBy("size", "doc_id", *[c for c in ("mark",) if c in rows.columns]))
     copies = F.floor(rank * ratio + offset) - F.floor((rank - 1) * ratio + offset)
-    out = rows.join(base, key).withColumn("copies", copies.cast("long"))
-    return out.select("doc_id", "size", F.col("source_size"), "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *(["row"] if carry else []))
+    return rows.join(base, key).withColumn("copies", copies.cast("long"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def _narrow(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    return [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), words(F.col(f"`{text_col}`")).alias("size")]
+
+
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.0, most: float = 3.0, seed: str = "mix", owner: str = "query") -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies: one row for each row of ``docs``."""
+    out = _sampled(docs.select(*_narrow(docs, id_col, text_col, source_col)), weights, share, most, seed, owner)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.0, most: float = 3.0, seed: str = "mix", owner: str = "query") -> DataFrame:
     """The mixed corpus: the columns of ``docs``, each row as often as the mix takes it."""
     cols = docs.columns
-    mixed = plan(docs, carry=cols, **options).filter("copies > 0")
-    return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select(*[F.col(f"row.`{c}`").alias(c) for c in cols])
+    mark = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    rows = _sampled(docs.select(*_narrow(docs, id_col, text_col, source_col), mark.alias("mark")), weights, share, most, seed, owner)
+    taken = rows.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies"))
+    taken = materialise(taken.filter("copies > 0"), owner)
+    whole = docs.select(F.col(f"`{id_col}`").alias("doc_id"), mark.alias("mark"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
+
+    def emitted(some: DataFrame, rows: DataFrame) -> DataFrame:
+        keys = some.select(F.col("doc_id").alias("its_id"), F.col("mark").alias("its_mark"), "copies").hint("shuffle_hash")
+        both = rows.join(keys, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark")))
+        return both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select(*[F.col(f"row.`{c}`").alias(c) for c in cols])
+
+    out = emitted(taken.filter("rows = 1"), whole)
+    if taken.filter("rows > 1").isEmpty():
+        return out
+    several = taken.filter("rows > 1")  # rows that repeat in every column: one of them gives all copies
+    theirs = whole.join(several.select(F.col("mark").alias("its_mark")), F.col("mark") == F.col("its_mark"), "left_semi").dropDuplicates(["doc_id", "mark"])
+    return out.unionByName(emitted(several, theirs))
