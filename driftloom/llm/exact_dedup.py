@@ -3,7 +3,7 @@
 Every text, without its ASCII white space, gets a fingerprint: a polynomial in its bytes modulo two primes.
 Chunks are hashed independently of each other; the hash of a concatenation follows from those of its parts by
 shifting the left one by the right one's length, so huge texts never need more than a chunk at a time and their
-chunks may be hashed anywhere. Rows with equal fingerprint and length are then compared text against text, chunk
+chunks may be hashed anywhere (here one after the other in the task that reads the text, since a text is one value of a row). Rows with equal fingerprint and length are then compared text against text, chunk
 by chunk; rows that differ although their fingerprints agree are told apart by their SHA-256.
 
 Defined results: null and empty texts are equal to each other (empty after normalisation); the row with most code
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import materialise
-from .textarrays import SPACE, SPACES, runs, utf8
+from .textarrays import SPACE, SPACES, runs, tidy, utf8
 
 #: Two primes below 2**31 and a base for each.
 PRIMES = (2147483647, 2147483629)
@@ -138,27 +138,23 @@ def _differ(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "query") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each input row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    info = materialise(rows.mapInArrow(_scan(False), "doc_id long, fp long, n_bytes long, n_points long, sha string"), owner)
+    info = materialise(rows.mapInArrow(tidy(_scan(False)), "doc_id long, fp long, n_bytes long, n_points long, sha string"), owner)
     key = ["fp", "n_bytes"]
     leaders = info.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead")).filter("n > 1")
-    texts = rows.mapInArrow(_scan(True), "doc_id long, fp long, n_bytes long, text string")
+    texts = rows.mapInArrow(tidy(_scan(True)), "doc_id long, fp long, n_bytes long, text string")
     refs = materialise(
         texts.join(leaders, key).filter(F.col("doc_id").eqNullSafe(F.col("lead"))).select(*key, F.col("text").alias("other")).dropDuplicates(key),
         owner,
     )
-    differ = materialise(texts.join(refs, key).select(*key, "text", "other").mapInArrow(_differ, "fp long, n_bytes long, sha string").distinct(), owner)
+    differ = materialise(texts.join(refs, key).select(*key, "text", "other").mapInArrow(tidy(_differ), "fp long, n_bytes long, sha string").distinct(), owner)
     apart = differ.withColumn("alt", F.col("sha"))
     full = info.join(apart, [*key, "sha"], "left").withColumn("alt", F.coalesce("alt", F.lit("")))
-    # largest text first, then the smallest doc_id: of the negated ids the largest, null last as in a descending order
-    best: Column = F.max(F.struct(F.col("n_points"), (-F.col("doc_id")).alias("minus")))
+    # largest text first, then the smallest doc_id, null last
+    best: Column = F.min(F.struct((-F.col("n_points")).alias("points"), F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("keep_id")))
     groups = full.groupBy(*key, "alt").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
-    return full.join(groups, [*key, "alt"]).select(
-        "doc_id",
-        (-F.col("best.minus")).alias("keep_id"),
-        "group_size",
-        F.col("doc_id").eqNullSafe(-F.col("best.minus")).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-    )
+    # written first, so that the join's own exchange can be split where one group holds much of the table
+    groups = materialise(groups.select(*key, "alt", "group_size", F.col("best.keep_id").alias("keep_id")), owner)
+    return full.join(groups, [*key, "alt"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "query") -> DataFrame:
@@ -173,7 +169,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
 
     schema = T.StructType([*docs.schema.fields, T.StructField(sha, T.StringType())])
     stay = exact_groups(docs, id_col, text_col, owner).filter("kept").select("doc_id", "text_sha256").distinct().alias("stay")
-    marked = docs.mapInArrow(mark, schema).alias("marked")
+    marked = docs.mapInArrow(tidy(mark), schema).alias("marked")
     same = F.col(f"marked.{id_col}").cast("long").eqNullSafe(F.col("stay.doc_id")) & (F.col(f"marked.{sha}") == F.col("stay.text_sha256"))
     found = marked.join(stay, same, "left_semi")
     # repeated rows have the same id and text: one of them is any of them but for other columns, whose order decides

@@ -17,7 +17,12 @@ Documents are sets of hashed word shingles. Rows with equal sets form a class; l
 
 Nothing is dropped, capped or sampled, and no group's pairs are emitted: links stop once they connect.
 
-Defined results: a text without words (or null) has an empty set, is linked with nothing and is its own component;
+Overlaps are counted on 64-bit hashes of shingles, whatever the number of buckets. Two documents of a thousand shingles each get a
+wrong count with a chance of about 10**6 / 2**64, and then are off by one, which matters only at the threshold itself. A set's name
+is 128 bits.
+
+Defined results: ids may be null or repeat; ties don't arise (the smallest id names a component); a very long text is hashed in pieces
+but its set is held by one task; a text without words (or null) has an empty set, is linked with nothing and is its own component;
 repeated rows are members of one class; of a component without any non-null doc_id the id is null; an empty table gives
 an empty result; other columns are ignored.
 """
@@ -34,20 +39,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import materialise
+from .scratch import materialise, steady
 from .shingles import shingle_sets
-from .textarrays import mix, runs, utf8
+from .textarrays import mix, runs, tidy, utf8
 
 WORDS, PERCENT = 5, 75
 #: Sets of one block of a shard; leaves of a node.
 BLOCK, FAN = 512, 8
 #: Bytes of text and rows of one chunk.
 CHUNK, ROWS = 1 << 21, 60_000
-#: Bits of a hash that a bucket keeps beside the row's place in its chunk.
-_KEPT = np.uint64(48)
+#: Bits of the step from one hash to the next that are kept beside the row's place in its chunk.
+_STEP = np.uint64(48)
 _LOW16 = np.uint64(0xFFFF)
 
 
+def pack(keys: np.ndarray, owners: np.ndarray) -> bytes:
+    """Sorted keys of up to 64 bits and owners below 65,535, in 8 bytes each: steps between keys; a step over 48 bits takes an entry more."""
+    step = np.diff(keys, prepend=np.uint64(0))
+    low, high = step & np.uint64((1 << 48) - 1), step >> _STEP
+    extra = (high > 0).astype(np.int64)
+    place = np.arange(len(keys)) + np.cumsum(extra)
+    out = np.empty(len(keys) + int(extra.sum()), np.uint64)
+    out[place] = low << np.uint64(16) | owners
+    far = np.flatnonzero(extra)
+    out[place[far] - 1] = high[far] << np.uint64(16) | _LOW16
+    return out.tobytes()
+
+
+def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What ``pack`` was given."""
+    packed = np.frombuffer(raw, np.uint64)
+    owner, step = packed & _LOW16, packed >> np.uint64(16)
+    keys = np.cumsum(np.where(owner == _LOW16, step << _STEP, step))
+    some = owner != _LOW16
+    return keys[some], owner[some]
+
+
 def _chunks(bits: int, words: int):
     """Arrow batches of (doc_id, text) to rows (chunk, bucket, n, packed): packed hashes of a bucket, or the documents at a bucket below 0."""
     shift = np.uint64(64 - bits)
@@ -76,10 +103,10 @@ def _chunks(bits: int, words: int):
                     name, made = f"{task}/{made}", made + 1
                     order = np.argsort(whole, kind="stable")
                     whole, owner = whole[order], np.repeat(np.arange(len(sets), dtype=np.uint64), sizes)[order]
-                    packed = (whole << np.uint64(bits)) >> np.uint64(64 - 48) << np.uint64(16) | owner
+                    keys = whole & np.uint64((1 << (64 - bits)) - 1)
                     bucket = (whole >> shift).astype(np.int64)
                     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-                    parts = [packed[a:e].tobytes() for a, e in zip(cut, [*cut[1:], len(packed)][: len(cut)], strict=True)]
+                    parts = [pack(keys[a:e], owner[a:e]) for a, e in zip(cut, [*cut[1:], len(keys)][: len(cut)], strict=True)]
                     yield pa.RecordBatch.from_pydict({
                         "chunk": pa.array([name] * (len(parts) + 1)),
                         "bucket": pa.array([-1 - task, *bucket[cut].tolist()], pa.int32()),
@@ -89,30 +116,31 @@ def _chunks(bits: int, words: int):
     return scan
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each chunk the packed hashes that occur in more than one document, with how many."""
-    if table["bucket"][0].as_py() < 0:  # documents pass
-        return table.append_column("df", pa.nulls(table.num_rows, pa.binary()))
-    blobs = [np.frombuffer(x.as_py(), "<u8") for x in table["packed"]]
-    values = np.concatenate(blobs)
-    source = np.repeat(np.arange(len(blobs)), [len(b) for b in blobs])
-    order = np.argsort(values >> np.uint64(16), kind="stable")
-    keys = (values >> np.uint64(16))[order]
-    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    count = np.repeat(np.diff(np.append(head, len(keys))), np.diff(np.append(head, len(keys))))
-    df = np.zeros(len(values), "<u4")
-    df[order] = np.minimum(count, 0xFFFFFFFF)
-    keep = df > 1
-    chunks, out, counts = [], [], []
-    for k in range(len(blobs)):
-        a = int(np.searchsorted(source, k))
-        e = int(np.searchsorted(source, k, side="right"))
-        mine = keep[a:e]
-        if mine.any():
-            chunks.append(table["chunk"][k].as_py())
-            out.append(values[a:e][mine].tobytes())
-            counts.append(df[a:e][mine].tobytes())
-    return pa.table({"chunk": pa.array(chunks, pa.string()), "bucket": pa.array([table["bucket"][0].as_py()] * len(chunks), pa.int32()), "packed": pa.array(out, pa.binary()), "df": pa.array(counts, pa.binary())})
+def _shared(bits: int):
+    def task(table: pa.Table) -> pa.Table:
+        """Of one bucket: for each chunk the packed hashes that occur in more than one document, with how many."""
+        if table["bucket"][0].as_py() < 0:  # documents pass
+            return table.append_column("df", pa.nulls(table.num_rows, pa.binary()))
+        parts = [unpack(x.as_py()) for x in table["packed"]]
+        ends = np.concatenate([[0], np.cumsum([len(k) for k, _ in parts])])
+        values = np.concatenate([k for k, _ in parts])
+        order = np.argsort(values, kind="stable")
+        sorted_values = values[order]
+        head = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
+        size = np.diff(np.append(head, len(values)))
+        df = np.zeros(len(values), "<u4")
+        df[order] = np.repeat(np.minimum(size, 0xFFFFFFFF), size)
+        chunks, out, counts = [], [], []
+        for k, (keys, owners) in enumerate(parts):
+            mine = df[ends[k] : ends[k + 1]]
+            keep = mine > 1
+            if keep.any():
+                chunks.append(table["chunk"][k].as_py())
+                out.append(pack(keys[keep], owners[keep]))
+                counts.append(mine[keep].tobytes())
+        return pa.table({"chunk": pa.array(chunks, pa.string()), "bucket": pa.array([table["bucket"][0].as_py()] * len(chunks), pa.int32()), "packed": pa.array(out, pa.binary()), "df": pa.array(counts, pa.binary())})
+
+    return task
 
 
 def first_hashes(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -120,7 +148,7 @@ def first_hashes(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _documents(percent: int):
+def _documents(bits: int, percent: int):
     def assemble(table: pa.Table) -> pa.Table:
         """Of one chunk: its documents, each with its shared hashes, rarest first, and how many of them come first in its set."""
         head, parts = None, []
@@ -128,8 +156,8 @@ def _documents(percent: int):
             if bucket < 0:
                 head = np.frombuffer(packed.as_py(), "<u8").reshape(-1, 5)
             else:
-                v = np.frombuffer(packed.as_py(), "<u8")
-                parts.append((v & _LOW16, np.uint64(bucket) << _KEPT | v >> np.uint64(16), np.frombuffer(df.as_py(), "<u4")))
+                keys, owners = unpack(packed.as_py())
+                parts.append((owners, np.uint64(bucket) << np.uint64(64 - bits) | keys, np.frombuffer(df.as_py(), "<u4")))
         n = len(head)
         tokens = [None] * n
         first = np.zeros(n, np.int64)
@@ -279,11 +307,12 @@ def _tree_task(percent: int):
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, owner: str = "query") -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each input row."""
     spark = docs.sparkSession
-    bits = min(16, max(6, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))) + 1))
+    bits = min(20, max(6, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))) + 1))  # decides on the size of tasks only
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    packed = rows.mapInArrow(_chunks(bits, words), "chunk string, bucket int, packed binary")
-    shared = packed.groupBy("bucket").applyInArrow(_shared, "chunk string, bucket int, packed binary, df binary")
-    found = materialise(shared.groupBy("chunk").applyInArrow(_documents(percent), "doc_id long, n long, name binary, first int, tokens binary"), owner)
+    rows = steady(rows, owner)  # chunks are named by the place of their rows
+    packed = rows.mapInArrow(tidy(_chunks(bits, words)), "chunk string, bucket int, packed binary")
+    shared = packed.groupBy("bucket").applyInArrow(tidy(_shared(bits)), "chunk string, bucket int, packed binary, df binary")
+    found = materialise(shared.groupBy("chunk").applyInArrow(tidy(_documents(bits, percent)), "doc_id long, n long, name binary, first int, tokens binary"), owner)
 
     sets = materialise(found.filter("first > 0").groupBy("name").agg(F.max("n").alias("n"), F.max("first").alias("first"), F.first("tokens", ignorenulls=True).alias("tokens")), owner)
 
@@ -295,7 +324,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 index = pa.array(np.repeat(np.arange(len(mine)), [len(m) for m in mine]))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(index), pa.array(np.concatenate(mine), pa.int64())], ["name", "token"])
 
-    postings = materialise(sets.select("name", "first", "tokens").mapInArrow(explode, "name binary, token long"), owner)
+    postings = materialise(sets.select("name", "first", "tokens").mapInArrow(tidy(explode), "name binary, token long"), owner)
     leads = postings.groupBy("token").agg(F.min("name").alias("lead"), F.max("name").alias("last")).filter("lead <> last").drop("last")
     shards = components(postings.join(leads, "token").select(F.col("name").alias("a"), F.col("lead").alias("b")), owner)
 
@@ -308,7 +337,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     split = leaves.filter("blocks > 1").withColumn("label", F.col("name"))
     with_first = split.filter("block > 0").withColumns({"i": F.lit(0), "j": F.col("block"), "side": F.lit(1)}).select(*cols)
     of_first = split.filter("block = 0").withColumns({"i": F.lit(0), "j": F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)), "side": F.lit(0)}).select(*cols)
-    links = materialise(own.unionByName(with_first).unionByName(of_first).groupBy("root", "i", "j").applyInArrow(_tree_task(percent), schema), owner)
+    links = materialise(own.unionByName(with_first).unionByName(of_first).groupBy("root", "i", "j").applyInArrow(tidy(_tree_task(percent)), schema), owner)
     if not split.isEmpty():
         sofar = components(links, owner).select(F.col("node").alias("name"), F.col("root").alias("to"))
         split = split.join(sofar, "name", "left").withColumn("label", F.coalesce("to", "name")).drop("to")
@@ -316,11 +345,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = blocks.alias("x").join(blocks.alias("y"), F.expr("x.root = y.root AND x.block < y.block AND NOT (x.least = x.most AND y.least = y.most AND x.least = y.least)"))
         pairs = materialise(pairs.select("x.root", F.col("x.block").alias("i"), F.col("y.block").alias("j")), owner)
         rest = pairs.select("root", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).union(pairs.select("root", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
-        more = rest.join(split, ["root", "block"]).select(*cols).groupBy("root", "i", "j").applyInArrow(_tree_task(percent), schema)
+        more = rest.join(split, ["root", "block"]).select(*cols).groupBy("root", "i", "j").applyInArrow(tidy(_tree_task(percent)), schema)
         links = links.unionByName(materialise(more, owner))
     classes = components(links, owner).select(F.col("node").alias("name"), F.col("root").alias("to"))
     named = found.select("doc_id", "n", "name").join(classes, "name", "left").withColumn("component", F.coalesce("to", "name"))
-    least = named.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # written first, so that the join's own exchange can be split where one component holds much of the table
+    least = materialise(named.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")), owner)
     return named.filter("n > 0").join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(
         found.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     )

@@ -33,8 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
-from .textarrays import _power, byte_table, mix, runs, utf8
+from .scratch import steady
+from .textarrays import _power, byte_table, mix, runs, tidy, utf8
 
 LENGTH, GRAM = 50, 24
 CHUNK = 1 << 20
@@ -386,12 +386,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     bits = min(16, max(6, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))) + 1))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
-        rows = materialise(rows, owner)  # chunks are named by the place of their rows, which a shuffle may change
-    texts = rows.mapInArrow(_texts, "chunk string, bytes binary, starts binary, ids binary, nulls binary").groupBy("chunk")
-    hashes = rows.mapInArrow(_hashes(bits), "chunk string, kind int, bucket int, packed binary")
-    answers = hashes.groupBy("kind", "bucket").applyInArrow(_answers, "chunk string, kind int, bucket int, packed binary")
-    shared = texts.cogroup(answers.groupBy("chunk")).applyInArrow(_shared_runs(bits), _RUNS)
-    cuts = shared.groupBy("bucket").applyInArrow(_judge, "chunk string, cuts binary")
+    rows = steady(rows, owner)  # chunks are named by the place of their rows
+    texts = rows.mapInArrow(tidy(_texts), "chunk string, bytes binary, starts binary, ids binary, nulls binary").groupBy("chunk")
+    hashes = rows.mapInArrow(tidy(_hashes(bits)), "chunk string, kind int, bucket int, packed binary")
+    answers = hashes.groupBy("kind", "bucket").applyInArrow(tidy(_answers), "chunk string, kind int, bucket int, packed binary")
+    shared = texts.cogroup(answers.groupBy("chunk")).applyInArrow(tidy(_shared_runs(bits)), _RUNS)
+    cuts = shared.groupBy("bucket").applyInArrow(tidy(_judge), "chunk string, cuts binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return texts.cogroup(cuts.groupBy("chunk")).applyInArrow(_cut_texts(with_text), schema)
+    return texts.cogroup(cuts.groupBy("chunk")).applyInArrow(tidy(_cut_texts(with_text)), schema)

@@ -1,8 +1,8 @@
 """Written intermediate tables in the folder that driver and executors share.
 
 ``materialise`` cuts lineage by writing Parquet below ``spark.checkpoint.dir``: a lost executor costs
-nothing but a reread. The setting is read from the session; only where it is unset (tests on one machine)
-a temporary folder of this process stands in.
+nothing but a reread. The setting is read from the session; only where it is unset and Spark runs in one process (tests)
+a temporary folder of this process stands in. On a cluster without the setting it is an error: executors share no local folder.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def root(spark: SparkSession) -> str:
     """The shared folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="driftloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -34,6 +36,11 @@ def materialise(df: DataFrame, owner: str = "query") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def steady(df: DataFrame, owner: str = "query") -> DataFrame:
+    """``df``, written first if a shuffle makes it: a task that runs again must read the same rows in the same order."""
+    return materialise(df, owner) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def release(owner: str = "query") -> None:
     """Delete the tables of ``owner``; call it only when nothing unread depends on them."""
     for spark, path in _written.pop(owner, []):

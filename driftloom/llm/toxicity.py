@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialise
-from .textarrays import byte_table, hash_sums, mix, run_hashes, runs, spans_of, utf8
+from .textarrays import byte_table, hash_sums, mix, run_hashes, runs, spans_of, tidy, utf8
 
 SAMPLE = 8000
 #: A feature must occur in so many documents of the sample, near copies counted once.
@@ -266,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
     rows = materialise(rows.select("doc_id", "text", "label"), owner)
-    seen = rows.mapInArrow(_signatures, "doc_id long, label int, least binary").toArrow()
+    seen = rows.mapInArrow(tidy(_signatures), "doc_id long, label int, least binary").toArrow()
     if not seen.num_rows:
         return NOTHING
     seen = seen.sort_by([("doc_id", "ascending"), ("least", "ascending")])
@@ -274,10 +274,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids, marks = seen["doc_id"].to_numpy(), seen["label"].to_numpy() > 0
     base = float((weight * marks).sum() / weight.sum())
     weights = dict(zip(ids.tolist(), weight.tolist(), strict=True))
-    counted = rows.mapInArrow(_counted(weights), "feature long, docs double, toxic double").groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+    counted = rows.mapInArrow(tidy(_counted(weights)), "feature long, docs double, toxic double").groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
     vocab = counted.filter((F.col("docs") > LEAST_DOCS - 0.5) & (F.col("toxic") > F.col("docs") * base)).select("feature").toArrow()["feature"].to_numpy()
     vocab = np.sort(vocab.view(np.uint64))
-    found = rows.mapInArrow(_places(vocab), "doc_id long, label int, n int, places binary, sentence binary").toArrow()
+    found = rows.mapInArrow(tidy(_places(vocab)), "doc_id long, label int, n int, places binary, sentence binary").toArrow()
     found = found.sort_by([("doc_id", "ascending"), ("places", "ascending"), ("sentence", "ascending")])
     marks = (found["label"].to_numpy() > 0).astype(int)
     counts = found["n"].to_numpy().astype(np.int64)
@@ -330,7 +330,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(scores), "predicted": pa.array((scores >= 0.5).astype(np.int32)), "offending": pa.array(places, pa.string())})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int, offending string")
+    return rows.mapInArrow(tidy(run), "doc_id long, score double, predicted int, offending string")
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -342,4 +342,4 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
         for batch in batches:
             yield batch.filter(pa.array(judge(batch.column(place))[0] < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
