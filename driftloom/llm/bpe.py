@@ -12,7 +12,8 @@ Decoding is a state machine that takes ids one after another: with the file's de
 spaces, as the tokenizers library does; ``TextMachine`` turns the same ids back to text, holding at most the bytes of
 one unfinished character.
 
-Defined results: null counts as empty; an empty text has no ids and decodes to an empty text; repeated rows give repeated
+Defined results: a null id passes; ties don't arise (merges are ranked); a very long text is encoded in pieces, only a run without white
+space is held as a whole; null counts as empty; an empty text has no ids and decodes to an empty text; repeated rows give repeated
 results; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import codecs
 import functools
 import hashlib
+import itertools
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
@@ -31,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textarrays import tidy
+
 END = "</w>"
 #: Entries of the tables of remembered runs and pairs; a full table is emptied.
 REMEMBERED = 200_000
@@ -73,6 +77,9 @@ class Codec:
         self.longest = max(len(t.removesuffix(END)) for t in self.usable)
         self.tails = {t[i:] for t in self.usable for i in range(len(t.removesuffix(END)))}
         self.lookahead = self._lookahead(pairs)
+        self.room = self.lookahead + 2 * self.longest
+        self.span = {t: len(t.removesuffix(END)) for t in self.usable}
+        self.raw = {t: self.vocab[t].to_bytes(4, "little") for t in self.usable}
         self._fits: dict[tuple[str, str], bool] = {}
         self._runs: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
@@ -132,40 +139,44 @@ class Codec:
         return known
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
-        """The tokens of one word, given symbol by symbol, in memory that doesn't grow with the word."""
-        window, tokens = "", [""]  # tokens[i]: the last token of the first i symbols of the window; "" at its start
-        before = ""  # the token before the window
-        room = self.lookahead + 2 * self.longest
-        held = None
+        """The tokens of one word, given symbol by symbol: the transducer, in a window that doesn't grow with the word."""
+        tokens, before = [""], ""  # tokens[i]: the last token of the first i symbols of the window; before: the token before the window
         source = iter(symbols)
-        while True:
-            symbol = next(source, None)
-            if held is not None:
-                window += held
-                tokens.append(self._last(window, tokens, before, symbol is None))
-                if len(window) > room:
-                    stable = self._agreed(tokens)
-                    if stable:
-                        out = self._path(tokens, stable)
-                        yield from out
-                        before, window, tokens = out[-1], window[stable:], ["", *tokens[stable + 1 :]]
-                    room = len(window) + self.lookahead
-            if symbol is None:
-                break
-            held = symbol
-        if window:
-            yield from self._path(tokens, len(window))
-
-    def _last(self, window: str, tokens: list[str], before: str, ends: bool) -> str:
-        n, end = len(window), END if ends else ""
-        i = n - 1
-        while i >= 0 and (piece := window[i:] + end) in self.tails:
-            if (token := self.usable.get(piece)) and (i == 0 or tokens[i]):
-                left = tokens[i] if i else before
-                if not left or self.fits(left, token):
-                    return token
-            i -= 1
-        return ""  # no way to end a token here
+        window, ahead = "".join(itertools.islice(source, self.room)), next(source, None)
+        while ahead is not None:
+            self._extend(window, tokens, before, False)
+            stable = self._agreed(tokens)
+            if stable:
+                out = self._path(tokens, stable)
+                yield from out
+                before, window, tokens = out[-1], window[stable:], ["", *tokens[stable + 1 :]]
+            window += ahead + "".join(itertools.islice(source, self.lookahead))
+            ahead = next(source, None)
+        self._extend(window, tokens, before, True)
+        yield from self._path(tokens, len(window))
+
+    def _extend(self, window: str, tokens: list[str], before: str, ends: bool) -> None:
+        """The transducer's steps: the last token of each prefix of the window that has none yet."""
+        tails, usable, known, n = self.tails, self.usable.get, self._fits.get, len(window)
+        for j in range(len(tokens), n + 1):
+            end = END if ends and j == n else ""
+            last = ""  # no way to end a token here
+            for i in range(j - 1, -1, -1):
+                piece = window[i:j] + end
+                if piece not in tails:
+                    break
+                token = usable(piece)
+                if token:
+                    left = tokens[i] if i else before
+                    if left:
+                        fit = known((left, token))
+                        if self.fits(left, token) if fit is None else fit:
+                            last = token
+                            break
+                    elif not i:
+                        last = token
+                        break
+            tokens.append(last)
 
     def _agreed(self, tokens: list[str]) -> int:
         """The last place that lies on the paths of all live prefixes."""
@@ -173,44 +184,27 @@ class Codec:
         while len(live) > 1:
             i = max(live)
             live.remove(i)
-            live.add(i - len(tokens[i].removesuffix(END)))
+            live.add(i - self.span[tokens[i]])
         return live.pop() if live else 0
 
-    @staticmethod
-    def _path(tokens: list[str], i: int) -> list[str]:
-        out = []
+    def _path(self, tokens: list[str], i: int) -> list[str]:
+        out, span = [], self.span
         while i > 0:
-            out.append(tokens[i])
-            i -= len(tokens[i].removesuffix(END))
-        return out[::-1]
+            token = tokens[i]
+            out.append(token)
+            i -= span[token]
+        out.reverse()
+        return out
 
     def word_ids(self, word: str) -> bytes:
         """The ids of one pre-token."""
         shown = word.encode().decode("latin-1").translate(self._shown)
-        if len(shown) > self.lookahead:
-            return b"".join(self.vocab[t].to_bytes(4, "little") for t in self.stream(shown))
-        # the transducer's steps for a word that its window holds as a whole
-        tails, usable, known, n = self.tails, self.usable.get, self._fits.get, len(shown)
-        tokens = [""] * (n + 1)
-        for j in range(1, n + 1):
-            end = END if j == n else ""
-            for i in range(j - 1, -1, -1):
-                piece = shown[i:j] + end
-                if piece not in tails:
-                    break
-                token = usable(piece)
-                if token:
-                    if not i:
-                        tokens[j] = token
-                        break
-                    left = tokens[i]
-                    if left:
-                        fit = known((left, token))
-                        if self.fits(left, token) if fit is None else fit:
-                            tokens[j] = token
-                            break
-        out = b"".join([self.vocab[t].to_bytes(4, "little") for t in self._path(tokens, n)])
-        if n <= 64:
+        if len(shown) > self.room:
+            return b"".join([self.raw[t] for t in self.stream(shown)])
+        tokens = [""]  # the window holds the word as a whole
+        self._extend(shown, tokens, "", True)
+        out = b"".join([self.raw[t] for t in self._path(tokens, len(shown))])
+        if len(shown) <= 64:
             if len(self._words) >= REMEMBERED:
                 self._words.clear()
             self._words[word] = out
@@ -261,11 +255,11 @@ class Codec:
 
 
 def _cut(text: str) -> Iterator[str]:
-    """Pieces of a text that end at white space before an ASCII letter or digit, where nothing crosses."""
+    """Pieces of a text that end at white space before a letter or digit of any script, where nothing crosses."""
     at = 0
     while len(text) - at > PIECE:
         end = at + PIECE
-        while end < len(text) and not (text[end - 1] in " \n\t" and text[end].isascii() and text[end].isalnum()):
+        while end < len(text) and not (text[end - 1] in " \n\t" and text[end].isalnum()):
             end += 1
         yield text[at:end]
         at = end
@@ -351,4 +345,4 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_pydict(cols)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + kept)
+    return rows.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + kept)
