@@ -20,7 +20,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the multiple-instance model, learnt from the labels' training part, calls toxic go."""
     release(OWNER)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~toxicity.held_out("doc_id"))
-    return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
+    return toxicity.keep_clean(docs, toxicity.fit(docs, labels, owner=OWNER))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
