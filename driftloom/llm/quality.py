@@ -1,15 +1,18 @@
 """Quality by weak labels.
 
 Overlapping heuristics each vote good, bad or abstain on a document. Expectation-maximisation over the counts of all vote
-patterns of the whole corpus (at most 3 ** 7 of them, aggregated in Spark) estimates the share of good documents
-and, for each labeller, how it votes on good and on bad ones, under a prior that keeps the two classes what they are and that outweighs
-the votes at every size, so the labellers' accuracies are essentially set by hand (see ``learn_labels``); no true label is used. The posterior of each pattern then labels
-documents, and these soft labels train a hashed linear scorer (words, word endings and word shapes, as shares of the
+patterns of the whole corpus (at most 3 ** 7 of them, aggregated in Spark) estimates latent classes of documents: their
+shares and, for each class and labeller, how it votes. Two models are fitted, both from the votes alone and with a
+twentieth of a document a cell as the only prior: one class of bad documents whose faults are independent, and a class of bad documents for
+each labeller's fault, which also takes in labellers that see the same fault. The better one by Akaike's information
+criterion stays; the class with the fewest bad votes is the good one. No true label is used. The posterior of each pattern then
+labels documents, and these soft labels train a hashed linear scorer (words, word endings and word shapes, as shares of the
 document's words), which scores every document.
 
 The scorer's fit uses a documented bounded sample: the ``SAMPLE`` documents with the smallest md5 of their id.
 
-Defined results: null counts as empty; a text without words has posterior and score 0 and is not kept; repeated rows
+Defined results: null ids pass (the fit leaves them out); ties don't arise; a very long text is scored in one piece, in memory of
+its own size; null counts as empty; a text without words has posterior and score 0 and is not kept; repeated rows
 score alike; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -23,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import LOWER, SPACE, byte_table, mix, run_hashes, runs, spans_of, utf8
+from .textarrays import LOWER, SPACE, byte_table, mix, run_hashes, runs, spans_of, tidy, utf8
 
 SAMPLE = 4000
 BUCKETS = 1 << 17
-ROUNDS = 200
+#: Rounds of EM at most; pseudo-documents of each cell.
+ROUNDS, PRIOR = 500, 0.05
 #: Name, measure, and where it votes: good within the first range, bad outside the second, else abstain.
 LABELLERS = (
     ("symbols", 0, (0.0, 0.08), (0.0, 0.30)),  # of # $ % & * and the like, for each word
@@ -100,37 +104,62 @@ def pattern_of(vote: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Share of good documents and, for class (0 bad, 1 good) and labeller, how often it votes each way."""
+    """Share of each latent class (the good one first) and, for class and labeller, how often it votes each way."""
 
-    good: float
-    table: np.ndarray
+    shares: np.ndarray
+    classes: np.ndarray
 
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+    @property
+    def good(self) -> float:
+        return float(self.shares[0])
+
+    @property
+    def table(self) -> np.ndarray:
+        """For bad (0) and good (1) documents and each labeller, how often it votes each way."""
+        bad = self.shares[1:] / self.shares[1:].sum()
+        return np.stack([np.tensordot(bad, self.classes[1:], 1), self.classes[0]])
+
+    def logs(self, patterns: np.ndarray) -> np.ndarray:
+        """Log probability of each pattern with each class."""
         vote = patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
-        logs = np.log(np.array([1 - self.good, self.good])) + np.stack([np.log(self.table[c, np.arange(len(LABELLERS)), vote]).sum(1) for c in (0, 1)], axis=1)
-        return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -700, 700)))
+        return np.log(self.shares) + np.stack([np.log(c[np.arange(len(LABELLERS)), vote]).sum(1) for c in self.classes], axis=1)
 
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        """Probability that a document with this pattern is good."""
+        logs = self.logs(patterns)
+        return np.exp(logs[:, 0] - np.logaddexp.reduce(logs, axis=1))
 
-def learn_labels(patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
-    """Expectation-maximisation over vote patterns; it starts from: bad if any labeller says so."""
+
+def _latent_classes(patterns: np.ndarray, counts: np.ndarray, belong: np.ndarray) -> tuple[LabelModel, float]:
+    """Expectation-maximisation from the memberships ``belong``; the model and its information criterion."""
     vote = patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
-    p = np.where((vote == 2).any(1), 0.1, 0.9)
-    # Two labellers that see the same fault would else take the class over: a prior heavier than the data says
-    # that a heuristic hardly ever calls a good document bad, and that each sees about its share of the bad ones.
-    prior = np.array([[0.2, 0.8 - 1 / len(LABELLERS), 1 / len(LABELLERS)], [0.199, 0.8, 0.001]]) * np.array([[1.0], [10.0]])
-    prior = np.repeat(prior[:, None, :], len(LABELLERS), axis=1) * (counts.sum() + 1.0)
+    each = np.stack([vote == v for v in range(3)], axis=2).astype(float)
+    last = -np.inf
     for _ in range(ROUNDS):
-        table = prior.copy()
-        for c, weight in ((0, counts * (1 - p)), (1, counts * p)):
-            for v in range(3):
-                table[c, :, v] += (weight[:, None] * (vote == v)).sum(0)
-        table /= table.sum(2, keepdims=True)
-        model = LabelModel(float((counts * p).sum() + 0.5) / float(counts.sum() + 1), table)
-        new = model.posterior(patterns)
-        if np.abs(new - p).max() < 1e-9:
+        weight = belong * counts[:, None]
+        table = np.einsum("pc,plv->clv", weight, each) + PRIOR
+        shares = weight.sum(0) + 1.0
+        model = LabelModel(shares / shares.sum(), table / table.sum(2, keepdims=True))
+        logs = model.logs(patterns)
+        total = np.logaddexp.reduce(logs, axis=1)
+        belong = np.exp(logs - total[:, None])
+        fit = float(counts @ total)
+        if fit - last < 1e-7 * abs(fit):
             break
-        p = new
-    return model
+        last = fit
+    order = np.argsort(model.classes[:, :, 2].sum(1), kind="stable")  # fewest bad votes first
+    used = ((np.einsum("pc,plv->clv", belong * counts[:, None], each) > 1).sum(2) - 1).clip(0).sum() + belong.shape[1] - 1  # parameters that documents speak to
+    return LabelModel(model.shares[order], model.classes[order]), fit - float(used)
+
+
+def learn_labels(patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
+    """The better of both models (see the module); they start from: good if no labeller says bad, else bad by these faults."""
+    bad = patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 == 2
+    good = np.where(bad.any(1), 0.1, 0.9)
+    start = np.stack([good, 1 - good], axis=1)
+    faults = np.where(bad.any(1)[:, None], bad / np.maximum(bad.sum(1), 1)[:, None], 1 / len(LABELLERS))
+    both = [_latent_classes(patterns, counts, start), _latent_classes(patterns, counts, np.concatenate([good[:, None], (1 - good)[:, None] * faults], axis=1))]
+    return max(both, key=lambda x: x[1])[0]
 
 
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -181,10 +210,10 @@ def _bags(ids: pa.Array, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Label model over all documents, scorer over the bounded sample."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = rows.mapInArrow(_scan(_patterns), "pattern long").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    labels = learn_labels(seen["pattern"].to_numpy(), seen["n"].to_numpy(float)) if len(seen) else LabelModel(0.5, np.full((2, len(LABELLERS), 3), 1 / 3))
+    seen = rows.mapInArrow(tidy(_scan(_patterns)), "pattern long").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    labels = learn_labels(seen["pattern"].to_numpy(), seen["n"].to_numpy(float)) if len(seen) else LabelModel(np.full(2, 0.5), np.full((2, len(LABELLERS), 3), 1 / 3))
     chosen = rows.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
-    got = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(_scan(_bags), "doc_id long, pattern long, which binary, share binary").toArrow()  # at most ``sample`` ids
+    got = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(tidy(_scan(_bags)), "doc_id long, pattern long, which binary, share binary").toArrow()  # at most ``sample`` ids
     if not got.num_rows:
         return Model(labels, np.zeros(BUCKETS), 0.0)
     got = got.sort_by([("doc_id", "ascending"), ("which", "ascending")])
@@ -220,4 +249,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         return pa.RecordBatch.from_pydict({"doc_id": ids, "posterior": pa.array(posterior), "score": pa.array(out), "predicted": pa.array(good.astype(np.int32)), "kept": pa.array(good)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scan(work), "doc_id long, posterior double, score double, predicted int, kept boolean")
+    return rows.mapInArrow(tidy(_scan(work)), "doc_id long, posterior double, score double, predicted int, kept boolean")

@@ -9,7 +9,7 @@ tells which sentences are offending.
 A word (a run of letters; A-Z lower-cased, all bytes of other characters count as letters) has as features itself and its
 first 4 to 8 bytes, so inflected and compound forms of a learnt stem count too. Features are told apart by 64-bit hashes
 and kept as a sorted array that is looked up exactly: unknown words never share a weight with learnt ones. A feature takes part
-if it occurs in ``LEAST_DOCS`` documents and more often in toxic ones than in all; an L1 penalty leaves those without a
+if it occurs in ``LEAST_DOCS`` documents and in ``LEAST_EVIDENCE`` more toxic ones than their share of all; an L1 penalty leaves those without a
 weight that add less evidence than ``LEAST_EVIDENCE`` documents. Weights are not negative: no context excuses a toxic word.
 
 Near copies count once: a document of the fit weighs 1 / (documents of its group), where groups are joined by at least
@@ -43,6 +43,8 @@ LEAST_DOCS = 3
 #: Bytes of a word's beginnings that are features beside the word.
 STEMS = (4, 5, 6, 7, 8)
 MINHASHES, AGREE, BAND = 16, 8, 2
+#: Bytes of text that are worked on at once.
+PART = 1 << 19
 #: Weight that a sentence needs to be as likely toxic as not.
 BAR = 4.0
 #: Evidence, in documents, that a feature must add to get a weight at all (an L1 penalty), and the L2 penalty.
@@ -192,7 +194,7 @@ def _by_row(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, np.nd
     for batch in batches:
         data, at = utf8(batch.column(1))
         ids, marks = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        for i, j in runs(at):
+        for i, j in runs(at, PART):
             found, _, sentence, first = bag(data[at[i] : at[j]], at[i : j + 1] - at[i])
             for k in range(j - i):
                 yield int(ids[i + k]), int(marks[i + k]), found[first[k] : first[k + 1]], sentence[first[k] : first[k + 1]]
@@ -275,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     base = float((weight * marks).sum() / weight.sum())
     weights = dict(zip(ids.tolist(), weight.tolist(), strict=True))
     counted = rows.mapInArrow(tidy(_counted(weights)), "feature long, docs double, toxic double").groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
-    vocab = counted.filter((F.col("docs") > LEAST_DOCS - 0.5) & (F.col("toxic") > F.col("docs") * base)).select("feature").toArrow()["feature"].to_numpy()
+    vocab = counted.filter((F.col("docs") > LEAST_DOCS - 0.5) & (F.col("toxic") > F.col("docs") * base + LEAST_EVIDENCE)).select("feature").toArrow()["feature"].to_numpy()
     vocab = np.sort(vocab.view(np.uint64))
     found = rows.mapInArrow(tidy(_places(vocab)), "doc_id long, label int, n int, places binary, sentence binary").toArrow()
     found = found.sort_by([("doc_id", "ascending"), ("places", "ascending"), ("sentence", "ascending")])
@@ -296,7 +298,7 @@ def _judged(model: Model):
     def judge(column: pa.Array) -> tuple[np.ndarray, list[str]]:
         data, at = utf8(column)
         scores, places = np.zeros(len(column)), [""] * len(column)
-        for i, j in runs(at):
+        for i, j in runs(at, PART):
             part, rel = data[at[i] : at[j]], at[i : j + 1] - at[i]
             found, starts, sentence, first = bag(part, rel)
             if not len(found):

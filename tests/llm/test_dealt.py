@@ -553,6 +553,66 @@ def test_label_model_finds_planted_accuracies():
     assert (said[flagged] < 0.5).mean() > 0.99 and (said[~flagged] > 0.5).all()
 
 
+@pytest.mark.parametrize(
+    ("share", "wrong", "right"),
+    [(0.5, [0.05] * 4 + [0.3] * 3, [0.8] * 7), (0.5, [0.05] * 4 + [0.3] * 3, [0.5, 0.6, 0.7, 0.8, 0.9, 0.9, 0.9]), (0.8, [0.1] * 7, [0.7] * 7)],
+)
+def test_label_model_recovers_other_accuracies(share, wrong, right):
+    rng = np.random.default_rng(4)
+    good = rng.random(40000) < share
+    bad_vote = rng.random((40000, 7)) < np.where(good[:, None], wrong, right)
+    seen = quality.pattern_of(np.where(bad_vote, 2, 1))
+    patterns, counts = np.unique(seen, return_counts=True)
+    model = quality.learn_labels(patterns, counts.astype(float))
+    assert abs(model.good - share) < 0.03
+    assert np.abs(model.table[1, :, 2] - wrong).max() < 0.03 and np.abs(model.table[0, :, 2] - right).max() < 0.03
+    assert ((model.posterior(seen) > 0.5) == good).mean() > 0.95
+
+
+def test_label_model_with_labellers_of_one_fault():
+    """A bad document has one fault; the first two labellers, and the next two, see the same one."""
+    rng = np.random.default_rng(5)
+    fault = rng.choice(6, 40000, p=[0.85, 0.03, 0.03, 0.03, 0.03, 0.03])
+    sees = np.array([[0.01] * 7, [0.9, 0.85] + [0.01] * 5, [0.01] * 2 + [0.9, 0.8] + [0.01] * 3, *[[0.01] * 4 + [0.9 if i == j else 0.01 for j in range(3)] for i in range(3)]])
+    bad_vote = rng.random((40000, 7)) < sees[fault]
+    seen = quality.pattern_of(np.where(bad_vote, 2, 1))
+    patterns, counts = np.unique(seen, return_counts=True)
+    said = quality.learn_labels(patterns, counts.astype(float)).posterior(seen) > 0.5
+    assert (said == (fault == 0)).mean() > 0.93 and not said[(fault > 0) & bad_vote[:, 0] & bad_vote[:, 1]].any()
+
+
+def plain_em(patterns, counts, belong):
+    """One latent class model by loops, to hold the vectorised one against."""
+    k = len(quality.LABELLERS)
+    for _ in range(300):
+        n = belong.shape[1]
+        shares, table = np.ones(n), np.full((n, k, 3), quality.PRIOR)
+        for p, m, b in zip(patterns.tolist(), counts.tolist(), belong, strict=True):
+            for c in range(n):
+                shares[c] += m * b[c]
+                for j in range(k):
+                    table[c, j, p // 3**j % 3] += m * b[c]
+        shares /= shares.sum()
+        table /= table.sum(2, keepdims=True)
+        new = np.array([[shares[c] * np.prod([table[c, j, p // 3**j % 3] for j in range(k)]) for c in range(n)] for p in patterns.tolist()])
+        new /= new.sum(1, keepdims=True)
+        if np.abs(new - belong).max() < 1e-7:
+            break
+        belong = new
+    return shares, table
+
+
+def test_label_model_equals_plain_em():
+    rng = np.random.default_rng(6)
+    patterns = np.unique(quality.pattern_of(rng.integers(0, 3, (60, 7))))
+    counts = rng.integers(1, 50, len(patterns)).astype(float)
+    start = rng.dirichlet([1, 1], len(patterns))
+    model, _ = quality._latent_classes(patterns, counts, start)
+    shares, table = plain_em(patterns, counts, start)
+    order = np.argsort(table[:, :, 2].sum(1), kind="stable")
+    assert np.abs(model.shares - shares[order]).max() < 0.02 and np.abs(model.classes - table[order]).max() < 0.02
+
+
 def test_quality_odd(odd, none):
     model = quality.fit(odd)
     got = quality.score(odd, model)
