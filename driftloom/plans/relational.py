@@ -141,9 +141,9 @@ def row_mask(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), rounded(F.corr("x", "acc_drop")).alias("r"))
 
 
-@query("b12_classes_with_two", "SELECT label, n FROM (SELECT label, count(*) AS n FROM embeddings WHERE vec_id < 40 GROUP BY label) WHERE n >= 2")
+@query("b12_classes_with_two", "SELECT label, n FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label) WHERE n >= 2")
 def classes_with_two(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").filter("vec_id < 40").groupBy("label").agg(F.count("*").alias("n")).filter("n >= 2")
+    return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n")).filter("n >= 2")
 
 
 @query("b13_case_labels", with_rec("SELECT dataset, backbone, tag, CASE WHEN acc_drop > 0.2 THEN 'fails' WHEN acc_drop > 0.05 THEN 'degrades' ELSE 'holds' END AS verdict, CASE WHEN drift < 0.001 THEN '***' WHEN drift < 0.01 THEN '**' WHEN drift < 0.05 THEN '*' ELSE 'n.s.' END AS stars FROM rec"))
