@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
@@ -291,7 +291,7 @@ def training_windows(text: str, seed: int) -> list[tuple[str, list[Span]]]:
             if len(body) <= WIDTH:
                 out.append((window, [(kind, len(left), len(left) + len(body))]))
     taken = tags_of(len(text), spans)
-    for m in list(re.finditer(r"[0-9]+", text))[:4]:
+    for m in re.finditer(r"[0-9]+", text):
         lo = max(0, m.start() - (seed + m.start()) % 30)
         window = text[lo : lo + WIDTH]
         if not taken[lo : lo + WIDTH].any():
@@ -309,7 +309,7 @@ def plausible(kind: str, text: str) -> bool:
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 16 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9]+(?:[ .-]?[0-9]+)*", text))
-    return bool(re.fullmatch(r"(?:[0-9]{1,3}[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", text))
+    return 8 <= len(d) <= 15 and bool(re.fullmatch(r"\+?(?:[0-9]{1,3}[ .-])?(?:\([0-9]{1,5}\) ?)?[0-9]{2,5}(?:[ .-][0-9]{2,5}){1,5}", text))
 
 
 def windows_of(text: str) -> list[int]:
@@ -380,7 +380,7 @@ def listed(spans: list[Span]) -> str:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, windows: int = WINDOWS) -> Tagger:
-    """A tagger from the ``sample`` documents with the smallest md5 of their id: at most ``windows`` windows."""
+    """A tagger from the ``sample`` documents with the smallest md5 of their id: at most ``windows`` windows, as many of each kind and of none."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chosen = rows.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
 
@@ -389,7 +389,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
             ids, texts, spans, order = [], [], [], []
             for k in range(batch.num_rows):
                 doc, text = batch.column(0)[k].as_py(), batch.column(1)[k].as_py() or ""
-                for n, (window, own) in enumerate(training_windows(text, doc % 1009)[:12]):
+                for n, (window, own) in enumerate(training_windows(text, doc % 1009)):
                     ids.append(doc)
                     order.append(n)
                     texts.append(window)
@@ -397,7 +397,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(order, pa.int32()), "text": pa.array(texts, pa.string()), "spans": pa.array(spans, pa.string())})
 
     made = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(label, "doc_id long, n int, text string, spans string")  # at most ``sample`` ids
-    got = made.orderBy(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("n").cast("string"), "text")), "text").limit(windows).collect()
+    order = [F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("n").cast("string"), "text")), F.col("text"), F.col("spans")]
+    made = made.withColumn("place", F.row_number().over(Window.partitionBy(F.substring_index("spans", ":", 1)).orderBy(*order)))
+    got = made.filter(F.col("place") <= windows // (len(KINDS) + 1)).orderBy(*order).limit(windows).collect()
     return train([(r["text"], [(k, int(a), int(e)) for k, a, e in (s.split(":") for s in r["spans"].split(",") if s)]) for r in got])
 
 
