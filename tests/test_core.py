@@ -246,12 +246,12 @@ def test_silhouette_equals_all_pairs(spark):
 
 def test_bootstrap_has_auc_precision_and_f1(spark, sf):
     from driftloom.plans.metrics import auc, best_f1, curve
-    from driftloom.plans.resampling import B, bootstrap_rows
+    from driftloom.plans.resampling import AUC, bootstrap_rows
     from driftloom.registry import queries
 
     got = {r["metric"]: r for r in queries()["o3_bootstrap_auc"](spark, sf).collect()}
     rows = records(spark, sf).select(F.lit("all").alias("g"), "dataset", "backbone", "tag", "failure", F.col("drift").alias("score"))
-    drawn = bootstrap_rows(rows, ["g"], ["dataset", "backbone", "tag"], B, "auc")
+    drawn = bootstrap_rows(rows, ["g"], ["dataset", "backbone", "tag"], AUC, "auc")
     c = curve(drawn, ["replicate"]).filter("p > 0 AND n > 0").groupBy("replicate").agg(F.sum(F.expr("dp / p * tp / (tp + fp)")).alias("a"))
     want = {"roc_auc": auc(drawn, ["replicate"]).agg(F.avg("auc")), "avg_precision": c.agg(F.avg("a")), "best_f1": best_f1(drawn, ["replicate"]).agg(F.avg("best_f1"))}
     assert set(got) == set(want)
