@@ -194,6 +194,34 @@ def test_ann_recall(spark):
         assert found == sorted(found, key=lambda x: (-x[1], x[0]))
 
 
+@pytest.mark.parametrize("kind", ["unit", "gaussian", "log-normal norms", "clusters"])
+def test_ann_recall_whatever_the_norms(spark, kind):
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((4000, 64))
+    if kind != "gaussian":
+        v /= np.linalg.norm(v, axis=1)[:, None]
+    if kind == "log-normal norms":
+        v *= np.exp(rng.standard_normal(len(v)))[:, None]
+    if kind == "clusters":
+        v = rng.standard_normal((30, 64))[rng.integers(0, 30, len(v))] + 0.8 * v
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+        assert r["score"] == pytest.approx(float(v[r["query_id"]] @ v[r["vec_id"]]), rel=1e-12, abs=1e-12)
+    want = exact_nearest(enumerate(v.tolist()), 20)
+    assert sum(len(got[q] & {i for i, _ in w}) for q, w in want.items()) >= 0.9 * 20 * len(want)
+
+
+def test_ann_huge_and_tiny_components(spark):
+    rows = [(i, [s * (1 + i), -s, 0.0]) for s in (1e25, 1e150, 1e-200) for i in range(0, 40)]
+    rows = [(n, v) for n, (_, v) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("layer", F.lit("x"))
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect()}
+    want = exact_nearest(rows, 20)
+    assert len(want) == 6 and {q: [got[q, r] for r in range(1, 21)] for q in want} == {q: [i for i, _ in w] for q, w in want.items()}
+
+
 def test_ann_few_rows_and_ties(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 2.0]), (40, [-1.0, 0.0]), (40, [-1.0, 0.0]), (60, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("shard", F.lit(1))
