@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The stem of a perturbation's tag, where it isn't the perturbation's name.
 STEMS = {"gaussian_blur": "blur", "defocus_blur": "defocus", "illumination": "brightness", "red_channel_shift": "color_shift"}
@@ -13,16 +16,24 @@ FAMILIES = {"blur": "gaussian_blur", "defocus": "defocus_blur", "brightness": "i
 PLAIN = ("compound_optical", "compound_digital", "compound_field", "green_channel_shift", "blue_channel_shift", "gaussian_noise", "shot_noise", "impulse_noise", "motion_blur", "zoom_blur")
 #: Perturbations whose severity is a whole number in the tag.
 WHOLE = ("gaussian_blur", "defocus_blur", "jpeg", "color_shift", "red_channel_shift", "green_channel_shift", "blue_channel_shift", "shot_noise", "motion_blur", "rotation")
-_ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüçñý"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuucny"
+
+
+@F.arrow_udf(StringType())
+def decomposed(text: pa.Array) -> pa.Array:
+    """Compatibility decomposition (NFKD), which Spark has no function for; null stays null."""
+    return pc.utf8_normalize(text, form="NFKD")
 
 
 def severity_key(raw: Column) -> Column:
-    """Numbers in their shortest form ("2.0" is "2", "0.10" is "0.1"), other text as it is."""
+    """Numbers in their shortest form ("2.0" is "2", "0.10" is "0.1", "1e-7" is "1e-07"), other text as it is."""
     number = raw.try_cast("double")
     whole = number == F.floor(number)
-    # six significant digits, as %g has them, for the magnitudes that severities have
-    short = F.regexp_replace(F.format_string("%.6f", number), "0+$", "")
+    # six significant digits; without an exponent from 1e-4 up to 1e6
+    scientific = F.format_string("%.5e", number)
+    power = F.regexp_extract(scientific, "e(.*)$", 1).try_cast("int")
+    trimmed = lambda c: F.regexp_replace(c, r"\.?0+$", "")
+    plain = trimmed(scientific.try_cast("decimal(20,10)").cast("string"))
+    short = F.when(power.between(-4, 5), plain).otherwise(F.concat(trimmed(F.regexp_extract(scientific, "^([^e]*)", 1)), F.regexp_extract(scientific, "(e.*)$", 1)))
     return F.when(number.isNull(), raw).when(whole, number.cast("long").cast("string")).otherwise(short)
 
 
@@ -48,9 +59,10 @@ def norm_key(name: Column) -> Column:
 
 
 def normalize_species(name: Column) -> Column:
-    """Lower case without accents (of Latin letters), other marks as one space."""
-    plain = F.translate(F.lower(name), _ACCENTED, _PLAIN)
-    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+    """Lower case without accents; underscores, slashes, hyphens and white space are one space, other marks vanish."""
+    plain = F.lower(F.regexp_replace(decomposed(name), r"\p{M}", ""))
+    spaced = F.regexp_replace(F.regexp_replace(plain, r"[_\\/-]+", " "), r"(?U)[\s\x1c-\x1f]+", " ")
+    return F.trim(F.regexp_replace(spaced, "[^a-z0-9 ]", ""))
 
 
 def real_binomial(name: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +36,11 @@ def kernel_terms(x: np.ndarray, y: np.ndarray, gamma: float) -> tuple[float, flo
     return tuple(float(np.exp(-gamma * squared(a, b)).mean()) for a, b in ((x, x), (y, y), (x, y)))
 
 
-def mmd_terms(batches: DataFrame, keys: Sequence[str], pool_cap: int = CAP, policies: Sequence[tuple[str, float]] = (("pair", 1.0),)) -> DataFrame:
+def mmd_terms(batches: DataFrame, keys: Sequence[str], pool_cap: int = CAP, policies: Sequence[tuple[str, float, bool]] = (("pair", 1.0, False),)) -> DataFrame:
     """keys, policy, gamma, k_aa, k_bb, k_ab, mmd2 of capped batches; rows have side (0 reference, 1 target), vec_id and u.
 
-    A key's rows are bounded by the caps of both sides, so one task holds them. ``policies`` scale the pair's own gamma.
+    A key's rows are bounded by the caps of both sides, so one task holds them. ``policies`` (name, factor, shared) scale the
+    pair's own gamma or, if shared, the rows' column shared_gamma.
     """
 
     def run(t: pa.Table) -> pa.Table:
@@ -49,14 +51,30 @@ def mmd_terms(batches: DataFrame, keys: Sequence[str], pool_cap: int = CAP, poli
         pool = u if len(u) <= pool_cap else u[:: -(-len(u) // pool_cap)]
         own = median_gamma(pool)
         out = []
-        for name, factor in policies:
-            aa, bb, ab = kernel_terms(u[side == 0], u[side == 1], own * factor)
-            out.append((name, own * factor, aa, bb, ab, max(aa + bb - 2 * ab, 0.0)))
+        for name, factor, shared in policies:
+            gamma = (t["shared_gamma"][0].as_py() if shared else own) * factor
+            aa, bb, ab = kernel_terms(u[side == 0], u[side == 1], gamma)
+            out.append((name, gamma, aa, bb, ab, max(aa + bb - 2 * ab, 0.0)))
         cols = list(zip(*out, strict=True))
         return pa.table({**{k: pa.array([t[k][0].as_py()] * len(out), pa.string()) for k in keys}, "policy": pa.array(cols[0]), **{n: pa.array(c) for n, c in zip(("gamma", "k_aa", "k_bb", "k_ab", "mmd2"), cols[1:], strict=True)}})
 
     schema = ", ".join(f"{k} string" for k in keys) + ", policy string, gamma double, k_aa double, k_bb double, k_ab double, mmd2 double"
-    return batches.select(*keys, "side", "vec_id", "u").groupBy(*keys).applyInArrow(run, schema)
+    more = ["shared_gamma"] if any(shared for _, _, shared in policies) else []
+    return batches.select(*keys, "side", "vec_id", "u", *more).groupBy(*keys).applyInArrow(run, schema)
+
+
+def shared_gamma(rows: DataFrame, key: str, source: str, cap: int = CAP) -> DataFrame:
+    """key, shared_gamma: one bandwidth of each key, from a capped pool that takes alike from every source."""
+    sources = rows.select(source).distinct().agg(F.greatest(F.lit(32), F.floor(F.lit(float(cap)) / F.count(F.lit(1)))).alias("_each"))
+    order = Window.partitionBy(key, source).orderBy(F.md5(F.concat(F.lit("shared|"), F.col("vec_id").cast("string"))), "vec_id")
+    some = rows.withColumn("_rank", F.row_number().over(order)).crossJoin(F.broadcast(sources)).filter("_rank <= _each")  # one row
+    pool = capped(some, [key], cap, "shared pool")
+
+    def run(t: pa.Table) -> pa.Table:
+        u = pc.list_flatten(t["u"]).to_numpy().reshape(t.num_rows, -1)
+        return pa.table({key: pa.array([t[key][0].as_py()], pa.string()), "shared_gamma": [median_gamma(u)]})
+
+    return pool.select(key, "u").groupBy(key).applyInArrow(run, f"{key} string, shared_gamma double")
 
 
 def moments(rows: DataFrame, keys: Sequence[str], dim: int) -> DataFrame:

@@ -153,11 +153,12 @@ def kmeans_grid(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = clean_bank(spark, d).filter("backbone = 'B0'").orderBy("vec_id").select(array_to_vector("x").alias("features")).coalesce(1).cache()
-    out = [(k, s, float(KMeans(k=k, seed=s, maxIter=10).fit(rows).summary.trainingCost)) for k in (2, 3, 4) for s in (1, 2)]
+    rows = clean_bank(spark, d).select("backbone", array_to_vector("x").alias("features")).cache()
+    spaces = sorted(r["backbone"] for r in rows.select("backbone").distinct().collect())  # a few names
+    out = [(b, k, s, float(KMeans(k=k, seed=s, maxIter=10).fit(rows.filter(F.col("backbone") == b)).summary.trainingCost)) for b in spaces for k in (2, 3, 4) for s in (1, 2)]
     rows.unpersist()
-    costs = spark.createDataFrame(out, "k int, seed int, cost double")
-    return costs.groupBy("k").agg(rounded(F.avg("cost"), 4).alias("mean_cost"), rounded(100 * F.stddev_pop("cost") / F.avg("cost"), 4).alias("cv_pct"))
+    costs = spark.createDataFrame(out, "backbone string, k int, seed int, cost double")
+    return costs.groupBy("backbone", "k").agg(rounded(F.avg("cost"), 4).alias("mean_cost"), rounded(100 * F.stddev_pop("cost") / F.avg("cost"), 4).alias("cv_pct"))
 
 
 @query("p15_map_metrics")

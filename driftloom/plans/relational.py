@@ -510,8 +510,8 @@ def distinct_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- I: scalar functions ----
 
-_VALUES = ("2.0", "0.10", "mild", "12", "0.05", "1e-3", "severe", "30.50")
-_KEYS = ("2", "0.1", "mild", "12", "0.05", "0.001", "severe", "30.5")
+_VALUES = ("2.0", "0.10", "mild", "12", "0.05", "1e-3", "severe", "30.50", "1e-7", "1234.56789", "0.000123456789", "-0.25", "1e-4", "2.5e9", "0.3000001")
+_KEYS = ("2", "0.1", "mild", "12", "0.05", "0.001", "severe", "30.5", "1e-07", "1234.57", "0.000123457", "-0.25", "0.0001", "2500000000", "0.3")
 
 
 @query("i1_severity_key", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(_VALUES, _KEYS, strict=True)) + ") v(raw, key)")
@@ -535,10 +535,10 @@ def families(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(t[2],) for t in _TAGS], "tag string").select("tag", family(F.col("tag")).alias("family"))
 
 
-_NAMES = (("  Pinus_sylvestris L.", "pinus sylvestris l", "pinus sylvestris l.", True), ("Fagus-Sylvatica", "fagus sylvatica", "fagus sylvatica", False), ("Quercus ÉLONGATA", "quercus elongata", "quercus élongata", False), ("Abies", "abies", "abies", False))
+_NAMES = (("  Pinus_sylvestris L.", "pinus sylvestris l", "pinus sylvestris l.", True), ("Fagus-Sylvatica", "fagus sylvatica", "fagus sylvatica", False), ("Quercus ÉLONGATA", "quercus elongata", "quercus élongata", False), ("Abies", "abies", "abies", False), ("Ulmus  Šmithœ/ﬁlia (Řř.)", "ulmus smith filia rr", "ulmus  šmithœ/ﬁlia (řř.)", False), ("Acer: O'Brien\tő", "acer obrien o", "acer: o'brien\tő", False))
 
 
-@query("i4_i5_i6_species_names", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {str(e).lower()})" for a, b, c, e in _NAMES) + ") v(name, species, key, binomial)")
+@query("i4_i5_i6_species_names", "SELECT * FROM (VALUES " + ", ".join("('{}', '{}', '{}', {})".format(*[str(x).replace("'", "''") for x in row]) for row in _NAMES) + ") v(name, species, key, binomial)")
 def species_names(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("name")
     return spark.createDataFrame([(t[0],) for t in _NAMES], "name string").select("name", normalize_species(n).alias("species"), norm_key(n).alias("key"), real_binomial(F.regexp_replace(F.trim(n), "_", " ")).alias("binomial"))

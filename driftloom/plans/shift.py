@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions.vectors import dot, unit
-from driftloom.operators.detectors import CAP, capped, ledoit_wolf, mmd_terms, moments
+from driftloom.operators.detectors import CAP, capped, ledoit_wolf, mmd_terms, moments, shared_gamma
 from driftloom.plans.base import DIM, clean_bank, neighbour_lists, paired, records, rounded, shifted_bank, with_near, with_rec, with_units
 from driftloom.registry import query
 
@@ -77,31 +77,39 @@ def _sides(spark: SparkSession, d: str, cap: int = CAP) -> DataFrame:
     return clean.unionByName(some.filter("tag <> 'clean_0'").withColumn("side", F.lit(1)))
 
 
-_MMD = """, a AS (SELECT dataset, backbone, vec_id, u FROM su WHERE tag = 'clean_0'), z AS (SELECT s.dataset, s.backbone, s.tag, 0 AS side, a.vec_id, a.u FROM a JOIN (SELECT DISTINCT dataset, backbone, tag FROM su WHERE tag <> 'clean_0') s ON a.dataset = s.dataset AND a.backbone = s.backbone UNION ALL SELECT dataset, backbone, tag, 1, vec_id, u FROM su WHERE tag <> 'clean_0'),
+_MMD = """, sc AS (SELECT dataset, backbone, tag, vec_id, u FROM su QUALIFY row_number() OVER (PARTITION BY dataset, backbone, tag ORDER BY md5('mmd|' || vec_id), vec_id) <= 512),
+a AS (SELECT dataset, backbone, vec_id, u FROM sc WHERE tag = 'clean_0'), z AS (SELECT s.dataset, s.backbone, s.tag, 0 AS side, a.vec_id, a.u FROM a JOIN (SELECT DISTINCT dataset, backbone, tag FROM sc WHERE tag <> 'clean_0') s ON a.dataset = s.dataset AND a.backbone = s.backbone UNION ALL SELECT dataset, backbone, tag, 1, vec_id, u FROM sc WHERE tag <> 'clean_0'),
 pq AS (SELECT x.dataset, x.backbone, x.tag, x.side AS s1, y.side AS s2, x.vec_id AS i, y.vec_id AS j, greatest(list_dot_product(x.u, x.u) + list_dot_product(y.u, y.u) - 2 * list_dot_product(x.u, y.u), 0.0) AS sq FROM z x JOIN z y ON x.dataset = y.dataset AND x.backbone = y.backbone AND x.tag = y.tag AND (x.side < y.side OR (x.side = y.side AND x.vec_id <= y.vec_id))),
 gm AS (SELECT dataset, backbone, tag, 1 / greatest(2 * coalesce(median(sq), 1.0), 1e-12) AS gamma FROM pq WHERE (s1 < s2 OR i < j) AND sq > 1e-12 GROUP BY ALL),
-kt AS (SELECT p.dataset, p.backbone, p.tag, g.gamma, f.policy, f.factor, avg(CASE WHEN s1 = 0 AND s2 = 0 THEN 1 END) AS one,
- sum(CASE WHEN s1 = 0 AND s2 = 0 THEN exp(-g.gamma * f.factor * CASE WHEN i = j THEN 0 ELSE sq END) * CASE WHEN i = j THEN 1 ELSE 2 END END) / sum(CASE WHEN s1 = 0 AND s2 = 0 THEN CASE WHEN i = j THEN 1 ELSE 2 END END) AS k_aa,
- sum(CASE WHEN s1 = 1 AND s2 = 1 THEN exp(-g.gamma * f.factor * CASE WHEN i = j THEN 0 ELSE sq END) * CASE WHEN i = j THEN 1 ELSE 2 END END) / sum(CASE WHEN s1 = 1 AND s2 = 1 THEN CASE WHEN i = j THEN 1 ELSE 2 END END) AS k_bb,
- avg(CASE WHEN s1 < s2 THEN exp(-g.gamma * f.factor * sq) END) AS k_ab
- FROM pq p JOIN gm g ON p.dataset = g.dataset AND p.backbone = g.backbone AND p.tag = g.tag, (VALUES ('half', 0.5::DOUBLE), ('pair', 1.0::DOUBLE), ('double', 2.0::DOUBLE)) f(policy, factor) GROUP BY ALL)
+sp AS (SELECT dataset, backbone, vec_id, u FROM su WHERE tag = 'clean_0' QUALIFY row_number() OVER (PARTITION BY backbone, dataset ORDER BY md5('shared|' || vec_id), vec_id) <= (SELECT greatest(32, 512 // count(DISTINCT dataset)) FROM su)),
+so AS (SELECT backbone, vec_id, u FROM sp QUALIFY row_number() OVER (PARTITION BY backbone ORDER BY md5('shared pool|' || vec_id), vec_id) <= 512),
+sg AS (SELECT backbone, 1 / greatest(2 * coalesce(median(d), 1.0), 1e-12) AS gamma FROM (SELECT x.backbone, list_dot_product(x.u, x.u) + list_dot_product(y.u, y.u) - 2 * list_dot_product(x.u, y.u) AS d FROM so x JOIN so y ON x.backbone = y.backbone AND x.vec_id < y.vec_id) WHERE d > 1e-12 GROUP BY backbone),
+gp AS (SELECT *, 'per_pair_median' AS policy FROM gm UNION ALL SELECT m.dataset, m.backbone, m.tag, sg.gamma * f.factor, f.policy FROM gm m JOIN sg ON m.backbone = sg.backbone, (VALUES ('global_median', 1.0::DOUBLE), ('global_median_x0.5', 0.5::DOUBLE), ('global_median_x2.0', 2.0::DOUBLE)) f(policy, factor)),
+kt AS (SELECT p.dataset, p.backbone, p.tag, g.gamma, g.policy,
+ sum(CASE WHEN s1 = 0 AND s2 = 0 THEN exp(-g.gamma * CASE WHEN i = j THEN 0 ELSE sq END) * CASE WHEN i = j THEN 1 ELSE 2 END END) / sum(CASE WHEN s1 = 0 AND s2 = 0 THEN CASE WHEN i = j THEN 1 ELSE 2 END END) AS k_aa,
+ sum(CASE WHEN s1 = 1 AND s2 = 1 THEN exp(-g.gamma * CASE WHEN i = j THEN 0 ELSE sq END) * CASE WHEN i = j THEN 1 ELSE 2 END END) / sum(CASE WHEN s1 = 1 AND s2 = 1 THEN CASE WHEN i = j THEN 1 ELSE 2 END END) AS k_bb,
+ avg(CASE WHEN s1 < s2 THEN exp(-g.gamma * sq) END) AS k_ab
+ FROM pq p JOIN gp g ON p.dataset = g.dataset AND p.backbone = g.backbone AND p.tag = g.tag GROUP BY ALL)
 """
 
 
-@query("l6_mmd_rbf", with_units() + _MMD + "SELECT dataset, backbone, tag, round(gamma, 5) AS gamma, round(greatest(k_aa + k_bb - 2 * k_ab, 0), 6) AS mmd2 FROM kt WHERE policy = 'pair'")
+@query("l6_mmd_rbf", with_units() + _MMD + "SELECT dataset, backbone, tag, round(gamma, 5) AS gamma, round(greatest(k_aa + k_bb - 2 * k_ab, 0), 6) AS mmd2 FROM kt WHERE policy = 'per_pair_median'")
 def mmd_rbf(spark: SparkSession, d: str) -> DataFrame:
-    """Below the caps (here up to 512 vectors of a side) this is exact; the bandwidth's pool is not thinned then."""
+    """A side is at most 512 vectors, those of the least hashes; the bandwidth's pool is both sides, not thinned."""
     return mmd_terms(_sides(spark, d), KEY, 2 * CAP).select(*KEY, rounded(F.col("gamma"), 5).alias("gamma"), rounded(F.col("mmd2")).alias("mmd2"))
 
 
-@query("l7_mmd_terms", with_units() + _MMD + "SELECT dataset, backbone, tag, round(k_aa, 6) AS k_aa, round(k_bb, 6) AS k_bb, round(k_ab, 6) AS k_ab FROM kt WHERE policy = 'pair'")
+@query("l7_mmd_terms", with_units() + _MMD + "SELECT dataset, backbone, tag, round(k_aa, 6) AS k_aa, round(k_bb, 6) AS k_bb, round(k_ab, 6) AS k_ab FROM kt WHERE policy = 'per_pair_median'")
 def mmd_parts(spark: SparkSession, d: str) -> DataFrame:
     return mmd_terms(_sides(spark, d), KEY, 2 * CAP).select(*KEY, *[rounded(F.col(c)).alias(c) for c in ("k_aa", "k_bb", "k_ab")])
 
 
-@query("l8_gamma_policies", with_units() + _MMD + "SELECT dataset, backbone, tag, policy, round(gamma * factor, 5) AS gamma, round(greatest(k_aa + k_bb - 2 * k_ab, 0), 6) AS mmd2 FROM kt")
+@query("l8_gamma_policies", with_units() + _MMD + "SELECT dataset, backbone, tag, policy, round(gamma, 5) AS gamma, round(greatest(k_aa + k_bb - 2 * k_ab, 0), 6) AS mmd2 FROM kt")
 def gamma_policies(spark: SparkSession, d: str) -> DataFrame:
-    found = mmd_terms(_sides(spark, d), KEY, 2 * CAP, (("half", 0.5), ("pair", 1.0), ("double", 2.0)))
+    """The pair's own bandwidth, and one of each space from all clean banks, at half and double too."""
+    clean = shifted_bank(spark, d).filter("tag = 'clean_0'").select("dataset", "backbone", "vec_id", unit(F.col("x")).alias("u"))
+    sides = _sides(spark, d).join(F.broadcast(shared_gamma(clean, "backbone", "dataset")), "backbone")  # one row for each space
+    found = mmd_terms(sides, KEY, 2 * CAP, (("per_pair_median", 1.0, False), ("global_median", 1.0, True), ("global_median_x0.5", 0.5, True), ("global_median_x2.0", 2.0, True)))
     return found.select(*KEY, "policy", rounded(F.col("gamma"), 5).alias("gamma"), rounded(F.col("mmd2")).alias("mmd2"))
 
 

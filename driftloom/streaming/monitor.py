@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftloom.functions.vectors import as_double, dot, mean_vector, unit
 from driftloom.sources.store import shared_folder, table
@@ -37,15 +38,21 @@ def monitor(spark: SparkSession, sf_dir: str, stream: DataFrame) -> DataFrame:
 
 
 def windowed_counts(spark: SparkSession, events: DataFrame, minutes: int = 60) -> DataFrame:
-    """Counts and sums of events by tumbling window and type, with a watermark for late rows; the final state of the run."""
+    """Counts and sums of events by tumbling window and type, with a watermark, after which a window's state goes.
+
+    Each batch writes the windows it changed to a folder of its own number, so a batch that runs again replaces itself; of a
+    window the last batch counts.
+    """
     out = f"{shared_folder(spark)}/driftloom-windows-{uuid.uuid4().hex}"
     agg = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", f"{minutes} minutes"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/all")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    run = agg.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    run = agg.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{out}/all").select(F.col("window.start").alias("start"), "event_type", "n", "v")
+    changed = spark.read.schema(T.StructType([*agg.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    last = changed.groupBy("window", "event_type").agg(F.max_by(F.struct("n", "v"), "batch").alias("last"))
+    return last.select(F.col("window.start").alias("start"), "event_type", "last.n", "last.v")
 
 
