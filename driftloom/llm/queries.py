@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, jaccard, mixing, pii, quality, repeats, toxicity, url_filter
+from . import ann, bpe, exact_dedup, fim, jaccard, merkle, mixing, near_dedup, pii, quality, repeats, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels.filter(~toxicity.held_out("doc_id")))).withColumn("held_out", toxicity.held_out("doc_id"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def op12_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_copies(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, {"text": merkle.lower_ascii(docs["text"])}, merkle.tampered(docs["doc_id"]))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_pii, op2_ann, op3_bpe, op4_jaccard_join, op5_url_filter, op6_exact_dedup, op7_repeats, op8_mixing, op9_quality, op10_toxicity]
+    found += [op11_fill_in_middle, op12_setsketch, op13_merkle]
     return {f.__name__: f for f in found}
