@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import tails
 from driftloom.functions.names import significance
+from driftloom.operators.mixed import crossed
 from driftloom.operators.regression import dummies, levels, products, residual_products, solve, unpack
 from driftloom.plans.base import records, rounded, with_rec
 from driftloom.plans.relational import average_rank, avg6, ordinal
@@ -197,6 +198,26 @@ def mixed_slope(spark: SparkSession, d: str) -> DataFrame:
     return _frame(spark, [(len(groups), *(round(float(v), 6) for v in fit))], "groups int, intercept double, slope double, slope_se double, var_intercept double, var_slope double, var_residual double")
 
 
+@query("n11_crossed_effects")
+def crossed_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Maximum likelihood of drop on drift and the conditions, with crossed random effects of datasets and spaces.
+
+    One row for each fixed term (estimate, standard error, z, p, 95 % interval) and each variance; severities that a perturbation implies
+    make the design rank-deficient, which the solution allows for. Standard errors are those of the terms that the design determines.
+    """
+    r = records(spark, d)
+    lv = levels(r, ("perturbation", "severity"))
+    names = ["Intercept", *[f"{c}={v}" for c, values in lv.items() for v in values[1:]], "drift"]
+    fit = crossed(r, "acc_drop", dict(zip(names, [*dummies(lv), F.col("drift")], strict=True)), ["dataset", "backbone"])
+    rows = []
+    for name, b, se in zip(fit.names, fit.beta, fit.se, strict=True):
+        z = b / se if se > 1e-12 else None
+        rows.append(("fixed", name, round(float(b), 6), round(float(se), 6), None if z is None else tails.normal_two_sided(z), round(float(b - 1.959963985 * se), 6), round(float(b + 1.959963985 * se), 6)))
+    rows += [("variance", g, round(float(v), 6), None, None, None, None) for g, v in zip([*fit.groupings, "residual"], [*fit.variances, fit.residual], strict=True)]
+    rows.append(("model", "loglike", round(float(fit.loglike), 4), None, None, None, None))
+    return _frame(spark, rows, "part string, term string, estimate double, se double, p double, ci_lo double, ci_hi double")
+
+
 def mixed_model(groups: list[np.ndarray], rounds: int = 500) -> tuple[float, ...]:
     """Maximum likelihood of y = (b0 + u0) + (b1 + u1) x + e from each group's sums of products of (1, x, y)."""
     zz, zy, yy = [g[:2, :2] for g in groups], [g[:2, 2] for g in groups], sum(g[2, 2] for g in groups)
