@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftloom.functions import images
+from driftloom.functions import bitboards, images
 from driftloom.functions.vectors import as_double, dot, sum_vector, unit
+from driftloom.operators import label_maps
 from driftloom.operators.regression import products, unpack
 from driftloom.plans.base import DIM, clean_bank, paired, records, rounded, shifted_bank, with_clean, with_rec, with_units
-from driftloom.plans.maps import components
-from driftloom.registry import query
+from driftloom.plans import maps
+from driftloom.registry import oracle, query
 from driftloom.sources.store import table
 
 SHAPE = (3, 4, 4)
@@ -77,31 +78,52 @@ def wiener_recovery(spark: SparkSession, d: str) -> DataFrame:
     return e.agg(F.count("*").alias("n"), rounded(F.avg("blur")).alias("change_blur"), rounded(F.avg("deblur")).alias("change_deblur"), rounded(100 * (1 - F.avg("deblur") / F.avg("blur")), 4).alias("reduction_pct"))
 
 
-def kmeans_map(values: np.ndarray, k: int = 3, rounds: int = 20) -> np.ndarray:
-    """Clusters of cells by value, numbered from dark to light; starts at quantiles, so no seed is needed."""
-    centre = np.quantile(values, (np.arange(k) + 0.5) / k)
-    for _ in range(rounds):
-        label = np.abs(values[..., None] - centre).argmin(-1)
-        new = np.array([values[label == j].mean() if (label == j).any() else centre[j] for j in range(k)])
-        if np.allclose(new, centre):
-            break
-        centre = new
-    rank = np.argsort(np.argsort(centre, kind="stable"), kind="stable")
-    return rank[label]
-
-
-@query("p12_spatial_clusters")
+def _maps_sql(least_area: float) -> str:
+    """``label_maps.spatial_labels`` cell by cell: Lloyd's steps unrolled, box means by a table of neighbours, fills by recursion."""
+    lloyd = "".join(
+        f"l{k + 1} AS (SELECT vec_id, coalesce(avg(v) FILTER (v <= (a + b) / 2), any_value(a)) AS a, coalesce(avg(v) FILTER (v > (a + b) / 2 AND v <= (b + c) / 2), any_value(b)) AS b, coalesce(avg(v) FILTER (v > (b + c) / 2), any_value(c)) AS c FROM e JOIN l{k} USING (vec_id) GROUP BY vec_id),\n"
+        for k in range(label_maps.ROUNDS)
+    )
+    three = lambda f: ", ".join(f(k) for k in range(3))
+    return f"""WITH RECURSIVE e AS (SELECT vec_id, i AS pos, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) r(i)),
+l0 AS (SELECT vec_id, s[11] AS a, s[33] AS b, s[54] AS c FROM (SELECT vec_id, list_sort(list(v)) AS s FROM e GROUP BY vec_id)),
+{lloyd}x AS (SELECT vec_id, pos, v, exp(-abs(v - a)) AS x0, exp(-abs(v - b)) AS x1, exp(-abs(v - c)) AS x2 FROM e JOIN l{label_maps.ROUNDS} USING (vec_id)),
+w AS (SELECT vec_id, pos, v, {three(lambda k: f"x{k} / (x0 + x1 + x2) AS w{k}")} FROM x),
+nb AS (SELECT i AS pos, (CASE WHEN abs(i // 8 + dy) > 7 THEN 14 - abs(i // 8 + dy) ELSE abs(i // 8 + dy) END) * 8 + CASE WHEN abs(i % 8 + dx) > 7 THEN 14 - abs(i % 8 + dx) ELSE abs(i % 8 + dx) END AS other FROM range(64) r(i), range(-1, 2) y(dy), range(-1, 2) x(dx)),
+m AS (SELECT w.vec_id, nb.pos, avg(v) AS mg, avg(v * v) AS mgg, {three(lambda k: f"avg(w{k}) AS m{k}, avg(v * w{k}) AS q{k}")} FROM w JOIN nb ON nb.other = w.pos GROUP BY ALL),
+ab AS (SELECT *, {three(lambda k: f"m{k} - a{k} * mg AS b{k}")} FROM (SELECT vec_id, pos, mg, {three(lambda k: f"m{k}, (q{k} - mg * m{k}) / (mgg - mg * mg + {label_maps.GUIDED_EPS}) AS a{k}")} FROM m)),
+mab AS (SELECT ab.vec_id, nb.pos, {three(lambda k: f"avg(a{k}) AS a{k}, avg(b{k}) AS b{k}")} FROM ab JOIN nb ON nb.other = ab.pos GROUP BY ALL),
+f AS (SELECT vec_id, pos, v, {three(lambda k: f"a{k} * v + b{k} AS f{k}")} FROM mab JOIN e USING (vec_id, pos)),
+pk AS (SELECT vec_id, pos, v, CASE WHEN f0 >= f1 AND f0 >= f2 THEN 0 WHEN f1 >= f2 THEN 1 ELSE 2 END AS k FROM f),
+od AS (SELECT vec_id, k, row_number() OVER (PARTITION BY vec_id ORDER BY mean, k) - 1 AS raw FROM (SELECT v.vec_id, r.k, coalesce(avg(pk.v), 0.0) AS mean FROM (SELECT DISTINCT vec_id FROM e) v CROSS JOIN range(3) r(k) LEFT JOIN pk ON pk.vec_id = v.vec_id AND pk.k = r.k GROUP BY ALL)),
+rw AS MATERIALIZED (SELECT vec_id, pos, raw FROM pk JOIN od USING (vec_id, k)),
+dk AS MATERIALIZED (SELECT vec_id, pos FROM rw WHERE raw = 0),
+rc(vec_id, pos, least) AS (SELECT vec_id, pos, pos FROM dk UNION SELECT rc.vec_id, d.pos, rc.least FROM rc JOIN dk d ON d.vec_id = rc.vec_id AND abs(d.pos // 8 - rc.pos // 8) <= 1 AND abs(d.pos % 8 - rc.pos % 8) <= 1),
+rg AS MATERIALIZED (SELECT vec_id, pos, min(least) AS region FROM rc GROUP BY ALL),
+fr AS MATERIALIZED (SELECT q.vec_id, q.region, i AS pos FROM (SELECT DISTINCT vec_id, region FROM rg) q CROSS JOIN range(64) r(i) ANTI JOIN rg ON rg.vec_id = q.vec_id AND rg.region = q.region AND rg.pos = i),
+ot(vec_id, region, pos) AS (SELECT vec_id, region, pos FROM fr WHERE pos % 8 IN (0, 7) OR pos // 8 IN (0, 7) UNION SELECT ot.vec_id, ot.region, fr.pos FROM ot JOIN fr ON fr.vec_id = ot.vec_id AND fr.region = ot.region AND abs(fr.pos // 8 - ot.pos // 8) + abs(fr.pos % 8 - ot.pos % 8) = 1),
+so AS MATERIALIZED (SELECT q.vec_id, q.region, i AS pos FROM (SELECT DISTINCT vec_id, region FROM rg) q CROSS JOIN range(64) r(i) ANTI JOIN ot ON ot.vec_id = q.vec_id AND ot.region = q.region AND ot.pos = i),
+ar AS (SELECT vec_id, region, sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0 END) AS area FROM (SELECT so.vec_id, so.region, so.pos - dy * 8 - dx AS corner, count(*) AS n FROM so, range(2) y(dy), range(2) x(dx) WHERE so.pos // 8 - dy BETWEEN 0 AND 6 AND so.pos % 8 - dx BETWEEN 0 AND 6 GROUP BY ALL) GROUP BY ALL),
+sl AS (SELECT DISTINCT so.vec_id, so.pos FROM so JOIN ar USING (vec_id, region) WHERE area > {least_area}),
+md AS MATERIALIZED (SELECT vec_id, pos FROM rw ANTI JOIN sl USING (vec_id, pos) WHERE raw = 1),
+cr AS (SELECT i AS pos, j AS other FROM range(64) r(i), range(64) s(j) WHERE abs(i // 8 - j // 8) + abs(i % 8 - j % 8) <= 1),
+cn AS (SELECT pos, count(*) AS n FROM cr GROUP BY pos),
+er AS (SELECT vec_id, pos FROM (SELECT vec_id, cr.pos, count(*) AS k FROM md JOIN cr ON cr.other = md.pos GROUP BY ALL) JOIN cn USING (pos) WHERE k = n),
+op AS (SELECT DISTINCT er.vec_id, cr.pos FROM er JOIN cr ON cr.other = er.pos),
+fi AS MATERIALIZED (SELECT rw.vec_id, rw.pos, raw, CASE WHEN sl.pos IS NOT NULL OR raw = 0 THEN 0 WHEN op.pos IS NOT NULL THEN 1 ELSE 2 END AS label FROM rw LEFT JOIN sl ON sl.vec_id = rw.vec_id AND sl.pos = rw.pos LEFT JOIN op ON op.vec_id = rw.vec_id AND op.pos = rw.pos),
+rz(vec_id, k, pos, least) AS (SELECT vec_id, label, pos, pos FROM fi UNION SELECT rz.vec_id, rz.k, d.pos, rz.least FROM rz JOIN fi d ON d.vec_id = rz.vec_id AND d.label = rz.k AND abs(d.pos // 8 - rz.pos // 8) <= 1 AND abs(d.pos % 8 - rz.pos % 8) <= 1),
+gi AS (SELECT vec_id, count(DISTINCT region) AS regions FROM (SELECT vec_id, pos, min(least) AS region FROM rz GROUP BY ALL) GROUP BY vec_id)
+SELECT fi.vec_id, string_agg(raw::VARCHAR, '' ORDER BY fi.pos) AS labels_raw, string_agg(label::VARCHAR, '' ORDER BY fi.pos) AS labels, round(any_value(l.a), 6) AS dark, round(any_value(l.b), 6) AS middle, round(any_value(l.c), 6) AS light, round(any_value(regions) / 64, 6) AS sgi
+FROM fi JOIN l{label_maps.ROUNDS} l ON l.vec_id = fi.vec_id JOIN gi ON gi.vec_id = fi.vec_id GROUP BY fi.vec_id"""
+
+
+@query("p12_spatial_clusters", _maps_sql(1.0))
 def spatial_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Guided smoothing, k-means with clusters in order of brightness, and the map's granularity; an Arrow batch of maps at a time."""
-    e = table(spark, d, "embeddings").select("vec_id", as_double(F.col("embedding")).alias("v"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            maps = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8, 8)
-            labels = [kmeans_map(images.guided_filter(m, m)) for m in maps]
-            yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "labels": pa.array([x.ravel().tolist() for x in labels], pa.list_(pa.int32())), "sgi": pa.array([components(x) / x.size for x in labels])})
-
-    return e.mapInArrow(run, "vec_id long, labels array<int>, sgi double")
+    """Soft assignment to three clusters, guided refinement, labels from dark to light, filled holes and opening, granularity: column expressions only."""
+    made = label_maps.spatial_labels(table(spark, d, "embeddings").select("vec_id", as_double(F.col("embedding")).alias("v")), least_area=1.0)
+    label = lambda name: F.array_join(F.zip_with(bitboards.cells(F.col(f"{name}0")), bitboards.cells(F.col(f"{name}1")), lambda a, b: F.when(a == 1, "0").when(b == 1, "1").otherwise("2")), "")
+    centres = [rounded(F.col("centres")[k]).alias(n) for k, n in enumerate(("dark", "middle", "light"))]
+    return made.select("vec_id", label("raw").alias("labels_raw"), label("set").alias("labels"), *centres, rounded(label_maps.region_count(["set0", "set1", "set2"]) / 64.0).alias("sgi"))
 
 
 @query("p6_silhouette")
@@ -161,14 +183,16 @@ def kmeans_grid(spark: SparkSession, d: str) -> DataFrame:
     return costs.groupBy("backbone", "k").agg(rounded(F.avg("cost"), 4).alias("mean_cost"), rounded(100 * F.stddev_pop("cost") / F.avg("cost"), 4).alias("cv_pct"))
 
 
-@query("p15_map_metrics")
+_MAP_METRICS = ("p1_csi", "p4_sgi", "p10_entropy", "p5_adjusted_rand")
+
+
+@query("p15_map_metrics", "SELECT * FROM " + " JOIN ".join(f"({oracle(n)}) USING (vec_id)" if i else f"({oracle(n)})" for i, n in enumerate(_MAP_METRICS)))
 def map_metrics(spark: SparkSession, d: str) -> DataFrame:
     """All metrics of a map in one row: stability, granularity, entropy, agreement."""
-    from driftloom.registry import queries
-
-    q = queries()
-    one = lambda n: q[n](spark, d)
-    return one("p1_csi").join(one("p4_sgi"), "vec_id").join(one("p10_entropy"), "vec_id").join(one("p5_adjusted_rand"), "vec_id")
+    found = maps.csi(spark, d)
+    for one in (maps.sgi, maps.entropy, maps.adjusted_rand):
+        found = found.join(one(spark, d), "vec_id")
+    return found
 
 
 @query("p16_collapse", with_rec("SELECT backbone, round(100 * stddev_samp(accuracy) / avg(accuracy), 6) AS cv_pct, round(max(accuracy) - min(accuracy), 6) AS range, CASE WHEN 100 * stddev_samp(accuracy) / avg(accuracy) < 5 THEN 'collapsed' ELSE 'varied' END AS verdict FROM rec GROUP BY backbone"))

@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.functions import bitboards
 from driftloom.functions.vectors import as_double
+from driftloom.operators.label_maps import region_count
 from driftloom.plans.base import rounded
 from driftloom.registry import query
 from driftloom.sources.store import table
@@ -69,17 +71,17 @@ def cluster_csi(spark: SparkSession, d: str) -> DataFrame:
     return long.groupBy("x.cluster").agg(rounded(F.avg("x.iou")).alias("csi"))
 
 
-@query("p4_sgi")
-def sgi(spark: SparkSession, d: str) -> DataFrame:
-    """8-connected components of all clusters, for each cell of a map; maps are worked on in Arrow batches."""
-    e = table(spark, d, "embeddings").select("vec_id", as_double(F.col("embedding")).alias("v"))
+_REACH = """, sets AS (SELECT vec_id, pos, a AS k FROM cells),
+reach AS (WITH RECURSIVE r(vec_id, k, pos, least) AS (SELECT vec_id, k, pos, pos FROM sets UNION SELECT r.vec_id, r.k, s.pos, r.least FROM r JOIN sets s ON s.vec_id = r.vec_id AND s.k = r.k AND abs(s.pos // 8 - r.pos // 8) <= 1 AND abs(s.pos % 8 - r.pos % 8) <= 1 WHERE s.pos > r.least) SELECT vec_id, k, pos, min(least) AS region FROM r GROUP BY ALL)"""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8, 8)
-            yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "sgi": pa.array([components(np.digitize(m, (-0.05, 0.05))) / m.size for m in v])})
 
-    return e.mapInArrow(run, "vec_id long, sgi double")
+@query("p4_sgi", CELLS + _REACH + " SELECT vec_id, round(count(DISTINCT k * 64 + region) / 64, 6) AS sgi FROM (SELECT a.vec_id, a.k, min(a.region) AS region, a.pos FROM reach a GROUP BY ALL) GROUP BY vec_id")
+def sgi(spark: SparkSession, d: str) -> DataFrame:
+    """8-connected regions of all clusters, for each cell of a map, by flood fills of bitboards: no Python worker, no shuffle."""
+    e = table(spark, d, "embeddings").select("vec_id", as_double(F.col("embedding")).alias("v"))
+    tests = (lambda x: x < -0.05, lambda x: (x >= -0.05) & (x < 0.05), lambda x: x >= 0.05)
+    boards = e.select("vec_id", *[bitboards.board(F.col("v"), t).alias(f"m{k}") for k, t in enumerate(tests)])
+    return boards.select("vec_id", rounded(region_count(["m0", "m1", "m2"]) / 64.0).alias("sgi"))
 
 
 def components(labels: np.ndarray) -> int:

@@ -19,11 +19,11 @@ def vote(near: DataFrame, k: int, keys: list[str]) -> DataFrame:
     return counts.groupBy(*keys, "vec_id", "label").agg(F.max_by("near_label", F.struct(F.col("votes"), -F.col("near_label"))).alias("predicted"))
 
 
-def _vote_sql(k: str, source: str = "near", keys: str = "dataset, backbone, tag", more: str = "") -> str:
+def vote_sql(k: str, source: str = "near", keys: str = "dataset, backbone, tag", more: str = "") -> str:
     return f"(SELECT {keys}, vec_id, label, arg_max(near_label, votes * 1000 - near_label) AS predicted{more} FROM (SELECT {keys}, vec_id, label, near_label, count(*) AS votes{more} FROM {source} WHERE rank <= {k} GROUP BY ALL) GROUP BY ALL)"
 
 
-@query("k1_knn_accuracy", with_near(f"SELECT dataset, backbone, tag, round(avg((predicted = label)::DOUBLE), 6) AS accuracy FROM {_vote_sql('5')} GROUP BY ALL"))
+@query("k1_knn_accuracy", with_near(f"SELECT dataset, backbone, tag, round(avg((predicted = label)::DOUBLE), 6) AS accuracy FROM {vote_sql('5')} GROUP BY ALL"))
 def knn_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return vote(neighbour_lists(spark, d), 5, KEY).groupBy(*KEY).agg(rounded(F.avg((F.col("predicted") == F.col("label")).cast("double"))).alias("accuracy"))
 
@@ -34,7 +34,7 @@ cv AS (SELECT * FROM (SELECT q.dataset, q.backbone, q.s::VARCHAR AS tag, q.vec_i
 """
 
 
-@query("k2_knn_accuracy_cv", f"{with_units('')}{_SPLIT} SELECT dataset, backbone, round(avg(a), 6) AS accuracy, round(stddev_pop(a), 6) AS accuracy_std FROM (SELECT dataset, backbone, tag, avg((predicted = label)::DOUBLE) AS a FROM {_vote_sql('5', 'cv')} GROUP BY ALL) GROUP BY ALL")
+@query("k2_knn_accuracy_cv", f"{with_units('')}{_SPLIT} SELECT dataset, backbone, round(avg(a), 6) AS accuracy, round(stddev_pop(a), 6) AS accuracy_std FROM (SELECT dataset, backbone, tag, avg((predicted = label)::DOUBLE) AS a FROM {vote_sql('5', 'cv')} GROUP BY ALL) GROUP BY ALL")
 def knn_accuracy_cv(spark: SparkSession, d: str) -> DataFrame:
     """Five stratified splits by hash order within a class; the first fifth of each class is the test set."""
     bank = clean_bank(spark, d).select("dataset", "backbone", "vec_id", "label", unit(F.col("x")).alias("u"), F.explode(F.array(*[F.lit(str(s)) for s in range(5)])).alias("split"))
@@ -46,7 +46,7 @@ def knn_accuracy_cv(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("dataset", "backbone").agg(rounded(F.avg("a")).alias("accuracy"), rounded(F.stddev_pop("a")).alias("accuracy_std"))
 
 
-@query("k3_in_sample_accuracy", with_near(f"SELECT dataset, backbone, round(avg((predicted = label)::DOUBLE), 6) AS accuracy FROM {_vote_sql('5')} WHERE tag = 'clean_0' GROUP BY ALL"))
+@query("k3_in_sample_accuracy", with_near(f"SELECT dataset, backbone, round(avg((predicted = label)::DOUBLE), 6) AS accuracy FROM {vote_sql('5')} WHERE tag = 'clean_0' GROUP BY ALL"))
 def in_sample(spark: SparkSession, d: str) -> DataFrame:
     near = neighbour_lists(spark, d).filter("tag = 'clean_0'")
     return vote(near, 5, KEY).groupBy("dataset", "backbone").agg(rounded(F.avg((F.col("predicted") == F.col("label")).cast("double"))).alias("accuracy"))
@@ -55,14 +55,14 @@ def in_sample(spark: SparkSession, d: str) -> DataFrame:
 _OTHERS = "(SELECT *, row_number() OVER (PARTITION BY dataset, backbone, vec_id ORDER BY rank) AS other FROM near WHERE tag = 'clean_0' AND near_id <> vec_id)"
 
 
-@query("k4_leave_self_out_recall", with_near(f"SELECT dataset, backbone, label, round(avg((predicted = label)::DOUBLE), 6) AS recall FROM {_vote_sql('5', f'(SELECT * EXCLUDE (rank, other), other AS rank FROM {_OTHERS})')} GROUP BY dataset, backbone, label"))
+@query("k4_leave_self_out_recall", with_near(f"SELECT dataset, backbone, label, round(avg((predicted = label)::DOUBLE), 6) AS recall FROM {vote_sql('5', f'(SELECT * EXCLUDE (rank, other), other AS rank FROM {_OTHERS})')} GROUP BY dataset, backbone, label"))
 def leave_self_out(spark: SparkSession, d: str) -> DataFrame:
     near = neighbour_lists(spark, d).filter("tag = 'clean_0' AND near_id <> vec_id")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("dataset", "backbone", "vec_id").orderBy("rank")))
     return vote(near, 5, KEY).groupBy("dataset", "backbone", "label").agg(rounded(F.avg((F.col("predicted") == F.col("label")).cast("double"))).alias("recall"))
 
 
-_ALLK = " UNION ALL ".join(f"SELECT {k} AS k, dataset, backbone, tag, avg((predicted = label)::DOUBLE) AS a FROM {_vote_sql(str(k))} GROUP BY ALL" for k in (1, 3, 5, 10))
+_ALLK = " UNION ALL ".join(f"SELECT {k} AS k, dataset, backbone, tag, avg((predicted = label)::DOUBLE) AS a FROM {vote_sql(str(k))} GROUP BY ALL" for k in (1, 3, 5, 10))
 
 
 @query("k5_k_sweep", with_near(f"SELECT k, dataset, backbone, tag, round(a, 6) AS accuracy FROM ({_ALLK})"))
@@ -130,7 +130,7 @@ def transfer_votes(spark: SparkSession, d: str) -> DataFrame:
     return vote(near, 5, ["source", "tag", "backbone"]).withColumnRenamed("tag", "target")
 
 
-_TV = _vote_sql("5", "tr", "source, target, backbone")
+_TV = vote_sql("5", "tr", "source, target, backbone")
 
 
 @query("k8_transfer_matrix", with_units("") + _TRANSFER + f"SELECT source, target, backbone, count(*) AS n_test, round(avg((predicted = label)::DOUBLE), 6) AS accuracy FROM {_TV} GROUP BY ALL")

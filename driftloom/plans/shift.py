@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.vectors import dot, unit
 from driftloom.operators.detectors import CAP, capped, ledoit_wolf, mmd_terms, moments, shared_gamma
-from driftloom.plans.base import DIM, clean_bank, neighbour_lists, paired, records, rounded, shifted_bank, with_near, with_rec, with_units
+from driftloom.operators.monitor_grid import SCORES, size_grid
+from driftloom.plans.base import DIM, clean_bank, neighbour_lists, paired, records, rounded, shifted_bank, sql_mean, with_near, with_rec, with_units
+from driftloom.plans.metrics import auc, best_f1, curve
+from driftloom.plans.recognition import vote, vote_sql
 from driftloom.registry import query
+from driftloom.sources.store import once
 
 KEY = ["dataset", "backbone", "tag"]
 
@@ -118,17 +122,63 @@ def paired_oracle(spark: SparkSession, d: str) -> DataFrame:
     return paired(spark, d).groupBy(*KEY).agg(rounded(F.avg(1 - dot(F.col("u"), F.col("c"), DIM))).alias("paired_drift"))
 
 
+def grid_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every condition x batch size x reference size x repeat: accuracy, drop, failure and all scores; made once."""
+
+    def make() -> DataFrame:
+        right = vote(neighbour_lists(spark, d), 5, KEY).select(*KEY, "vec_id", (F.col("predicted") == F.col("label")).cast("double").alias("hit"))
+        rows = shifted_bank(spark, d).filter("tag <> 'clean_0'").select(*KEY, "vec_id", unit(F.col("x")).alias("u")).join(right, [*KEY, "vec_id"])
+        bank = clean_bank(spark, d).select("dataset", "backbone", "vec_id", unit(F.col("x")).alias("u"))
+        whole = right.filter("tag = 'clean_0'").groupBy("dataset", "backbone").agg(F.avg("hit").alias("acc_clean"))
+        cells = size_grid(rows, bank, ["dataset", "backbone"]).join(whole, ["dataset", "backbone"])
+        cells = cells.withColumn("acc_drop", F.col("acc_clean") - F.col("acc_batch"))
+        return cells.withColumn("failure", (F.round("acc_drop", 9) > 0.20).cast("int"))
+
+    return once(spark, d, "grid", make)
+
+
 @query("l10_size_grid")
-def size_grid(spark: SparkSession, d: str) -> DataFrame:
-    """MMD over batch size x reference size x repeat, by hashed samples; one pass over the rows feeds the whole grid."""
-    units = shifted_bank(spark, d).select(*KEY, "vec_id", unit(F.col("x")).alias("u")).filter("tag IN ('clean_0', 'blend_0_9')")
-    grid = [F.struct(F.lit(b).alias("batch"), F.lit(r).alias("reference"), F.lit(k).alias("repeat")) for b in (16, 64) for r in (32, 128) for k in (0, 1)]
-    rows = units.withColumn("side", (F.col("tag") != "clean_0").cast("int")).select("*", F.explode(F.array(*grid)).alias("g"))
-    rows = rows.withColumn("cell", F.format_string("%d/%d/%d", "g.batch", "g.reference", "g.repeat"))
-    order = Window.partitionBy("dataset", "backbone", "side", "cell").orderBy(F.md5(F.concat_ws("|", F.col("g.repeat").cast("string"), F.col("side").cast("string"), F.col("vec_id").cast("string"))), "vec_id")
-    most = F.when(F.col("side") == 1, F.col("g.batch")).otherwise(F.col("g.reference"))
-    some = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most)
-    return mmd_terms(some, ["dataset", "backbone", "cell"], CAP).select("dataset", "backbone", "cell", rounded(F.col("mmd2")).alias("mmd2"))
+def size_grid_records(spark: SparkSession, d: str) -> DataFrame:
+    """The whole grid of all conditions: 4 batch sizes x 4 reference sizes x 5 repeats (``l10_grid_cells`` has two of its cells in SQL)."""
+    return grid_records(spark, d).select(*KEY, "repeat", "batch_size", "reference_size", "n_batch", "n_ref", *[rounded(F.col(c)).alias(c) for c in ("acc_clean", "acc_batch", "acc_drop", *SCORES)], "failure")
+
+
+_CELLS = f""", hits AS (SELECT dataset, backbone, tag, vec_id, (predicted = label)::DOUBLE AS hit FROM {vote_sql('5')}), ac AS (SELECT dataset, backbone, avg(hit) AS acc_clean FROM hits WHERE tag = 'clean_0' GROUP BY ALL),
+cell AS (SELECT * FROM (VALUES (8, 100), (64, 1000)) v(batch_size, reference_size)),
+bo AS (SELECT s.dataset, s.backbone, s.tag, r AS repeat, s.vec_id, u, hit, row_number() OVER (PARTITION BY s.dataset, s.backbone, s.tag, r ORDER BY md5('grid|' || r || '|' || s.tag || '|' || s.vec_id), s.vec_id) AS place FROM su s JOIN hits h ON s.dataset = h.dataset AND s.backbone = h.backbone AND s.tag = h.tag AND s.vec_id = h.vec_id, range(5) t(r) WHERE s.tag <> 'clean_0'),
+ro AS (SELECT dataset, backbone, r AS repeat, vec_id, u, row_number() OVER (PARTITION BY dataset, backbone, r ORDER BY md5('grid|' || r || '|' || vec_id), vec_id) AS place FROM cu, range(5) t(r)),
+ba AS (SELECT batch_size, reference_size, bo.* FROM bo, cell WHERE place <= batch_size), re AS (SELECT batch_size, reference_size, ro.* FROM ro, cell WHERE place <= reference_size),
+rt AS (SELECT batch_size, reference_size, t.tag, re.dataset, re.backbone, repeat, vec_id, u, place FROM re, (SELECT DISTINCT tag FROM bo) t),
+side AS (SELECT batch_size, reference_size, dataset, backbone, tag, repeat, 1 AS side, place, u FROM ba UNION ALL SELECT batch_size, reference_size, dataset, backbone, tag, repeat, 0, place, u FROM rt),
+pq AS (SELECT x.batch_size, x.reference_size, x.dataset, x.backbone, x.tag, x.repeat, x.side AS s1, y.side AS s2, x.place AS i, y.place AS j, list_dot_product(x.u, y.u) AS sim, greatest(list_dot_product(x.u, x.u) + list_dot_product(y.u, y.u) - 2 * list_dot_product(x.u, y.u), 0.0) AS sq
+  FROM side x JOIN side y ON x.batch_size = y.batch_size AND x.dataset = y.dataset AND x.backbone = y.backbone AND x.tag = y.tag AND x.repeat = y.repeat AND (x.side < y.side OR (x.side = y.side AND x.place <= y.place))),
+gm AS (SELECT batch_size, dataset, backbone, tag, repeat, 1 / greatest(2 * coalesce(median(sq), 1.0), 1e-12) AS gamma FROM pq WHERE (s1 < s2 OR i < j) AND sq > 1e-12 GROUP BY ALL),
+km AS (SELECT p.batch_size, p.dataset, p.backbone, p.tag, p.repeat, greatest(sum(CASE WHEN s1 = 0 AND s2 = 0 THEN w * k END) / sum(CASE WHEN s1 = 0 AND s2 = 0 THEN w END) + sum(CASE WHEN s1 = 1 AND s2 = 1 THEN w * k END) / sum(CASE WHEN s1 = 1 AND s2 = 1 THEN w END) - 2 * avg(CASE WHEN s1 < s2 THEN k END), 0) AS mmd
+  FROM (SELECT pq.*, CASE WHEN s1 = s2 AND i < j THEN 2 ELSE 1 END AS w, exp(-gamma * CASE WHEN s1 = s2 AND i = j THEN 0 ELSE sq END) AS k FROM pq JOIN gm USING (batch_size, dataset, backbone, tag, repeat)) p GROUP BY ALL),
+kn AS (SELECT batch_size, dataset, backbone, tag, repeat, avg(CASE WHEN r = 1 THEN 1 - sim END) AS k1, avg(1 - sim) AS k5 FROM (SELECT *, row_number() OVER (PARTITION BY batch_size, dataset, backbone, tag, repeat, j ORDER BY sim DESC) AS r FROM pq WHERE s1 < s2) WHERE r <= 5 GROUP BY ALL),
+cm AS (SELECT batch_size, dataset, backbone, tag, repeat, side, {sql_mean('u')} AS m, count(*) AS n FROM side GROUP BY ALL),
+cc AS (SELECT a.batch_size, a.dataset, a.backbone, a.tag, a.repeat, a.n AS n_batch, b.n AS n_ref, 1 - list_dot_product(a.m, b.m) / ((sqrt(list_dot_product(a.m, a.m)) + 1e-8) * (sqrt(list_dot_product(b.m, b.m)) + 1e-8)) AS centroid FROM cm a JOIN cm b USING (batch_size, dataset, backbone, tag, repeat) WHERE a.side = 1 AND b.side = 0),
+bh AS (SELECT batch_size, reference_size, dataset, backbone, tag, repeat, avg(hit) AS acc FROM ba GROUP BY ALL)
+SELECT dataset, backbone, tag, repeat::INT AS repeat, batch_size, reference_size, n_batch, n_ref, round(acc, 6) AS acc_batch, (round(acc_clean - acc, 9) > 0.20)::INT AS failure, round(k1, 6) AS ref_knn1_dist, round(k5, 6) AS ref_knn5_dist, round(centroid, 6) AS ref_centroid_cosine, round(mmd, 6) AS ref_mmd_rbf
+FROM bh JOIN cc USING (batch_size, dataset, backbone, tag, repeat) JOIN kn USING (batch_size, dataset, backbone, tag, repeat) JOIN km USING (batch_size, dataset, backbone, tag, repeat) JOIN ac USING (dataset, backbone)"""
+
+
+@query("l10_grid_cells", with_near("")[:-1] + _CELLS)
+def grid_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The grid's smallest and largest cells, all conditions and repeats."""
+    g = grid_records(spark, d).filter("(batch_size = 8 AND reference_size = 100) OR (batch_size = 64 AND reference_size = 1000)")
+    return g.select(*KEY, "repeat", "batch_size", "reference_size", "n_batch", "n_ref", rounded(F.col("acc_batch")).alias("acc_batch"), "failure", *[rounded(F.col(c)).alias(c) for c in SCORES[:4]])
+
+
+@query("l10_grid_auc")
+def grid_auc(spark: SparkSession, d: str) -> DataFrame:
+    """ROC-AUC, average precision and best F1 of every score in every cell of the grid, over conditions and repeats."""
+    keys = ["batch_size", "reference_size", "detector"]
+    long = grid_records(spark, d).unpivot(["batch_size", "reference_size", "failure"], list(SCORES), "detector", "score").filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    c = curve(long, keys).filter("p > 0 AND n > 0")
+    ap = c.groupBy(*keys).agg(F.sum(F.col("dp") / F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"), (F.max("p") + F.max("n")).alias("n"), (F.max("p") / (F.max("p") + F.max("n"))).alias("failure_rate"))
+    found = auc(long, keys).drop("count").join(ap.filter("n >= 20"), keys).join(best_f1(long, keys), keys)
+    return found.select(*keys, rounded(F.col("auc")).alias("auc_roc"), rounded(F.col("ap")).alias("avg_precision"), rounded(F.col("best_f1")).alias("best_f1"), rounded(F.col("best_threshold")).alias("best_threshold"), rounded(F.col("failure_rate")).alias("failure_rate"), "n")
 
 
 _ALARM = ", th AS (SELECT quantile_cont(knn1, 0.5) AS t FROM rec)"

@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def oracle(name: str) -> str:
+    """The SQL of a query that is registered already, for queries made of others."""
+    return _oracle[name]
+
+
 def _load() -> None:
     from driftloom import plans  # noqa: F401  registers on import
 

@@ -274,10 +274,3 @@ def test_permutation_tails_of_every_condition(spark, sf):
     rows = queries()["o7_permutation_tail"](spark, sf).collect()
     assert len({(r["dataset"], r["backbone"], r["tag"]) for r in rows}) == len(rows) == 96
     assert all(r["below"] + r["above"] > 1 - 1e-9 for r in rows)
-
-
-def test_kmeans_labels_go_from_dark_to_light():
-    from driftloom.plans.images import kmeans_map
-
-    v = np.array([[0.9, 0.1], [0.5, 0.12]])
-    assert kmeans_map(v).tolist() == [[2, 0], [1, 0]]
