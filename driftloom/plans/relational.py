@@ -9,7 +9,9 @@ from driftloom.functions.names import cache_tag, family, norm_key, normalize_spe
 from driftloom.functions.vectors import unit
 from driftloom.plans.base import clean_bank, records, rounded, shifted_bank, sql_unit, with_clean, with_rec, with_units
 from driftloom.registry import query
-from driftloom.sources.store import shared_folder, table
+from driftloom.sources import archives
+from driftloom.sources.archives import named_parts, with_fallback
+from driftloom.sources.store import fresh_folder, table
 
 
 
@@ -23,7 +25,7 @@ def avg6(c: str | Column) -> Column:
 @query("a1_partition_scan", with_units("SELECT dataset, backbone, tag, count(*) AS n FROM shifted WHERE dataset = 'D1' AND backbone = 'B2' AND tag = 'blend_0_9' GROUP BY ALL"))
 def partition_scan(spark: SparkSession, d: str) -> DataFrame:
     """A written bank, partitioned by its key; the filter prunes folders."""
-    path = f"{shared_folder(spark)}/driftloom-bank-{abs(hash(d))}"
+    path = fresh_folder(spark)
     shifted_bank(spark, d).write.mode("overwrite").partitionBy("backbone", "dataset", "tag").parquet(path)
     return spark.read.parquet(path).filter("dataset = 'D1' AND backbone = 'B2' AND tag = 'blend_0_9'").groupBy("dataset", "backbone", "tag").agg(F.count("*").alias("n"))
 
@@ -41,7 +43,7 @@ def unit_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a6_csv_round_trip", with_rec("SELECT dataset, backbone, perturbation, severity, drift, acc_drop FROM rec"))
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/driftloom-csv-{abs(hash(d))}"
+    path = fresh_folder(spark)
     rows = records(spark, d).select("dataset", "backbone", "perturbation", "severity", "drift", "acc_drop")
     rows.write.mode("overwrite").option("header", True).csv(path)
     return spark.read.schema(rows.schema).option("header", True).csv(path)
@@ -71,6 +73,38 @@ def discover_names(spark: SparkSession, d: str) -> DataFrame:
     return names.select(part(1).alias("backbone"), part(2).alias("dataset"), part(3).alias("tag"), part(4).alias("parsed"))
 
 
+@query("a9_longest_names", with_rec("""SELECT name, arg_max(known, length(known)) AS dataset, CASE WHEN length(name) > max(length(known)) THEN substr(name, max(length(known)) + 2) END AS rest
+FROM (SELECT DISTINCT dataset || CASE backbone WHEN 'B0' THEN '' WHEN 'B1' THEN '_x1' WHEN 'B2' THEN '_x10' ELSE '0' END || '_' || tag AS name FROM rec) n
+LEFT JOIN (SELECT dataset AS known FROM rec UNION SELECT dataset || '_x1' FROM rec UNION SELECT dataset || '_x10' FROM rec) k ON starts_with(name, known) AND (length(name) = length(known) OR substr(name, length(known) + 1, 1) = '_') GROUP BY name"""))
+def longest_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names to their datasets, of which some begin others: the longest that ends at an underscore, or none."""
+    r = records(spark, d)
+    more = F.when(F.col("backbone") == "B0", "").when(F.col("backbone") == "B1", "_x1").when(F.col("backbone") == "B2", "_x10").otherwise("0")
+    names = r.select(F.concat("dataset", more, F.lit("_"), "tag").alias("name")).distinct()
+    known = r.select(F.explode(F.array(F.col("dataset"), F.concat("dataset", F.lit("_x1")), F.concat("dataset", F.lit("_x10")))).alias("dataset"))
+    return named_parts(names, known)
+
+
+@query("a12_array_archives", with_clean("SELECT backbone || '_' || dataset || '_clean' AS archive, label, count(*) AS n, round(avg(x[3]), 6) AS third FROM clean WHERE dataset <> 'D2' GROUP BY ALL"))
+def array_archives(spark: SparkSession, d: str) -> DataFrame:
+    """Every bank written as an archive of arrays and read again: two of three datasets, two of its members."""
+    path = fresh_folder(spark)
+    bank = clean_bank(spark, d).select(F.concat_ws("_", "backbone", "dataset", F.lit("clean")).alias("archive"), F.col("x").alias("features"), F.col("label").alias("labels"), F.col("vec_id").cast("string").alias("paths"))
+    archives.write(bank.repartition("archive"), path)
+    wanted = [f"B{b}_D{k}_clean" for b in range(4) for k in range(2)]
+    rows = archives.read(spark, path, ["archive", "features", "labels"]).filter(F.col("archive").isin(wanted))
+    return rows.groupBy("archive", F.col("labels").alias("label")).agg(F.count("*").alias("n"), rounded(F.avg(F.col("features")[2])).alias("third"))
+
+
+@query("a1_newest_bank", with_clean("SELECT dataset, backbone, count(*) AS n, sum(version) AS versions FROM (SELECT *, CASE WHEN dataset = 'D0' THEN 4 ELSE 2 END AS version FROM clean) GROUP BY ALL"))
+def newest_bank(spark: SparkSession, d: str) -> DataFrame:
+    """Banks of a newer store, and of the older one those that it lacks: here one dataset has been moved already."""
+    bank = clean_bank(spark, d).select("dataset", "backbone", "vec_id")
+    newer = bank.filter("dataset = 'D0'").withColumn("version", F.lit(4))
+    found = with_fallback(newer, bank.withColumn("version", F.lit(2)), ["dataset", "backbone"])
+    return found.groupBy("dataset", "backbone").agg(F.count("*").alias("n"), F.sum("version").alias("versions"))
+
+
 @query("a11_generator", "SELECT i AS id, 'D' || (i % 3) AS dataset, ('0x' || substr(md5('gen|' || i), 1, 8))::BIGINT % 1000 / 1000.0::DOUBLE AS value FROM range(1000) t(i)")
 def generator(spark: SparkSession, d: str) -> DataFrame:
     """Seeded demo rows: the hash of the id, not a generator's state, so any task gives the same."""

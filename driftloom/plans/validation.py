@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftloom.plans.base import clean_bank, records, rounded, shifted_bank, with_clean, with_rec, with_units
 from driftloom.plans.metrics import _F1, CURVE, _auc_sql, average_precision, best_f1, roc_auc, scored
 from driftloom.registry import query
-from driftloom.sources.store import shared_folder, table
+from driftloom.sources.store import fresh_folder, table
 
 #: Columns and least rows that written tables must have.
 SPECS = (("records", ("dataset", "backbone", "tag", "drift", "acc_drop"), 84), ("bank", ("dataset", "backbone", "vec_id", "label", "x"), 100))
@@ -131,7 +131,7 @@ def binary_scan(spark: SparkSession, d: str) -> DataFrame:
 @query("a10_nested_scan", "SELECT vec_id, CAST(embedding[9] AS DOUBLE) AS second_row_first FROM embeddings")
 def nested_scan(spark: SparkSession, d: str) -> DataFrame:
     """A map as rows of cells, as heatmap banks hold it, written and read nested."""
-    path = f"{shared_folder(spark)}/driftloom-maps-{abs(hash(d))}"
+    path = fresh_folder(spark)
     rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice(F.col("embedding").cast("array<double>"), r * 8 + 1, 8))
     table(spark, d, "embeddings").select("vec_id", rows.alias("map")).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path).select("vec_id", F.col("map")[1][0].alias("second_row_first"))
@@ -140,7 +140,7 @@ def nested_scan(spark: SparkSession, d: str) -> DataFrame:
 @query("a12_a14_committed_write", with_rec("SELECT perturbation, count(*) AS n FROM rec GROUP BY perturbation"))
 def committed_write(spark: SparkSession, d: str) -> DataFrame:
     """A partitioned write appears as a whole: readers look for the marker of Spark's commit."""
-    path = f"{shared_folder(spark)}/driftloom-out-{abs(hash(d))}"
+    path = fresh_folder(spark)
     records(spark, d).write.mode("overwrite").partitionBy("perturbation").parquet(path)
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):

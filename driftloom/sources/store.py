@@ -28,11 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
 _paths: list[tuple[SparkSession, str]] = []
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the process ends."""
+    path = f"{shared_folder(spark)}/driftloom-{uuid.uuid4().hex}"
+    _paths.append((spark, path))
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df``, written once and read back, so its lineage ends there."""
-    path = f"{shared_folder(df.sparkSession)}/driftloom-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession)
     df.write.parquet(path)
-    _paths.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
