@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import bitboards, images
 from driftloom.functions.vectors import as_double, dot, sum_vector, unit
-from driftloom.operators import label_maps
-from driftloom.operators.regression import products, unpack
+from driftloom.operators import label_maps, probes
 from driftloom.plans.base import DIM, clean_bank, paired, records, rounded, shifted_bank, with_clean, with_rec, with_units
 from driftloom.plans import maps
 from driftloom.registry import oracle, query
-from driftloom.sources.store import table
+from driftloom.sources.store import once, table, written
 
 SHAPE = (3, 4, 4)
 #: A severity of each perturbation.
@@ -205,11 +204,11 @@ def collapse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k15_logistic_probe")
 def logistic_probe(spark: SparkSession, d: str) -> DataFrame:
-    """Multinomial logistic regression on a split by hash; clean and shifted accuracy of the test part."""
+    """Multinomial logistic regression on a split by hash, fitted on clean rows; accuracy of the test part under every condition."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    rows = shifted_bank(spark, d).filter("tag IN ('clean_0', 'blend_0_9')")
+    rows = shifted_bank(spark, d)
     test = F.conv(F.substring(F.md5(F.concat(F.lit("probe|"), F.col("vec_id").cast("string"))), 1, 4), 16, 10).cast("int") % 5 == 0
     rows = rows.select("backbone", "tag", "vec_id", F.col("label").cast("double").alias("label"), array_to_vector(unit(F.col("x"))).alias("features"), test.alias("test"))
     out = None
@@ -221,23 +220,47 @@ def logistic_probe(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("backbone", "tag").agg(F.count("*").alias("n"), rounded(F.avg("hit")).alias("accuracy"))
 
 
+def _probe_rows(spark: SparkSession, d: str, splits: int = 5, share: float = 0.2) -> DataFrame:
+    """Unit vectors of all conditions with split and test: of each dataset, class and split a fifth by hash, the same in all spaces and conditions."""
+    ids = clean_bank(spark, d).filter("backbone = 'B0'").select("dataset", "vec_id", "label", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"))
+    key = ["dataset", "label", "split"]
+    order = Window.partitionBy(*key).orderBy(F.md5(F.concat_ws("|", F.lit("aug"), "split", "vec_id")), "vec_id")
+    sizes = ids.groupBy(*key).agg(F.count(F.lit(1)).alias("m"))
+    ids = ids.withColumn("r", F.row_number().over(order)).join(sizes, key).select("dataset", "vec_id", "split", (F.col("r") <= F.ceil(F.col("m") * share)).alias("test"))
+    rows = paired(spark, d).select("dataset", "backbone", "tag", "vec_id", F.col("label").cast("long").alias("label"), "u", "cos")
+    return rows.join(ids, ["dataset", "vec_id"]).withColumn("space", F.concat_ws("/", "dataset", "backbone", "split"))
+
+
+def augmentation_records(spark: SparkSession, d: str) -> DataFrame:
+    """head, training, dataset, backbone, split, tag, accuracy, drift of the test rows; made once."""
+
+    def make() -> DataFrame:
+        rows = written(_probe_rows(spark, d))
+        trained = rows.filter("NOT test").withColumn("training", F.explode(F.when(F.col("tag") == "clean_0", F.array(F.lit("baseline"), F.lit("augmented"))).otherwise(F.array(F.lit("augmented")))))
+        trained = written(trained.select(F.concat_ws("/", "space", "training").alias("grp"), "label", "u"))
+        tested = rows.filter("test").withColumn("training", F.explode(F.array(F.lit("baseline"), F.lit("augmented")))).withColumn("grp", F.concat_ws("/", "space", "training"))
+        out = None
+        for head, fit in (("ridge", probes.ridge), ("logistic", probes.logistic)):
+            scored = probes.predicted(tested, fit(trained)).groupBy("training", "dataset", "backbone", "split", "tag")
+            scored = scored.agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"), F.avg(1 - F.col("cos")).alias("drift")).withColumn("head", F.lit(head))
+            out = scored if out is None else out.unionByName(scored)
+        return out
+
+    return once(spark, d, "augmentation", make)
+
+
 @query("k16_augmentation_probe")
 def augmentation_probe(spark: SparkSession, d: str) -> DataFrame:
-    """Ridge on +-1 targets by normal equations, fitted on clean rows and on clean with shifted ones: shifted accuracy before and after."""
-    rows = shifted_bank(spark, d).filter("backbone = 'B0' AND tag IN ('clean_0', 'add_0_3')").select("tag", "vec_id", "label", unit(F.col("x")).alias("u"))
-    test = F.conv(F.substring(F.md5(F.concat(F.lit("aug|"), F.col("vec_id").cast("string"))), 1, 4), 16, 10).cast("int") % 5 == 0
-    rows = rows.withColumn("test", test)
-    classes = [r["label"] for r in rows.select("label").distinct().orderBy("label").collect()]  # the few classes
-    columns = [F.lit(1.0), *[F.col("u")[i] for i in range(DIM)], *[F.when(F.col("label") == c, 1.0).otherwise(-1.0) for c in classes]]
-    k = DIM + 1
-    out = None
-    for name, kept in (("before", "NOT test AND tag = 'clean_0'"), ("after", "NOT test")):
-        xx = unpack(products(rows.filter(kept), columns).first()["xx"], k + len(classes))
-        w = np.linalg.solve(xx[:k, :k] + 0.1 * np.diag([0.0] + [1.0] * DIM), xx[:k, k:])
-        score = [F.struct((dot(F.array(*[F.lit(float(v)) for v in w[1:, j]]), F.col("u"), DIM) + float(w[0, j])).alias("s"), F.lit(c).alias("c")) for j, c in enumerate(classes)]
-        hit = rows.filter("test AND tag = 'add_0_3'").select(F.lit(name).alias("training"), (F.array_max(F.array(*score))["c"] == F.col("label")).cast("double").alias("hit"))
-        out = hit if out is None else out.unionByName(hit)
-    return out.groupBy("training").agg(F.count("*").alias("n"), rounded(F.avg("hit")).alias("shifted_accuracy"))
+    """Ridge and logistic heads of every dataset and space, fitted on clean rows and on clean with shifted ones, over five splits.
+
+    Accuracy on clean and shifted test rows, the gap between them, and the correlation of a condition's drift with its drop.
+    """
+    r = augmentation_records(spark, d)
+    key = ["head", "training", "dataset", "backbone"]
+    clean = r.filter("tag = 'clean_0'").select(*key, "split", F.col("accuracy").alias("clean"))
+    moved = r.filter("tag <> 'clean_0'").join(clean, [*key, "split"])
+    found = moved.groupBy(*key).agg(F.countDistinct("tag").alias("conditions"), F.avg("clean").alias("c"), F.avg("accuracy").alias("p"), F.corr("drift", F.col("clean") - F.col("accuracy")).alias("r"))
+    return found.select(*key, "conditions", rounded(F.col("c")).alias("clean_acc"), rounded(F.col("p")).alias("pert_acc"), rounded(F.col("c") - F.col("p")).alias("gap"), rounded(F.col("r")).alias("drift_drop_r"))
 
 
 @query("c11_similarity_matrix", with_units("SELECT q.dataset, q.vec_id, count(*) AS n, round(avg(list_dot_product(q.u, b.u)), 6) AS mean, round(max(list_dot_product(q.u, b.u)), 6) AS most, round(min(list_dot_product(q.u, b.u)), 6) AS least FROM cu q JOIN cu b ON q.dataset = b.dataset AND q.backbone = 'B1' AND b.backbone = 'B1' WHERE q.vec_id % 50 = 0 GROUP BY q.dataset, q.vec_id"))

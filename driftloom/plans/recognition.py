@@ -9,6 +9,7 @@ from driftloom.functions.vectors import dot, mean_vector, sum_vector, unit
 from driftloom.operators.neighbours import nearest
 from driftloom.plans.base import DIM, clean_bank, neighbour_lists, paired, rounded, shifted_bank, sql_mean, sql_unit, with_near, with_units
 from driftloom.registry import query
+from driftloom.sources.store import written
 
 KEY = ["dataset", "backbone", "tag"]
 
@@ -175,6 +176,46 @@ def source_probe(spark: SparkSession, d: str) -> DataFrame:
     return best.groupBy("backbone").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg((F.col("predicted") == F.col("dataset")).cast("double"))).alias("source_accuracy"))
 
 
+_BY_SEED = """, sized AS (SELECT backbone, label, min(n) AS least, count(*) AS sources FROM (SELECT backbone, label, dataset, count(*) AS n FROM cu GROUP BY ALL) GROUP BY ALL), shared AS (SELECT * FROM sized WHERE sources = (SELECT count(DISTINCT dataset) FROM cu)),
+al AS (SELECT cu.* FROM cu JOIN shared USING (backbone, label)),
+ra AS (SELECT backbone, dataset, """ + _sum_sql("u") + """ AS c FROM al GROUP BY ALL),
+rs AS (SELECT al.backbone, al.dataset, al.vec_id, arg_max(ra.dataset, list_cosine_similarity(al.u, ra.c)) AS predicted FROM al JOIN ra ON ra.backbone = al.backbone GROUP BY ALL),
+sd AS (SELECT * FROM (SELECT al.*, seed, least, row_number() OVER (PARTITION BY al.backbone, label, dataset, seed ORDER BY md5('held|' || seed || '|' || vec_id), vec_id) AS r FROM al JOIN shared USING (backbone, label), (VALUES (11), (23), (37), (53), (71)) v(seed)) WHERE r <= least),
+sp AS (SELECT *, r <= least(greatest(1, CAST(round(0.2::DOUBLE * least) AS BIGINT)), least - 1) AS test FROM sd),
+sc AS (SELECT backbone, seed, dataset, """ + _sum_sql("u") + """ AS c FROM sp WHERE NOT test GROUP BY ALL),
+sq AS (SELECT t.backbone, t.seed, t.dataset, t.vec_id, arg_max(sc.dataset, list_cosine_similarity(t.u, sc.c)) AS predicted FROM sp t JOIN sc ON sc.backbone = t.backbone AND sc.seed = t.seed WHERE t.test GROUP BY ALL),
+se AS (SELECT backbone, seed, count(*) AS n, avg((predicted = dataset)::DOUBLE) AS a FROM sq GROUP BY ALL)
+"""
+
+
+@query("k10_source_protocols", with_units("") + _BY_SEED + "SELECT backbone, 'resubstitution' AS protocol, count(*) AS n, round(avg((predicted = dataset)::DOUBLE), 6) AS accuracy, NULL::DOUBLE AS std FROM rs GROUP BY ALL UNION ALL SELECT backbone, 'heldout_images', sum(n)::BIGINT, round(avg(a), 6), round(stddev_samp(a), 6) FROM se GROUP BY backbone")
+def source_protocols(spark: SparkSession, d: str) -> DataFrame:
+    """Is a vector's source its nearest source centroid? On the rows that made the centroids, and on held-out rows of balanced classes.
+
+    Only classes that all sources have take part. For five seeds a fifth of each balanced class and source is held out; its sums are taken
+    from the source's totals, so rows are aggregated once for all seeds.
+    """
+    key = ["backbone", "label"]
+    units = clean_bank(spark, d).select("dataset", "backbone", "vec_id", "label", unit(F.col("x")).alias("u"))
+    sizes = units.groupBy(*key, "dataset").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("sources"))
+    every = units.select("dataset").distinct().agg(F.count(F.lit(1)).alias("every"))
+    shared = sizes.crossJoin(F.broadcast(every)).filter("sources = every").select(*key, "least")  # one number
+    rows = written(units.join(shared, key))
+    centres = rows.groupBy("backbone", "dataset").agg(unit(sum_vector(F.col("u"), DIM)).alias("c"))
+    hit = lambda some, by: some.groupBy(*by, "dataset", "vec_id").agg(F.max_by("source", dot(F.col("u"), F.col("c"), DIM)).alias("predicted")).withColumn("hit", (F.col("predicted") == F.col("dataset")).cast("double"))
+    same = hit(rows.join(centres.withColumnRenamed("dataset", "source"), "backbone"), ["backbone"])
+    first = same.groupBy("backbone").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("hit")).alias("accuracy")).withColumn("std", F.lit(None).cast("double")).withColumn("protocol", F.lit("resubstitution"))
+    seeded = rows.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in (11, 23, 37, 53, 71)])))
+    order = Window.partitionBy(*key, "dataset", "seed").orderBy(F.md5(F.concat_ws("|", F.lit("held"), "seed", "vec_id")), "vec_id")
+    seeded = seeded.withColumn("r", F.row_number().over(order)).filter("r <= least")
+    seeded = written(seeded.withColumn("test", F.col("r") <= F.least(F.greatest(F.lit(1), F.round(F.col("least") * 0.2).cast("long")), F.col("least") - 1)))
+    total = seeded.groupBy("backbone", "seed", "dataset").agg(sum_vector(F.col("u"), DIM).alias("t"), F.array(*[F.sum(F.when(F.col("test"), F.col("u")[i]).otherwise(0.0)) for i in range(DIM)]).alias("h"))
+    centres = total.select("backbone", "seed", F.col("dataset").alias("source"), unit(F.zip_with("t", "h", lambda a, b: a - b)).alias("c"))
+    held = hit(seeded.filter("test").join(centres, ["backbone", "seed"]), ["backbone", "seed"]).groupBy("backbone", "seed").agg(F.count(F.lit(1)).alias("n"), F.avg("hit").alias("a"))
+    second = held.groupBy("backbone").agg(F.sum("n").alias("n"), rounded(F.avg("a")).alias("accuracy"), rounded(F.stddev_samp("a")).alias("std")).withColumn("protocol", F.lit("heldout_images"))
+    return first.unionByName(second).select("backbone", "protocol", "n", "accuracy", "std")
+
+
 @query("k11_margin", with_units("") + SCORES + "SELECT dataset, backbone, tag, vec_id, round(margin, 6) AS margin, predicted, rival FROM mg")
 def margin(spark: SparkSession, d: str) -> DataFrame:
     return margins(spark, d).select(*KEY, "vec_id", rounded(F.col("margin")).alias("margin"), "predicted", "rival")
