@@ -5,20 +5,24 @@ kind. The network adds spans that the patterns miss. It is trained in NumPy on l
 documents with the patterns' spans as labels (a documented bounded sample), and the same windows with spans rewritten in
 forms that the patterns don't know (a phone number without ``+``, a card number with dots, ``[at]``), where the label is known
 from the rewriting. Two LSTMs read a window in both directions; a linear layer gives scores of the nine tags (outside, and begin
-and inside of each kind); the CRF's transitions are learnt with them, and Viterbi decodes a window.
+and inside of each kind); the CRF's transitions are learnt with them.
 
 A text is decoded in windows of ``WIDTH`` characters that overlap by half. Whatever ``plausible`` accepts holds a digit or one of
-``@``, ``[at]`` and ``(at)``, so windows are skipped that hold none of these and no part of an address around such a sign; no other is. Windows are reconciled for the whole text: each character takes the tag
-of the window in whose middle it lies, tags become spans, and spans that touch a pattern's span, or that don't look like
+``@``, ``[at]`` and ``(at)``, so windows are skipped that hold none of these and no part of an address around such a sign; no other is. Windows are reconciled for the whole text: the scores of a character are the mean of
+all windows that hold it, weighted towards their middles, and Viterbi decodes each run of touching windows once, whatever its length,
+so transitions hold across the windows' seams. Tags become spans; those that touch a pattern's span, or that don't look like
 their kind (``plausible``), are dropped; the patterns' spans always stay.
 
-Defined results: null counts as empty; a text without spans gives counts of 0 and empty digests of an empty string;
-repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
+Defined results: null counts as empty; a text without spans gives counts of 0 and empty digests of an empty string; a null
+id stays null; of spans of a kind none overlap, so no ties arise; a very long text is held by one task, its time is in proportion to its
+length; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -38,6 +42,10 @@ _HINT = re.compile(r"[0-9@]")
 #: What every added span holds, too: of an e-mail address the sign, of the other kinds digits.
 _SIGN = re.compile(r"[0-9]+|@|\[at\]|\(at\)")
 _HOST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.-")
+#: Characters that a plausible span of any kind may hold.
+_SPANNED = _LOCAL | frozenset("@[]() ")
+#: Steps times runs that are decoded together.
+VITERBI = 1 << 16
 
 WIDTH, SAMPLE, WINDOWS = 64, 8000, 2000
 HIDDEN, EMBED, EPOCHS, BATCH, RATE = 16, 10, 16, 32, 0.02
@@ -217,20 +225,43 @@ class Tagger:
         np.add.at(grad["embed"], codes.T.ravel(), dx.reshape(-1, EMBED))
         return float((total - gold).mean()), grad
 
-    def decode(self, codes: np.ndarray) -> np.ndarray:
-        """Viterbi tags (batch, time)."""
-        s, _ = self.scores(codes)
-        n, b, _ = s.shape
-        best, back = s[0], np.empty((n, b, TAGS), np.int8)
-        for t in range(1, n):
-            all_ = best[:, :, None] + self.p["step"]
-            back[t] = all_.argmax(1)
-            best = all_.max(1) + s[t]
-        out = np.empty((b, n), np.int64)
-        out[:, -1] = best.argmax(1)
-        batch = np.arange(b)
-        for t in range(n - 1, 0, -1):
-            out[:, t - 1] = back[t, batch, out[:, t]]
+    def decode(self, runs: list[np.ndarray]) -> list[np.ndarray]:
+        """Viterbi tags of runs of tag scores (length, TAGS) of any lengths; runs of about the same length go together."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(runs)
+        order = sorted(range(len(runs)), key=lambda k: len(runs[k]))
+        lo = 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and (hi - lo + 1) * len(runs[order[hi]]) <= VITERBI:
+                hi += 1
+            some = order[lo:hi]
+            lo = hi
+            n = len(runs[some[-1]])
+            if not n:
+                continue
+            sizes = np.array([len(runs[k]) for k in some])
+            s = np.zeros((n, len(some), TAGS), np.float32)
+            for j, k in enumerate(some):
+                s[: sizes[j], j] = runs[k]
+            back, batch, last = np.empty((n, len(some), TAGS), np.int8), np.arange(len(some)), np.zeros(len(some), np.int64)
+            best = s[0]
+            last[sizes == 1] = best[sizes == 1].argmax(1)
+            for t in range(1, n):
+                all_ = best[:, :, None] + self.p["step"]
+                back[t] = all_.argmax(1)
+                best = all_.max(1) + s[t]
+                ends = sizes == t + 1
+                if ends.any():
+                    last[ends] = best[ends].argmax(1)
+            tags = np.empty((n, len(some)), np.int8)
+            now = last
+            for t in range(n - 1, -1, -1):
+                now = np.where(sizes == t + 1, last, now)
+                tags[t] = now
+                if t:
+                    now = back[t, batch, now].astype(np.int64)
+            for j, k in enumerate(some):
+                out[k] = tags[: sizes[j], j].astype(np.int64)
         return out
 
 
@@ -332,45 +363,89 @@ def windows_of(text: str) -> list[int]:
     return [k * half for k in sorted(found)]
 
 
-def reconcile(text: str, starts: list[int], tags: np.ndarray) -> list[Span]:
-    """Spans of a whole text from its windows' tags: a character goes by the window in whose middle half it lies."""
-    quarter, out = WIDTH // 4, []
-    at, kind, begin, due = 0, -1, 0, -1
-
-    def close(end: int) -> None:
-        nonlocal kind
-        if kind >= 0 and end > begin:
-            out.append((KINDS[kind], begin, end))
-        kind = -1
-
-    for k, s in enumerate(starts):
-        first = s if s == 0 or k == 0 or starts[k - 1] != s - 2 * quarter else s + quarter
-        end = min(len(text), s + WIDTH if k + 1 == len(starts) or starts[k + 1] != s + 2 * quarter else s + 3 * quarter)
-        if first != due:
-            close(at)
-        for p in range(first, end):
-            tag = int(tags[k, p - s])
-            if not tag:
-                close(p)
-            elif tag % 2 == 1 or kind != (tag - 1) // 2:
-                close(p)
-                kind, begin = (tag - 1) // 2, p
-        at = due = end
-    close(at)
+#: How much a window's place counts for a character in it: most in its middle, where both sides are known.
+_CENTRAL = np.minimum(np.arange(1, WIDTH + 1), np.arange(WIDTH, 0, -1)).astype(np.float32)
+
+
+def pooled(text: str, starts: list[int], scores: Iterable[np.ndarray]) -> list[tuple[int, np.ndarray]]:
+    """(begin, tag scores of the characters from there) of each run of windows that touch, from blocks of the windows' scores (windows, WIDTH, TAGS).
+
+    A character in several windows takes their mean, weighted by ``_CENTRAL``. Characters that no span may hold are outside.
+    """
+    blocks, block, at = iter(scores), np.zeros((0, WIDTH, TAGS), np.float32), 0
+    out: list[tuple[int, np.ndarray]] = []
+    k = 0
+    while k < len(starts):
+        j = k + 1
+        while j < len(starts) and starts[j] < starts[j - 1] + WIDTH:
+            j += 1
+        begin, end = starts[k], min(len(text), starts[j - 1] + WIDTH)
+        total, weight = np.zeros((end - begin, TAGS), np.float32), np.zeros(end - begin, np.float32)
+        for s in starts[k:j]:
+            if at == len(block):
+                block, at = next(blocks), 0
+            m = min(WIDTH, len(text) - s)
+            total[s - begin : s - begin + m] += block[at, :m] * _CENTRAL[:m, None]
+            weight[s - begin : s - begin + m] += _CENTRAL[:m]
+            at += 1
+        total /= weight[:, None]
+        barred = np.array([c not in _SPANNED for c in text[begin:end]], bool)
+        total[barred, 1:] = -1e4
+        out.append((begin, total))
+        k = j
+    return out
+
+
+def spans_of_tags(begin: int, tags: np.ndarray) -> list[Span]:
+    """Spans of a run's tags: a begin tag, or an inside tag of another kind, starts one."""
+    out: list[Span] = []
+    kind, first, last = -1, 0, -2
+    for p in np.flatnonzero(tags).tolist():
+        tag = int(tags[p])
+        if kind >= 0 and (p != last + 1 or tag % 2 == 1 or kind != (tag - 1) // 2):
+            out.append((KINDS[kind], begin + first, begin + last + 1))
+            kind = -1
+        if kind < 0:
+            kind, first = (tag - 1) // 2, p
+        last = p
+    if kind >= 0:
+        out.append((KINDS[kind], begin + first, begin + last + 1))
     return out
 
 
+def reconcile(net: Tagger, texts: list[tuple[str, list[int]]], scores: Iterable[np.ndarray]) -> list[list[Span]]:
+    """Spans of whole texts (each with its windows' starts): one decoding of each run of windows, over scores pooled from all of them."""
+
+    def blocks(n: int) -> Iterator[np.ndarray]:
+        nonlocal rest
+        while n:
+            if not len(rest):
+                rest = next(source)
+            yield rest[:n]
+            m = min(n, len(rest))
+            n, rest = n - m, rest[m:]
+
+    source, rest = iter(scores), np.zeros((0, WIDTH, TAGS), np.float32)
+    runs = [pooled(text, starts, blocks(len(starts))) for text, starts in texts]
+    tags = iter(net.decode([r for some in runs for _, r in some]))
+    return [[span for begin, _ in some for span in spans_of_tags(begin, next(tags))] for some in runs]
+
+
 def all_spans(text: str, base: list[Span], found: list[Span]) -> list[Span]:
-    """Base spans and the plausible found ones that touch none of them."""
+    """Base spans and the plausible found ones (ascending, apart) that touch none of them."""
+    ordered = sorted((a, e) for _, a, e in base)
+    begins = [a for a, _ in ordered]
+    furthest = list(itertools.accumulate((e for _, e in ordered), max))
     out = list(base)
     for kind, a, e in found:
         while a < e and text[a] in " .,;:\n":
             a += 1
         while e > a and text[e - 1] in " .,;:\n":
             e -= 1
-        if all(e <= x or a >= y for _, x, y in out) and plausible(kind, text[a:e]):
+        before = bisect.bisect_left(begins, e)  # base spans that begin before the end
+        if (not before or furthest[before - 1] <= a) and plausible(kind, text[a:e]):
             # not a part of a longer run of letters, digits or marks that join them
-            if (a == 0 or not (text[a - 1].isalnum() or text[a - 1] in "+@._%-=/\"'")) and (e == len(text) or not (text[e].isalnum() or text[e] in "@_=-/\"'")):
+            if (a == 0 or not (text[a - 1].isalnum() or text[a - 1] in "+@._%-=/")) and (e == len(text) or not (text[e].isalnum() or text[e] in "@_=-/")):
                 out.append((kind, a, e))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 
@@ -418,18 +493,18 @@ def find(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str
             held = 0
 
             def flush(queue: list, spans: list, added: list) -> None:
-                codes = np.zeros((sum(len(q[2]) for q in queue), WIDTH), np.int64)
-                at = 0
-                for _, text, starts, _ in queue:
-                    for s in starts:
-                        piece = encode(text[s : s + WIDTH])
-                        codes[at, : len(piece)] = piece
-                        at += 1
-                tags = np.concatenate([net.decode(codes[i : i + 512]) for i in range(0, len(codes), 512)]) if len(codes) else np.zeros((0, WIDTH), np.int64)
-                at = 0
-                for k, text, starts, base in queue:
-                    every = all_spans(text, base, reconcile(text, starts, tags[at : at + len(starts)]))
-                    at += len(starts)
+                windows = ((text, s) for _, text, starts, _ in queue for s in starts)
+
+                def scored() -> Iterator[np.ndarray]:
+                    while some := list(itertools.islice(windows, 512)):
+                        codes = np.zeros((len(some), WIDTH), np.int64)
+                        for row, (text, s) in enumerate(some):
+                            piece = encode(text[s : s + WIDTH])
+                            codes[row, : len(piece)] = piece
+                        yield net.scores(codes)[0].transpose(1, 0, 2)
+
+                for (k, text, _, base), found in zip(queue, reconcile(net, [(q[1], q[2]) for q in queue], scored()), strict=True):
+                    every = all_spans(text, base, found)
                     spans[k], added[k] = listed(every), len(every) - len(base)
 
             for k in range(n):

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -107,7 +109,7 @@ def test_tagger_gradient_and_learning():
     starts = pii.windows_of(text)
     codes = np.zeros((len(starts), pii.WIDTH), int)
     codes[0, : len(text)] = pii.encode(text)
-    assert ("phone", 12, 29) in pii.reconcile(text, starts, net.decode(codes))
+    assert ("phone", 12, 29) in pii.reconcile(net, [(text, starts)], [net.scores(codes)[0].transpose(1, 0, 2)])[0]
 
 
 def test_windows_cover_all_hints_and_reconcile_keeps_places():
@@ -115,11 +117,54 @@ def test_windows_cover_all_hints_and_reconcile_keeps_places():
     starts = pii.windows_of(text)
     for hint in (500, 834):
         assert any(s + 16 <= hint < s + 48 for s in starts) or any(s <= hint < s + 64 for s in starts)
-    tags = np.zeros((len(starts), pii.WIDTH), int)
+    net = pii.Tagger.fresh()
+    scores = np.zeros((len(starts), pii.WIDTH, pii.TAGS), np.float32)
+    scores[:, :, 0] = 20
     for k, s in enumerate(starts):
         if s <= 500 < s + 64:
-            tags[k, 500 - s] = 1
-    assert pii.reconcile(text, starts, tags) == [("email", 500, 501)]
+            scores[k, 500 - s, 1] = 90
+    for cut in (1, 2, 512):  # scores come in blocks of any size
+        assert pii.reconcile(net, [("", []), (text, starts)], [scores[i : i + cut] for i in range(0, len(scores), cut)]) == [[], [("email", 500, 501)]]
+
+
+def test_decoding_is_global():
+    """Viterbi over a whole run equals the best of all paths, for runs of different lengths at once."""
+    rng = np.random.default_rng(0)
+    net = pii.Tagger.fresh()
+    net.p["step"] = rng.normal(size=(pii.TAGS, pii.TAGS)).astype(np.float32) * 2
+    runs = [rng.normal(size=(n, pii.TAGS)).astype(np.float32) for n in (1, 4, 3, 1, 200, 4)]
+    got = net.decode(runs)
+    for scores, tags in zip(runs, got, strict=True):
+        value = lambda path, scores=scores: sum(scores[t, x] for t, x in enumerate(path)) + sum(net.p["step"][a, b] for a, b in zip(path, path[1:], strict=False))
+        if len(scores) <= 4:
+            assert abs(value(tags) - max(value(p) for p in itertools.product(range(pii.TAGS), repeat=len(scores)))) < 1e-4
+        best = scores[0].astype(float)
+        for t in range(1, len(scores)):
+            best = (best[:, None] + net.p["step"]).max(0) + scores[t]
+        assert abs(value(tags) - best.max()) < 1e-3
+    # a run of two windows: a seam breaks no span
+    text = "+" + "5" * 95
+    scores = np.zeros((2, pii.WIDTH, pii.TAGS), np.float32)
+    scores[:, :, 8] = 9  # inside a phone everywhere
+    scores[0, 0, 7] = 99
+    net.p["step"][:] = 0
+    assert pii.reconcile(net, [(text, [0, 32])], [scores]) == [[("phone", 0, 96)]]
+
+
+def test_added_spans_of_many_and_long(spark):
+    """Quoted values are found; thousands of spans in one text take no more than their share."""
+    base = [("phone", 40 * k, 40 * k + 16) for k in range(100_000)]
+    text = ("+1 234 567 89012" + " " * 24) * 100_000
+    began = time.monotonic()
+    every = pii.all_spans(text, base, [("phone", 40 * k + 2, 40 * k + 20) for k in range(100_000)])
+    assert every == base and time.monotonic() - began < 5
+    for quote in "\"'":
+        assert pii.all_spans(f"a {quote}030 1234 5678{quote}", [], [("phone", 3, 16)]) == [("phone", 3, 16)]
+    net = pii.Tagger.fresh()
+    long = ["call 555-0100 now " * 60_000, "1" * 1_000_000, "a@" * 300_000]
+    began = time.monotonic()
+    assert pii.find(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").repartition(3), net).count() == 3
+    assert time.monotonic() - began < 60
 
 
 def test_masked_addresses_need_no_digit(spark):
@@ -392,6 +437,16 @@ def test_url_filter(spark, sf):
     assert url_filter.judge_urls(df.filter("false")).count() == 0
 
 
+def test_very_long_urls(spark):
+    """A host of a million labels, a path of a million characters, repeated rows and a null id."""
+    urls = ["http://" + "a." * 500_000 + "example.com/en/x", "http://www.example.com/en/" + "y" * 1_000_000, "http://b.net/fr/", "http://b.net/fr/", "http://xexample.com/en/"]
+    df = spark.createDataFrame([*enumerate(urls), (None, "http://b.net/es/")], "page_id long, url string")
+    began = time.monotonic()
+    got = rows_of(url_filter.judge_urls(df), "page_id", "host", "path", "rule", "verdict")
+    assert time.monotonic() - began < 30
+    assert got == sorted([*((i, *brute_judge(u, url_filter.RULES)) for i, u in enumerate(urls)), (None, *brute_judge("http://b.net/es/", url_filter.RULES))], key=repr)
+
+
 def test_digest_collisions_decide_nothing(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda raw: len(raw) % 2)
     url_filter.write_rules(str(tmp_path / "r"), url_filter.RULES)
@@ -766,3 +821,18 @@ def test_toxicity_odd(spark, odd, none):
     empty = toxicity.fit(none, labels.filter("false"))
     assert toxicity.score(odd, empty).filter("score <> 0").count() == 0
     assert toxicity.keep_clean(odd, model).columns == odd.columns
+
+
+def test_many_offending_sentences_in_one_text(spark):
+    """Sixty thousand of them, non-ASCII in between: each is listed, in time that grows as the text does."""
+    data = np.frombuffer(b"blorgh", np.uint8)
+    found, *_ = toxicity.bag(data, np.array([0, len(data)]))
+    model = toxicity.Model(np.sort(found[:, 0]), np.array([9.0]))
+    one = "né à blorgh no. All is well here! "
+    df = spark.createDataFrame([(1, one * 60_000), (2, "blorgh"), (3, "fine"), (None, None)], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
+    assert time.monotonic() - began < 30
+    spans = got[1]["offending"].split(",")
+    assert len(spans) == 60_000 and spans[:2] == ["0:15", f"{len(one)}:{len(one) + 15}"] and spans[-1] == f"{59_999 * len(one)}:{59_999 * len(one) + 15}"
+    assert got[2]["offending"] == "0:6" and got[3]["predicted"] == 0 == got[None]["predicted"]
