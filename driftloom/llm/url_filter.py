@@ -65,6 +65,7 @@ class DigestArray:
         start = 16 + 8 * m
         self.table = self.raw[start : start + n * _KEYS.itemsize].view(_KEYS)
         self.keys = self.table["key"]
+        self.hosts = np.unique(self.table["host"]).tolist()
         self.texts = self.raw[start + n * _KEYS.itemsize :]
 
     def probe(self, texts: list[str]) -> np.ndarray:
@@ -84,10 +85,10 @@ class DigestArray:
         return out
 
     def candidates(self, host: str, path: str) -> list[str]:
-        """Every suffix of the host at a dot, with every prefix of the path of a length that rules have."""
+        """The host's suffixes at a dot (or all of it) that are as long as a rule's host, each with the path's prefixes that are as long as a rule's path."""
         ends = [path[:n] for n in self.lengths if n <= len(path)]
-        suffixes = [host] + [host[i + 1 :] for i, c in enumerate(host) if c == "."]
-        return [s + p for s in suffixes for p in ends]
+        cuts = [len(host) - n for n in self.hosts if n <= len(host)]
+        return [host[c:] + p for c in cuts if not c or host[c - 1] == "." for p in ends]
 
     def judge(self, urls: Sequence[str | None], default: str) -> tuple[list, list, list, list]:
         """Hosts, paths, rules and verdicts."""
