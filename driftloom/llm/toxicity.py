@@ -308,15 +308,18 @@ def _judged(model: Model):
             clean = np.concatenate([[0.0], np.cumsum(blame(x))])
             mine = np.searchsorted(heads, first)  # each row's first sentence
             scores[i:j] = -np.expm1(-np.maximum(clean[mine[1:]] - clean[mine[:-1]], 0))
-            for s in np.flatnonzero(blame(x) >= np.log(2)):
-                a = int(starts[heads[s]])
-                row = int(np.searchsorted(rel, a, side="right")) - 1
-                limit = int(rel[row + 1])
-                stop = np.flatnonzero(STOP[part[a:limit]])
-                e = a + int(stop[0]) + 1 if len(stop) else limit
-                points = lambda x: int(((x & 0xC0) != 0x80).sum())
-                lead = points(part[rel[row] : a])
-                places[i + row] += ("," if places[i + row] else "") + f"{lead}:{lead + points(part[a:e])}"
+            bad = np.flatnonzero(blame(x) >= np.log(2))
+            if not len(bad):
+                continue
+            points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])  # code points before each byte
+            stops = np.append(np.flatnonzero(STOP[part]) + 1, len(part))
+            begin = starts[heads[bad]]
+            row = np.searchsorted(rel, begin, side="right") - 1
+            end = np.minimum(stops[np.searchsorted(stops, begin, side="right")], rel[row + 1])
+            for k in np.unique(row):
+                some = row == k
+                lead = points[rel[k]]
+                places[i + k] = ",".join(f"{a}:{e}" for a, e in zip((points[begin[some]] - lead).tolist(), (points[end[some]] - lead).tolist(), strict=True))
         return scores, places
 
     return judge
