@@ -174,6 +174,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
     found = marked.join(stay, same, "left_semi")
     # repeated rows have the same id and text: one of them is any of them but for other columns, whose order decides
     others = [F.col(f"`{c}`").cast("string") for c in cols if c not in (id_col, text_col)]
-    first = F.row_number().over(Window.partitionBy(id_col, sha).orderBy(F.length(text_col).desc(), F.md5(F.concat_ws("|", *others)), text_col))
+    first = F.row_number().over(Window.partitionBy(id_col, sha).orderBy(F.length(text_col).desc(), F.md5(F.to_json(F.struct(*others))) if others else F.lit(0), text_col))
     place_col = f"{sha}_place"
     return found.withColumn(place_col, first).filter(F.col(place_col) == 1).select(*[F.col(f"`{c}`") for c in cols])
