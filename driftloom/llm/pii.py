@@ -2,9 +2,9 @@
 
 The patterns find e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers, leftmost and without overlap for each
 kind. The network adds spans that the patterns miss. It is trained in NumPy on labelled spans: windows of the
-documents with the patterns' spans as labels (a documented bounded sample), and the same windows with spans rewritten in
-forms that the patterns don't know (a phone number without ``+``, a card number with dots, ``[at]``), where the label is known
-from the rewriting. Two LSTMs read a window in both directions; a linear layer gives scores of the nine tags (outside, and begin
+documents with the patterns' spans as labels (a documented bounded sample), the same windows with spans rewritten in
+forms that the patterns don't know (phone numbers in groups without ``+``, a card number with dots, ``[at]``) and other letters and digits, where the label is known
+from the rewriting, and windows with harmless numbers (years, dates, versions, amounts). Two LSTMs read a window in both directions; a linear layer gives scores of the nine tags (outside, and begin
 and inside of each kind); the CRF's transitions are learnt with them.
 
 A text is decoded in windows of ``WIDTH`` characters that overlap by half. Whatever ``plausible`` accepts holds a digit or one of
@@ -23,6 +23,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import itertools
+import random
 import re
 from collections.abc import Iterable, Iterator
 
@@ -47,8 +48,8 @@ _SPANNED = _LOCAL | frozenset("@[]() ")
 #: Steps times runs that are decoded together.
 VITERBI = 1 << 16
 
-WIDTH, SAMPLE, WINDOWS = 64, 8000, 2000
-HIDDEN, EMBED, EPOCHS, BATCH, RATE = 16, 10, 16, 32, 0.02
+WIDTH, SAMPLE, WINDOWS = 64, 8000, 2500
+HIDDEN, EMBED, EPOCHS, BATCH, RATE = 16, 10, 20, 32, 0.02
 TAGS = 1 + 2 * len(KINDS)
 Span = tuple[str, int, int]
 
@@ -292,26 +293,81 @@ def train(windows: list[tuple[str, list[Span]]], seed: int = 11) -> Tagger:
     return net
 
 
+def grouped(number: str, rng: random.Random) -> str:
+    """A number in groups of two to four digits with one separator, perhaps with a country's code, or its first group in brackets."""
+    groups, at = [], 0
+    while at < len(number):
+        left = len(number) - at
+        n = left if left <= 4 else rng.choice([k for k in (2, 3, 4) if left - k >= 2])
+        groups.append(number[at : at + n])
+        at += n
+    mark = rng.choice(" -. ")
+    if rng.random() < 0.3 and len(number) > 9:
+        groups = [groups[0][:1], *groups] if rng.random() < 0.5 else [number[:1] + str(rng.randrange(10)), *groups]
+        groups = groups if sum(map(len, groups)) <= 15 else groups[1:]
+    if rng.random() < 0.25 and len(groups) > 2:
+        groups[0] = f"({groups[0]})"
+    return mark.join(groups)
+
+
+def varied(text: str, rng: random.Random) -> str:
+    """The same form with other letters and digits, so that forms are learnt and not names; long runs of letters change their length, too."""
+    out = []
+    for run in re.findall(r"\[at\]|\(at\)|[a-z]+|[A-Z]+|[0-9]+|.", text, re.S):
+        if run[0].isdigit():
+            out.append("".join(rng.choice("0123456789") for _ in run))
+        elif run[0].isalpha() and run.isascii():
+            n = max(2, len(run) + rng.randrange(-2, 3)) if len(run) > 3 else len(run)
+            letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+            out.append(letters if run[0].islower() else letters.upper())
+        else:
+            out.append(run)
+    return "".join(out)
+
+
+def address(sign: str, rng: random.Random) -> str:
+    """An e-mail address of any common make around a sign."""
+    word = lambda lo=2, hi=10: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(lo, hi)))
+    number = str(rng.randrange(1, 2000))
+    local = rng.choice([word(), word() + number, f"{word()}.{word()}", f"{word()}_{word()}", f"{word()}-{word()}", f"{word(1, 2)}.{word()}", f"{word()}.{word()}{number}", f"{word()}+{word()}"])
+    host = rng.choice([word(), word(), f"{word()}.{word()}", f"{word()}-{word()}", word() + str(rng.randrange(10))])
+    out = f"{local}{sign}{host}.{word(2, 4)}"
+    return out.title() if rng.random() < 0.1 else out
+
+
 def rewritten(kind: str, text: str, turn: int) -> str:
     """A span in a form that its pattern doesn't know."""
+    rng = random.Random(turn)
     if kind == "phone":
-        plain = text.lstrip("+")
-        return [plain, digits(text)[-10:-7] + "-" + digits(text)[-7:-4] + "-" + digits(text)[-4:], "(" + digits(text)[-10:-7] + ") " + digits(text)[-7:-4] + "-" + digits(text)[-4:]][turn % 3]
+        d = digits(text)
+        return [text.lstrip("+"), d[-10:-7] + "-" + d[-7:-4] + "-" + d[-4:], "(" + d[-10:-7] + ") " + d[-7:-4] + "-" + d[-4:], grouped(d[-rng.randrange(8, 13) :], rng), grouped(d[-10:], rng)][turn % 5]
     if kind == "card":
         d = digits(text)
         return ".".join(d[i : i + 4] for i in range(0, len(d), 4))
     if kind == "email":
-        return text.replace("@", ["[at]", " [at] ", " @ "][turn % 3])
+        sign = ["[at]", " [at] ", " @ ", "(at)", " (at) "][turn % 5]
+        return address(sign, rng) if rng.random() < 0.7 else text.replace("@", sign)
     return text.replace(".", ["[.]", " . ", ". "][turn % 3])
 
 
+def harmless(rng: random.Random) -> str:
+    """Numbers that are no one's: years, dates, times, versions, amounts, ranges, counts."""
+    year, two = lambda: str(rng.randrange(1900, 2040)), lambda lo, hi: f"{rng.randrange(lo, hi):02}"
+    return rng.choice([
+        f"{year()} {year()} {year()}", f"{year()} - {year()}", f"{year()}-{two(1, 13)}-{two(1, 29)} {two(0, 24)}:{two(0, 60)}", f"{two(1, 29)}.{two(1, 13)}.{year()}", f"{two(0, 24)}:{two(0, 60)}:{two(0, 60)}",
+        f"{rng.randrange(1, 20)}.{rng.randrange(30)}.{rng.randrange(30)}", f"{rng.randrange(1, 999)},{rng.randrange(1000):03}.{two(0, 100)}", f"{rng.randrange(400)}-{rng.randrange(400)}", str(rng.randrange(10**8)), f"{rng.randrange(100)} of {rng.randrange(1000)}",
+    ])
+
+
 def training_windows(text: str, seed: int) -> list[tuple[str, list[Span]]]:
     """Labelled windows of a text: around each span, the same with the span rewritten, and around other digits."""
     spans = base_spans(text)
     out = []
     for turn, (kind, a, e) in enumerate(spans):
         lead = (seed + 7 * turn) % 24
-        for body in (text[a:e], rewritten(kind, text[a:e], seed + turn), rewritten(kind, text[a:e], seed + turn + 1)):
+        rng = random.Random(1009 * turn + seed)
+        forms = [varied(rewritten(kind, text[a:e], seed + turn + k), rng) for k in range(4)]
+        for body in (text[a:e], *forms):
             left = text[max(0, a - lead) : a]
             if _HINT.search(left) or len(left) + len(body) > WIDTH:
                 left = ""
@@ -327,6 +383,9 @@ def training_windows(text: str, seed: int) -> list[tuple[str, list[Span]]]:
         window = text[lo : lo + WIDTH]
         if not taken[lo : lo + WIDTH].any():
             out.append((window, []))
+            rng = random.Random(1009 * lo + seed)
+            cut = rng.randrange(len(window) // 2 + 1)
+            out.append(((window[:cut] + " " + harmless(rng) + " " + window[cut:])[:WIDTH], []))
     return out
 
 
@@ -340,6 +399,8 @@ def plausible(kind: str, text: str) -> bool:
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 16 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9]+(?:[ .-]?[0-9]+)*", text))
+    if re.fullmatch(r"(?:19|20)[0-9]{2}(?:[ .-](?:(?:19|20)[0-9]{2}|[0-9]{2}))*", text):  # years, dates
+        return False
     return 8 <= len(d) <= 15 and bool(re.fullmatch(r"\+?(?:[0-9]{1,3}[ .-])?(?:\([0-9]{1,5}\) ?)?[0-9]{2,5}(?:[ .-][0-9]{2,5}){1,5}", text))
 
 
@@ -421,9 +482,9 @@ def reconcile(net: Tagger, texts: list[tuple[str, list[int]]], scores: Iterable[
         while n:
             if not len(rest):
                 rest = next(source)
-            yield rest[:n]
-            m = min(n, len(rest))
-            n, rest = n - m, rest[m:]
+            some, rest = rest[:n], rest[n:]  # before the yield: the last block's taker doesn't come back
+            n -= len(some)
+            yield some
 
     source, rest = iter(scores), np.zeros((0, WIDTH, TAGS), np.float32)
     runs = [pooled(text, starts, blocks(len(starts))) for text, starts in texts]
