@@ -15,7 +15,8 @@ from driftloom.operators import label_maps, probes
 from driftloom.plans.base import DIM, clean_bank, paired, records, rounded, shifted_bank, with_clean, with_rec, with_units
 from driftloom.plans import maps
 from driftloom.registry import oracle, query
-from driftloom.sources.store import once, table, written
+from driftloom.sources.ledger import Ledger
+from driftloom.sources.store import fresh_folder, once, table, written
 
 SHAPE = (3, 4, 4)
 #: A severity of each perturbation.
@@ -289,3 +290,26 @@ def paired_change(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("dataset", "backbone")
     c = paired(spark, d).groupBy("dataset", "backbone", "tag").agg(F.avg((F.col("cos") < 0.95).cast("double")).alias("share"))
     return c.select("dataset", "backbone", "tag", rounded(F.col("share")).alias("share"), rounded(F.col("share") - F.avg("share").over(w)).alias("above_mean"))
+
+
+@query("r4_extraction_grid", with_units("SELECT backbone, dataset, tag, count(*) AS n, round(avg(u[1]), 6) AS first, round(avg(u[16]), 6) AS last FROM su WHERE tag IN ('clean_0', 'scale_0_2') GROUP BY ALL"))
+def extraction_grid(spark: SparkSession, d: str) -> DataFrame:
+    """A grid of spaces, datasets and conditions through the ledger: what a space's extractor makes of every item, committed by cell.
+
+    The extractor stands for a network: it takes a space's part of a vector to unit length.
+    """
+    items = shifted_bank(spark, d).filter("tag IN ('clean_0', 'scale_0_2')").select("backbone", "dataset", "tag", "vec_id", "x")
+    cells = items.select("backbone", "dataset", "tag").distinct()
+
+    def load(model: str):
+        def extract(batch: pa.RecordBatch) -> pa.RecordBatch:
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            u = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+            return pa.RecordBatch.from_pydict({"vec_id": batch.column("vec_id"), "u": pa.array(u.tolist(), pa.list_(pa.float64()))})
+
+        return extract
+
+    ledger = Ledger(spark, fresh_folder(spark), ["backbone", "dataset", "tag"])
+    ledger.run(cells, items, ["backbone", "dataset", "tag"], "backbone", load, "vec_id long, u array<double>")
+    found = ledger.read("vec_id long, u array<double>").groupBy("backbone", "dataset", "tag")
+    return found.agg(F.count("*").alias("n"), rounded(F.avg(F.col("u")[0])).alias("first"), rounded(F.avg(F.col("u")[15])).alias("last"))

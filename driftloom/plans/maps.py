@@ -182,6 +182,45 @@ def centroid_cam(spark: SparkSession, d: str) -> DataFrame:
     return s.select("vec_id", "token", rounded(F.when(hi - lo < 1e-10, 0.0).otherwise((F.col("s") - lo) / (hi - lo)), 5).alias("cam"))
 
 
+_PITCHES = ((8, 6), (8, 4), (6, 4))
+
+
+def overlap_weights(p: int, q: int) -> list[tuple[int, int, int]]:
+    """(cell of a p x p grid, cell of a q x q grid, their shared area) over one square, in units of 1 / (p q)^2."""
+    along = [(i, j, min((i + 1) * q, (j + 1) * p) - max(i * q, j * p)) for i in range(p) for j in range(q) if min((i + 1) * q, (j + 1) * p) > max(i * q, j * p)]
+    return [(y * p + x, v * q + u, h * w) for y, v, h in along for x, u, w in along]
+
+
+_CROSS = """WITH e AS (SELECT vec_id, i AS pos, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) r(i)), f AS (SELECT vec_id, pos, CASE WHEN v < -0.05 THEN 0 WHEN v < 0.05 THEN 1 ELSE 2 END AS a, CASE WHEN v + CASE WHEN pos % 3 = 0 THEN 0.08 ELSE 0 END < -0.05 THEN 0 WHEN v + CASE WHEN pos % 3 = 0 THEN 0.08 ELSE 0 END < 0.05 THEN 1 ELSE 2 END AS b FROM e),
+pt AS (SELECT * FROM (VALUES (8, 6), (8, 4), (6, 4)) t(p, q)), al AS (SELECT p, q, i, j, least((i + 1) * q, (j + 1) * p) - greatest(i * q, j * p) AS w FROM pt, range(8) x(i), range(8) y(j) WHERE i < p AND j < q AND least((i + 1) * q, (j + 1) * p) > greatest(i * q, j * p)),
+ow AS (SELECT m.p, m.q, m.i * m.p + n.i AS ca, m.j * m.q + n.j AS cb, m.w * n.w AS w FROM al m JOIN al n ON m.p = n.p AND m.q = n.q),
+pr AS (SELECT s.vec_id, ow.p, ow.q, s.a, t.b, sum(w) AS w FROM ow JOIN f s ON s.pos = ow.ca JOIN f t ON t.pos = ow.cb AND t.vec_id = s.vec_id GROUP BY ALL),
+iou AS (SELECT vec_id, p, q, i, j, CASE WHEN coalesce(sum(w) FILTER (a = i OR b = j), 0) = 0 THEN 1.0 ELSE coalesce(sum(w) FILTER (a = i AND b = j), 0) / sum(w) FILTER (a = i OR b = j) END AS iou FROM pr, range(3) x(i), range(3) y(j) GROUP BY ALL)
+"""
+
+
+@query("p13_cross_pitch", _CROSS + "SELECT vec_id, p::INT AS pitch_a, q::INT AS pitch_b, round(avg(iou) FILTER (i = j), 6) AS csi, round(greatest(" + ", ".join("(" + " + ".join(f"max(iou) FILTER (i = {i} AND j = {j})" for i, j in enumerate(p)) + ") / 3" for p in _PERM) + "), 6) AS csi_hungarian, round(greatest(" + ", ".join("(" + " + ".join(f"max(iou) FILTER (i = {i} AND j = {j})" for i, j in enumerate(p)) + ") / 3" for p in _PERM) + ") - avg(iou) FILTER (i = j), 6) AS permutation_gap FROM iou GROUP BY ALL")
+def cross_pitch(spark: SparkSession, d: str) -> DataFrame:
+    """Stability of label maps between grids of different pitch over one square: cells meet by the area they share, then the best assignment of clusters.
+
+    Map a is on the coarser side of no pair; the grid of pitch p holds the first p * p cells. Weights are three small fixed tables.
+    """
+    e = table(spark, d, "embeddings").select("vec_id", as_double(F.col("embedding")).alias("v"))
+    cut = lambda x: F.when(x < -0.05, 0).when(x < 0.05, 1).otherwise(2)
+    maps_ = e.select("vec_id", F.transform("v", cut).alias("a"), F.transform("v", lambda x, i: cut(x + F.when(i % 3 == 0, 0.08).otherwise(0.0))).alias("b"))
+    weights = spark.createDataFrame([(p, q, *w) for p, q in _PITCHES for w in overlap_weights(p, q)], "pitch_a int, pitch_b int, ca int, cb int, w int")
+    cells_ = maps_.crossJoin(F.broadcast(weights)).select("vec_id", "pitch_a", "pitch_b", F.get("a", F.col("ca")).alias("a"), F.get("b", F.col("cb")).alias("b"), "w")
+    a, b, w = F.col("a"), F.col("b"), F.col("w")
+    cols = []
+    for i in range(CLUSTERS):
+        for j in range(CLUSTERS):
+            both, either = (F.sum(F.when(c, w).otherwise(0)) for c in ((a == i) & (b == j), (a == i) | (b == j)))
+            cols.append(F.when(either == 0, 1.0).otherwise(F.try_divide(both, either)).alias(f"m{i}{j}"))
+    m = cells_.groupBy("vec_id", "pitch_a", "pitch_b").agg(*cols)
+    each = [(F.col(f"m0{p[0]}") + F.col(f"m1{p[1]}") + F.col(f"m2{p[2]}")) / 3 for p in _PERM]
+    return m.select("vec_id", "pitch_a", "pitch_b", rounded(each[0]).alias("csi"), rounded(F.greatest(*each)).alias("csi_hungarian"), rounded(F.greatest(*each) - each[0]).alias("permutation_gap"))
+
+
 def _image(spark: SparkSession, d: str) -> DataFrame:
     """A vector's first 48 numbers as a 3 x 16 image in [0, 1]: vec_id, channel, pos, v."""
     e = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice(as_double(F.col("embedding")), 1, 48)).alias("i", "x"))

@@ -167,3 +167,28 @@ def matched_classes(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "embeddings").select("label").distinct().select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("draw"), "label")
     order = Window.partitionBy("draw").orderBy(F.md5(F.concat_ws("|", F.lit("match"), F.col("draw").cast("string"), F.col("label").cast("string"))), "label")
     return labels.withColumn("r", F.row_number().over(order)).filter("r <= 4").select("draw", "label")
+
+
+_DRAWS = 50
+
+
+@query("o12_matched_accuracy", with_near(f"""SELECT dataset, backbone, tag, count(*) AS draws, round(avg(a), 6) AS mean_accuracy, round(stddev_samp(a), 6) AS std, round(quantile_cont(a, 0.025), 6) AS ci_lo, round(quantile_cont(a, 0.975), 6) AS ci_hi
+FROM (SELECT h.dataset, h.backbone, h.tag, s, sum(hits) / sum(n) AS a FROM (SELECT dataset, backbone, tag, label, count(*) AS n, sum((near_label = label)::INT) AS hits FROM near WHERE rank = 1 GROUP BY ALL) h
+  JOIN (SELECT s, label, row_number() OVER (PARTITION BY s ORDER BY md5('match|' || s || '|' || label), label) AS r FROM (SELECT DISTINCT label FROM embeddings), range({_DRAWS}) t(s)) d ON d.label = h.label AND r <= 4 GROUP BY ALL) GROUP BY ALL"""))
+def matched_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy of every condition over draws of four classes: a draw is a bitmap of classes, held against each condition's hits and rows by class.
+
+    Rows are read once, for the counts by class; draws meet only those.
+    """
+    near = neighbour_lists(spark, d).filter("rank = 1")
+    counts = near.groupBy("dataset", "backbone", "tag", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("near_label") == F.col("label")).alias("hits"))
+    classes = near.select("label").distinct().withColumn("bit", F.row_number().over(Window.orderBy("label")) - 1)  # a row for each class
+    drawn = classes.select(F.explode(F.sequence(F.lit(0), F.lit(_DRAWS - 1))).alias("draw"), "label", "bit")
+    order = Window.partitionBy("draw").orderBy(F.md5(F.concat_ws("|", F.lit("match"), F.col("draw").cast("string"), F.col("label").cast("string"))), "label")
+    drawn = drawn.withColumn("r", F.row_number().over(order)).filter("r <= 4")
+    maps = drawn.groupBy("draw").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("classes"))
+    by = counts.join(F.broadcast(classes), "label").groupBy("dataset", "backbone", "tag").agg(F.array_agg(F.struct("bit", "hits", "n")).alias("known"))  # classes of a condition; one bit each
+    held = by.crossJoin(F.broadcast(maps)).withColumn("some", F.filter("known", lambda k: F.getbit(F.col("classes"), k["bit"]) == 1))  # the draws
+    total = lambda c: F.aggregate("some", F.lit(0).cast("long"), lambda t, k: t + k[c])
+    a = held.filter("size(some) > 0").select("dataset", "backbone", "tag", (total("hits") / total("n")).alias("a")).groupBy("dataset", "backbone", "tag")
+    return a.agg(F.count(F.lit(1)).alias("draws"), rounded(F.avg("a")).alias("mean_accuracy"), rounded(F.stddev_samp("a")).alias("std"), rounded(F.percentile("a", F.lit(0.025))).alias("ci_lo"), rounded(F.percentile("a", F.lit(0.975))).alias("ci_hi"))
