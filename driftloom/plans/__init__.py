@@ -1,3 +1,3 @@
 """The library's queries, by family; importing this package registers them."""
 
-from driftloom.plans import images, maps, metrics, recognition, relational, resampling, shift, statistics, streams, validation, vectors  # noqa: F401
+from driftloom.plans import completions, images, maps, metrics, recognition, relational, resampling, shift, statistics, streams, validation, vectors  # noqa: F401

@@ -115,7 +115,7 @@ def cross_source(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("source", "target", "backbone").agg(rounded(F.avg("r")).alias("macro_recall"))
 
 
-_TRANSFER = """, tr AS (SELECT * FROM (SELECT b.dataset AS source, q.dataset AS target, q.backbone, q.vec_id, q.label, b.label AS near_label,
+TRANSFER = """, tr AS (SELECT * FROM (SELECT b.dataset AS source, q.dataset AS target, q.backbone, q.vec_id, q.label, b.label AS near_label,
   row_number() OVER (PARTITION BY b.dataset, q.dataset, q.backbone, q.vec_id ORDER BY list_dot_product(q.u, b.u) DESC, b.label, b.vec_id) AS rank
   FROM cu q JOIN cu b ON q.backbone = b.backbone AND (q.dataset <> b.dataset OR q.vec_id <> b.vec_id)) WHERE rank <= 5)
 """
@@ -131,15 +131,15 @@ def transfer_votes(spark: SparkSession, d: str) -> DataFrame:
     return vote(near, 5, ["source", "tag", "backbone"]).withColumnRenamed("tag", "target")
 
 
-_TV = vote_sql("5", "tr", "source, target, backbone")
+TV = vote_sql("5", "tr", "source, target, backbone")
 
 
-@query("k8_transfer_matrix", with_units("") + _TRANSFER + f"SELECT source, target, backbone, count(*) AS n_test, round(avg((predicted = label)::DOUBLE), 6) AS accuracy FROM {_TV} GROUP BY ALL")
+@query("k8_transfer_matrix", with_units("") + TRANSFER + f"SELECT source, target, backbone, count(*) AS n_test, round(avg((predicted = label)::DOUBLE), 6) AS accuracy FROM {TV} GROUP BY ALL")
 def transfer_matrix(spark: SparkSession, d: str) -> DataFrame:
     return transfer_votes(spark, d).groupBy("source", "target", "backbone").agg(F.count(F.lit(1)).alias("n_test"), rounded(F.avg((F.col("predicted") == F.col("label")).cast("double"))).alias("accuracy"))
 
 
-@query("k9_direction_records", with_units("") + _TRANSFER + SCORES.replace(", cc AS", ", cc AS", 1).split(",\nsc AS")[0] + f""", v AS (SELECT source, target, backbone, label, count(*) AS n, avg((predicted = label)::DOUBLE) AS recall FROM {_TV} GROUP BY ALL)
+@query("k9_direction_records", with_units("") + TRANSFER + SCORES.replace(", cc AS", ", cc AS", 1).split(",\nsc AS")[0] + f""", v AS (SELECT source, target, backbone, label, count(*) AS n, avg((predicted = label)::DOUBLE) AS recall FROM {TV} GROUP BY ALL)
 SELECT c.source || '->' || c.target AS direction, c.backbone, c.label, round(w.recall, 6) AS within_source_recall, round(c.recall, 6) AS cross_source_recall, round(w.recall - c.recall, 6) AS accuracy_drop, round(1 - list_dot_product(a.c, b.c), 6) AS centroid_drift, w.n AS n_source, c.n AS n_target
 FROM v c JOIN v w ON w.source = c.source AND w.target = c.source AND w.backbone = c.backbone AND w.label = c.label
 JOIN cc a ON a.dataset = c.source AND a.backbone = c.backbone AND a.class = c.label JOIN cc b ON b.dataset = c.target AND b.backbone = c.backbone AND b.class = c.label WHERE c.source <> c.target""")
@@ -236,21 +236,26 @@ def margin_gate(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("k13_first_order_margin", with_units("") + SCORES + """, j AS (SELECT s.dataset, s.backbone, s.tag, s.margin, k.margin + (list_dot_product(p.u, a.c) - list_dot_product(p.c, a.c)) - (list_dot_product(p.u, b.c) - list_dot_product(p.c, b.c)) AS predicted_margin
- FROM mg s JOIN mg k ON k.dataset = s.dataset AND k.backbone = s.backbone AND k.vec_id = s.vec_id AND k.tag = 'clean_0' JOIN pairs p ON p.dataset = s.dataset AND p.backbone = s.backbone AND p.tag = s.tag AND p.vec_id = s.vec_id
- JOIN cc a ON a.dataset = s.dataset AND a.backbone = s.backbone AND a.class = s.label JOIN cc b ON b.dataset = s.dataset AND b.backbone = s.backbone AND b.class = k.rival WHERE s.tag <> 'clean_0' AND k.margin > 0)
-SELECT dataset, backbone, tag, count(*) AS n, sum((margin <= 0)::INT) AS flips, sum((margin <= 0 AND predicted_margin <= 0)::INT) AS first_order_flips, round(avg(predicted_margin), 6) AS mean_predicted FROM j GROUP BY ALL""")
-def first_order_margin(spark: SparkSession, d: str) -> DataFrame:
-    """The margin against the clean rival alone, after the move."""
+def first_order(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that are right when clean, under every shift: margin, p (the margin against the clean rival alone, after the move) and drift."""
     m = margins(spark, d)
     clean = m.filter("perturbation = 'clean' AND margin > 0").select("dataset", "backbone", "vec_id", F.col("margin").alias("gamma"), F.col("rival").alias("first_rival"))
     cent = _clean_centroids(spark, d)
     a = cent.select("dataset", "backbone", F.col("class").alias("label"), F.col("c").alias("ca"))
     b = cent.select("dataset", "backbone", F.col("class").alias("first_rival"), F.col("c").alias("cb"))
-    moved = paired(spark, d).filter("perturbation <> 'clean'").select(*KEY, "vec_id", "u", "c")
+    moved = paired(spark, d).filter("perturbation <> 'clean'").select(*KEY, "vec_id", "u", "c", (1 - F.col("cos")).alias("drift"))
     j = m.filter("perturbation <> 'clean'").join(clean, ["dataset", "backbone", "vec_id"]).join(moved, [*KEY, "vec_id"]).join(a, ["dataset", "backbone", "label"]).join(b, ["dataset", "backbone", "first_rival"])
     step = lambda c: dot(F.col("u"), F.col(c), DIM) - dot(F.col("c"), F.col(c), DIM)
-    j = j.withColumn("p", F.col("gamma") + step("ca") - step("cb"))
+    return j.withColumn("p", F.col("gamma") + step("ca") - step("cb"))
+
+
+@query("k13_first_order_margin", with_units("") + SCORES + """, j AS (SELECT s.dataset, s.backbone, s.tag, s.margin, k.margin + (list_dot_product(p.u, a.c) - list_dot_product(p.c, a.c)) - (list_dot_product(p.u, b.c) - list_dot_product(p.c, b.c)) AS predicted_margin
+ FROM mg s JOIN mg k ON k.dataset = s.dataset AND k.backbone = s.backbone AND k.vec_id = s.vec_id AND k.tag = 'clean_0' JOIN pairs p ON p.dataset = s.dataset AND p.backbone = s.backbone AND p.tag = s.tag AND p.vec_id = s.vec_id
+ JOIN cc a ON a.dataset = s.dataset AND a.backbone = s.backbone AND a.class = s.label JOIN cc b ON b.dataset = s.dataset AND b.backbone = s.backbone AND b.class = k.rival WHERE s.tag <> 'clean_0' AND k.margin > 0)
+SELECT dataset, backbone, tag, count(*) AS n, sum((margin <= 0)::INT) AS flips, sum((margin <= 0 AND predicted_margin <= 0)::INT) AS first_order_flips, round(avg(predicted_margin), 6) AS mean_predicted FROM j GROUP BY ALL""")
+def first_order_margin(spark: SparkSession, d: str) -> DataFrame:
+    """The margin against the clean rival alone, after the move."""
+    j = first_order(spark, d)
     return j.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("margin") <= 0).alias("flips"), F.count_if((F.col("margin") <= 0) & (F.col("p") <= 0)).alias("first_order_flips"), rounded(F.avg("p")).alias("mean_predicted"))
 
 

@@ -17,7 +17,7 @@ ACCURACY, MEAN, AUC, CORRELATION, BLOCK, CLUSTER = 1_000, 1_000, 1_000, 10_000,
 PERMUTATIONS = 10_000
 
 
-def _boot(source: str, keys: str, order: str, seed: str, replicates: int) -> str:
+def boot_sql(source: str, keys: str, order: str, seed: str, replicates: int) -> str:
     """The same draws in SQL."""
     on = " AND ".join(f"d.{k.strip()} = n.{k.strip()}" for k in keys.split(","))
     return f"""num AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS i_, count(*) OVER (PARTITION BY {keys}) AS n_ FROM {source}),
@@ -25,14 +25,14 @@ draws AS (SELECT {keys}, b AS replicate, ('0x' || substr(md5('{seed}|' || b || '
 boot AS (SELECT d.replicate, n.* FROM draws d JOIN num n ON {on} AND d.i_ = n.i_)"""
 
 
-@query("o1_bootstrap_accuracy", with_near("SELECT 1")[: -len("\nSELECT 1")] + ", hits AS (SELECT dataset, vec_id, (near_label = label)::DOUBLE AS hit FROM near WHERE rank = 1 AND backbone = 'B0' AND tag = 'blend_0_9'), " + _boot("hits", "dataset", "vec_id", "acc", ACCURACY) + " SELECT dataset, round(quantile_cont(a, 0.025), 6) AS ci_lo, round(quantile_cont(a, 0.975), 6) AS ci_hi, round(stddev_pop(a), 6) AS ci_std FROM (SELECT dataset, replicate, avg(hit) AS a FROM boot GROUP BY ALL) GROUP BY dataset")
+@query("o1_bootstrap_accuracy", with_near("SELECT 1")[: -len("\nSELECT 1")] + ", hits AS (SELECT dataset, vec_id, (near_label = label)::DOUBLE AS hit FROM near WHERE rank = 1 AND backbone = 'B0' AND tag = 'blend_0_9'), " + boot_sql("hits", "dataset", "vec_id", "acc", ACCURACY) + " SELECT dataset, round(quantile_cont(a, 0.025), 6) AS ci_lo, round(quantile_cont(a, 0.975), 6) AS ci_hi, round(stddev_pop(a), 6) AS ci_std FROM (SELECT dataset, replicate, avg(hit) AS a FROM boot GROUP BY ALL) GROUP BY dataset")
 def bootstrap_accuracy(spark: SparkSession, d: str) -> DataFrame:
     hits = neighbour_lists(spark, d).filter("rank = 1 AND backbone = 'B0' AND tag = 'blend_0_9'").select("dataset", "vec_id", (F.col("near_label") == F.col("label")).cast("double").alias("hit"))
     a = bootstrap_rows(hits, ["dataset"], ["vec_id"], ACCURACY, "acc").groupBy("dataset", "replicate").agg(F.avg("hit").alias("a"))
     return a.groupBy("dataset").agg(rounded(F.percentile("a", F.lit(0.025))).alias("ci_lo"), rounded(F.percentile("a", F.lit(0.975))).alias("ci_hi"), rounded(F.stddev_pop("a")).alias("ci_std"))
 
 
-@query("o2_bootstrap_mean", with_rec("SELECT 1")[: -len("\nSELECT 1")] + ", " + _boot("rec", "perturbation", "dataset, backbone, tag", "mean", MEAN) + " SELECT perturbation, round(quantile_cont(a, 0.025), 6) AS lo, round(quantile_cont(a, 0.975), 6) AS hi FROM (SELECT perturbation, replicate, avg(drift) AS a FROM boot GROUP BY ALL) GROUP BY perturbation")
+@query("o2_bootstrap_mean", with_rec("SELECT 1")[: -len("\nSELECT 1")] + ", " + boot_sql("rec", "perturbation", "dataset, backbone, tag", "mean", MEAN) + " SELECT perturbation, round(quantile_cont(a, 0.025), 6) AS lo, round(quantile_cont(a, 0.975), 6) AS hi FROM (SELECT perturbation, replicate, avg(drift) AS a FROM boot GROUP BY ALL) GROUP BY perturbation")
 def bootstrap_mean(spark: SparkSession, d: str) -> DataFrame:
     a = bootstrap_rows(records(spark, d), ["perturbation"], ["dataset", "backbone", "tag"], MEAN, "mean").groupBy("perturbation", "replicate").agg(F.avg("drift").alias("a"))
     return a.groupBy("perturbation").agg(rounded(F.percentile("a", F.lit(0.025))).alias("lo"), rounded(F.percentile("a", F.lit(0.975))).alias("hi"))
@@ -55,7 +55,7 @@ def bootstrap_auc(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("metric").agg(rounded(F.avg("a")).alias("mean"), rounded(F.percentile("a", F.lit(0.025))).alias("lo"), rounded(F.percentile("a", F.lit(0.975))).alias("hi"))
 
 
-@query("o4_bootstrap_correlation", with_rec("SELECT 1")[: -len("\nSELECT 1")] + ", " + _boot("rec", "backbone", "dataset, tag", "corr", CORRELATION) + " SELECT backbone, round(quantile_cont(a, 0.025), 6) AS lo, round(quantile_cont(a, 0.975), 6) AS hi FROM (SELECT backbone, replicate, corr(drift, acc_drop) AS a FROM boot GROUP BY ALL HAVING stddev_pop(drift) > 0 AND stddev_pop(acc_drop) > 0) GROUP BY backbone")
+@query("o4_bootstrap_correlation", with_rec("SELECT 1")[: -len("\nSELECT 1")] + ", " + boot_sql("rec", "backbone", "dataset, tag", "corr", CORRELATION) + " SELECT backbone, round(quantile_cont(a, 0.025), 6) AS lo, round(quantile_cont(a, 0.975), 6) AS hi FROM (SELECT backbone, replicate, corr(drift, acc_drop) AS a FROM boot GROUP BY ALL HAVING stddev_pop(drift) > 0 AND stddev_pop(acc_drop) > 0) GROUP BY backbone")
 def bootstrap_correlation(spark: SparkSession, d: str) -> DataFrame:
     b = bootstrap_rows(records(spark, d), ["backbone"], ["dataset", "tag"], CORRELATION, "corr").groupBy("backbone", "replicate").agg(F.corr("drift", "acc_drop").alias("a"), F.stddev_pop("drift").alias("s"), F.stddev_pop("acc_drop").alias("t"))
     b = b.filter("s > 0 AND t > 0")  # a replicate without variance has no correlation
@@ -73,7 +73,7 @@ def _clusters(spark: SparkSession, d: str, keys: list[str], seed: str, column: s
 _CI = "round(avg(a), 6) AS mean, round(quantile_cont(a, 0.025), 6) AS lo, round(quantile_cont(a, 0.975), 6) AS hi"
 
 
-@query("o5_block_bootstrap", with_rec("SELECT 1")[: -len("\nSELECT 1")] + ", res AS (SELECT tag, backbone, drift - avg(drift) OVER (PARTITION BY dataset) AS x, acc_drop - avg(acc_drop) OVER (PARTITION BY dataset) AS y FROM rec), names AS (SELECT DISTINCT 'all' AS g, tag FROM rec), " + _boot("names", "g", "tag", "block", BLOCK) + f" SELECT {_CI} FROM (SELECT replicate, corr(x, y) AS a FROM boot b JOIN res r ON b.tag = r.tag GROUP BY replicate)")
+@query("o5_block_bootstrap", with_rec("SELECT 1")[: -len("\nSELECT 1")] + ", res AS (SELECT tag, backbone, drift - avg(drift) OVER (PARTITION BY dataset) AS x, acc_drop - avg(acc_drop) OVER (PARTITION BY dataset) AS y FROM rec), names AS (SELECT DISTINCT 'all' AS g, tag FROM rec), " + boot_sql("names", "g", "tag", "block", BLOCK) + f" SELECT {_CI} FROM (SELECT replicate, corr(x, y) AS a FROM boot b JOIN res r ON b.tag = r.tag GROUP BY replicate)")
 def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Conditions are the blocks; values are made residual once, before the draws."""
     w = Window.partitionBy("dataset")
@@ -83,7 +83,7 @@ def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return a.agg(rounded(F.avg("a")).alias("mean"), rounded(F.percentile("a", F.lit(0.025))).alias("lo"), rounded(F.percentile("a", F.lit(0.975))).alias("hi"))
 
 
-@query("o6_cluster_bootstrap", with_rec("SELECT 1")[: -len("\nSELECT 1")] + ", names AS (SELECT DISTINCT 'all' AS g, dataset, backbone FROM rec), " + _boot("names", "g", "dataset, backbone", "cluster", CLUSTER) + f" SELECT {_CI} FROM (SELECT replicate, corr(r.drift, r.acc_drop) AS a FROM boot b JOIN rec r ON b.dataset = r.dataset AND b.backbone = r.backbone GROUP BY replicate)")
+@query("o6_cluster_bootstrap", with_rec("SELECT 1")[: -len("\nSELECT 1")] + ", names AS (SELECT DISTINCT 'all' AS g, dataset, backbone FROM rec), " + boot_sql("names", "g", "dataset, backbone", "cluster", CLUSTER) + f" SELECT {_CI} FROM (SELECT replicate, corr(r.drift, r.acc_drop) AS a FROM boot b JOIN rec r ON b.dataset = r.dataset AND b.backbone = r.backbone GROUP BY replicate)")
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return _clusters(spark, d, ["dataset", "backbone"], "cluster")
 

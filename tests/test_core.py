@@ -274,3 +274,16 @@ def test_permutation_tails_of_every_condition(spark, sf):
     rows = queries()["o7_permutation_tail"](spark, sf).collect()
     assert len({(r["dataset"], r["backbone"], r["tag"]) for r in rows}) == len(rows) == 96
     assert all(r["below"] + r["above"] > 1 - 1e-9 for r in rows)
+
+
+def test_cross_space_partial_correlation(spark, sf):
+    """The residuals of a least-squares fit on one-hot factors, in NumPy."""
+    from driftloom.plans.completions import stacked
+
+    rows = stacked(spark, sf).filter("x <> y").collect()
+    factors = [np.array([r[c] for r in rows]) for c in ("dataset", "perturbation", "severity")]
+    design = np.concatenate([np.ones((len(rows), 1)), *[(f[:, None] == np.unique(f)[None, 1:]).astype(float) for f in factors]], axis=1)
+    residual = lambda v: v - design @ np.linalg.lstsq(design, v, rcond=None)[0]
+    x, y = (residual(np.array([r[c] for r in rows])) for c in ("drift", "acc_drop"))
+    got = registry.queries()["n19_partial"](spark, sf).first()
+    assert got["n"] == len(rows) and abs(got["partial_r"] - np.corrcoef(x, y)[0, 1]) < 1e-5
