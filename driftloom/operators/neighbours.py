@@ -2,7 +2,8 @@
 
 Vectors of a bank and of a query set travel as rows of packed blocks; each pair of blocks of one key is one matrix product
 in an Arrow batch, of which only the k nearest of each query leave. The lists of all bank blocks are merged by rank. No
-pair of vectors is ever a row.
+pair of vectors is ever a row. Block pairs are dealt by key and both blocks, so one large key is as many tasks' work as it has pairs, and
+a task holds two blocks at a time.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.sources.store import written
+
 BLOCK = 2048
 
 
@@ -25,6 +28,7 @@ def packed(rows: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFram
         values = flat.flatten().to_numpy(zero_copy_only=False).astype("<f8")
         return pa.table({
             **{k: pa.array([t[k][0].as_py()], pa.string()) for k in keys},
+            "block": pa.array([t["block"][0].as_py()], pa.int64()),
             "tags": pa.array([t["tag"].to_pylist()], pa.list_(pa.string())),
             "ids": pa.array([t["vec_id"].to_pylist()], pa.list_(pa.int64())),
             "labels": pa.array([t["label"].to_pylist()], pa.list_(pa.int32())),
@@ -33,18 +37,26 @@ def packed(rows: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFram
 
     counts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("blocks"))
     dealt = rows.join(counts, list(keys)).withColumn("block", F.pmod(F.xxhash64("tag", "vec_id"), F.col("blocks")))
-    schema = ", ".join(f"{k} string" for k in keys) + ", tags array<string>, ids array<long>, labels array<int>, vectors binary"
+    schema = ", ".join(f"{k} string" for k in keys) + ", block long, tags array<string>, ids array<long>, labels array<int>, vectors binary"
     return dealt.select(*keys, "block", "tag", "vec_id", "label", "u").groupBy(*keys, "block").applyInArrow(pack, schema)
 
 
-def nearest(queries: DataFrame, bank: DataFrame, keys: Sequence[str], k: int, other_than_self: bool = False) -> DataFrame:
+def block_pairs(q: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every block of ``q`` beside every block of ``b`` with its key, dealt evenly: a query block is sent to each bank block's place."""
+    counts = b.groupBy(*keys).agg(F.max("block").alias("_last"))
+    sent = q.join(counts, list(keys)).withColumn("b_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))).drop("_last")
+    bank = b.select(*keys, F.col("block").alias("b_block"), F.col("ids").alias("b_ids"), F.col("labels").alias("b_labels"), F.col("vectors").alias("b_vectors"))
+    return sent.join(bank, [*keys, "b_block"])
+
+
+def nearest(queries: DataFrame, bank: DataFrame, keys: Sequence[str], k: int, other_than_self: bool = False, block: int = BLOCK) -> DataFrame:
     """keys, tag, vec_id, label, rank, near_id, near_label, sim: by cosine (inputs are unit vectors), ties by label, then id."""
-    q, b = packed(queries, keys), packed(bank, keys)
-    both = q.join(b.select(*keys, F.col("ids").alias("b_ids"), F.col("labels").alias("b_labels"), F.col("vectors").alias("b_vectors")), list(keys))
+    q, b = packed(queries, keys, block), packed(bank, keys, block)
+    both = block_pairs(q, written(b), keys)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 n = len(r["ids"])
                 x = np.frombuffer(r["vectors"], "<f8").reshape(n, -1)
                 y = np.frombuffer(r["b_vectors"], "<f8").reshape(len(r["b_ids"]), -1)
@@ -84,7 +96,7 @@ def similarities(queries: DataFrame, bank: DataFrame, keys: Sequence[str]) -> Da
     Of each pair of blocks one row for each query leaves, whatever the size of the bank; these are merged by query.
     """
     q, b = packed(queries, keys), packed(bank, keys)
-    both = q.join(b.select(*keys, F.col("vectors").alias("b_vectors")), list(keys))
+    both = block_pairs(q, written(b), keys)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -287,3 +287,24 @@ def test_cross_space_partial_correlation(spark, sf):
     x, y = (residual(np.array([r[c] for r in rows])) for c in ("drift", "acc_drop"))
     got = registry.queries()["n19_partial"](spark, sf).first()
     assert got["n"] == len(rows) and abs(got["partial_r"] - np.corrcoef(x, y)[0, 1]) < 1e-5
+
+
+def test_neighbours_of_many_blocks(spark):
+    """Blocks of seven vectors, one key with most rows, ties by label and id, any dimension."""
+    from driftloom.operators.neighbours import nearest
+
+    rng = np.random.default_rng(0)
+    sets = {"big": rng.integers(-2, 3, (60, 5)).astype(float) + 0.1, "small": rng.normal(size=(4, 5))}
+    sets = {k: x / np.linalg.norm(x, axis=1, keepdims=True) for k, x in sets.items()}
+    rows = [(k, "t", i, i % 3, v.tolist()) for k, x in sets.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, tag string, vec_id long, label int, u array<double>")
+    got = {}
+    for r in nearest(df, df, ["k"], 6, other_than_self=True, block=7).collect():
+        got.setdefault((r["k"], r["vec_id"]), {})[r["rank"]] = (r["near_label"], r["near_id"])
+    for k, x in sets.items():
+        sim = x @ x.T
+        for i in range(len(x)):
+            best = sorted((j for j in range(len(x)) if j != i), key=lambda j: (-round(sim[i, j], 12), j % 3, j))[:6]
+            values = [round(float(sim[i, j]), 9) for j in best]
+            mine = [got[k, i][n + 1] for n in range(len(best))]
+            assert [round(float(sim[i, j]), 9) for _, j in mine] == values and len(got[k, i]) == len(best)
