@@ -17,7 +17,8 @@ are of bytes, never cross documents, may overlap, and are judged on the input.
 
 A window that occurs anywhere else has the same anchor there, so the result is exact. Defined results: null counts
 as empty; texts of under ``LENGTH`` bytes lose nothing; a null doc_id is larger than all others; rows with one doc_id don't
-remove from each other; an empty table gives an empty result; other columns are ignored.
+remove from each other; a very long text is cut into runs by its anchors but its bytes are held by one task; repeated rows with different ids lose
+what a smaller id holds; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

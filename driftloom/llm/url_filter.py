@@ -3,12 +3,13 @@
 The rules' texts (host and path prefix) are hashed to 64-bit xxhash keys and sorted; keys, verdicts and the full texts
 lie in one file, which Spark hands to every executor (``addFile``) and which workers map into memory, so a list of any
 size costs pages, not heap. A batch of URLs makes one array of candidate keys, each host suffix with each path
-prefix whose length occurs among the rules, that is probed by one vectorised binary search; a hit counts only if the
+prefix whose lengths occur among the rules, that is probed by one vectorised binary search; a hit counts only if the
 stored full text is the candidate's, so collisions of digests decide nothing. The longest fitting rule wins (of equally
 long ones, that of the longer host).
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, no rule and the default verdict;
-repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
+a null id stays null; repeated rows are judged alike, and of rules that fit equally none is chosen by chance (the longer host's); a very long URL is
+taken whole, with as many candidates as rules have host and path lengths; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
