@@ -1,9 +1,9 @@
 """Exact nearest neighbours of a stated query set, in blocks.
 
-Vectors of a bank and of a query set travel as rows of packed blocks; each pair of blocks of one key is one matrix product
-in an Arrow batch, of which only the k nearest of each query leave. The lists of all bank blocks are merged by rank. No
-pair of vectors is ever a row. Block pairs are dealt by key and both blocks, so one large key is as many tasks' work as it has pairs, and
-a task holds two blocks at a time.
+Vectors of a bank and of a query set travel as rows of packed blocks. A block of queries meets its key's bank blocks one after the other in one
+task, which holds the queries, their k best so far and one bank block: only finished lists leave, one row for each query, and none are merged
+afterwards. A product in single precision sorts out the pairs that cannot be among the k best, by a bound on its error; the others are
+computed in double precision. The groups of one key are as many as it has blocks of queries.
 """
 
 from __future__ import annotations
@@ -18,25 +18,35 @@ from pyspark.sql import functions as F
 from driftloom.sources.store import written
 
 BLOCK = 2048
+#: Vectors of a bank block of ``nearest`` (blocks of queries have twice as many), and sides of one product.
+NEAR_BLOCK, ROWS, TILE = 1 << 15, 256, 2048
+#: More than the error of an inner product in single precision, for each dimension and unit of both norms.
+SINGLE = 2.0**-22
+#: Pairs that are kept before they are merged into the lists.
+PENDING = 1 << 20
+
+
+def block_counts(rows: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
+    """keys, blocks: how many blocks of about ``block`` vectors each key has."""
+    return rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("blocks"))
 
 
 def packed(rows: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
     """Rows (keys, tag, vec_id, label, u) in blocks of about ``block`` vectors: keys, tags, ids, labels, vectors."""
 
     def pack(t: pa.Table) -> pa.Table:
-        flat = t["u"].combine_chunks()
-        values = flat.flatten().to_numpy(zero_copy_only=False).astype("<f8")
+        one = lambda c, kind: pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t[c].combine_chunks().cast(kind))
+        values = t["u"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f8")
         return pa.table({
             **{k: pa.array([t[k][0].as_py()], pa.string()) for k in keys},
             "block": pa.array([t["block"][0].as_py()], pa.int64()),
-            "tags": pa.array([t["tag"].to_pylist()], pa.list_(pa.string())),
-            "ids": pa.array([t["vec_id"].to_pylist()], pa.list_(pa.int64())),
-            "labels": pa.array([t["label"].to_pylist()], pa.list_(pa.int32())),
+            "tags": one("tag", pa.string()),
+            "ids": one("vec_id", pa.int64()),
+            "labels": one("label", pa.int32()),
             "vectors": pa.array([values.tobytes()], pa.binary()),
         })
 
-    counts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("blocks"))
-    dealt = rows.join(counts, list(keys)).withColumn("block", F.pmod(F.xxhash64("tag", "vec_id"), F.col("blocks")))
+    dealt = rows.join(block_counts(rows, keys, block), list(keys)).withColumn("block", F.pmod(F.xxhash64("tag", "vec_id"), F.col("blocks")))
     schema = ", ".join(f"{k} string" for k in keys) + ", block long, tags array<string>, ids array<long>, labels array<int>, vectors binary"
     return dealt.select(*keys, "block", "tag", "vec_id", "label", "u").groupBy(*keys, "block").applyInArrow(pack, schema)
 
@@ -49,45 +59,182 @@ def block_pairs(q: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sent.join(bank, [*keys, "b_block"])
 
 
-def nearest(queries: DataFrame, bank: DataFrame, keys: Sequence[str], k: int, other_than_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """keys, tag, vec_id, label, rank, near_id, near_label, sim: by cosine (inputs are unit vectors), ties by label, then id."""
-    q, b = packed(queries, keys, block), packed(bank, keys, block)
-    both = block_pairs(q, written(b), keys)
+class _Block:
+    """A packed row: ids, labels and vectors."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int) -> None:
+        of = lambda c: batch.column(c)[i].values.to_numpy(zero_copy_only=False)
+        self.ids, self.labels, self.tags = of("ids"), of("labels"), batch.column("tags")[i].values
+        self.x = np.frombuffer(batch.column("vectors")[i].as_buffer(), "<f8").reshape(len(self.ids), -1)
+
+
+def _repeats(ids: np.ndarray) -> int:
+    """How often the most frequent id comes."""
+    return int(np.unique(ids, return_counts=True)[1].max())
+
+
+def _ordered(k: int):
+    """Bank blocks by label, then id. Of equal vectors only the first few stay: k after one id's rows are left out; no list has another."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                n = len(r["ids"])
-                x = np.frombuffer(r["vectors"], "<f8").reshape(n, -1)
-                y = np.frombuffer(r["b_vectors"], "<f8").reshape(len(r["b_ids"]), -1)
-                ids, labels = np.array(r["b_ids"]), np.array(r["b_labels"])
-                order = np.lexsort((ids, labels))
-                y, ids, labels = y[order], ids[order], labels[order]
-                own = np.array(r["ids"])
-                most = min(k, len(ids))
-                for a in range(0, n, 256):
-                    sim = x[a : a + 256] @ y.T
-                    if other_than_self:
-                        sim[own[a : a + 256][:, None] == ids[None, :]] = -np.inf
-                    top = np.argsort(-sim, axis=1, kind="stable")[:, :most]
-                    m = len(top)
-                    value = np.take_along_axis(sim, top, 1).ravel()
-                    keep = np.isfinite(value)
-                    rows = np.repeat(np.arange(a, a + m), most)[keep]
-                    yield pa.RecordBatch.from_pydict({
-                        **{key: pa.array([r[key]] * len(rows), pa.string()) for key in keys},
-                        "tag": pa.array([r["tags"][i] for i in rows], pa.string()),
-                        "vec_id": pa.array(own[rows]),
-                        "label": pa.array(np.array(r["labels"], np.int32)[rows]),
-                        "near_id": pa.array(ids[top.ravel()[keep]]),
-                        "near_label": pa.array(labels[top.ravel()[keep]].astype(np.int32)),
-                        "sim": pa.array(value[keep]),
-                    })
+            for i in range(batch.num_rows):
+                b = _Block(batch, i)
+                order = np.lexsort((b.ids, b.labels))
+                x = np.ascontiguousarray(b.x[order])
+                raw = x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
+                by = np.argsort(raw, kind="stable")
+                head = np.flatnonzero(np.concatenate([[True], raw[by][1:] != raw[by][:-1]]))
+                nth = np.arange(len(by)) - np.repeat(head, np.diff(np.append(head, len(by))))
+                kept = np.sort(by[nth < k + _repeats(b.ids)])
+                at = pa.array([0, len(kept)], pa.int32())
+                row = batch.slice(i, 1)
+                new = {"ids": pa.ListArray.from_arrays(at, pa.array(b.ids[order][kept])), "labels": pa.ListArray.from_arrays(at, pa.array(b.labels[order][kept])), "tags": pa.ListArray.from_arrays(at, b.tags.take(pa.array(order[kept]))), "vectors": pa.array([x[kept].tobytes()], pa.binary())}
+                yield pa.RecordBatch.from_arrays([new.get(c, row.column(c)) for c in row.schema.names], names=row.schema.names)
+
+    return run
+
+
+class Lists:
+    """The ``k`` best bank rows of each of a block of queries, after any number of bank blocks."""
+
+    def __init__(self, q: _Block, k: int, other_than_self: bool) -> None:
+        self.q, self.k, self.other = q, k, other_than_self
+        n = len(q.ids)
+        self.sim, self.ids, self.labels = np.full((n, k), -np.inf), np.zeros((n, k), np.int64), np.zeros((n, k), np.int32)
+        self.single = q.x.astype("<f4")
+        self.norm = np.sqrt((q.x * q.x).sum(1))
+
+    def add(self, b: _Block) -> None:
+        """Meet a bank block, whose rows are by label, then id."""
+        size = np.sqrt((b.x * b.x).sum(1))
+        known = np.isfinite(size)
+        if not known.any():
+            return
+        slack = SINGLE * b.x.shape[1] * float(size[known].max())
+        single = b.x.astype("<f4")
+        first = np.flatnonzero(known)[: self.k + _repeats(b.ids)]
+        for a in range(0, len(self.norm), ROWS):
+            self._meet(a, min(a + ROWS, len(self.norm)), b, single, slack, first)
+
+    def _meet(self, a: int, e: int, b: _Block, single: np.ndarray, slack: float, first: np.ndarray) -> None:
+        rows, cols, pending, merge_at = [], [], 0, 1
+        # a zero vector is equally near to all: the first rows by label and id are its list
+        zero = np.flatnonzero(self.norm[a:e] == 0)
+        if len(zero):
+            rows.append(np.repeat(zero, len(first)))
+            cols.append(np.tile(first, len(zero)))
+        for t, c in enumerate(range(0, len(single), TILE)):
+            sim = self.single[a:e] @ single[c : c + TILE].T
+            floor = self.sim[a:e, -1] - slack * self.norm[a:e]
+            new = np.flatnonzero(np.isneginf(floor))
+            if len(new):
+                some = sim[new]
+                some[np.isnan(some)] = -np.inf
+                if self.other:
+                    some[self.q.ids[a:e][new][:, None] == b.ids[None, c : c + TILE]] = -np.inf
+                most = min(self.k, some.shape[1])
+                floor[new] = np.partition(some, -most, axis=1)[:, -most] - 2 * slack * self.norm[a:e][new]
+            floor[zero] = np.inf
+            # rounded down to single precision
+            hit = _places(sim >= np.nextafter(floor.astype("<f4"), np.float32(-np.inf))[:, None])
+            rows.append(hit // sim.shape[1])
+            cols.append(hit % sim.shape[1] + c)
+            pending += len(hit)
+            if t + 1 >= merge_at or pending > PENDING:
+                self._merge(a, b, np.concatenate(rows), np.concatenate(cols))
+                rows, cols, pending, merge_at = [], [], 0, 2 * (t + 1)
+        if rows:
+            self._merge(a, b, np.concatenate(rows), np.concatenate(cols))
+
+    def _merge(self, a: int, b: _Block, rows: np.ndarray, cols: np.ndarray) -> None:
+        if not len(rows):
+            return
+        sim = np.einsum("ij,ij->i", self.q.x[a + rows], b.x[cols])
+        keep = np.isfinite(sim)
+        if self.other:
+            keep &= self.q.ids[a + rows] != b.ids[cols]
+        keep &= sim >= self.sim[a + rows, -1]
+        rows, cols, sim = rows[keep], cols[keep], sim[keep]
+        if not len(rows):
+            return
+        hit = np.unique(rows)
+        every = np.concatenate([np.repeat(hit, self.k), rows])
+        value = np.concatenate([self.sim[a + hit].ravel(), sim])
+        ids = np.concatenate([self.ids[a + hit].ravel(), b.ids[cols]])
+        labels = np.concatenate([self.labels[a + hit].ravel(), b.labels[cols]])
+        order = np.lexsort((ids, labels, -value, every))
+        head = np.searchsorted(every[order], hit)
+        best = order[head[:, None] + np.arange(self.k)[None, :]]
+        self.sim[a + hit], self.ids[a + hit], self.labels[a + hit] = value[best], ids[best], labels[best]
+
+    def rows(self, names: dict[str, str], step: int = 8192) -> Iterator[pa.RecordBatch]:
+        """One row for each query that has a neighbour."""
+        for a in range(0, len(self.norm), step):
+            found = np.isfinite(self.sim[a : a + step])
+            some = np.flatnonzero(found[:, 0])
+            ends = np.concatenate([[0], np.cumsum(found[some].sum(1))]).astype(np.int32)
+            flat = lambda m: pa.array(m[a : a + step][found])
+            near = pa.StructArray.from_arrays([flat(self.ids), flat(self.labels), flat(self.sim)], ["near_id", "near_label", "sim"])
+            yield pa.RecordBatch.from_pydict({
+                **{c: pa.array([v] * len(some), pa.string()) for c, v in names.items()},
+                "tag": self.q.tags.take(pa.array(a + some)),
+                "vec_id": pa.array(self.q.ids[a + some]),
+                "label": pa.array(self.q.labels[a + some]),
+                "near": pa.ListArray.from_arrays(pa.array(ends), near),
+            })
+
+
+def _places(hit: np.ndarray) -> np.ndarray:
+    """Flat places of the few true values; eight are looked at together."""
+    flat = hit.ravel()
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    words = np.flatnonzero(flat.view(np.uint64))
+    i, j = np.nonzero(flat.reshape(-1, 8)[words])
+    return words[i] * 8 + j
+
+
+def nearest_lists(queries: DataFrame, bank: DataFrame, keys: Sequence[str], k: int, other_than_self: bool = False, block: int = NEAR_BLOCK) -> DataFrame:
+    """keys, tag, vec_id, label, near: an array of (near_id, near_label, sim), at most k, by cosine (inputs are unit vectors), ties by label, then id."""
+    spark = queries.sparkSession
+    names = ["tags", "ids", "labels", "vectors"]
+    q = packed(queries, keys, 2 * block).select(*keys, F.col("block").alias("group"), F.lit(-1).cast("long").alias("part"), *names)
+    b = packed(bank, keys, block)
+    b = written(b.mapInArrow(_ordered(k), b.schema))
+    groups = block_counts(queries, keys, 2 * block)
+    sent = b.join(groups, list(keys)).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).select(*keys, "group", F.col("block").alias("part"), *names)
+    # bank blocks follow their queries; more partitions than cores, since a group is one task's work
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    both = q.unionByName(sent).repartition(parts, *keys, "group").sortWithinPartitions(*keys, "group", "part")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, now = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name = {c: batch.column(c)[i].as_py() for c in keys}
+                if batch.column("part")[i].as_py() < 0:
+                    if lists:
+                        yield from lists.rows(now[0])
+                    lists, now = Lists(_Block(batch, i), k, other_than_self), (name, batch.column("group")[i].as_py())
+                elif now == (name, batch.column("group")[i].as_py()):  # a group may have no queries
+                    lists.add(_Block(batch, i))
+        if lists:
+            yield from lists.rows(now[0])
+
+    schema = ", ".join(f"{key} string" for key in keys) + ", tag string, vec_id long, label int, near array<struct<near_id: long, near_label: int, sim: double>>"
+    return both.mapInArrow(run, schema)
+
+
+def ranked(lists: DataFrame) -> DataFrame:
+    """Lists of neighbours as one row for each neighbour: rank, near_id, near_label, sim in the place of ``near``."""
+    rows = lists.select(*[c for c in lists.columns if c != "near"], F.posexplode("near").alias("pos", "n"))
+    return rows.select(*[c for c in lists.columns if c != "near"], "n.near_id", "n.near_label", "n.sim", (F.col("pos") + 1).alias("rank"))
+
 
-    schema = ", ".join(f"{key} string" for key in keys) + ", tag string, vec_id long, label int, near_id long, near_label int, sim double"
-    found = both.mapInArrow(run, schema)
-    order = Window.partitionBy(*keys, "tag", "vec_id").orderBy(F.col("sim").desc(), "near_label", "near_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def nearest(queries: DataFrame, bank: DataFrame, keys: Sequence[str], k: int, other_than_self: bool = False, block: int = NEAR_BLOCK) -> DataFrame:
+    """keys, tag, vec_id, label, rank, near_id, near_label, sim: ``nearest_lists`` as rows."""
+    return ranked(nearest_lists(queries, bank, keys, k, other_than_self, block))
 
 
 def similarities(queries: DataFrame, bank: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions.vectors import dot, mean_vector, sum_vector, unit
-from driftloom.operators.neighbours import nearest
-from driftloom.plans.base import DIM, clean_bank, neighbour_lists, paired, rounded, shifted_bank, sql_mean, sql_unit, with_near, with_units
+from driftloom.operators.neighbours import nearest_lists
+from driftloom.plans.base import DIM, clean_bank, neighbour_arrays, paired, rounded, shifted_bank, sql_mean, sql_unit, with_near, with_units
 from driftloom.registry import query
 from driftloom.sources.store import written
 
 KEY = ["dataset", "backbone", "tag"]
 
 
-def vote(near: DataFrame, k: int, keys: list[str]) -> DataFrame:
-    """keys, vec_id, label, predicted: majority of the first k, ties to the smallest label."""
-    counts = near.filter(F.col("rank") <= k).groupBy(*keys, "vec_id", "label", "near_label").agg(F.count(F.lit(1)).alias("votes"))
-    return counts.groupBy(*keys, "vec_id", "label").agg(F.max_by("near_label", F.struct(F.col("votes"), -F.col("near_label"))).alias("predicted"))
+def voted(near: Column, k: int) -> Column:
+    """The majority of the first k of a list of neighbours, ties to the smallest label."""
+    labels = F.transform(F.slice(near, 1, k), lambda n: n["near_label"])
+    votes = F.transform(F.array_distinct(labels), lambda c: F.struct(F.size(F.filter(labels, lambda x: x.eqNullSafe(c))).alias("votes"), (-c).alias("least")))
+    return -F.array_max(votes)["least"]
+
+
+def vote(lists: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """keys, vec_id, label, predicted: each query's vote, within its own row."""
+    return lists.select(*keys, "vec_id", "label", voted(F.col("near"), k).alias("predicted"))
+
+
+def sweep(lists: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """k, KEY, vec_id, label, predicted: one list serves every k."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), voted(F.col("near"), k).alias("predicted")) for k in ks])).alias("v")
+    return lists.select(*KEY, "vec_id", "label", each).select(*KEY, "vec_id", "label", "v.k", "v.predicted")
 
 
 def vote_sql(k: str, source: str = "near", keys: str = "dataset, backbone, tag", more: str = "") -> str:
@@ -26,7 +38,7 @@ def vote_sql(k: str, source: str = "near", keys: str = "dataset, backbone, tag",
 
 @query("k1_knn_accuracy", with_near(f"SELECT dataset, backbone, tag, round(avg((predicted = label)::DOUBLE), 6) AS accuracy FROM {vote_sql('5')} GROUP BY ALL"))
 def knn_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return vote(neighbour_lists(spark, d), 5, KEY).groupBy(*KEY).agg(rounded(F.avg((F.col("predicted") == F.col("label")).cast("double"))).alias("accuracy"))
+    return vote(neighbour_arrays(spark, d), 5, KEY).groupBy(*KEY).agg(rounded(F.avg((F.col("predicted") == F.col("label")).cast("double"))).alias("accuracy"))
 
 
 _SPLIT = """, sp AS (SELECT vec_id, label, dataset, backbone, u, s, row_number() OVER (PARTITION BY dataset, backbone, label, s ORDER BY md5(s || '|' || vec_id), vec_id) AS r, count(*) OVER (PARTITION BY dataset, backbone, label, s) AS m FROM cu, range(5) t(s)),
@@ -42,14 +54,14 @@ def knn_accuracy_cv(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("dataset", "backbone", "label", "split")
     order = w.orderBy(F.md5(F.concat_ws("|", "split", F.col("vec_id").cast("string"))), "vec_id")
     dealt = bank.withColumn("test", F.row_number().over(order) <= F.floor(0.2 * F.count(F.lit(1)).over(w))).withColumn("tag", F.col("split"))
-    near = nearest(dealt.filter("test").drop("test"), dealt.filter("NOT test").drop("test"), ["dataset", "backbone", "split"], 5)
+    near = nearest_lists(dealt.filter("test").drop("test"), dealt.filter("NOT test").drop("test"), ["dataset", "backbone", "split"], 5)
     each = vote(near, 5, KEY).groupBy(*KEY).agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("a"))
     return each.groupBy("dataset", "backbone").agg(rounded(F.avg("a")).alias("accuracy"), rounded(F.stddev_pop("a")).alias("accuracy_std"))
 
 
 @query("k3_in_sample_accuracy", with_near(f"SELECT dataset, backbone, round(avg((predicted = label)::DOUBLE), 6) AS accuracy FROM {vote_sql('5')} WHERE tag = 'clean_0' GROUP BY ALL"))
 def in_sample(spark: SparkSession, d: str) -> DataFrame:
-    near = neighbour_lists(spark, d).filter("tag = 'clean_0'")
+    near = neighbour_arrays(spark, d).filter("tag = 'clean_0'")
     return vote(near, 5, KEY).groupBy("dataset", "backbone").agg(rounded(F.avg((F.col("predicted") == F.col("label")).cast("double"))).alias("accuracy"))
 
 
@@ -58,8 +70,7 @@ _OTHERS = "(SELECT *, row_number() OVER (PARTITION BY dataset, backbone, vec_id
 
 @query("k4_leave_self_out_recall", with_near(f"SELECT dataset, backbone, label, round(avg((predicted = label)::DOUBLE), 6) AS recall FROM {vote_sql('5', f'(SELECT * EXCLUDE (rank, other), other AS rank FROM {_OTHERS})')} GROUP BY dataset, backbone, label"))
 def leave_self_out(spark: SparkSession, d: str) -> DataFrame:
-    near = neighbour_lists(spark, d).filter("tag = 'clean_0' AND near_id <> vec_id")
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("dataset", "backbone", "vec_id").orderBy("rank")))
+    near = neighbour_arrays(spark, d).filter("tag = 'clean_0'").withColumn("near", F.filter("near", lambda n: n["near_id"] != F.col("vec_id"))).filter(F.size("near") > 0)
     return vote(near, 5, KEY).groupBy("dataset", "backbone", "label").agg(rounded(F.avg((F.col("predicted") == F.col("label")).cast("double"))).alias("recall"))
 
 
@@ -69,8 +80,7 @@ _ALLK = " UNION ALL ".join(f"SELECT {k} AS k, dataset, backbone, tag, avg((predi
 @query("k5_k_sweep", with_near(f"SELECT k, dataset, backbone, tag, round(a, 6) AS accuracy FROM ({_ALLK})"))
 def k_sweep(spark: SparkSession, d: str) -> DataFrame:
     """One list of ten neighbours serves every k."""
-    near = neighbour_lists(spark, d).select("*", F.explode(F.array(*[F.lit(k) for k in (1, 3, 5, 10)])).alias("k")).filter("rank <= k")
-    return vote(near, 10, [*KEY, "k"]).groupBy("k", *KEY).agg(rounded(F.avg((F.col("predicted") == F.col("label")).cast("double"))).alias("accuracy"))
+    return sweep(neighbour_arrays(spark, d), (1, 3, 5, 10)).groupBy("k", *KEY).agg(rounded(F.avg((F.col("predicted") == F.col("label")).cast("double"))).alias("accuracy"))
 
 
 def _clean_centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +137,7 @@ def transfer_votes(spark: SparkSession, d: str) -> DataFrame:
     names = [f"D{i}" for i in range(3)]
     q = units.select(F.explode(F.array(*[F.lit(x) for x in names])).alias("source"), "backbone", F.col("dataset").alias("tag"), "vec_id", "label", "u")
     b = units.select(F.col("dataset").alias("source"), "backbone", F.col("dataset").alias("tag"), "vec_id", "label", "u")
-    near = nearest(q, b, ["source", "backbone"], 5, other_than_self=True)
+    near = nearest_lists(q, b, ["source", "backbone"], 5, other_than_self=True)
     return vote(near, 5, ["source", "tag", "backbone"]).withColumnRenamed("tag", "target")
 
 
@@ -281,8 +291,7 @@ _K17 = f"SELECT r.k, round(avg(r.a), 6) AS mean_accuracy, round(corr(r.a, p.drif
 @query("k17_rule_summary", with_near(f"SELECT *, (SELECT string_agg(k::VARCHAR, ' > ' ORDER BY mean_accuracy DESC, k) FROM ({_K17})) AS ranking FROM ({_K17})"))
 def rule_summary(spark: SparkSession, d: str) -> DataFrame:
     drift = paired(spark, d).groupBy(*KEY).agg(F.avg(1 - F.col("cos")).alias("drift"))
-    near = neighbour_lists(spark, d).filter("tag <> 'clean_0'").select("*", F.explode(F.array(*[F.lit(k) for k in (1, 3, 5, 10)])).alias("k")).filter("rank <= k")
-    each = vote(near, 10, [*KEY, "k"]).groupBy("k", *KEY).agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("a")).join(drift, KEY)
+    each = sweep(neighbour_arrays(spark, d).filter("tag <> 'clean_0'"), (1, 3, 5, 10)).groupBy("k", *KEY).agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("a")).join(drift, KEY)
     rules = each.groupBy("k").agg(rounded(F.avg("a")).alias("mean_accuracy"), rounded(F.corr("a", "drift")).alias("r_drift"))
     order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("mean_accuracy")).alias("m"), F.col("k")))), lambda s: s["k"].cast("string")), " > ")
     return rules.crossJoin(F.broadcast(rules.agg(order.alias("ranking"))))  # four rows and one
