@@ -24,9 +24,9 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column, eps: float = 1e-12) -> Column:
-    """v / max(norm, eps)."""
-    size = F.greatest(norm(v), F.lit(eps))
-    return F.transform(v, lambda x: x / size)
+    """v / max(norm, eps); the norm is bound first, so that it is computed once and not for each component."""
+    size = F.array(F.greatest(norm(v), F.lit(eps)))
+    return F.transform(size, lambda n: F.transform(v, lambda x: x / n))[0]
 
 
 def clip(x: Column, low: float, high: float) -> Column:
