@@ -3,8 +3,8 @@
 Every byte that a ``LENGTH``-byte string covers goes if that string also starts in a document with a smaller id. Matches
 are of bytes, never cross documents, may overlap, and are judged on the input.
 
-1. Every window of ``LENGTH`` bytes belongs to the smallest hash among its ``GRAM``-byte grams, which is the same wherever
-   the window occurs; neighbouring windows with one such anchor make a run. Chunks of texts send the hashes of their
+1. Every window of ``LENGTH`` bytes belongs to the smallest hash among its ``GRAM``-byte grams (scrambled, since smallest
+   hashes are small and would share their leading bits), which is the same wherever the window occurs; neighbouring windows with one such anchor make a run. Chunks of texts send the hashes of their
    runs, packed, to buckets by leading bits; a bucket tells each chunk which of them other chunks have too. Whole texts
    are compared the same way, so of exact copies only the one with the smallest id goes on.
 2. Runs whose anchor occurs in another document send their bytes to buckets; a chunk sends equal runs once, for the smallest
@@ -41,6 +41,9 @@ LENGTH, GRAM = 50, 24
 CHUNK = 1 << 20
 #: Bytes of a bucket whose suffix array is built at once (more only if one anchor's runs need it).
 ARRAY = 1 << 20
+#: Bytes of text for each bucket; a bucket of shared runs has about as many, if most runs are shared.
+BUCKET = 1 << 25
+_AGAIN = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = byte_table(lower=False, seed=50)
 _LAST = np.iinfo(np.int64).max
 _RUN = np.dtype([("row", "<u4"), ("start", "<u4"), ("size", "<u4"), ("doc_id", "<i8"), ("anchor", "<u8")])
@@ -78,7 +81,8 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
             continue
         a, r = h[place], np.repeat(np.arange(i, j), np.diff(edges))[place]
         head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (r[1:] != r[:-1]) | (place[1:] != place[:-1] + 1)]))
-        out.append((r[head], place[head] + s, np.diff(np.append(head, len(place))), a[head]))
+        # the smallest of many hashes is small: scrambled again, so that leading bits deal anchors evenly
+        out.append((r[head], place[head] + s, np.diff(np.append(head, len(place))), mix(a[head] + _AGAIN)))
     if not out:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -382,12 +386,18 @@ def _cut_texts(with_text: bool):
     return task
 
 
+def bucket_bits(size: int, partitions: int) -> int:
+    """Leading bits that number the buckets: at least two for each shuffle partition, and one for each ``BUCKET`` bytes of text."""
+    return min(16, max(6, math.ceil(math.log2(partitions)) + 1, math.ceil(math.log2(max(size / BUCKET, 1)))))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, owner: str = "query") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the bytes left): one row for each input row."""
     spark = docs.sparkSession
-    bits = min(16, max(6, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))) + 1))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = steady(rows, owner)  # chunks are named by the place of their rows
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    bits = bucket_bits(size, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = rows.mapInArrow(tidy(_texts), "chunk string, bytes binary, starts binary, ids binary, nulls binary").groupBy("chunk")
     hashes = rows.mapInArrow(tidy(_hashes(bits)), "chunk string, kind int, bucket int, packed binary")
     answers = hashes.groupBy("kind", "bucket").applyInArrow(tidy(_answers), "chunk string, kind int, bucket int, packed binary")
