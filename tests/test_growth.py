@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from driftloom.operators.neighbours import nearest
+from driftloom.plans.relational import exact_quantiles
 
 
 def _brute(x, ids, labels, k, other):
@@ -36,3 +39,19 @@ def test_only_finished_lists_leave_the_neighbour_search(spark):
     df = spark.createDataFrame([("k", "t", i, 0, [1.0, float(i)]) for i in range(20)], "key string, tag string, vec_id long, label int, u array<double>")
     plan = nearest(df, df, ["key"], 3)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Window" not in plan.split("MapInArrow")[0]
+
+
+def test_quantiles_hold_no_group_in_one_aggregate(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["e12_quantiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "percentile(" not in plan
+
+    values = {"a": [float(x) for x in np.random.default_rng(2).normal(0, 50, 401)], "b": [3.0] * 50 + [1e-9, -1e12], "c": [7.5], None: [1.0, 2.0], "d": [float("nan"), 1.0, 2.0], "e": [float("inf"), float("-inf"), 0.0]}
+    rows = spark.createDataFrame([(k, x) for k, some in values.items() for x in some] + [("a", None), ("f", None)], "k string, x double")
+    points = {"lo": 0.025, "mid": 0.5, "hi": 0.975}
+    got = {r["k"]: (r["lo"], r["mid"], r["hi"]) for r in exact_quantiles(rows, "k", "x", points).collect()}
+    want = {r["k"]: (r["lo"], r["mid"], r["hi"]) for r in rows.groupBy("k").agg(*[F.percentile("x", F.lit(q)).alias(n) for n, q in points.items()]).collect()}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert np.allclose(np.array(got[k], float), np.array(want[k], float), rtol=1e-12, equal_nan=True), (k, got[k], want[k])
