@@ -2,8 +2,9 @@
 
 Vectors of a bank and of a query set travel as rows of packed blocks. A block of queries meets its key's bank blocks one after the other in one
 task, which holds the queries, their k best so far and one bank block: only finished lists leave, one row for each query, and none are merged
-afterwards. A product in single precision sorts out the pairs that cannot be among the k best, by a bound on its error; the others are
-computed in double precision. The groups of one key are as many as it has blocks of queries.
+afterwards. A product in single precision sorts out the pairs that cannot be among the k best, by a bound on its error: the largest products of
+short runs of bank rows tell how near k rows are at least, and which runs are worth a look. The others are computed in double precision. The
+groups of one key are as many as it has blocks of queries, and each is one task.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from driftloom.sources.store import written
 
 BLOCK = 2048
-#: Vectors of a bank block of ``nearest`` (blocks of queries have twice as many), and sides of one product.
-NEAR_BLOCK, ROWS, TILE = 1 << 15, 256, 2048
+#: Vectors of a bank block of ``nearest`` (blocks of queries have twice as many), sides of one product, bank rows whose largest product is taken at once.
+NEAR_BLOCK, ROWS, TILE, RUN = 1 << 15, 512, 1024, 64
 #: More than the error of an inner product in single precision, for each dimension and unit of both norms.
 SINGLE = 2.0**-22
 #: Pairs that are kept before they are merged into the lists.
@@ -46,7 +47,7 @@ def packed(rows: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFram
             "vectors": pa.array([values.tobytes()], pa.binary()),
         })
 
-    dealt = rows.join(block_counts(rows, keys, block), list(keys)).withColumn("block", F.pmod(F.xxhash64("tag", "vec_id"), F.col("blocks")))
+    dealt = rows.join(F.broadcast(block_counts(rows, keys, block)), list(keys)).withColumn("block", F.pmod(F.xxhash64("tag", "vec_id"), F.col("blocks")))
     schema = ", ".join(f"{k} string" for k in keys) + ", block long, tags array<string>, ids array<long>, labels array<int>, vectors binary"
     return dealt.select(*keys, "block", "tag", "vec_id", "label", "u").groupBy(*keys, "block").applyInArrow(pack, schema)
 
@@ -67,6 +68,12 @@ class _Block:
         self.ids, self.labels, self.tags = of("ids"), of("labels"), batch.column("tags")[i].values
         self.x = np.frombuffer(batch.column("vectors")[i].as_buffer(), "<f8").reshape(len(self.ids), -1)
 
+    def some(self, which: np.ndarray) -> _Block:
+        """The rows where ``which`` is true."""
+        new = object.__new__(_Block)
+        new.ids, new.labels, new.tags, new.x = self.ids[which], self.labels[which], self.tags.filter(pa.array(which)), self.x[which]
+        return new
+
 
 def _repeats(ids: np.ndarray) -> int:
     """How often the most frequent id comes."""
@@ -104,48 +111,79 @@ class Lists:
         self.sim, self.ids, self.labels = np.full((n, k), -np.inf), np.zeros((n, k), np.int64), np.zeros((n, k), np.int32)
         self.single = q.x.astype("<f4")
         self.norm = np.sqrt((q.x * q.x).sum(1))
+        #: The k largest of all runs' largest single products: k different rows are at least as near as the least of them.
+        self.peaks = np.full((n, k), -np.inf, "<f4")
 
     def add(self, b: _Block) -> None:
         """Meet a bank block, whose rows are by label, then id."""
         size = np.sqrt((b.x * b.x).sum(1))
         known = np.isfinite(size)
-        if not known.any():
+        if not known.all():
+            b = b.some(known)
+        if not len(b.ids):
             return
+        run = RUN
+        while run > 1 and len(b.ids) < 4 * self.k * run:
+            run //= 2
+        single = np.zeros((-(-len(b.ids) // run) * run, b.x.shape[1]), "<f4")
+        single[: len(b.ids)] = b.x
         slack = SINGLE * b.x.shape[1] * float(size[known].max())
-        single = b.x.astype("<f4")
-        first = np.flatnonzero(known)[: self.k + _repeats(b.ids)]
+        first = np.arange(min(self.k + _repeats(b.ids), len(b.ids)))
+        own = self._own(b) if self.other else None
+        space = np.empty(ROWS * TILE, "<f4")
         for a in range(0, len(self.norm), ROWS):
-            self._meet(a, min(a + ROWS, len(self.norm)), b, single, slack, first)
-
-    def _meet(self, a: int, e: int, b: _Block, single: np.ndarray, slack: float, first: np.ndarray) -> None:
-        rows, cols, pending, merge_at = [], [], 0, 1
+            self._meet(a, min(a + ROWS, len(self.norm)), b, single, run, slack, first, own, space)
+
+    def _own(self, b: _Block) -> tuple[np.ndarray, np.ndarray]:
+        """Places (query, bank row) of equal ids, by query."""
+        order = np.argsort(b.ids, kind="stable")
+        ids = b.ids[order]
+        lo, hi = np.searchsorted(ids, self.q.ids), np.searchsorted(ids, self.q.ids, "right")
+        rows = np.repeat(np.arange(len(lo)), hi - lo)
+        nth = np.arange(len(rows)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+        return rows, order[lo[rows] + nth]
+
+    def _meet(self, a: int, e: int, b: _Block, single: np.ndarray, run: int, slack: float, first: np.ndarray, own: tuple | None, space: np.ndarray) -> None:
+        rows, cols, sims, pending = [], [], [], 0
+        norm, peaks = self.norm[a:e], self.peaks[a:e]
         # a zero vector is equally near to all: the first rows by label and id are its list
-        zero = np.flatnonzero(self.norm[a:e] == 0)
+        zero = np.flatnonzero(norm == 0)
         if len(zero):
-            rows.append(np.repeat(zero, len(first)))
-            cols.append(np.tile(first, len(zero)))
-        for t, c in enumerate(range(0, len(single), TILE)):
-            sim = self.single[a:e] @ single[c : c + TILE].T
-            floor = self.sim[a:e, -1] - slack * self.norm[a:e]
-            new = np.flatnonzero(np.isneginf(floor))
-            if len(new):
-                some = sim[new]
-                some[np.isnan(some)] = -np.inf
-                if self.other:
-                    some[self.q.ids[a:e][new][:, None] == b.ids[None, c : c + TILE]] = -np.inf
-                most = min(self.k, some.shape[1])
-                floor[new] = np.partition(some, -most, axis=1)[:, -most] - 2 * slack * self.norm[a:e][new]
+            self._merge(a, b, np.repeat(zero, len(first)), np.tile(first, len(zero)))
+        if own:
+            some = slice(*np.searchsorted(own[0], [a, e]))
+            own = own[0][some] - a, own[1][some]
+        exact = self.sim[a:e, -1] - slack * norm
+        for c in range(0, len(single), TILE):
+            bank = single[c : c + TILE]
+            sim = space[: (e - a) * len(bank)].reshape(len(bank), e - a)
+            np.matmul(bank, self.single[a:e].T, out=sim)
+            sim[len(b.ids) - c :] = -np.inf  # rows that fill up the last run
+            if own:
+                here = (own[1] >= c) & (own[1] < c + len(bank))
+                sim[own[1][here] - c, own[0][here]] = -np.inf
+            # a run of rows is looked at only where its largest product is large enough
+            sim = sim.reshape(-1, run, e - a)
+            top = np.ascontiguousarray(sim.max(1).T)
+            up = np.flatnonzero((top > peaks.min(1)[:, None]).any(1))
+            peaks[up] = np.partition(np.concatenate([peaks[up], top[up]], axis=1), top.shape[1], axis=1)[:, -self.k :]
+            floor = np.maximum(exact, peaks.min(1) - 2 * slack * norm)
             floor[zero] = np.inf
-            # rounded down to single precision
-            hit = _places(sim >= np.nextafter(floor.astype("<f4"), np.float32(-np.inf))[:, None])
-            rows.append(hit // sim.shape[1])
-            cols.append(hit % sim.shape[1] + c)
-            pending += len(hit)
-            if t + 1 >= merge_at or pending > PENDING:
-                self._merge(a, b, np.concatenate(rows), np.concatenate(cols))
-                rows, cols, pending, merge_at = [], [], 0, 2 * (t + 1)
-        if rows:
-            self._merge(a, b, np.concatenate(rows), np.concatenate(cols))
+            floor = np.nextafter(floor.astype("<f4"), np.float32(-np.inf))  # rounded down
+            hit = np.flatnonzero(top >= floor[:, None])
+            row, at = hit // top.shape[1], hit % top.shape[1]
+            near = sim[at, :, row]
+            i, j = np.nonzero(near >= floor[row][:, None])
+            rows.append(row[i])
+            cols.append(at[i] * run + j + c)
+            sims.append(near[i, j])
+            pending += len(i)
+            if pending > PENDING or c + TILE >= len(single):
+                row, col = np.concatenate(rows), np.concatenate(cols)
+                still = np.concatenate(sims) >= floor[row]
+                self._merge(a, b, row[still], col[still])
+                exact = self.sim[a:e, -1] - slack * norm
+                rows, cols, sims, pending = [], [], [], 0
 
     def _merge(self, a: int, b: _Block, rows: np.ndarray, cols: np.ndarray) -> None:
         if not len(rows):
@@ -185,28 +223,20 @@ class Lists:
             })
 
 
-def _places(hit: np.ndarray) -> np.ndarray:
-    """Flat places of the few true values; eight are looked at together."""
-    flat = hit.ravel()
-    if len(flat) % 8:
-        return np.flatnonzero(flat)
-    words = np.flatnonzero(flat.view(np.uint64))
-    i, j = np.nonzero(flat.reshape(-1, 8)[words])
-    return words[i] * 8 + j
-
-
 def nearest_lists(queries: DataFrame, bank: DataFrame, keys: Sequence[str], k: int, other_than_self: bool = False, block: int = NEAR_BLOCK) -> DataFrame:
     """keys, tag, vec_id, label, near: an array of (near_id, near_label, sim), at most k, by cosine (inputs are unit vectors), ties by label, then id."""
-    spark = queries.sparkSession
     names = ["tags", "ids", "labels", "vectors"]
     q = packed(queries, keys, 2 * block).select(*keys, F.col("block").alias("group"), F.lit(-1).cast("long").alias("part"), *names)
     b = packed(bank, keys, block)
     b = written(b.mapInArrow(_ordered(k), b.schema))
-    groups = block_counts(queries, keys, 2 * block)
-    sent = b.join(groups, list(keys)).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).select(*keys, "group", F.col("block").alias("part"), *names)
-    # bank blocks follow their queries; more partitions than cores, since a group is one task's work
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    both = q.unionByName(sent).repartition(parts, *keys, "group").sortWithinPartitions(*keys, "group", "part")
+    # one row for each key: its groups and how many groups the keys before it have
+    before = F.sum("blocks").over(Window.orderBy(*keys)) - F.col("blocks")
+    groups = written(block_counts(queries, keys, 2 * block).withColumn("before", before))
+    parts = max(groups.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0], 1)
+    sent = b.join(F.broadcast(groups.drop("before")), list(keys)).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).select(*keys, "group", F.col("block").alias("part"), *names)
+    # bank blocks follow their queries; a group is one task's work, so each has a partition of its own
+    both = q.unionByName(sent).join(F.broadcast(groups.drop("blocks")), list(keys)).withColumn("place", (F.col("before") + F.col("group")).cast("int")).drop("before")
+    both = both.repartitionById(parts, F.col("place")).drop("place").sortWithinPartitions(*keys, "group", "part")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists, now = None, None

@@ -6,7 +6,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from driftloom.operators.neighbours import nearest
+from driftloom.operators.neighbours import nearest, nearest_lists
 from driftloom.plans.relational import exact_quantiles
 
 
@@ -41,6 +41,31 @@ def test_only_finished_lists_leave_the_neighbour_search(spark):
     assert "MapInArrow" in plan and "Window" not in plan.split("MapInArrow")[0]
 
 
+def test_a_group_of_queries_is_one_task(spark):
+    """Groups were dealt to partitions by hash, so one task had several while others had none."""
+    df = spark.createDataFrame([(f"k{i % 5}", "t", i, 0, [1.0, float(i)]) for i in range(200)], "key string, tag string, vec_id long, label int, u array<double>")
+    lists = nearest_lists(df, df, ["key"], 3, block=10).withColumn("place", F.spark_partition_id())
+    assert lists.count() == 200 and lists.rdd.getNumPartitions() == 10
+    assert lists.select("place").distinct().count() == 10 and lists.groupBy("place").agg(F.countDistinct("key").alias("n")).filter("n > 1").count() == 0
+
+
+def test_lists_over_runs_of_bank_rows(spark):
+    """Banks of several products, whose last run is not full, with unknown vectors and ids on both sides."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] = np.nan
+    labels = rng.integers(0, 3, 1500)
+    df = spark.createDataFrame([("k", "t", i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(labels, x, strict=True))], "key string, tag string, vec_id long, label int, u array<double>")
+    sim = x @ x.T
+    sim[np.isnan(sim)] = -np.inf
+    for other in (False, True):
+        if other:
+            np.fill_diagonal(sim, -np.inf)
+        got = {r["vec_id"]: [n["near_id"] for n in r["near"]] for r in nearest_lists(df.filter("vec_id < 90"), df, ["key"], 10, other_than_self=other, block=4000).collect()}
+        assert got == {i: np.argsort(-sim[i])[:10].tolist() for i in range(90) if i != 7}
+
+
 def test_records_and_shifts_are_no_single_task(spark, sf, monkeypatch):
     """The bank was moved to as many tasks as it has keys to meet their means, and the records' work to one."""
     from driftloom.plans import base
