@@ -1,6 +1,7 @@
 """Linear heads on frozen vectors: ridge and multinomial logistic regression of many groups at once.
 
 Rows are (grp, label, u); each group (a space, a split, a training set) has a head of its own. Features are standardised within the group.
+A row may belong to many groups (an array of names): it is held and read once, in blocks of rows of the same groups.
 
 * ``ridge``: +-1 targets and normal equations, from one aggregate of each group's moments.
 * ``logistic``: quasi-Newton steps on the penalised likelihood. A step is one aggregate for all groups and classes: each task adds up losses and
@@ -13,6 +14,7 @@ bounded by ``MOST`` (an error beyond it, never a cut). Rows never leave the exec
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -21,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.sources.store import written
+
 #: Numbers that heads may have on the driver.
 MOST = 50_000_000
 HISTORY = 10
@@ -42,24 +46,47 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _by_group(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """(group, labels, vectors) of a batch's rows."""
+def _packed(rows: DataFrame) -> DataFrame:
+    """Rows (grps, label, u) as blocks of rows of the same groups: grps (JSON), labels, vectors, least and most dimensions."""
+    spark = rows.sparkSession
+    rows = rows.select(F.to_json("grps").alias("grps"), "label", "u", F.spark_partition_id().alias("salt"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(0).dictionary_encode()
+            code = codes.indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            out = []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                u = batch.column(2).slice(lo, hi - lo)
+                sizes = u.value_lengths().to_numpy()
+                flat = u.flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()
+                out.append((codes.dictionary[int(code[lo])].as_py(), batch.column(1).slice(lo, hi - lo).to_numpy().astype("<i8").tobytes(), flat, int(sizes.min()), int(sizes.max())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.int32()), strict=True)], ["grps", "labels", "vectors", "e", "d"])
+
+    # the salt spreads the rows of one list of groups over tasks
+    dealt = rows.repartition(parts, "grps", "salt").drop("salt").sortWithinPartitions("grps")
+    return dealt.mapInArrow(pack, "grps string, labels binary, vectors binary, e int, d int")
+
+
+def _by_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(groups, labels, vectors with a constant first) of every block."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        codes = batch.column(0).dictionary_encode()
-        labels, x, code = batch.column(1).to_numpy(), _vectors(batch.column(2)), codes.indices.to_numpy()
-        for k, name in enumerate(codes.dictionary.to_pylist()):
-            some = code == k
-            yield name, labels[some], x[some]
+        for names, labels, vectors in zip(batch.column("grps").to_pylist(), batch.column("labels"), batch.column("vectors"), strict=True):
+            y = np.frombuffer(labels.as_buffer(), "<i8")
+            x = np.frombuffer(vectors.as_buffer(), "<f8").reshape(len(y), -1)
+            yield json.loads(names), y, np.concatenate([np.ones((len(x), 1)), x], axis=1)
 
 
-def _summed(rows: DataFrame, part, size: dict[str, int] | None = None) -> dict[str, np.ndarray]:
+def _summed(packed: DataFrame, part) -> dict[str, np.ndarray]:
     """``part`` gives (group, numbers) for some rows; their sums by group: within a task, then over tasks."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for name, numbers in part(_by_group(batches)):
+        for name, numbers in part(_by_groups(batches)):
             sums[name] = sums[name] + numbers if name in sums else numbers
         if sums:
             yield pa.RecordBatch.from_pydict({"grp": list(sums), "flat": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
@@ -69,31 +96,45 @@ def _summed(rows: DataFrame, part, size: dict[str, int] | None = None) -> dict[s
         return pa.table({"grp": pa.array([t["grp"][0].as_py()]), "flat": pa.array([total.tobytes()], pa.binary())})
 
     schema = "grp string, flat binary"
-    parts = rows.select("grp", "label", "u").mapInArrow(task, schema)
+    parts = packed.select("grps", "labels", "vectors").mapInArrow(task, schema)
     return {r["grp"]: np.frombuffer(r["flat"]) for r in parts.groupBy("grp").applyInArrow(add, schema).collect()}  # one row for each group
 
 
 def _prepared(rows: DataFrame) -> tuple[DataFrame, dict[str, np.ndarray], int]:
-    """Rows without nulls, each group's classes, the dimension."""
-    rows = rows.select(F.col("grp").cast("string").alias("grp"), F.col("label").cast("long").alias("label"), F.col("u").cast("array<double>").alias("u")).filter("grp IS NOT NULL AND label IS NOT NULL AND u IS NOT NULL")
-    found = rows.groupBy("grp").agg(F.array_sort(F.collect_set("label")).alias("classes"), F.max(F.size("u")).alias("d"), F.min(F.size("u")).alias("e")).collect()  # classes of each group
-    if any(r["d"] != r["e"] for r in found) or len({r["d"] for r in found}) > 1:
+    """Rows without nulls in written blocks, each group's classes, the dimension."""
+    many = rows.schema["grp"].dataType.typeName() == "array"
+    grps = F.array_compact(F.col("grp").cast("array<string>")) if many else F.array(F.col("grp").cast("string"))
+    rows = rows.filter("grp IS NOT NULL AND label IS NOT NULL AND u IS NOT NULL").select(grps.alias("grps"), F.col("label").cast("long").alias("label"), F.col("u").cast("array<double>").alias("u")).filter(F.size("grps") > 0)
+    packed = written(_packed(rows))
+
+    def known(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, set[int]] = {}
+        for batch in batches:
+            for names, labels in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for name in json.loads(names):
+                    seen.setdefault(name, set()).update(np.unique(np.frombuffer(labels.as_buffer(), "<i8")).tolist())
+        yield pa.RecordBatch.from_pydict({"grp": pa.array(list(seen), pa.string()), "classes": pa.array([sorted(c) for c in seen.values()], pa.list_(pa.int64()))})
+
+    found = packed.select("grps", "labels").mapInArrow(known, "grp string, classes array<long>").groupBy("grp").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("classes")))).alias("classes")).collect()  # classes of each group
+    sizes = packed.agg(F.min("e").alias("e"), F.max("d").alias("d")).first()
+    if sizes["e"] != sizes["d"]:
         raise ValueError("vectors have different dimensions")
-    d = found[0]["d"] if found else 0
+    d = sizes["d"] or 0
     classes = {r["grp"]: np.array(r["classes"]) for r in found}
     if sum(len(c) for c in classes.values()) * (d + 1) > MOST or len(classes) * (d + 1) ** 2 > MOST:
         raise ValueError(f"more than {MOST} numbers of heads")
-    return rows, classes, d
+    return packed, classes, d
 
 
 def _moments(rows: DataFrame, classes: dict[str, np.ndarray], d: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of each group: X'X with a constant first, rows and sums of each class."""
 
     def part(groups):
-        for name, labels, x in groups:
-            z = np.concatenate([np.ones((len(x), 1)), x], axis=1)
-            y = (labels[:, None] == classes[name][None, :]).astype(float)
-            yield name, np.concatenate([(z.T @ z).ravel(), (y.T @ z).ravel()])
+        for names, labels, z in groups:
+            zz = (z.T @ z).ravel()
+            for name in names:
+                y = (labels[:, None] == classes[name][None, :]).astype(float)
+                yield name, np.concatenate([zz, (y.T @ z).ravel()])
 
     out = {}
     for name, flat in _summed(rows, part).items():
@@ -175,7 +216,7 @@ class _Search:
 def logistic(rows: DataFrame, penalty: float = 1.0, tolerance: float = 1e-6, most: int = 200) -> dict[str, Head]:
     """Heads of greatest penalised likelihood: the sum of log losses plus half ``penalty`` times the squares of all weights but the constants.
 
-    ``tolerance`` bounds the gradient's largest component. Read ``rows`` from a written table: every pass reads them.
+    ``tolerance`` bounds the gradient's largest component. Rows are packed and written once; every pass reads the blocks.
     """
     rows, classes, d = _prepared(rows)
     searches: dict[str, _Search] = {}
@@ -188,10 +229,9 @@ def logistic(rows: DataFrame, penalty: float = 1.0, tolerance: float = 1e-6, mos
         weights = {k: (classes[k], searches[k].trial @ searches[k].scale) for k in open_}
 
         def part(groups, weights=weights):
-            for name, labels, x in groups:
-                if name in weights:
+            for names, labels, z in groups:
+                for name in weights.keys() & set(names):
                     known, w = weights[name]
-                    z = np.concatenate([np.ones((len(x), 1)), x], axis=1)
                     score = z @ w.T
                     top = score.max(1, keepdims=True)
                     e = np.exp(score - top)
@@ -200,28 +240,39 @@ def logistic(rows: DataFrame, penalty: float = 1.0, tolerance: float = 1e-6, mos
                     loss = float((np.log(total) + top).sum() - score[y].sum())
                     yield name, np.concatenate([[loss], ((e / total - y).T @ z).ravel()])
 
-        for name, flat in _summed(rows.filter(F.col("grp").isin(open_)), part).items():
+        for name, flat in _summed(rows, part).items():
             searches[name].told(flat[0], flat[1:].reshape(-1, d + 1), tolerance)
     return {k: Head(classes[k], v.w @ v.scale, v.loss, v.passes, v.converged) for k, v in searches.items()}
 
 
 def predicted(rows: DataFrame, heads: dict[str, Head], vector: str = "u", group: str = "grp") -> DataFrame:
-    """``rows`` with ``predicted``: the class of the highest score (ties: the smallest); null for a group without a head."""
+    """``rows`` with ``predicted``: the class of the highest score (ties: the smallest); null for a group without a head.
+
+    Where a row has an array of groups, an array of as many predictions.
+    """
     cols = rows.columns
     at, by = cols.index(vector), cols.index(group)
+    many = rows.schema[group].dataType.typeName() == "array"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(by).to_pylist()
-            out = np.zeros(batch.num_rows, np.int64)
-            missing = np.ones(batch.num_rows, bool)
-            for name in set(names) & heads.keys():
-                some = np.array([x == name for x in names])
-                x = _vectors(batch.column(at).filter(pa.array(some)))
-                h = heads[name]
-                out[some] = h.classes[(h.weights[:, 0] + x @ h.weights[:, 1:].T).argmax(1)]
-                missing[some] = False
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, mask=missing)], [*cols, "predicted"])
+            lists = batch.column(by)
+            flat, of = (lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())) if many else (lists, np.arange(len(lists)))
+            codes = flat.dictionary_encode()
+            code = codes.indices.fill_null(len(codes.dictionary)).to_numpy()
+            out, missing = np.zeros(len(flat), np.int64), np.ones(len(flat), bool)
+            order = np.argsort(code, kind="stable")
+            ends = np.searchsorted(code[order], np.arange(len(codes.dictionary) + 1))
+            for k, name in enumerate(codes.dictionary.to_pylist()):
+                if name in heads:
+                    some, h = order[ends[k] : ends[k + 1]], heads[name]
+                    x = _vectors(batch.column(at).take(pa.array(of[some])))
+                    out[some] = h.classes[(h.weights[:, 0] + x @ h.weights[:, 1:].T).argmax(1)]
+                    missing[some] = False
+            found = pa.array(out, mask=missing)
+            if many:
+                found = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(lists) + 1)).astype(np.int32)), found)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*cols, "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, predicted long")
+    return rows.mapInArrow(run, f"{schema}, predicted {'array<long>' if many else 'long'}")

@@ -221,31 +221,41 @@ def logistic_probe(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("backbone", "tag").agg(F.count("*").alias("n"), rounded(F.avg("hit")).alias("accuracy"))
 
 
-def _probe_rows(spark: SparkSession, d: str, splits: int = 5, share: float = 0.2) -> DataFrame:
-    """Unit vectors of all conditions with split and test: of each dataset, class and split a fifth by hash, the same in all spaces and conditions."""
-    ids = clean_bank(spark, d).filter("backbone = 'B0'").select("dataset", "vec_id", "label", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"))
+SPLITS = 5
+
+
+def _probe_rows(spark: SparkSession, d: str, share: float = 0.2) -> DataFrame:
+    """Unit vectors of all conditions with held, a bit for each split: of each dataset, class and split a fifth by hash, the same in all spaces and conditions."""
+    ids = clean_bank(spark, d).filter("backbone = 'B0'").select("dataset", "vec_id", "label", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("split"))
     key = ["dataset", "label", "split"]
     order = Window.partitionBy(*key).orderBy(F.md5(F.concat_ws("|", F.lit("aug"), "split", "vec_id")), "vec_id")
     sizes = ids.groupBy(*key).agg(F.count(F.lit(1)).alias("m"))
-    ids = ids.withColumn("r", F.row_number().over(order)).join(sizes, key).select("dataset", "vec_id", "split", (F.col("r") <= F.ceil(F.col("m") * share)).alias("test"))
+    test = F.col("r") <= F.ceil(F.col("m") * share)
+    ids = ids.withColumn("r", F.row_number().over(order)).join(sizes, key).groupBy("dataset", "vec_id").agg(F.bit_or(F.when(test, F.expr("shiftleft(1, split)")).otherwise(0)).alias("held"))
     rows = paired(spark, d).select("dataset", "backbone", "tag", "vec_id", F.col("label").cast("long").alias("label"), "u", "cos")
-    return rows.join(ids, ["dataset", "vec_id"]).withColumn("space", F.concat_ws("/", "dataset", "backbone", "split"))
+    return rows.join(ids, ["dataset", "vec_id"])
 
 
 def augmentation_records(spark: SparkSession, d: str) -> DataFrame:
-    """head, training, dataset, backbone, split, tag, accuracy, drift of the test rows; made once."""
+    """head, training, dataset, backbone, split, tag, accuracy, drift of the test rows; made once.
+
+    A row is held once, with the names of all the heads that it trains or tests.
+    """
 
     def make() -> DataFrame:
         rows = written(_probe_rows(spark, d))
-        trained = rows.filter("NOT test").withColumn("training", F.explode(F.when(F.col("tag") == "clean_0", F.array(F.lit("baseline"), F.lit("augmented"))).otherwise(F.array(F.lit("augmented")))))
-        trained = written(trained.select(F.concat_ws("/", "space", "training").alias("grp"), "label", "u"))
-        tested = rows.filter("test").withColumn("training", F.explode(F.array(F.lit("baseline"), F.lit("augmented")))).withColumn("grp", F.concat_ws("/", "space", "training"))
-        out = None
-        for head, fit in (("ridge", probes.ridge), ("logistic", probes.logistic)):
-            scored = probes.predicted(tested, fit(trained)).groupBy("training", "dataset", "backbone", "split", "tag")
-            scored = scored.agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"), F.avg(1 - F.col("cos")).alias("drift")).withColumn("head", F.lit(head))
-            out = scored if out is None else out.unionByName(scored)
-        return out
+        held = lambda s: F.getbit("held", F.lit(s)) == 1
+        name = lambda s, training, *before: F.concat_ws("/", *[F.lit(b) for b in before], "dataset", "backbone", F.lit(str(s)), F.lit(training))
+        fits = [F.when(~held(s), name(s, "augmented")) for s in range(SPLITS)] + [F.when(~held(s) & (F.col("tag") == "clean_0"), name(s, "baseline")) for s in range(SPLITS)]
+        trained = rows.select(F.array_compact(F.array(*fits)).alias("grp"), "label", "u")
+        heads = {f"{head}/{grp}": h for head, fit in (("ridge", probes.ridge), ("logistic", probes.logistic)) for grp, h in fit(trained).items()}
+        tests = [F.when(held(s), name(s, training, head)) for head in ("ridge", "logistic") for training in ("baseline", "augmented") for s in range(SPLITS)]
+        tested = rows.filter("held <> 0").select("tag", "label", "cos", "u", F.array_compact(F.array(*tests)).alias("grp"))
+        each = probes.predicted(tested, heads).select("tag", "label", "cos", F.explode(F.arrays_zip("grp", "predicted")).alias("z"))
+        part = F.split("z.grp", "/")
+        parts = [part[i].alias(c) for i, c in enumerate(("head", "dataset", "backbone", "split", "training"))]
+        scored = each.select(*parts, "tag", (F.col("z.predicted") == F.col("label")).cast("double").alias("hit"), "cos")
+        return scored.groupBy("training", "dataset", "backbone", "split", "tag", "head").agg(F.avg("hit").alias("accuracy"), F.avg(1 - F.col("cos")).alias("drift"))
 
     return once(spark, d, "augmentation", make)
 

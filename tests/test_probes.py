@@ -68,3 +68,19 @@ def test_predictions(spark, data):
     x, y = out["a"]
     assert abs(np.mean(right) - np.mean(h.classes[(h.weights[:, 0] + x @ h.weights[:, 1:].T).argmax(1)] == y)) < 0.01
     assert probes.logistic(df.filter("false")) == {} and probes.ridge(df.filter("false")) == {}
+
+
+def test_rows_of_many_groups_are_held_once(spark, data):
+    """Rows were repeated for each head that they train or test: the same heads and predictions from lists of groups."""
+    out, df = data
+    (x, y), (v, w) = out["a"], out["b"]
+    rows = [(["a", "both"], int(c), r.tolist()) for c, r in zip(y, x, strict=True)] + [(["both", None], int(c), r.tolist()) for c, r in zip(w, v, strict=True)] + [([], 0, x[0].tolist()), (None, 0, x[0].tolist())]
+    lists = spark.createDataFrame(rows, "grp array<string>, label long, u array<double>").repartition(3)
+    packed, classes, d = probes._prepared(lists)
+    assert d == 7 and set(classes) == {"a", "both"} and packed.selectExpr("sum(length(labels)) / 8").first()[0] == 700
+    for fit in (probes.ridge, probes.logistic):
+        alone, many = fit(df.filter("grp = 'a'")), fit(lists)
+        assert np.allclose(alone["a"].weights, many["a"].weights, atol=1e-6) and set(many) == {"a", "both"}
+    got = probes.predicted(spark.createDataFrame([(["both", "none", "a"], x[0].tolist()), ([], x[1].tolist()), (["a"], x[2].tolist())], "grp array<string>, u array<double>"), many).collect()
+    of = lambda g, i: int(many[g].classes[(many[g].weights[:, 0] + x[i] @ many[g].weights[:, 1:].T).argmax()])
+    assert [r["predicted"] for r in got] == [[of("both", 0), None, of("a", 0)], [], [of("a", 2)]]
