@@ -38,7 +38,7 @@ def vote_sql(k: str, source: str = "near", keys: str = "dataset, backbone, tag",
 
 @query("k1_knn_accuracy", with_near(f"SELECT dataset, backbone, tag, round(avg((predicted = label)::DOUBLE), 6) AS accuracy FROM {vote_sql('5')} GROUP BY ALL"))
 def knn_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return vote(neighbour_arrays(spark, d), 5, KEY).groupBy(*KEY).agg(rounded(F.avg((F.col("predicted") == F.col("label")).cast("double"))).alias("accuracy"))
+    return neighbour_arrays(spark, d).groupBy(*KEY).agg(rounded(F.avg((F.col("vote_5") == F.col("label")).cast("double"))).alias("accuracy"))
 
 
 _SPLIT = """, sp AS (SELECT vec_id, label, dataset, backbone, u, s, row_number() OVER (PARTITION BY dataset, backbone, label, s ORDER BY md5(s || '|' || vec_id), vec_id) AS r, count(*) OVER (PARTITION BY dataset, backbone, label, s) AS m FROM cu, range(5) t(s)),

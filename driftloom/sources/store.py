@@ -62,3 +62,8 @@ def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFra
     if key not in _kept:
         _kept[key] = written(make())
     return _kept[key]
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
+    """The table that ``once`` has made in this session, if it has."""
+    return _kept.get((spark.sparkContext.applicationId, sf_dir, name))

@@ -95,3 +95,49 @@ def test_quantiles_hold_no_group_in_one_aggregate(spark):
     assert got.keys() == want.keys()
     for k in want:
         assert np.allclose(np.array(got[k], float), np.array(want[k], float), rtol=1e-12, equal_nan=True), (k, got[k], want[k])
+
+
+def test_conditions_share_one_row_of_queries(spark):
+    """Every condition's vectors were packed, sorted and sent, eight rows for each vector; now one, whose lists are those of each condition searched alone."""
+    from driftloom.operators.neighbours import unit_rows
+    from driftloom.plans import base
+
+    rng = np.random.default_rng(9)
+    for middle in (0.0, 0.3, 3.0):
+        x = rng.standard_normal((700, 16)) * 0.125 + middle * np.eye(16)[2]
+        x[60:110] = x[60]  # copies
+        x[200] = 0.0
+        x[201, :4], x[201, 4:] = -0.05, 0.0  # nothing is left of it under one condition
+        x[202, 3] = np.nan
+        m, labels = np.nanmean(x, axis=0), rng.integers(0, 4, 700)
+        raw = spark.createDataFrame([("k", "", i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(labels, x, strict=True))], "key string, tag string, vec_id long, label int, u array<double>")
+        u = unit_rows(x)[0]
+        bank = spark.createDataFrame([("k", "", i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(labels, u, strict=True)) if i != 202], "key string, tag string, vec_id long, label int, u array<double>")
+        means = spark.createDataFrame([("k", m.tolist())], "key string, m array<double>")
+        got = {(r["tag"], r["vec_id"]): r for r in nearest_lists(raw, bank, ["key"], 10, block=700, shifts=base.shifts, conditions=8, about=means, votes=(1, 5)).collect()}
+        known = [i for i in range(700) if i != 202]
+        for s in base.shifts(x, m):
+            y = unit_rows(s.y)[0]
+            for i in range(0, 700, 7) if s.tag != "add_0_05" else (200, 201, 202, 65):
+                if i == 202:
+                    assert (s.tag, i) not in got
+                    continue
+                sim = np.array([float(np.einsum("i,i->", y[i], u[j])) for j in known])
+                want = sorted(range(len(known)), key=lambda j: (-sim[j], labels[known[j]], known[j]))[:10]
+                near = got[s.tag, i]["near"]
+                assert np.allclose([n["sim"] for n in near], sim[want], atol=1e-12), (middle, s.tag, i)
+                if np.diff(np.sort(sim)[-11:]).min() > 1e-9 or not y[i].any():
+                    assert [n["near_id"] for n in near] == [known[j] for j in want]
+                five = [n["near_label"] for n in near[:5]]
+                assert got[s.tag, i]["vote_5"] == min(set(five), key=lambda c: (-five.count(c), c)) and got[s.tag, i]["vote_1"] == five[0]
+
+
+def test_sums_of_conditions_are_those_of_pairs(spark, sf):
+    """Records read the pairs of every vector and condition, made row by row in the JVM; sums over batches take their place."""
+    from driftloom.plans import base
+
+    key = ["dataset", "backbone", "tag"]
+    got = base.condition_sums(spark, sf).groupBy(*key).agg(F.sum("n").alias("n"), F.sum("far").alias("far"), *[F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in "uc" for i in range(16)])
+    want = base.paired(spark, sf).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("cos")).alias("far"), *[F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in "uc" for i in range(16)])
+    got, want = ({tuple(r[:3]): r[3:] for r in df.collect()} for df in (got, want))
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-12) for k in want)
