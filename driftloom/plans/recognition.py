@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.vectors import dot, mean_vector, sum_vector, unit
 from driftloom.operators.neighbours import nearest_lists
-from driftloom.plans.base import DIM, clean_bank, neighbour_arrays, paired, rounded, shifted_bank, sql_mean, sql_unit, with_near, with_units
+from driftloom.plans.base import DIM, clean_bank, clean_neighbours, neighbour_arrays, paired, rounded, shifted_bank, sql_mean, sql_unit, with_near, with_units
 from driftloom.registry import query
 from driftloom.sources.store import written
 
@@ -61,8 +61,7 @@ def knn_accuracy_cv(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k3_in_sample_accuracy", with_near(f"SELECT dataset, backbone, round(avg((predicted = label)::DOUBLE), 6) AS accuracy FROM {vote_sql('5')} WHERE tag = 'clean_0' GROUP BY ALL"))
 def in_sample(spark: SparkSession, d: str) -> DataFrame:
-    near = neighbour_arrays(spark, d).filter("tag = 'clean_0'")
-    return vote(near, 5, KEY).groupBy("dataset", "backbone").agg(rounded(F.avg((F.col("predicted") == F.col("label")).cast("double"))).alias("accuracy"))
+    return clean_neighbours(spark, d).groupBy("dataset", "backbone").agg(rounded(F.avg((F.col("vote_5") == F.col("label")).cast("double"))).alias("accuracy"))
 
 
 _OTHERS = "(SELECT *, row_number() OVER (PARTITION BY dataset, backbone, vec_id ORDER BY rank) AS other FROM near WHERE tag = 'clean_0' AND near_id <> vec_id)"
@@ -70,7 +69,7 @@ _OTHERS = "(SELECT *, row_number() OVER (PARTITION BY dataset, backbone, vec_id
 
 @query("k4_leave_self_out_recall", with_near(f"SELECT dataset, backbone, label, round(avg((predicted = label)::DOUBLE), 6) AS recall FROM {vote_sql('5', f'(SELECT * EXCLUDE (rank, other), other AS rank FROM {_OTHERS})')} GROUP BY dataset, backbone, label"))
 def leave_self_out(spark: SparkSession, d: str) -> DataFrame:
-    near = neighbour_arrays(spark, d).filter("tag = 'clean_0'").withColumn("near", F.filter("near", lambda n: n["near_id"] != F.col("vec_id"))).filter(F.size("near") > 0)
+    near = clean_neighbours(spark, d).withColumn("near", F.filter("near", lambda n: n["near_id"] != F.col("vec_id"))).filter(F.size("near") > 0)
     return vote(near, 5, KEY).groupBy("dataset", "backbone", "label").agg(rounded(F.avg((F.col("predicted") == F.col("label")).cast("double"))).alias("recall"))
 
 

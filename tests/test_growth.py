@@ -141,3 +141,15 @@ def test_sums_of_conditions_are_those_of_pairs(spark, sf):
     want = base.paired(spark, sf).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("cos")).alias("far"), *[F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in "uc" for i in range(16)])
     got, want = ({tuple(r[:3]): r[3:] for r in df.collect()} for df in (got, want))
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-12) for k in want)
+
+
+def test_clean_lists_are_searched_alone(spark, sf, monkeypatch):
+    """k3 and k4 read clean vectors only, yet made the lists of all eight conditions."""
+    import __spark_entry__
+    from driftloom.sources import store
+
+    monkeypatch.setattr(store, "_kept", {})
+    alone = {q: sorted(map(tuple, __spark_entry__.queries()[q](spark, sf).collect())) for q in ("k3_in_sample_accuracy", "k4_leave_self_out_recall")}
+    assert not [name for _, _, name in store._kept if name == "neighbours"]
+    __spark_entry__.queries()["k1_knn_accuracy"](spark, sf).collect()
+    assert alone == {q: sorted(map(tuple, __spark_entry__.queries()[q](spark, sf).collect())) for q in alone}
