@@ -34,7 +34,8 @@ def first_by_hash(rows: DataFrame, keys: Sequence[str], most: int, repeats: int,
     rows = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     parts = [F.lit(seed), F.col("repeat").cast("string"), *[F.col(c) for c in salt], F.col("vec_id").cast("string")]
     order = Window.partitionBy(*keys, "repeat").orderBy(F.md5(F.concat_ws("|", *parts)), "vec_id")
-    return rows.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < most)
+    # filtered by the number itself, so that a task sends no more rows of a key than are asked for
+    return rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).withColumn("place", F.col("nth") - 1).drop("nth")
 
 
 def _gamma(far: np.ndarray) -> float:
@@ -87,7 +88,8 @@ def size_grid(shifted: DataFrame, bank: DataFrame, keys: Sequence[str], conditio
     """keys, condition, repeat, batch_size, reference_size, n_batch, n_ref, acc_batch and scores: one row for each cell.
 
     ``shifted`` has keys, condition, vec_id, u (a unit vector) and hit (is its prediction right, 0 or 1); ``bank`` has keys, vec_id and u. Sizes
-    beyond a side's rows use all of them; cells with fewer than two rows a side are left out. Vectors may have any dimension.
+    beyond a side's rows use all of them; cells with fewer than two rows a side are left out. Vectors may have any dimension. Rows that no repeat
+    draws (``first_by_hash``) may be left out of both.
     """
     left = first_by_hash(shifted.select(*keys, condition, "vec_id", "u", F.col("hit").cast("double").alias("hit")), [*keys, condition], max(batches), repeats, seed, [condition])
     right = first_by_hash(bank.select(*keys, "vec_id", "u"), keys, max(references), repeats, seed)

@@ -153,3 +153,19 @@ def test_clean_lists_are_searched_alone(spark, sf, monkeypatch):
     assert not [name for _, _, name in store._kept if name == "neighbours"]
     __spark_entry__.queries()["k1_knn_accuracy"](spark, sf).collect()
     assert alone == {q: sorted(map(tuple, __spark_entry__.queries()[q](spark, sf).collect())) for q in alone}
+
+
+def test_the_grid_searches_no_vectors_that_it_does_not_draw(spark, sf, monkeypatch):
+    """All lists of all conditions were made, and all vectors sorted by hash, for at most 64 rows of a condition and repeat."""
+    import __spark_entry__
+    from driftloom.plans import shift
+    from driftloom.sources import store
+
+    asked = []
+    real = shift.nearest_lists
+    monkeypatch.setattr(store, "_kept", {})
+    monkeypatch.setattr(shift, "nearest_lists", lambda q, *a, **kw: asked.append(q) or real(q, *a, **kw))
+    assert __spark_entry__.queries()["l10_grid_cells"](spark, sf).count() > 0
+    assert not [name for _, _, name in store._kept if name == "neighbours"]
+    most = asked[0].groupBy("dataset", "backbone", "tag").count().agg(F.max("count")).first()[0]
+    assert len(asked) == 1 and most <= 64 * 5 and asked[0].filter("tag = 'clean_0'").count() == 0
