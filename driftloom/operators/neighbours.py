@@ -24,9 +24,11 @@ from driftloom.sources.store import written
 
 BLOCK = 2048
 #: Half the vectors of a block of ``nearest`` (of queries under all conditions, and of the bank), sides of one product, bank rows whose largest product is taken at once.
-NEAR_BLOCK, ROWS, TILE, RUN = 1 << 15, 512, 1024, 64
+NEAR_BLOCK, ROWS, TILE, RUN = 1 << 15, 512, 1024, 128
 #: Queries that meet a bank block at once (at most 65,536), and rows of a query that are sorted side by side.
 CHUNK, WIDE = 8192, 96
+#: A move of so many times the vectors' length, and less, shares its products.
+LONG = 2.0
 #: More than this is not multiplied in single precision.
 HUGE = 1e20
 #: More than the error of an inner product in single precision, for each dimension and unit of both norms.
@@ -40,8 +42,8 @@ def block_counts(rows: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
     return rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("blocks"))
 
 
-def packed(rows: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
-    """Rows (keys, tag, vec_id, label, u) in blocks of about ``block`` vectors: keys, tags, ids, labels, vectors."""
+def packed(rows: DataFrame, keys: Sequence[str], block: int = BLOCK, counts: DataFrame | None = None) -> DataFrame:
+    """Rows (keys, tag, vec_id, label, u) in blocks of about ``block`` vectors: keys, tags, ids, labels, vectors. ``counts``: ``block_counts``, if known."""
 
     def pack(t: pa.Table) -> pa.Table:
         one = lambda c, kind: pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t[c].combine_chunks().cast(kind))
@@ -55,7 +57,7 @@ def packed(rows: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFram
             "vectors": pa.array([values.tobytes()], pa.binary()),
         })
 
-    dealt = rows.join(F.broadcast(block_counts(rows, keys, block)), list(keys)).withColumn("block", F.pmod(F.xxhash64("tag", "vec_id"), F.col("blocks")))
+    dealt = rows.join(F.broadcast(block_counts(rows, keys, block) if counts is None else counts), list(keys)).withColumn("block", F.pmod(F.xxhash64("tag", "vec_id"), F.col("blocks")))
     schema = ", ".join(f"{k} string" for k in keys) + ", block long, tags array<string>, ids array<long>, labels array<int>, vectors binary"
     return dealt.select(*keys, "block", "tag", "vec_id", "label", "u").groupBy(*keys, "block").applyInArrow(pack, schema)
 
@@ -83,20 +85,30 @@ class _Block:
         return new
 
 
+def joined(blocks: Sequence[_Block]) -> _Block:
+    """The rows of all of these blocks."""
+    if len(blocks) == 1:
+        return blocks[0]
+    new = object.__new__(_Block)
+    new.ids, new.labels, new.x = (np.concatenate([getattr(b, name) for b in blocks]) for name in ("ids", "labels", "x"))
+    new.tags = pa.concat_arrays([b.tags for b in blocks])
+    return new
+
+
 def _repeats(ids: np.ndarray) -> int:
     """How often the most frequent id comes."""
     return int(np.unique(ids, return_counts=True)[1].max())
 
 
-def _ordered(k: int):
-    """Bank blocks by label, then id. Of equal vectors only the first few stay: k after one id's rows are left out; no list has another."""
+def _ordered(k: int, own: bool = False):
+    """Bank blocks by label, then id. Of equal vectors only the first few stay: k after one id's rows are left out; no list has another. ``own``: vectors are brought to length 1 first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 b = _Block(batch, i)
                 order = np.lexsort((b.ids, b.labels))
-                x = np.ascontiguousarray(b.x[order])
+                x = np.ascontiguousarray(unit_rows(b.x[order])[0] if own else b.x[order])
                 raw = x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
                 by = np.argsort(raw, kind="stable")
                 head = np.flatnonzero(np.concatenate([[True], raw[by][1:] != raw[by][:-1]]))
@@ -248,6 +260,15 @@ class Lists:
             })
 
 
+    def sums(self, base: np.ndarray) -> tuple:
+        """Columns of ``nearest_sums`` over these queries, which were ``base`` before they were moved."""
+        found = np.isfinite(self.sim)
+        some = found[:, 0]
+        far = 1 - np.clip((self.x * base).sum(1), -1.0, 1.0)
+        hits = int((self.labels[some, 0] == self.q.labels[some]).sum())
+        return len(base), float(far.sum()), self.x.sum(0).tolist(), base.sum(0).tolist(), int(some.sum()), hits, float((1 - self.sim[some, 0]).sum()), int(found.sum()), float((1 - self.sim[found]).sum())
+
+
 def majority(labels: np.ndarray, known: np.ndarray, k: int) -> np.ndarray:
     """The most frequent of the first ``k`` known labels of each row, ties to the smallest."""
     labels, known = labels[:, :k], known[:, :k]
@@ -260,7 +281,7 @@ class Group:
     """Queries of one task under all their conditions; lists that share products are kept together."""
 
     def __init__(self, q: _Block, k: int, other_than_self: bool, shifts: Callable[[np.ndarray, np.ndarray | None], Iterable[Shift]] | None = None, about: np.ndarray | None = None) -> None:
-        self.q, self.k, self.other = q, k, other_than_self
+        self.q, self.k, self.other, self.base = q, k, other_than_self, q.x
         self.along: list[np.ndarray] = []
         if shifts is None:
             self.shared = [[Lists(q, k, other_than_self)]]
@@ -268,12 +289,12 @@ class Group:
             return
         self.shared, self.lists, together = [], [], []
         with np.errstate(invalid="ignore", over="ignore"):
-            base, size = unit_rows(q.x)
-            single = base.astype("<f4")
+            self.base, size = unit_rows(q.x)
+            single = self.base.astype("<f4")
             for s in shifts(q.x, about):
                 x, norm = unit_rows(s.y)
-                # a move as long as the vectors themselves leaves bounds that are too wide to be of use
-                if s.times is None or (s.along is not None and s.weight * np.linalg.norm(s.along) > s.times * np.median(size)):
+                # a move much longer than the vectors themselves leaves bounds that are too wide to be of use
+                if s.times is None or (s.along is not None and s.weight * np.linalg.norm(s.along) > LONG * s.times * np.median(size)):
                     self.lists.append(Lists(q, k, other_than_self, x, s.tag))
                     self.shared.append([self.lists[-1]])
                     continue
@@ -301,11 +322,14 @@ class Group:
             run //= 2
         runs = -(-len(b.ids) // run)
         if self.along:
-            # rows of a run have nearly equal products with each direction
+            # rows of a run have nearly equal products with each direction: those that bounds depend on most are cut finest
             sides = np.stack([b.x @ v for v in self.along])
-            bins = int(np.ceil(runs ** (1 / len(sides))))
-            parts = [np.argsort(np.argsort(g, kind="stable")) * bins // len(g) for g in sides[:-1]]
-            order = np.lexsort((sides[-1], *parts[::-1]))
+            wide = self._weights() * np.ptp(sides, axis=1)
+            wide = np.where(wide > 0, wide, 1e-300)  # false for NaN, too
+            share = np.exp(np.log(wide) - np.log(wide).mean()) * runs ** (1 / len(wide))
+            *coarse, last = np.argsort(wide, kind="stable")
+            parts = [np.argsort(np.argsort(sides[i], kind="stable")) * max(int(min(share[i], runs)), 1) // len(b.ids) for i in coarse]
+            order = np.lexsort((sides[last], *parts))
             b, sides = b.some(order), sides[:, order]
             cut = np.arange(0, len(b.ids), run)
             spread = np.stack([np.minimum.reduceat(sides, cut, axis=1), np.maximum.reduceat(sides, cut, axis=1)])
@@ -320,6 +344,15 @@ class Group:
             for a in range(0, len(self.q.ids), CHUNK):
                 self._meet(lists, slice(a, min(a + CHUNK, len(self.q.ids))), b, single, run, spread, size * reach, first, own)
 
+    def _weights(self) -> np.ndarray:
+        """How much of each direction a query's products have, in the condition that has most of it."""
+        most = np.zeros(len(self.along))
+        for lists in self.lists:
+            if lists.along >= 0:
+                known = np.abs(lists.shift[np.isfinite(lists.shift)])
+                most[lists.along] = max(most[lists.along], float(np.median(known)) if len(known) else 0.0)
+        return most
+
     def _own(self, b: _Block) -> tuple[np.ndarray, np.ndarray]:
         """Places (query, bank row) of equal ids, by query."""
         order = np.argsort(b.ids, kind="stable")
@@ -350,32 +383,37 @@ class Group:
             one.of(chunk).meet(b, single, top, run, spread, size, first)
 
 
-def nearest_lists(
+def _searched(
     queries: DataFrame,
-    bank: DataFrame,
+    bank: DataFrame | None,
     keys: Sequence[str],
     k: int,
-    other_than_self: bool = False,
-    block: int = NEAR_BLOCK,
-    shifts: Callable[[np.ndarray, np.ndarray | None], Iterable[Shift]] | None = None,
-    conditions: int = 1,
-    about: DataFrame | None = None,
-    votes: Sequence[int] = (),
+    other_than_self: bool,
+    block: int,
+    shifts: Callable[[np.ndarray, np.ndarray | None], Iterable[Shift]] | None,
+    conditions: int,
+    about: DataFrame | None,
+    out: Callable[[Group, dict[str, str]], Iterable[pa.RecordBatch]],
+    schema: str,
 ) -> DataFrame:
-    """keys, tag, vec_id, label, near: an array of (near_id, near_label, sim), at most k, by cosine (inputs are unit vectors), ties by label, then id.
-
-    With ``shifts``, ``queries`` holds vectors as they are, one row for all ``conditions``, which are made, brought to length 1 and searched in the
-    task that has the block; ``about`` (keys, m: a few rows) is given to them. ``votes`` adds the majority of the first n labels as ``vote_n``.
-    """
+    """What ``out`` makes of each group of queries after it has met its bank."""
     names = ["tags", "ids", "labels", "vectors"]
     many = max(2 * block // conditions, 1)
-    q = packed(queries, keys, many).select(*keys, F.col("block").alias("group"), F.lit(-1).cast("long").alias("part"), *names)
+    if bank is None:
+        # queries and bank are the same blocks: packed once, and counted as they were packed
+        counts = None if about is None else about.select(*keys, F.ceil(F.col("n") / F.lit(float(many))).cast("int").alias("blocks"))
+        held = written(packed(queries, keys, many, counts))
+        q, b = held, held.mapInArrow(_ordered(k, own=True), held.schema)
+        dealt = held.groupBy(*keys).agg((F.max("block") + 1).cast("int").alias("blocks"))
+    else:
+        q, b = packed(queries, keys, many), packed(bank, keys, 2 * block)
+        b = written(b.mapInArrow(_ordered(k), b.schema))
+        dealt = block_counts(queries, keys, many)
+    q = q.select(*keys, F.col("block").alias("group"), F.lit(-1).cast("long").alias("part"), *names)
     q = q.withColumn("about", F.lit(None).cast("array<double>")) if about is None else q.join(F.broadcast(about.select(*keys, F.col("m").alias("about"))), list(keys), "left")
-    b = packed(bank, keys, 2 * block)
-    b = written(b.mapInArrow(_ordered(k), b.schema))
     # one row for each key: its groups and how many groups the keys before it have
     before = F.sum("blocks").over(Window.orderBy(*keys)) - F.col("blocks")
-    groups = written(block_counts(queries, keys, many).withColumn("before", before))
+    groups = written(dealt.withColumn("before", before))
     parts = max(groups.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0], 1)
     sent = b.join(F.broadcast(groups.drop("before")), list(keys)).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
     sent = sent.select(*keys, "group", F.col("block").alias("part"), *names, F.lit(None).cast("array<double>").alias("about"))
@@ -384,11 +422,17 @@ def nearest_lists(
     both = both.repartitionById(parts, F.col("place")).drop("place").sortWithinPartitions(*keys, "group", "part")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, now = None, None
+        made, now, met = None, None, []
 
         def finished() -> Iterator[pa.RecordBatch]:
-            for lists in made.lists if made else ():
-                yield from lists.rows(now[0], votes)
+            if made:
+                meet()
+                yield from out(made, now[0])
+
+        def meet() -> None:
+            if met:
+                made.add(joined(met))
+                met.clear()
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -398,11 +442,59 @@ def nearest_lists(
                     m = batch.column("about")[i].as_py()
                     made, now = Group(_Block(batch, i), k, other_than_self, shifts, None if m is None else np.array(m, float)), (name, batch.column("group")[i].as_py())
                 elif now == (name, batch.column("group")[i].as_py()):  # a group may have no queries
-                    made.add(_Block(batch, i))
+                    b = _Block(batch, i)
+                    if sum(len(other.ids) for other in met) + len(b.ids) > 2 * block:
+                        meet()
+                    met.append(b)
         yield from finished()
 
-    schema = ", ".join(f"{key} string" for key in keys) + ", tag string, vec_id long, label int, near array<struct<near_id: long, near_label: int, sim: double>>"
-    return both.mapInArrow(run, schema + "".join(f", vote_{v} int" for v in votes))
+    return both.mapInArrow(run, ", ".join(f"{key} string" for key in keys) + ", " + schema)
+
+
+def nearest_lists(
+    queries: DataFrame,
+    bank: DataFrame | None,
+    keys: Sequence[str],
+    k: int,
+    other_than_self: bool = False,
+    block: int = NEAR_BLOCK,
+    shifts: Callable[[np.ndarray, np.ndarray | None], Iterable[Shift]] | None = None,
+    conditions: int = 1,
+    about: DataFrame | None = None,
+    votes: Sequence[int] = (),
+) -> DataFrame:
+    """keys, tag, vec_id, label, near: an array of (near_id, near_label, sim), at most k, by cosine (inputs are unit vectors), ties by label, then id.
+
+    With ``shifts``, ``queries`` holds vectors as they are, one row for all ``conditions``, which are made, brought to length 1 and searched in the
+    task that has the block; ``about`` (keys, m: a few rows) is given to them. ``votes`` adds the majority of the first n labels as ``vote_n``.
+    With no ``bank``, the queries' own vectors, brought to length 1, are searched; ``about`` then has the number ``n`` of each key's vectors, too.
+    """
+
+    def out(made: Group, name: dict[str, str]) -> Iterator[pa.RecordBatch]:
+        for lists in made.lists:
+            yield from lists.rows(name, votes)
+
+    schema = "tag string, vec_id long, label int, near array<struct<near_id: long, near_label: int, sim: double>>" + "".join(f", vote_{v} int" for v in votes)
+    return _searched(queries, bank, keys, k, other_than_self, block, shifts, conditions, about, out, schema)
+
+
+def nearest_sums(queries: DataFrame, keys: Sequence[str], k: int, shifts: Callable[[np.ndarray, np.ndarray | None], Iterable[Shift]], conditions: int, about: DataFrame, block: int = NEAR_BLOCK) -> DataFrame:
+    """Sums over each group of queries and condition, a few rows for each key, instead of ``nearest_lists`` of the queries' own vectors.
+
+    keys, tag; n, far, u, c: vectors, their sum of 1 - cosine to the vector as it was, and both sums of unit vectors; found, hits, first: queries with a
+    list, those whose first neighbour has their label, and the sum of 1 - sim to it; listed, whole: neighbours of all lists, and the sum of 1 - sim to them.
+    """
+    kinds = [pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()]
+
+    def out(made: Group, name: dict[str, str]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([
+            *[pa.array([v] * len(made.lists), pa.string()) for v in name.values()],
+            pa.array([lists.tag for lists in made.lists], pa.string()),
+            *[pa.array(v, kind) for v, kind in zip(zip(*[lists.sums(made.base) for lists in made.lists], strict=True), kinds, strict=True)],
+        ], names=[*name, "tag", "n", "far", "u", "c", "found", "hits", "first", "listed", "whole"])
+
+    schema = "tag string, n long, far double, u array<double>, c array<double>, found long, hits long, first double, listed long, whole double"
+    return _searched(queries, None, keys, k, False, block, shifts, conditions, about, out, schema)
 
 
 def ranked(lists: DataFrame) -> DataFrame:

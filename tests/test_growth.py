@@ -169,3 +169,70 @@ def test_the_grid_searches_no_vectors_that_it_does_not_draw(spark, sf, monkeypat
     assert not [name for _, _, name in store._kept if name == "neighbours"]
     most = asked[0].groupBy("dataset", "backbone", "tag").count().agg(F.max("count")).first()[0]
     assert len(asked) == 1 and most <= 64 * 5 and asked[0].filter("tag = 'clean_0'").count() == 0
+
+
+def _record_rows(df):
+    return {tuple(r[c] for c in ("dataset", "backbone", "tag", "perturbation", "severity")): tuple(r[c] for c in ("n", "drift", "accuracy", "acc_clean", "acc_drop", "knn1", "knn5", "centroid", "failure")) for r in df.collect()}
+
+
+def test_records_read_sums_and_no_lists(spark, sf, monkeypatch):
+    """Records had all lists of all conditions written and read again, ten rows of a struct for each vector and condition, for three averages."""
+    import __spark_entry__
+    from driftloom.plans import base
+    from driftloom.sources import store
+
+    monkeypatch.setattr(store, "_kept", {})
+    assert __spark_entry__.queries()["e14_weighted_mean"](spark, sf).count() == 7
+    assert not [name for _, _, name in store._kept if name == "neighbours"]
+    alone = _record_rows(base.records(spark, sf))
+    monkeypatch.setattr(store, "_kept", {})
+    base.neighbour_arrays(spark, sf)
+    after = _record_rows(base.records(spark, sf))
+    assert len(alone) == 84 and alone.keys() == after.keys()
+    assert all(np.allclose(alone[k], after[k], rtol=0, atol=2e-9) for k in alone)
+
+
+def test_own_vectors_are_packed_once(spark):
+    """Queries and bank were packed, counted and sorted each for itself, though they are the same rows; blocks that are searched together give the same lists and sums."""
+    from driftloom.operators.neighbours import nearest_sums, unit_rows
+    from driftloom.plans import base
+
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((900, 16)) * 0.125
+    x[60:110] = x[60]  # copies
+    x[200] = 0.0
+    x[202, 3] = np.nan
+    m, labels = np.nanmean(x, axis=0), rng.integers(0, 4, 900)
+    rows = lambda v: spark.createDataFrame([("k", "", i, int(c), w.tolist()) for i, (c, w) in enumerate(zip(labels, v, strict=True))], "key string, tag string, vec_id long, label int, u array<double>")
+    raw, bank = rows(x), rows(unit_rows(x)[0])
+    about = spark.createDataFrame([("k", 900, m.tolist())], "key string, n long, m array<double>")
+    same = {"shifts": base.shifts, "conditions": 8, "about": about}
+    read = lambda df: {(r["tag"], r["vec_id"]): ([n["near_id"] for n in r["near"]], [n["sim"] for n in r["near"]]) for r in df.collect()}
+    want = read(nearest_lists(raw, bank, ["key"], 5, **same))
+    own = nearest_lists(raw, None, ["key"], 5, block=250, **same)
+    got = read(own)
+    assert own.rdd.getNumPartitions() > 10 and got.keys() == want.keys() and len(got) == 8 * 899
+    for k in want:
+        assert np.allclose(got[k][1], want[k][1], rtol=0, atol=1e-12)
+        if np.diff(want[k][1]).max() < -1e-9:
+            assert got[k][0] == want[k][0]
+    sums = {}
+    for r in nearest_sums(raw, ["key"], 5, base.shifts, 8, about, block=250).collect():
+        sums.setdefault(r["tag"], []).append((r["n"], r["found"], r["hits"], r["first"], r["listed"], r["whole"]))
+    for tag, some in sums.items():
+        lists = {i: near for (t, i), near in want.items() if t == tag}
+        n, found, hits, first, listed, whole = np.sum(some, axis=0)
+        assert (n, found, listed) == (900, 899, 5 * 899) and hits == sum(labels[near[0]] == labels[i] for i, (near, _) in lists.items())
+        assert np.allclose((first, whole), (sum(1 - s[0] for _, s in lists.values()), sum(5 - sum(s) for _, s in lists.values())), rtol=0, atol=1e-9)
+
+
+def test_moves_up_to_twice_the_length_share_products():
+    """A condition that adds 0.3 to four of sixteen numbers had products of its own."""
+    from types import SimpleNamespace
+
+    from driftloom.operators.neighbours import Group
+    from driftloom.plans import base
+
+    x = np.random.default_rng(3).standard_normal((300, 16)) * 0.125
+    made = Group(SimpleNamespace(x=x, ids=np.arange(300), labels=np.zeros(300, np.int32)), 5, False, base.shifts, x.mean(0))
+    assert len(made.lists) == 8 and sorted(map(len, made.shared)) == [1, 1, 1, 5]
