@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftloom.functions.vectors import dot, sum_vector
 from driftloom.operators.resampling import bootstrap_rows
 from driftloom.plans import recognition
-from driftloom.plans.base import DIM, neighbour_lists, paired, records, rounded, sql_mean, with_near, with_rec, with_units
+from driftloom.plans.base import DIM, correlation, neighbour_lists, paired, records, rounded, sql_mean, with_near, with_rec, with_units
 from driftloom.plans.metrics import auc
 from driftloom.plans.relational import average_rank
 from driftloom.plans.resampling import boot_sql
@@ -143,7 +143,7 @@ def tiers_by_perturbation(spark: SparkSession, d: str) -> DataFrame:
     """Agreement of the two tiers' drops over spaces and severities, for each perturbation."""
     of = lambda c: F.avg(F.when(c, F.col("acc_drop")))
     m = records(spark, d).groupBy("perturbation", "backbone", "tag").agg(of(F.col("dataset") != "D2").alias("a"), of(F.col("dataset") == "D2").alias("b"))
-    return m.groupBy("perturbation").agg(F.count("*").alias("n"), rounded(F.corr("a", "b")).alias("r"))
+    return m.groupBy("perturbation").agg(F.count("*").alias("n"), rounded(correlation("a", "b")).alias("r"))
 
 
 # ---- N20 ----
