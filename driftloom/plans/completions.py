@@ -70,7 +70,7 @@ def dissociation_full(spark: SparkSession, d: str) -> DataFrame:
     order = lambda c: F.row_number().over(Window.orderBy(c, "tag"))  # noqa: E731  a row for each condition
     g = g.withColumns({"rm": order("m"), "rf": order("f"), "m0": F.max(F.when(F.col("tag") == "clean_0", F.col("m"))).over(Window.partitionBy())})
     cv = g.agg(
-        F.count("*").alias("conditions"), F.avg(F.when(F.col("tag") != "clean_0", (F.col("m") > F.col("m0")).cast("double"))).alias("detect_rate"), F.corr("rm", "rf").alias("rho"), F.regr_r2("f", "m").alias("r2"),
+        F.count("*").alias("conditions"), F.avg(F.when(F.col("tag") != "clean_0", (F.col("m") > F.col("m0")).cast("double"))).alias("detect_rate"), correlation("rm", "rf").alias("rho"), F.regr_r2("f", "m").alias("r2"),
         F.var_samp("m").alias("s11"), F.var_samp("cp").alias("s22"), F.covar_samp("m", "cp").alias("s12"), F.covar_samp("m", "f").alias("s1y"), F.covar_samp("cp", "f").alias("s2y"), F.var_samp("f").alias("syy"),
     )
     b1, b2 = (F.expr(x) for x in _TWO)
@@ -90,7 +90,7 @@ def lodo_rho(spark: SparkSession, d: str) -> DataFrame:
     model = r.join(F.broadcast(held), F.col("dataset") != F.col("heldout")).groupBy("heldout").agg(F.regr_intercept("acc_drop", "drift").alias("a"), F.regr_slope("acc_drop", "drift").alias("b"))  # the few datasets
     t = r.withColumnRenamed("dataset", "heldout").join(model, "heldout").withColumn("p", F.round(F.col("a") + F.col("b") * F.col("drift"), 9))
     t = t.withColumns({"ry": average_rank("acc_drop", ["heldout"]), "rp": average_rank("p", ["heldout"])})
-    return t.groupBy("heldout").agg(F.count("*").alias("n"), rounded(F.corr("ry", "rp")).alias("rho"))
+    return t.groupBy("heldout").agg(F.count("*").alias("n"), rounded(correlation("ry", "rp")).alias("rho"))
 
 
 def stacked(spark: SparkSession, d: str) -> DataFrame:
@@ -106,11 +106,11 @@ SELECT round((SELECT avg(r) FROM m WHERE x = y), 6) AS within_space_mean_r, roun
 def pooled(spark: SparkSession, d: str) -> DataFrame:
     """The matrix of drift in one space against drop in another, summed up, and all pairs of different spaces pooled."""
     st = stacked(spark, d)
-    m = st.groupBy("x", "y").agg(F.corr("drift", "acc_drop").alias("r"))
+    m = st.groupBy("x", "y").agg(correlation("drift", "acc_drop").alias("r"))
     cross = F.when(F.col("x") != F.col("y"), F.col("r"))
     m = m.agg(rounded(F.avg(F.when(F.col("x") == F.col("y"), F.col("r")))).alias("within_space_mean_r"), rounded(F.avg(cross)).alias("cross_space_mean_r"), rounded(F.min(cross)).alias("cross_space_min_r"), rounded(F.max(cross)).alias("cross_space_max_r"))
     off = st.filter("x <> y").withColumns({"ra": average_rank("drift", []), "rb": average_rank("acc_drop", [])})
-    return m.crossJoin(off.agg(F.count("*").alias("n"), rounded(F.corr("drift", "acc_drop")).alias("pooled_r"), rounded(F.corr("ra", "rb")).alias("pooled_rho")))  # one row each
+    return m.crossJoin(off.agg(F.count("*").alias("n"), rounded(correlation("drift", "acc_drop")).alias("pooled_r"), rounded(correlation("ra", "rb")).alias("pooled_rho")))  # one row each
 
 
 @query("n19_partial")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import bitboards, images
 from driftloom.functions.vectors import as_double, dot, sum_vector, unit
 from driftloom.operators import label_maps, probes
-from driftloom.plans.base import DIM, clean_bank, paired, records, rounded, shifted_bank, with_clean, with_rec, with_units
+from driftloom.plans.base import DIM, clean_bank, correlation, paired, records, rounded, shifted_bank, with_clean, with_rec, with_units
 from driftloom.plans import maps
 from driftloom.registry import oracle, query
 from driftloom.sources.ledger import Ledger
@@ -270,7 +270,7 @@ def augmentation_probe(spark: SparkSession, d: str) -> DataFrame:
     key = ["head", "training", "dataset", "backbone"]
     clean = r.filter("tag = 'clean_0'").select(*key, "split", F.col("accuracy").alias("clean"))
     moved = r.filter("tag <> 'clean_0'").join(clean, [*key, "split"])
-    found = moved.groupBy(*key).agg(F.countDistinct("tag").alias("conditions"), F.avg("clean").alias("c"), F.avg("accuracy").alias("p"), F.corr("drift", F.col("clean") - F.col("accuracy")).alias("r"))
+    found = moved.groupBy(*key).agg(F.countDistinct("tag").alias("conditions"), F.avg("clean").alias("c"), F.avg("accuracy").alias("p"), correlation("drift", F.col("clean") - F.col("accuracy")).alias("r"))
     return found.select(*key, "conditions", rounded(F.col("c")).alias("clean_acc"), rounded(F.col("p")).alias("pert_acc"), rounded(F.col("c") - F.col("p")).alias("gap"), rounded(F.col("r")).alias("drift_drop_r"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftloom.plans.base import records, rounded, with_rec
+from driftloom.plans.base import correlation, records, rounded, with_rec
 from driftloom.registry import query
 
 SCORES = ("drift", "knn1", "knn5", "centroid")
@@ -166,4 +166,4 @@ def lodo(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m12_detector_correlation", with_rec("") + LONG + " SELECT detector, count(*) AS n, round(corr(score, acc_drop), 6) AS r_vs_drop FROM lg GROUP BY detector")
 def detector_correlation(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).groupBy("detector").agg(F.count(F.lit(1)).alias("n"), rounded(F.corr("score", "acc_drop")).alias("r_vs_drop"))
+    return scored(spark, d).groupBy("detector").agg(F.count(F.lit(1)).alias("n"), rounded(correlation("score", "acc_drop")).alias("r_vs_drop"))

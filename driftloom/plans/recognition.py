@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.vectors import dot, mean_vector, sum_vector, unit
 from driftloom.operators.neighbours import nearest_lists
-from driftloom.plans.base import DIM, clean_bank, clean_neighbours, neighbour_arrays, paired, rounded, shifted_bank, sql_mean, sql_unit, with_near, with_units
+from driftloom.plans.base import DIM, clean_bank, clean_neighbours, correlation, neighbour_arrays, paired, rounded, shifted_bank, sql_mean, sql_unit, with_near, with_units
 from driftloom.registry import query
 from driftloom.sources.store import written
 
@@ -291,6 +291,6 @@ _K17 = f"SELECT r.k, round(avg(r.a), 6) AS mean_accuracy, round(corr(r.a, p.drif
 def rule_summary(spark: SparkSession, d: str) -> DataFrame:
     drift = paired(spark, d).groupBy(*KEY).agg(F.avg(1 - F.col("cos")).alias("drift"))
     each = sweep(neighbour_arrays(spark, d).filter("tag <> 'clean_0'"), (1, 3, 5, 10)).groupBy("k", *KEY).agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("a")).join(drift, KEY)
-    rules = each.groupBy("k").agg(rounded(F.avg("a")).alias("mean_accuracy"), rounded(F.corr("a", "drift")).alias("r_drift"))
+    rules = each.groupBy("k").agg(rounded(F.avg("a")).alias("mean_accuracy"), rounded(correlation("a", "drift")).alias("r_drift"))
     order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("mean_accuracy")).alias("m"), F.col("k")))), lambda s: s["k"].cast("string")), " > ")
     return rules.crossJoin(F.broadcast(rules.agg(order.alias("ranking"))))  # four rows and one

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.names import cache_tag, family, norm_key, normalize_species, real_binomial, safe_tag, severity_key, significance
 from driftloom.functions.vectors import unit
-from driftloom.plans.base import clean_bank, records, rounded, shifted_bank, sql_unit, with_clean, with_rec, with_units
+from driftloom.plans.base import clean_bank, correlation, records, rounded, shifted_bank, sql_unit, with_clean, with_rec, with_units
 from driftloom.registry import query
 from driftloom.sources import archives
 from driftloom.sources.archives import named_parts, with_fallback
@@ -172,7 +172,7 @@ def to_numeric(spark: SparkSession, d: str) -> DataFrame:
 @query("b11_row_mask", with_rec(f"SELECT count(*) AS n, round(corr({_GAPS}, acc_drop), 6) AS r FROM rec WHERE {_GAPS} IS NOT NULL"))
 def row_mask(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark, d).withColumn("x", F.when(F.col("severity") != "0.3", F.col("drift"))).filter(F.col("x").isNotNull() & F.col("acc_drop").isNotNull())
-    return rows.agg(F.count("*").alias("n"), rounded(F.corr("x", "acc_drop")).alias("r"))
+    return rows.agg(F.count("*").alias("n"), rounded(correlation("x", "acc_drop")).alias("r"))
 
 
 @query("b12_classes_with_two", "SELECT label, n FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label) WHERE n >= 2")
@@ -259,7 +259,7 @@ def semi_anti(spark: SparkSession, d: str) -> DataFrame:
 def unordered_pairs(spark: SparkSession, d: str) -> DataFrame:
     a = records(spark, d).select("dataset", "tag", F.col("backbone").alias("x"), F.col("drift").alias("dx"))
     b = records(spark, d).select("dataset", "tag", F.col("backbone").alias("y"), F.col("drift").alias("dy"))
-    return a.join(b, ["dataset", "tag"]).filter("x < y").groupBy("x", "y").agg(rounded(F.corr("dx", "dy")).alias("r"))
+    return a.join(b, ["dataset", "tag"]).filter("x < y").groupBy("x", "y").agg(rounded(correlation("dx", "dy")).alias("r"))
 
 
 @query("c14_map_fallback", "SELECT p_partkey, coalesce(a.g, b.g, 'other') AS grp FROM part LEFT JOIN (VALUES ('Brand#11', 'one')) a(k, g) ON p_brand = a.k LEFT JOIN (VALUES ('STANDARD', 'two'), ('PROMO', 'three')) b(k, g) ON split_part(p_type, ' ', 1) = b.k")
@@ -346,7 +346,7 @@ def two_levels(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e11_means_and_corr", with_rec("SELECT round(corr(a, b), 6) AS r FROM (SELECT backbone, avg(acc_drop) AS a, avg(knn5) AS b FROM rec GROUP BY backbone)"))
 def means_and_corr(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).groupBy("backbone").agg(F.avg("acc_drop").alias("a"), F.avg("knn5").alias("b")).agg(rounded(F.corr("a", "b")).alias("r"))
+    return records(spark, d).groupBy("backbone").agg(F.avg("acc_drop").alias("a"), F.avg("knn5").alias("b")).agg(rounded(correlation("a", "b")).alias("r"))
 
 
 @query("e12_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 4) AS lo, round(quantile_cont(l_extendedprice, 0.975), 4) AS hi FROM lineitem GROUP BY l_returnflag")
@@ -441,7 +441,7 @@ def average_ranks(spark: SparkSession, d: str) -> DataFrame:
 def ordinal_spearman(spark: SparkSession, d: str) -> DataFrame:
     tie = ["dataset", "tag"]
     r = records(spark, d).withColumns({"a": ordinal("drift", ["backbone"], tie, False), "b": ordinal("acc_drop", ["backbone"], tie, False)})
-    return r.groupBy("backbone").agg(rounded(F.corr("a", "b")).alias("rho"))
+    return r.groupBy("backbone").agg(rounded(correlation("a", "b")).alias("rho"))
 
 
 @query("f5_rank_in_row", with_rec("SELECT dataset, tag, arg_min(backbone, r) AS best, arg_max(backbone, r) AS worst FROM (SELECT *, row_number() OVER (PARTITION BY dataset, tag ORDER BY accuracy DESC, backbone) AS r FROM rec) GROUP BY ALL"))
@@ -486,7 +486,7 @@ def sorted_head(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g2_by_absolute", with_rec("SELECT backbone, r, row_number() OVER (ORDER BY abs(r) DESC, backbone) AS place FROM (SELECT backbone, round(corr(drift, acc_drop), 6) AS r FROM rec GROUP BY backbone)"))
 def by_absolute(spark: SparkSession, d: str) -> DataFrame:
-    r = records(spark, d).groupBy("backbone").agg(rounded(F.corr("drift", "acc_drop")).alias("r"))
+    r = records(spark, d).groupBy("backbone").agg(rounded(correlation("drift", "acc_drop")).alias("r"))
     return r.select("backbone", "r", F.row_number().over(Window.orderBy(F.abs("r").desc(), "backbone")).alias("place"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.operators.resampling import bootstrap_rows, hash_order, without_replacement
-from driftloom.plans.base import neighbour_lists, records, rounded, with_near, with_rec
+from driftloom.plans.base import correlation, neighbour_lists, records, rounded, with_near, with_rec
 from driftloom.registry import query
 from driftloom.sources.store import table
 
@@ -57,7 +57,7 @@ def bootstrap_auc(spark: SparkSession, d: str) -> DataFrame:
 
 @query("o4_bootstrap_correlation", with_rec("SELECT 1")[: -len("\nSELECT 1")] + ", " + boot_sql("rec", "backbone", "dataset, tag", "corr", CORRELATION) + " SELECT backbone, round(quantile_cont(a, 0.025), 6) AS lo, round(quantile_cont(a, 0.975), 6) AS hi FROM (SELECT backbone, replicate, corr(drift, acc_drop) AS a FROM boot GROUP BY ALL HAVING stddev_pop(drift) > 0 AND stddev_pop(acc_drop) > 0) GROUP BY backbone")
 def bootstrap_correlation(spark: SparkSession, d: str) -> DataFrame:
-    b = bootstrap_rows(records(spark, d), ["backbone"], ["dataset", "tag"], CORRELATION, "corr").groupBy("backbone", "replicate").agg(F.corr("drift", "acc_drop").alias("a"), F.stddev_pop("drift").alias("s"), F.stddev_pop("acc_drop").alias("t"))
+    b = bootstrap_rows(records(spark, d), ["backbone"], ["dataset", "tag"], CORRELATION, "corr").groupBy("backbone", "replicate").agg(correlation("drift", "acc_drop").alias("a"), F.stddev_pop("drift").alias("s"), F.stddev_pop("acc_drop").alias("t"))
     b = b.filter("s > 0 AND t > 0")  # a replicate without variance has no correlation
     return b.groupBy("backbone").agg(rounded(F.percentile("a", F.lit(0.025))).alias("lo"), rounded(F.percentile("a", F.lit(0.975))).alias("hi"))
 
@@ -67,7 +67,7 @@ def _clusters(spark: SparkSession, d: str, keys: list[str], seed: str, column: s
     r = records(spark, d)
     names = r.select(F.lit("all").alias("g"), *keys).distinct()
     drawn = bootstrap_rows(names, ["g"], keys, CLUSTER, seed)
-    return r.join(drawn.drop("g"), keys).groupBy("replicate").agg(F.corr("drift", column).alias("a")).agg(rounded(F.avg("a")).alias("mean"), rounded(F.percentile("a", F.lit(0.025))).alias("lo"), rounded(F.percentile("a", F.lit(0.975))).alias("hi"))
+    return r.join(drawn.drop("g"), keys).groupBy("replicate").agg(correlation("drift", column).alias("a")).agg(rounded(F.avg("a")).alias("mean"), rounded(F.percentile("a", F.lit(0.025))).alias("lo"), rounded(F.percentile("a", F.lit(0.975))).alias("hi"))
 
 
 _CI = "round(avg(a), 6) AS mean, round(quantile_cont(a, 0.025), 6) AS lo, round(quantile_cont(a, 0.975), 6) AS hi"
@@ -79,7 +79,7 @@ def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("dataset")
     res = records(spark, d).select("tag", *[(F.col(c) - F.avg(c).over(w)).alias(n) for c, n in (("drift", "x"), ("acc_drop", "y"))])
     drawn = bootstrap_rows(records(spark, d).select(F.lit("all").alias("g"), "tag").distinct(), ["g"], ["tag"], BLOCK, "block")
-    a = res.join(drawn, "tag").groupBy("replicate").agg(F.corr("x", "y").alias("a"))
+    a = res.join(drawn, "tag").groupBy("replicate").agg(correlation("x", "y").alias("a"))
     return a.agg(rounded(F.avg("a")).alias("mean"), rounded(F.percentile("a", F.lit(0.025))).alias("lo"), rounded(F.percentile("a", F.lit(0.975))).alias("hi"))
 
 

@@ -12,7 +12,7 @@ from driftloom.functions import tails
 from driftloom.functions.names import significance
 from driftloom.operators.mixed import crossed
 from driftloom.operators.regression import dummies, levels, products, residual_products, solve, unpack
-from driftloom.plans.base import records, rounded, with_rec
+from driftloom.plans.base import correlation, records, rounded, with_rec
 from driftloom.plans.relational import average_rank, avg6, ordinal
 from driftloom.registry import query
 
@@ -26,12 +26,12 @@ def pearson_p(r: str, n: str) -> Column:
 
 @query("n1_pearson", with_rec("SELECT count(*) AS n, round(corr(drift, acc_drop), 6) AS r FROM rec"))
 def pearson(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).agg(F.count("*").alias("n"), rounded(F.corr("drift", "acc_drop")).alias("r"))
+    return records(spark, d).agg(F.count("*").alias("n"), rounded(correlation("drift", "acc_drop")).alias("r"))
 
 
 @query("n1_pearson_p")
 def pearson_with_p(spark: SparkSession, d: str) -> DataFrame:
-    g = records(spark, d).groupBy("backbone").agg(F.count("*").alias("n"), F.corr("drift", "acc_drop").alias("r"))
+    g = records(spark, d).groupBy("backbone").agg(F.count("*").alias("n"), correlation("drift", "acc_drop").alias("r"))
     return g.withColumn("p", pearson_p("r", "n")).withColumn("stars", significance(F.col("p")))
 
 
@@ -41,12 +41,12 @@ _AR = lambda c, k="": f"rank() OVER ({k}ORDER BY {c}) + (count(*) OVER (PARTITIO
 @query("n2_spearman", with_rec(f"SELECT round(corr(a, b), 6) AS rho FROM (SELECT {_AR('drift')} AS a, {_AR('acc_drop')} AS b FROM rec)"))
 def spearman(spark: SparkSession, d: str) -> DataFrame:
     r = records(spark, d).withColumns({"a": average_rank("drift", []), "b": average_rank("acc_drop", [])})
-    return r.agg(rounded(F.corr("a", "b")).alias("rho"))
+    return r.agg(rounded(correlation("a", "b")).alias("rho"))
 
 
 @query("n3_grouped_pearson", with_rec("SELECT perturbation, count(*) AS n, round(corr(drift, acc_drop), 6) AS r FROM rec GROUP BY perturbation HAVING count(*) >= 20"))
 def grouped_pearson(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).groupBy("perturbation").agg(F.count("*").alias("n"), rounded(F.corr("drift", "acc_drop")).alias("r")).filter("n >= 20")
+    return records(spark, d).groupBy("perturbation").agg(F.count("*").alias("n"), rounded(correlation("drift", "acc_drop")).alias("r")).filter("n >= 20")
 
 
 @query("n4_partial_one_factor", with_rec("SELECT round(corr(a, b), 6) AS partial_r FROM (SELECT drift - avg(drift) OVER (PARTITION BY perturbation) AS a, acc_drop - avg(acc_drop) OVER (PARTITION BY perturbation) AS b FROM rec)"))
@@ -54,7 +54,7 @@ def partial_one(spark: SparkSession, d: str) -> DataFrame:
     """Demeaning by group is the residual of one-factor least squares."""
     w = Window.partitionBy("perturbation")
     r = records(spark, d).select(*[(F.col(c) - F.avg(c).over(w)).alias(c) for c in ("drift", "acc_drop")])
-    return r.agg(rounded(F.corr("drift", "acc_drop")).alias("partial_r"))
+    return r.agg(rounded(correlation("drift", "acc_drop")).alias("partial_r"))
 
 
 def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -101,7 +101,7 @@ def hierarchical_r2(spark: SparkSession, d: str) -> DataFrame:
 def subset_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     r = records(spark, d)
     which = F.explode(F.when(F.col("drift") > 0.01, F.array(F.lit("all"), F.lit("complete"))).otherwise(F.array(F.lit("all")))).alias("subset")
-    return r.select("drift", "acc_drop", which).groupBy("subset").agg(F.count("*").alias("n"), rounded(F.corr("drift", "acc_drop")).alias("r"), avg6("acc_drop").alias("mean_drop"))
+    return r.select("drift", "acc_drop", which).groupBy("subset").agg(F.count("*").alias("n"), rounded(correlation("drift", "acc_drop")).alias("r"), avg6("acc_drop").alias("mean_drop"))
 
 
 @query("n8_simple_ols", with_rec("SELECT backbone, round(regr_slope(acc_drop, drift), 6) AS slope, round(regr_intercept(acc_drop, drift), 6) AS intercept, round(regr_r2(acc_drop, drift), 6) AS r2, round(sqrt((1 - regr_r2(acc_drop, drift)) * regr_syy(acc_drop, drift) / (count(*) - 2) / regr_sxx(acc_drop, drift)), 6) AS se FROM rec GROUP BY backbone"))
@@ -118,7 +118,7 @@ def lodo_regression(spark: SparkSession, d: str) -> DataFrame:
     held = r.select(F.col("dataset").alias("heldout")).distinct()
     model = r.join(F.broadcast(held), F.col("dataset") != F.col("heldout")).groupBy("heldout").agg(F.regr_intercept("acc_drop", "drift").alias("a"), F.regr_slope("acc_drop", "drift").alias("b"))  # a handful of groups
     t = r.withColumnRenamed("dataset", "heldout").join(model, "heldout").withColumn("p", F.col("a") + F.col("b") * F.col("drift")).withColumn("e", F.col("acc_drop") - F.col("p"))
-    return t.groupBy("heldout").agg(F.count("*").alias("n"), rounded(F.sqrt(F.avg(F.col("e") * F.col("e")))).alias("rmse"), rounded(F.avg(F.abs("e"))).alias("mae"), rounded(F.corr("acc_drop", "p")).alias("r"))
+    return t.groupBy("heldout").agg(F.count("*").alias("n"), rounded(F.sqrt(F.avg(F.col("e") * F.col("e")))).alias("rmse"), rounded(F.avg(F.abs("e"))).alias("mae"), rounded(correlation("acc_drop", "p")).alias("r"))
 
 
 @query("n10_fixed_effects")
@@ -290,7 +290,7 @@ def cohens_d(spark: SparkSession, d: str) -> DataFrame:
 
 def two_regressors(y: str, a: str, b: str) -> tuple[Column, Column, Column]:
     """Standardised coefficients and R2 from three correlations."""
-    ya, yb, ab = F.corr(y, a), F.corr(y, b), F.corr(a, b)
+    ya, yb, ab = correlation(y, a), correlation(y, b), correlation(a, b)
     b1, b2 = (ya - yb * ab) / (1 - ab * ab), (yb - ya * ab) / (1 - ab * ab)
     return b1, b2, b1 * ya + b2 * yb
 
@@ -306,7 +306,7 @@ def cross_space(spark: SparkSession, d: str) -> DataFrame:
     r = records(spark, d)
     a = r.select("dataset", "tag", F.col("backbone").alias("drift_space"), "drift")
     b = r.select("dataset", "tag", F.col("backbone").alias("drop_space"), "acc_drop")
-    return a.join(b, ["dataset", "tag"]).groupBy("drift_space", "drop_space").agg(F.count("*").alias("n"), rounded(F.corr("drift", "acc_drop")).alias("r"))
+    return a.join(b, ["dataset", "tag"]).groupBy("drift_space", "drop_space").agg(F.count("*").alias("n"), rounded(correlation("drift", "acc_drop")).alias("r"))
 
 
 @query("n20_asymmetry", with_rec("SELECT a.backbone, a.tag, a.dataset || '<->' || b.dataset AS pair, round(a.acc_drop - b.acc_drop, 6) AS signed, CASE WHEN a.acc_drop > b.acc_drop THEN a.dataset WHEN a.acc_drop < b.acc_drop THEN b.dataset ELSE 'none' END AS harder FROM rec a JOIN rec b ON a.backbone = b.backbone AND a.tag = b.tag AND a.dataset < b.dataset"))
@@ -329,16 +329,16 @@ def tier_agreement(spark: SparkSession, d: str) -> DataFrame:
     of = lambda c: F.avg(F.when(c, F.col("acc_drop")))
     m = records(spark, d).groupBy("backbone", "tag").agg(of(F.col("dataset") != "D2").alias("a"), of(F.col("dataset") == "D2").alias("b"))
     rank = lambda c: F.row_number().over(Window.orderBy(F.col(c).desc(), "backbone", "tag"))  # noqa: E731  one row for each condition and space
-    return m.withColumns({"ra": rank("a"), "rb": rank("b")}).agg(rounded(F.corr("ra", "rb")).alias("rank_agreement"))
+    return m.withColumns({"ra": rank("a"), "rb": rank("b")}).agg(rounded(correlation("ra", "rb")).alias("rank_agreement"))
 
 
 @query("n23_multilevel_table", with_rec("SELECT backbone, metric, round(corr(value, acc_drop), 6) AS r FROM (SELECT backbone, acc_drop, metric, value FROM rec UNPIVOT (value FOR metric IN (drift, knn1, knn5, centroid))) GROUP BY ALL"))
 def multilevel_table(spark: SparkSession, d: str) -> DataFrame:
     long = records(spark, d).unpivot(["backbone", "acc_drop"], ["drift", "knn1", "knn5", "centroid"], "metric", "value")
-    return long.groupBy("backbone", "metric").agg(rounded(F.corr("value", "acc_drop")).alias("r"))
+    return long.groupBy("backbone", "metric").agg(rounded(correlation("value", "acc_drop")).alias("r"))
 
 
 @query("n24_tier_comparison", with_rec("SELECT 'A' AS tier, count(*) AS n, round(corr(drift, acc_drop), 6) AS r FROM rec WHERE dataset <> 'D2' UNION ALL SELECT 'B', count(*), round(corr(drift, acc_drop), 6) FROM rec WHERE dataset = 'D2'"))
 def tier_comparison(spark: SparkSession, d: str) -> DataFrame:
     tier = F.when(F.col("dataset") == "D2", "B").otherwise("A").alias("tier")
-    return records(spark, d).groupBy(tier).agg(F.count("*").alias("n"), rounded(F.corr("drift", "acc_drop")).alias("r"))
+    return records(spark, d).groupBy(tier).agg(F.count("*").alias("n"), rounded(correlation("drift", "acc_drop")).alias("r"))

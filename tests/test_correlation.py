@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom import registry
+from driftloom.functions import tails
 from driftloom.plans.base import correlation
 
 
@@ -58,3 +59,20 @@ def test_correlation_of_constants_missing_values_and_single_rows(spark):
 
 def test_drops_that_do_not_vary_by_perturbation(spark, one_label):
     assert {r[0]: r[2] for r in same_as_sql(spark, one_label, "n22_by_perturbation")} == dict.fromkeys(("add", "blend", "roll", "scale"), "NaN")
+
+
+def test_grouped_pearson_of_drops_that_do_not_vary(spark, one_label):
+    assert [r[1:] for r in same_as_sql(spark, one_label, "n3_grouped_pearson")] == [(24, "NaN")] * 3
+
+
+ALSO = ("b11_row_mask", "e11_means_and_corr", "g2_by_absolute", "m12_detector_correlation", "n1_pearson", "n2_spearman", "n4_partial_one_factor", "n7_subset_sensitivity", "n19_cross_space", "n19_pooled", "n23_multilevel_table", "n24_tier_comparison", "v9_without_dataset")
+
+
+@pytest.mark.parametrize("name", ALSO)
+def test_others_of_drops_that_do_not_vary(spark, one_label, name):
+    same_as_sql(spark, one_label, name)
+
+
+def test_p_of_an_unknown_correlation_is_unknown(spark, one_label):
+    assert math.isnan(tails.pearson_p(float("nan"), 21))
+    assert {(math.isnan(r["p"]), r["stars"]) for r in registry.queries()["n1_pearson_p"](spark, one_label).collect()} == {(True, "n.s.")}
