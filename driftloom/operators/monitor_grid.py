@@ -7,7 +7,7 @@ squared distances are computed once, and a cell looks up
 * neighbour distances among the first m columns, averaged over the first n rows;
 * prefix sums of the vectors for both centroids, and of hits for the batch's accuracy;
 * two-way prefix sums of the kernel matrices for the discrepancy at a shared bandwidth, the median of the largest cell;
-* for the discrepancy at the cell's own bandwidth, the cell's block of the distances (at most ``CAP`` rows a side).
+* for the discrepancy at the cell's own bandwidth, all distances of the cell; those within a reference are taken out once for all conditions of a repeat.
 
 Only the rows that the largest cell needs leave the bank: at most max(batch) a condition and repeat, max(reference) a bank and repeat. A task holds
 one bank's reference and the batches of its conditions.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.operators.detectors import CAP, squared
+from driftloom.operators.detectors import squared
 
 #: Fixed values.
 BATCHES, REFERENCES, REPEATS = (8, 16, 32, 64), (100, 250, 500, 1000), 5
@@ -48,19 +48,29 @@ def _triangle(d: np.ndarray) -> np.ndarray:
     return d[np.triu_indices(len(d), 1)]
 
 
-def _within_gamma(xx: np.ndarray, yy: np.ndarray, xy: np.ndarray) -> float:
-    return _gamma(np.concatenate([_triangle(xx), _triangle(yy), xy.ravel()]))
+def _kernel_mean(far: np.ndarray, n: int, gamma: float) -> float:
+    """Mean of the kernel of n rows with each other from the distances of their pairs; a row's with itself is 1."""
+    return (2 * float(np.exp(-gamma * far).sum()) + n) / n**2
 
 
 def _discrepancy(xx: float, yy: float, xy: float) -> float:
     return max(xx + yy - 2 * xy, 0.0)
 
 
-def cells(batch: np.ndarray, hits: np.ndarray, reference: np.ndarray, batches: Sequence[int], references: Sequence[int]) -> Iterator[tuple]:
-    """(batch_size, reference_size, n_batch, n_ref, acc_batch, scores...) of every cell that has two rows a side."""
+def reference_far(reference: np.ndarray, references: Sequence[int]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Squared distances within a reference, and those of the pairs of its first rows, by their number."""
+    yy = squared(reference, reference)
+    return yy, {m: _triangle(yy[:m, :m]) for m in {min(m, len(reference)) for m in references}}
+
+
+def cells(batch: np.ndarray, hits: np.ndarray, reference: np.ndarray, batches: Sequence[int], references: Sequence[int], far: tuple[np.ndarray, dict[int, np.ndarray]] | None = None) -> Iterator[tuple]:
+    """(batch_size, reference_size, n_batch, n_ref, acc_batch, scores...) of every cell that has two rows a side; ``far`` is ``reference_far``'s."""
     sim = batch @ reference.T
-    xx, yy, xy = squared(batch, batch), squared(reference, reference), np.maximum((batch * batch).sum(1)[:, None] + (reference * reference).sum(1)[None, :] - 2 * sim, 0)
-    shared = _within_gamma(xx[:CAP, :CAP], yy[:CAP, :CAP], xy[:CAP, :CAP])
+    yy, far_y = far or reference_far(reference, references)
+    xx, xy = squared(batch, batch), np.maximum((batch * batch).sum(1)[:, None] + (reference * reference).sum(1)[None, :] - 2 * sim, 0)
+    far_x = {n: _triangle(xx[:n, :n]) for n in {min(n, len(batch)) for n in batches}}
+    n_most, m_most = max(far_x), max(far_y)
+    shared = _gamma(np.concatenate([far_x[n_most], far_y[m_most], xy[:n_most, :m_most].ravel()]))
     tables = [np.exp(-shared * m).cumsum(0).cumsum(1) for m in (xx, yy, xy)]
     sums, ref_sums, right = batch.cumsum(0), reference.cumsum(0), hits.cumsum()
     for m in references:
@@ -76,10 +86,9 @@ def cells(batch: np.ndarray, hits: np.ndarray, reference: np.ndarray, batches: S
                 continue
             a, b = sums[n_used - 1] / n_used, ref_sums[m_used - 1] / m_used
             centroid = 1 - float(a @ b) / ((np.linalg.norm(a) + 1e-8) * (np.linalg.norm(b) + 1e-8))
-            n_cap, m_cap = min(n_used, CAP), min(m_used, CAP)
-            blocks = xx[:n_cap, :n_cap], yy[:m_cap, :m_cap], xy[:n_cap, :m_cap]
-            own = _within_gamma(*blocks)
-            mmd = _discrepancy(*(float(np.exp(-own * x).mean()) for x in blocks))
+            across = xy[:n_used, :m_used].ravel()
+            own = _gamma(np.concatenate([far_x[n_used], far_y[m_used], across]))
+            mmd = _discrepancy(_kernel_mean(far_x[n_used], n_used, own), _kernel_mean(far_y[m_used], m_used, own), float(np.exp(-own * across).mean()))
             parts = (tables[0][n_used - 1, n_used - 1] / n_used**2, tables[1][m_used - 1, m_used - 1] / m_used**2, tables[2][n_used - 1, m_used - 1] / (n_used * m_used))
             yield n, m, n_used, m_used, float(right[n_used - 1] / n_used), float(first[n_used - 1] / n_used), float(all_k[n_used - 1] / (n_used * k)), centroid, mmd, _discrepancy(*map(float, parts))
 
@@ -98,13 +107,14 @@ def size_grid(shifted: DataFrame, bank: DataFrame, keys: Sequence[str], conditio
         out = []
         if some.num_rows and ref.num_rows:
             reference = np.array(ref.sort_by("place")["u"].to_pylist())
+            far = reference_far(reference, references)
             some = some.sort_by([(condition, "ascending"), ("place", "ascending")])
             names = some[condition].to_pylist()
             key = [some[k][0].as_py() for k in keys] + [some["repeat"][0].as_py()]
             vectors, hits = np.array(some["u"].to_pylist()), some["hit"].to_numpy()
             cut = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
             for a, e in zip(cut, cut[1:], strict=False):
-                out += [(*key, names[a], *cell) for cell in cells(vectors[a:e], hits[a:e], reference, batches, references)]
+                out += [(*key, names[a], *cell) for cell in cells(vectors[a:e], hits[a:e], reference, batches, references, far)]
         types = [pa.string()] * len(keys) + [pa.int32(), pa.string()] + [pa.int32()] * 4 + [pa.float64()] * 6
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=columns)
 

@@ -40,3 +40,22 @@ def test_every_cell_of_the_grid(spark):
         if (n, m) == (64, 1000):
             assert abs(r["ref_mmd_shared"] - r["ref_mmd_rbf"]) < 1e-9  # the shared bandwidth is that of the largest cell
     assert monitor_grid.size_grid(shifted.filter("false"), bank, ["k"]).count() == 0
+
+
+def test_discrepancy_over_whole_batches_and_references(spark):
+    """Kernels and bandwidths took the first 512 rows of a side only, so that larger cells had the discrepancy of smaller ones."""
+    rng = np.random.default_rng(1)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    reference, batch = unit(rng.normal(size=(700, 8))), unit(rng.normal(size=(600, 8)) + 0.4)
+    reference[512:] = unit(reference[512:] + 2)  # rows beyond the first 512 are unlike those before them
+    hits = rng.integers(0, 2, 600).astype(float)
+    found = {(c[0], c[1]): c for c in monitor_grid.cells(batch, hits, reference, (20, 600), (300, 1000))}
+    for (n, m), c in found.items():
+        assert np.allclose([c[4], *c[5:9]], plain_cell(batch[:n], hits[:n], reference[:m]), atol=1e-9), (n, m)
+    pool = np.concatenate([batch, reference])
+    far = ((pool[:, None] - pool[None]) ** 2).sum(-1)[np.triu_indices(len(pool), 1)]
+    gamma = 1 / (2 * np.median(far))
+    k = lambda x, y: np.exp(-gamma * ((x[:, None] - y[None]) ** 2).sum(-1)).mean()
+    for (n, m), c in found.items():
+        a, b = batch[:n], reference[:m]
+        assert abs(c[9] - max(k(a, a) + k(b, b) - 2 * k(a, b), 0)) < 1e-9, (n, m)
