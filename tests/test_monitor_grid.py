@@ -59,3 +59,18 @@ def test_discrepancy_over_whole_batches_and_references(spark):
     for (n, m), c in found.items():
         a, b = batch[:n], reference[:m]
         assert abs(c[9] - max(k(a, a) + k(b, b) - 2 * k(a, b), 0)) < 1e-9, (n, m)
+
+
+def test_grid_of_a_bank_of_more_than_512_rows(spark):
+    """The two cells of ``l10_grid_cells``: the larger one's discrepancy came from 512 rows of its reference, SQL's from all."""
+    rng = np.random.default_rng(2)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 16)))
+    x, moved, hits = unit(640), unit(90), rng.integers(0, 2, 90)
+    bank = spark.createDataFrame([("d", i, v.tolist()) for i, v in enumerate(x)], "k string, vec_id long, u array<double>")
+    shifted = spark.createDataFrame([("d", "t", i, v.tolist(), int(hits[i])) for i, v in enumerate(moved)], "k string, tag string, vec_id long, u array<double>, hit int")
+    got = monitor_grid.size_grid(shifted, bank, ["k"], batches=(8, 64), references=(100, 1000), repeats=2).collect()
+    assert sorted({(r["n_batch"], r["n_ref"]) for r in got}) == [(8, 100), (8, 640), (64, 100), (64, 640)] and len(got) == 8
+    order = lambda n, *salt: sorted(range(n), key=lambda i: hashlib.md5("|".join([*map(str, salt), str(i)]).encode()).hexdigest())
+    for r in got:
+        b, c = order(90, "grid", r["repeat"], "t")[: r["n_batch"]], order(640, "grid", r["repeat"])[: r["n_ref"]]
+        assert np.allclose([r["acc_batch"], *[r[s] for s in monitor_grid.SCORES[:4]]], plain_cell(moved[b], hits[b], x[c]), atol=1e-9)
